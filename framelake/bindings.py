@@ -121,8 +121,7 @@ VIEWS = {
     "scores": (["lineitem"], """
         SELECT post_id, criterion, max(score) AS score FROM (
           SELECT l_orderkey AS post_id,
-             CASE CAST((l_linenumber * 3 + l_suppkey) % 16 AS INT) WHEN 0 THEN 'A1' WHEN 1 THEN 'A2' WHEN 2 THEN 'A3' WHEN 3 THEN 'A4' WHEN 4 THEN 'B1' WHEN 5 THEN 'B2'
-               WHEN 6 THEN 'B3' WHEN 7 THEN 'B4' WHEN 8 THEN 'C1' WHEN 9 THEN 'C2' WHEN 10 THEN 'C3' WHEN 11 THEN 'D1' WHEN 12 THEN 'D2' WHEN 13 THEN 'D3' WHEN 14 THEN 'E1' ELSE 'E2' END AS criterion,
+             CASE CAST((l_linenumber * 3 + l_suppkey) % 16 AS INT) WHEN 0 THEN 'A1' WHEN 1 THEN 'A2' WHEN 2 THEN 'A3' WHEN 3 THEN 'B1' WHEN 4 THEN 'B2' WHEN 5 THEN 'B3' WHEN 6 THEN 'C1' WHEN 7 THEN 'C2' WHEN 8 THEN 'C3' WHEN 9 THEN 'D1' WHEN 10 THEN 'D2' WHEN 11 THEN 'D3' WHEN 12 THEN 'E1' WHEN 13 THEN 'E2' WHEN 14 THEN 'F1' ELSE 'F2' END AS criterion,
              CAST(l_quantity AS BIGINT) % 11 AS score FROM {lineitem}) s GROUP BY post_id, criterion"""),
     # ---- catalogued moments ------------------------------------------------------------------
     "moments": (["lineitem", "part"], f"""
@@ -184,4 +183,26 @@ VIEWS = {
         SELECT doc_id, CAST(n AS INT) AS n, line AS text, lang, source FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) x AS n, line""", """
         SELECT doc_id, CAST(n AS INT) AS n, line AS text, lang, source FROM (
           SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM {documents}) x""")),
+    "pref_lists": (["orders"], """
+        SELECT o_custkey AS owner, 'formats' AS section, CASE WHEN min(o_orderstatus) = 'F' THEN 'worked' ELSE 'failed' END AS leaf, o_orderpriority AS value
+        FROM {orders} WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey, o_orderpriority"""),
+    "pref_changes": (["orders"], """
+        SELECT o_custkey AS owner, 'formats' AS section, CASE WHEN o_orderkey % 2 = 0 THEN 'worked' ELSE 'failed' END AS leaf,
+               CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS value, o_orderkey AS seq FROM {orders} WHERE o_orderkey % 4 = 0"""),
+    "rules": (["orders"], """
+        SELECT o_custkey AS owner, 'r-' || substr(CAST(1000 + o_orderkey % 900 AS VARCHAR(10)), 2, 3) AS id, 'Keep ' || o_orderpriority AS text, 'do' AS kind, CAST(o_orderkey % 3 AS INT) AS hits
+        FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM {orders} WHERE o_orderkey % 3 = 0 GROUP BY o_custkey, o_orderpriority) x"""),
+    "new_rules": (["orders"], """
+        SELECT o_custkey AS owner, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'keep ' ELSE 'Keep ' END || o_orderpriority AS text,
+               CASE WHEN o_orderstatus = 'F' THEN 'never' ELSE 'do' END AS kind FROM {orders} WHERE o_orderkey % 3 = 1"""),
+    "facts": (["benchmark"], ("""
+        SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)) AS project, item_id AS fact, concat(split(text, ' ')[0], ' ', split(text, ' ')[1]) AS forbid, element_at(split(text, ' '), -1) AS allow_if FROM {benchmark}
+        UNION ALL SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)), item_id, concat(split(text, ' ')[2], '( a| the|,)? ', split(text, ' ')[3]), element_at(split(text, ' '), -1) FROM {benchmark}""", """
+        SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)) AS project, item_id AS fact, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS forbid, string_split(text, ' ')[-1] AS allow_if FROM {benchmark}
+        UNION ALL SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)), item_id, string_split(text, ' ')[3] || '( a| the|,)? ' || string_split(text, ' ')[4], string_split(text, ' ')[-1] FROM {benchmark}""")),
+    "place_facts": (["pages"], """
+        SELECT page_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'economy' WHEN 1 THEN 'Small' WHEN 2 THEN 'LARGE' WHEN 3 THEN 'brand#1' WHEN 4 THEN 'Brand#2' ELSE 'nowhere' END AS place,
+               CASE CAST(page_id % 8 AS INT) WHEN 0 THEN 'price' WHEN 1 THEN 'time' WHEN 2 THEN 'how' WHEN 3 THEN 'tip' WHEN 4 THEN 'mistake' WHEN 5 THEN 'number' WHEN 6 THEN 'gossip' ELSE NULL END AS kind,
+               html AS text, CASE WHEN page_id % 5 = 0 THEN replace(url, 'http', 'ftp') ELSE url END AS source,
+               CASE WHEN page_id % 9 = 0 THEN NULL ELSE CAST('2026-01-01' AS DATE) - CAST(page_id % 200 AS INT) END AS seen FROM {pages}"""),
 }

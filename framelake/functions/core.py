@@ -34,3 +34,8 @@ def add_note(notes, note, marker):
 def exact_sum(x, scale=3):
     """Sum through decimals: the same result in whatever order partitions arrive."""
     return F.sum(c(x).cast(f"decimal(28,{scale})")).cast("double")
+
+
+def let(x, fn):
+    """Binds a value once: fn sees a variable instead of a copy of the expression, so plans stay small."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))

@@ -27,12 +27,13 @@ def exact_quantile(df, keys, value, p=0.5, kind="linear", out="q"):
         at = F.lit(float(p)) * (F.col("_n") - 1)
         lo_rank, hi_rank = F.floor(at), F.ceil(at)
     bounds = bounds.withColumn("_r0", lo_rank).withColumn("_r1", hi_rank)
+    # everything under the lower bound becomes one row per key; only values between the bounds are ordered
     counts = d.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(
         bounds.select(*keys, "_lo", "_hi", "_r0", "_r1", "_n"), keys)
-    below = counts.groupBy(*keys).agg(F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c")).otherwise(0)).alias("_below"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    mid = (counts.filter("_v >= _lo and _v <= _hi").withColumn("_cum", F.sum("_c").over(w)).join(below, keys)
-           .withColumn("_end", F.col("_cum") + F.col("_below")).withColumn("_start", F.col("_end") - F.col("_c")))
+    mid = (counts.filter("_v <= _hi").groupBy(*keys, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"), "_r0", "_r1", "_n")
+           .agg(F.sum("_c").alias("_c")))
+    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    mid = mid.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     hit = lambda r: (F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end"))
     res = (mid.filter(hit("_r0") | hit("_r1")).groupBy(*keys)
            .agg(F.max(F.when(hit("_r0"), F.col("_v"))).alias("_a"), F.max(F.when(hit("_r1"), F.col("_v"))).alias("_b"),
