@@ -315,12 +315,10 @@ def distant_batches(media, as_of, min_year=2000, far_days=180):
     # more than `quiet` whole days: at least quiet + 1 days, i.e. strictly more than that minus 1 µs
     rows, parts = time_islands(rest, ["library_id"], "date", ["id"], (quiet + 1) * 86400 - 1e-6, 86400, "cluster")
     rows = rows.join(parts, ["library_id", "_block", "_part"])
-    size = rows.groupBy("library_id", "cluster").agg(F.count("*").alias("n"))
-    total = rows.groupBy("library_id").agg(F.count("*").alias("total"))
-    mid = exact_quantile(rest, ["library_id"], "_t", kind="upper", out="mid")
-    centre = exact_quantile(rows, ["library_id", "cluster"], "_t", kind="upper", out="centre")
+    mid = exact_quantile(rest, ["library_id"], "_t", kind="upper", out="mid", n="total")
+    centre = exact_quantile(rows, ["library_id", "cluster"], "_t", kind="upper", out="centre", n="n")
     delta = F.floor((F.col("centre") - F.col("mid")) / day)
-    return (size.join(centre, ["library_id", "cluster"]).join(total, "library_id").join(mid, "library_id")
+    return (centre.join(mid, "library_id")
             .withColumn("delta_days", delta)
             .filter((F.col("total") >= 4) & (F.abs("delta_days") > far_days) & (F.col("n") != F.col("total")))
             .select("library_id", "cluster", "n", from_micros(F.col("centre")).alias("centre"), from_micros(F.col("mid")).alias("median"),
@@ -333,8 +331,8 @@ def clock_offset(media, as_of, min_year=2000):
          .select("library_id", "id", "date", camera_key("name").alias("camera"), F.to_date("date").alias("day"),
                  (F.hour("date") + F.minute("date") / 60.0).alias("hour")))
     k = ["library_id", "camera"]
-    g = m.groupBy(*k).agg(F.count("*").alias("n"), F.min(F.struct(micros("date").alias("u"), "id")).alias("seen"))
-    g = g.join(exact_quantile(m, k, "hour", kind="upper", out="mid"), k)
+    g = m.groupBy(*k).agg(F.min(F.struct(micros("date").alias("u"), "id")).alias("seen"))
+    g = g.join(exact_quantile(m, k, "hour", kind="upper", out="mid", n="n"), k)
     w = Window.partitionBy("library_id").orderBy(F.col("n").desc(), "seen")      # one row per camera
     g = g.withColumn("pos", F.row_number().over(w))
     ref = g.filter("pos = 1").select("library_id", F.col("camera").alias("ref_camera"), F.col("mid").alias("ref_mid"))

@@ -82,7 +82,7 @@ def group_weights(scored, g=("platform",), axes=("format", "hook", "close", "voi
     long = (scored.filter("score is not null").withColumn("_a", F.explode(F.array(*pick)))
             .select(*g, "_a.axis", "_a.name", "score").filter("name is not null and name <> ''"))
     k = [*g, "axis", "name"]
-    r = long.groupBy(*k).agg(F.count("*").alias("n")).join(exact_quantile(long, k, "score", out="raw"), k)
+    r = exact_quantile(long, k, "score", out="raw", n="n")
     damp = F.when(F.col("n") < 2, 0.35).when(F.col("n") < 4, 0.7).otherwise(1.0)
     return r.select(*k, "n", py_round("raw", 2).alias("score"),
                     py_round(F.greatest(F.lit(WEIGHT_MIN), F.least(F.lit(WEIGHT_MAX), 1.0 + (F.col("raw") - 1.0) * damp)), 2).alias("weight"),

@@ -8,8 +8,9 @@ from pyspark.sql import Window, functions as F
 DELTA = 0.002     # the sketch at accuracy 10000 is off by at most 0.0001 of the rows
 
 
-def exact_quantile(df, keys, value, p=0.5, kind="linear", out="q"):
-    """kind: linear (interpolated; p=.5 is the usual median) or upper (sorted[n // 2], only p=.5)."""
+def exact_quantile(df, keys, value, p=0.5, kind="linear", out="q", n=None):
+    """kind: linear (interpolated; p=.5 is the usual median) or upper (sorted[n // 2], only p=.5).
+    n names a column for the number of values."""
     one = not keys
     if one:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
@@ -40,4 +41,4 @@ def exact_quantile(df, keys, value, p=0.5, kind="linear", out="q"):
                 F.first("_r0").alias("_r0"), F.first("_n").alias("_n")))
     frac = F.lit(float(p)) * (F.col("_n") - 1) - F.col("_r0") if kind != "upper" else F.lit(0.0)
     res = res.withColumn(out, F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
-    return res.select(*([] if one else keys), out)
+    return res.select(*([] if one else keys), out, *([F.col("_n").alias(n)] if n else []))

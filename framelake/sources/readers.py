@@ -16,3 +16,21 @@ def classify_listing(listing, g=()):
     return (listing.withColumn("_name", name).filter(~F.col("_name").startswith("."))
             .withColumn("kind", F.coalesce(media_kind("_name"), F.lit("skipped")))
             .groupBy(*g, "kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")))
+
+
+ITEM_SCHEMA = "id string, path string, type string, date string, start_s double, end_s double, quality int, hook int, description string, burst string"
+
+
+def parse_batches(files):
+    """files(file, body): JSON that is a list of items or an object holding them under `items`."""
+    items = f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in ITEM_SCHEMA.split(','))}>>"
+    obj = F.from_json("body", f"struct<items:{items}>")["items"]
+    arr = F.from_json("body", items)
+    body = F.when(F.ltrim("body").startswith("["), arr).otherwise(obj)
+    return files.withColumn("_i", F.explode(body)).select(F.regexp_replace("file", r"^.*/|\.json$", "").alias("origin"), "_i.*")
+
+
+def read_batches(spark, glob):
+    """Batch files of a catalogue, each item with the batch it came from."""
+    raw = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+    return parse_batches(raw)
