@@ -240,4 +240,55 @@ VIEWS = {
     "motion_samples": (["ev"], """
         SELECT user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, CAST(row_number() OVER (PARTITION BY user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) ORDER BY ts, event_id) - 1 AS INT) AS i,
                k / 200.0e0 AS camera, value / 40 AS subject FROM {ev}"""),
+    # ---- measurements of rendered videos -----------------------------------------------------
+    "totals": (["videos"], "SELECT video_id, picture_s AS total_s FROM {videos}"),
+    "level_samples": (["totals"], ("""
+        SELECT video_id, j * 0.5e0 AS t, -20e0 - CAST((video_id * 7 + j * 13) % 30 AS DOUBLE) AS db FROM {totals} LATERAL VIEW explode(sequence(0L, CAST(floor(total_s * 2) AS BIGINT))) x AS j""", """
+        SELECT video_id, j * 0.5e0 AS t, -20e0 - CAST((video_id * 7 + j * 13) % 30 AS DOUBLE) AS db FROM (SELECT video_id, unnest(range(CAST(floor(total_s * 2) AS BIGINT) + 1)) AS j FROM {totals}) x""")),
+    "frame_stats": (["totals"], ("""
+        SELECT video_id, j * 0.25e0 AS t, CASE WHEN video_id % 7 = 0 THEN 0.01e0 ELSE CAST((video_id * 3 + j * 11) % 50 AS DOUBLE) / 25 END AS d,
+          CASE WHEN video_id % 2 = 0 AND total_s - j * 0.25e0 < 1 + video_id % 3 THEN (total_s - j * 0.25e0) * 35 WHEN (video_id + j) % 97 = 0 THEN NULL ELSE 80e0 + CAST((video_id * 7 + j * 13) % 40 AS DOUBLE) END AS y
+        FROM {totals} LATERAL VIEW explode(sequence(0L, CAST(floor(total_s * 4) AS BIGINT))) x AS j""", """
+        SELECT video_id, j * 0.25e0 AS t, CASE WHEN video_id % 7 = 0 THEN 0.01e0 ELSE CAST((video_id * 3 + j * 11) % 50 AS DOUBLE) / 25 END AS d,
+          CASE WHEN video_id % 2 = 0 AND total_s - j * 0.25e0 < 1 + video_id % 3 THEN (total_s - j * 0.25e0) * 35 WHEN (video_id + j) % 97 = 0 THEN NULL ELSE 80e0 + CAST((video_id * 7 + j * 13) % 40 AS DOUBLE) END AS y
+        FROM (SELECT *, unnest(range(CAST(floor(total_s * 4) AS BIGINT) + 1)) AS j FROM {totals}) x""")),
+    "silence_events": (["shots"], """
+        SELECT video_id, 'start' AS kind, t0 - 0.05e0 AS t FROM {shots} WHERE l_suppkey % 5 = 0
+        UNION ALL SELECT video_id, 'end' AS kind, t0 - 0.05e0 + l_tax * 14 AS t FROM {shots} WHERE l_suppkey % 5 = 0 AND l_suppkey <> 10"""),
+    "black_events": (["shots"], "SELECT video_id, t1 AS t0, t1 + 0.1e0 AS t1 FROM {shots} WHERE l_suppkey % 50 = 7"),
+    "scene_features": (["shots", "part"], ("""
+        SELECT video_id, i, dur, l_discount * 8 AS luma, l_tax * 8 AS dark, l_tax AS neon, dur / 10 AS snow, l_discount * 3 AS autumn, l_tax * 3 AS green, dur / 25 AS water, l_discount * 2 AS warm_cast, l_tax * 3 AS sky_blue, dur / 8 AS sky_grey,
+          filter(array(CASE l_suppkey % 8 WHEN 0 THEN 'food' WHEN 1 THEN 'interior' WHEN 2 THEN 'water' END), x -> x IS NOT NULL) AS tags FROM {shots} JOIN {part} ON p_partkey = l_partkey""", """
+        SELECT video_id, i, dur, l_discount * 8 AS luma, l_tax * 8 AS dark, l_tax AS neon, dur / 10 AS snow, l_discount * 3 AS autumn, l_tax * 3 AS green, dur / 25 AS water, l_discount * 2 AS warm_cast, l_tax * 3 AS sky_blue, dur / 8 AS sky_grey,
+          CASE l_suppkey % 8 WHEN 0 THEN 'food' WHEN 1 THEN 'interior' WHEN 2 THEN 'water' ELSE '' END AS tag FROM {shots} JOIN {part} ON p_partkey = l_partkey""")),
+    # ---- edit plans --------------------------------------------------------------------------
+    "edit_shots": (["shots"], """
+        SELECT video_id AS variant_id, i, CASE WHEN l_suppkey % 10 <> 0 THEN 1 + CAST(dur * 10 AS BIGINT) % 4 ELSE NULL END AS beats, CASE WHEN l_suppkey % 10 = 0 OR l_linestatus = 'O' THEN dur ELSE NULL END AS dur,
+               CASE WHEN l_linestatus = 'F' THEN i ELSE NULL END AS line, CASE WHEN l_linestatus = 'F' THEN 0.5e0 + l_discount * 10 ELSE NULL END AS line_s, start_s, hero, l_partkey % 3 <> 0 AS splittable FROM {shots}"""),
+    "music": (["orders"], "SELECT o_orderkey AS variant_id, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 60e0 + o_custkey % 100 END AS bpm, (o_custkey % 10) / 10e0 AS beat0 FROM {orders}"),
+    "spec_segments": (["shots", "orders"], """
+        SELECT video_id, i, CASE WHEN o_custkey % 2 = 0 THEN 1e0 + i % 3 ELSE NULL END AS beats, CASE WHEN o_custkey % 2 = 1 AND NOT (o_custkey % 9 = 1 AND i = 1) THEN dur ELSE NULL END AS dur, 60e0 + o_custkey % 60 AS bpm, (o_custkey % 4) / 8e0 AS beat0, 'm/clip' || CAST(src AS VARCHAR(20)) || '.mov' AS src
+        FROM {shots} JOIN {orders} ON o_orderkey = video_id"""),
+    "seg_captions": (["captions"], """
+        SELECT video_id, i, CASE WHEN i % 5 = 4 THEN NULL WHEN i % 3 = 1 THEN -1 ELSE shot END AS seg_from, CASE WHEN i % 5 = 4 THEN NULL WHEN i % 3 = 1 THEN -1 WHEN i % 4 = 2 THEN shot + 1 ELSE shot END AS seg_to, CASE WHEN pin THEN 0.15e0 ELSE NULL END AS lead, CASE WHEN style = 'box' THEN 0.3e0 ELSE NULL END AS tail,
+               CASE WHEN i % 5 = 4 AND NOT pin THEN t0 ELSE NULL END AS t0, CASE WHEN i % 5 = 4 THEN t1 ELSE NULL END AS t1 FROM {captions}"""),
+    "clip_subs": (["part"], "SELECT p_partkey AS src, 0 AS sub, p_size / 2e0 AS t0, p_size / 2e0 + 2 AS t1, p_name AS text FROM {part} UNION ALL SELECT p_partkey AS src, 1 AS sub, p_size / 2e0 + 2.1e0 AS t0, p_size / 2e0 + 2.4e0 AS t1, p_type AS text FROM {part}"),
+    "clip_segs": (["shots"], "SELECT video_id, i, src, start_s / 2 AS start_s, 1e0 + l_suppkey % 2 AS speed, t0 AS g0, t1 AS g1 FROM {shots}"),
+    "text_samples": (["ev"], "SELECT user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, event_id AS t, CASE WHEN event_type IN ('error', 'signup') THEN NULL WHEN event_type = 'click' THEN 'view' ELSE event_type END AS text FROM {ev}"),
+    "motion_events": (["ev"], "SELECT user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, CASE WHEN event_type = 'view' THEN 'start' ELSE 'end' END AS kind, CAST(event_id AS DOUBLE) / 10 AS t FROM {ev} WHERE event_type IN ('view', 'click', 'purchase')"),
+    "segments": (["lines"], "SELECT doc_id, n, n * 9e0 AS t0, n * 9e0 + length(text) * 0.07e0 AS t1, text, -1e0 * (length(text) % 13) / 10 AS avg_logprob, (length(text) % 11) / 10e0 AS no_speech FROM {lines}"),
+    "script_rows": (["lines"], """
+        SELECT doc_id AS script_id, n, CASE WHEN n % 9 = 8 THEN '## Notes:' WHEN n % 7 = 5 THEN '---' WHEN n % 5 = 4 THEN text WHEN n % 5 = 3 THEN '[' || CAST(n AS VARCHAR(9)) || '.25] s |  ~2.4 s  ' || text WHEN n % 6 = 2 THEN CAST(n AS VARCHAR(9)) || '   ' || substr(text, 1, 6) WHEN n % 11 = 10 THEN '3 line text and so on' ELSE CAST(n AS VARCHAR(9)) || '.5  ' || text END AS line FROM {lines}"""),
+    "script_silences": (["words"], "SELECT script_id, t1 + 0.15e0 AS start, t1 + 0.65e0 AS e FROM {words} WHERE length(w) % 9 = 0"),
+    "talk_lines": (["voice_lines"], "SELECT video_id, i, CASE WHEN i % 4 = 3 THEN NULL ELSE t0 END AS start_s, CASE WHEN i % 3 = 2 THEN NULL ELSE t1 - t0 END AS duration_s, text FROM {voice_lines}"),
+    "timed_lines": (["voice_lines"], "SELECT video_id, i, t0 AS start_s, CASE WHEN i % 3 = 2 THEN NULL ELSE t1 - t0 END AS duration_s, text FROM {voice_lines}"),
+    "tracks": (["pages"], """SELECT page_id, CASE CAST(page_id % 9 AS INT) WHEN 0 THEN ' Voice ' WHEN 1 THEN 'FX' WHEN 2 THEN 'music' WHEN 3 THEN '' ELSE NULL END AS role,
+        CASE CAST(page_id % 5 AS INT) WHEN 0 THEN url WHEN 1 THEN 'a/sfx/' || CAST(page_id AS VARCHAR(9)) || '.wav' WHEN 2 THEN 'take/l' || CAST(page_id AS VARCHAR(9)) || '.wav' WHEN 3 THEN 'A/Narration/x.wav' ELSE NULL END AS src FROM {pages}"""),
+    "ocr_words": (["shots", "part"], """
+        SELECT video_id AS frame, upper(substr(p_name, 1, 2)) AS text, 0.9e0 AS conf, 0.1e0 AS x0, (i % 5) / 8e0 AS y0, 0.18e0 AS x1, (i % 5) / 8e0 + 0.05e0 AS y1 FROM {shots} JOIN {part} ON p_partkey = l_partkey WHERE i < 5
+        UNION ALL SELECT video_id, CAST(1000 + l_partkey % 9000 AS VARCHAR(9)), CASE WHEN l_suppkey % 7 = 0 THEN 0.3e0 ELSE 0.8e0 END, 0.2e0 + l_tax, (i % 5) / 8e0 + 0.01e0, 0.3e0 + l_tax, (i % 5) / 8e0 + 0.06e0 FROM {shots} WHERE i < 5"""),
+    "lexicons": (["benchmark"], ("""
+        SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, 0 AS layer, split(text, ' ')[1] AS term, 'say1' AS say FROM {benchmark}
+        UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END, 1, concat(split(text, ' ')[1], ' ', split(text, ' ')[2]), 'say2' FROM {benchmark}
+        UNION ALL SELECT 'en', 2, lower(split(text, ' ')[1]), 'say3' FROM {benchmark} WHERE item_id % 4 = 0""", "SELECT 1")),
 }
