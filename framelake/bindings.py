@@ -164,10 +164,12 @@ VIEWS = {
         SELECT video_id, i, CAST(p AS INT) AS pos, w, t0 + p * 0.3e0 AS t0, t0 + p * 0.3e0 + 0.25e0 AS t1, l_suppkey % 3 <> 0 AS ok
         FROM (SELECT *, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM {voice_lines}) x""")),
     "videos": (["shots", "orders"], """
-        SELECT s.video_id, s.end_s AS picture_s, s.end_s + (o.o_custkey % 9 - 4) * 0.15e0 AS audio_s, s.end_s + (o.o_custkey % 7 - 3) * 0.2e0 AS expected_s,
+        SELECT s.video_id, s.end_s AS picture_s, s.end_s + (o.o_custkey % 9 - 4) * 0.15e0 AS audio_s, CASE WHEN o.o_custkey % 9 = 0 THEN NULL ELSE s.end_s + (o.o_custkey % 7 - 3) * 0.2e0 END AS expected_s,
                CAST(CASE WHEN o.o_custkey % 11 = 0 THEN 2 WHEN o.o_custkey % 23 = 0 THEN 0 ELSE 1 END AS INT) AS audio_tracks,
                CASE WHEN o.o_custkey % 17 = 0 THEN NULL ELSE -0.1e0 * (o.o_custkey % 20) END AS peak_db,
-               CAST(floor(o.o_totalprice * 1000) AS BIGINT) AS file_bytes, o.o_custkey, o.o_orderpriority
+               CAST(floor(o.o_totalprice * 1000) AS BIGINT) AS file_bytes, o.o_custkey, o.o_orderpriority,
+               o.o_custkey % 10 = 0 AS loop, CASE WHEN o.o_custkey % 40 = 0 THEN NULL ELSE CAST(o.o_custkey % 40 AS DOUBLE) END AS seam_db, CASE WHEN o.o_custkey % 16 = 0 THEN NULL ELSE CAST(o.o_custkey % 15 AS DOUBLE) END AS taper_db,
+               CASE WHEN o.o_custkey % 6 = 0 THEN 0.5e0 ELSE 0e0 END AS fade_out, CASE WHEN o.o_custkey % 4 = 0 THEN NULL ELSE (o.o_custkey % 50) * 1e0 END AS preview_mb
         FROM (SELECT video_id, max(t1) AS end_s FROM {shots} GROUP BY video_id) s JOIN {orders} o ON o.o_orderkey = s.video_id"""),
     # ---- text --------------------------------------------------------------------------------
     "words": (["conversations"], ("""
@@ -291,4 +293,47 @@ VIEWS = {
         SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, 0 AS layer, split(text, ' ')[1] AS term, 'say1' AS say FROM {benchmark}
         UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END, 1, concat(split(text, ' ')[1], ' ', split(text, ' ')[2]), 'say2' FROM {benchmark}
         UNION ALL SELECT 'en', 2, lower(split(text, ' ')[1]), 'say3' FROM {benchmark} WHERE item_id % 4 = 0""", "SELECT 1")),
+    # ---- concepts, builds and reviews --------------------------------------------------------
+    "c_head": (["videos"], """
+        SELECT video_id AS concept_id, o_custkey AS k, o_custkey % 40 AS project_id, picture_s * (1 + (o_custkey % 5 - 2) * 0.2e0) AS target_duration_s, o_custkey % 4 = 0 AS narration,
+               CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE (o_custkey % 6) * 1e0 END AS hook_ends_s, 'r' || CAST(o_custkey % 50 AS VARCHAR(5)) AS hook_resource, 'r' || CAST(o_custkey % 47 AS VARCHAR(5)) AS close_resource,
+               CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE picture_s * (o_custkey % 10) / 8 END AS paid_off_s, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE picture_s * (o_custkey % 8) / 6 END AS turn_s,
+               CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE picture_s * (o_custkey % 13) / 11 END AS close_s, CASE WHEN o_custkey % 3 = 0 THEN 'beat' ELSE 'free' END AS cut_to,
+               CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE 30e0 + o_custkey % 200 END AS bpm, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'first_person' WHEN 1 THEN 'recap' WHEN 2 THEN 'place_first' ELSE 'custom' END AS quota_kind,
+               (o_custkey % 10) / 10e0 AS max_ratio, CASE WHEN o_custkey % 8 = 0 THEN 0.2e0 ELSE NULL END AS min_ratio, CASE WHEN o_custkey % 9 = 0 THEN 'why' ELSE NULL END AS quota_note, o_custkey % 5 <> 0 AS human_anchor,
+               CASE WHEN o_custkey % 10 = 9 THEN 'vlog' WHEN o_custkey % 2 = 0 THEN 'list' ELSE 'character' END AS family, CASE WHEN o_custkey % 12 = 0 THEN 'english' ELSE 'en-US' END AS lang,
+               CASE WHEN o_custkey % 15 = 0 THEN 'too short' ELSE 'four beats of about five seconds each' END AS duration_rationale, CASE WHEN o_custkey % 6 < 2 THEN NULL ELSE 's-' || substr(CAST(1000 + o_custkey % 30 AS VARCHAR(5)), 2, 3) END AS story, picture_s FROM {videos}"""),
+    "c_blocks": (["shots", "part"], """
+        SELECT video_id AS concept_id, i, CASE WHEN l_suppkey % 11 = 0 THEN t0 - 0.2e0 ELSE t0 END AS t0, CASE WHEN l_suppkey % 23 = 0 THEN t0 - 0.3e0 ELSE t1 END AS t1, 'r' || CAST(l_partkey % 50 AS VARCHAR(5)) AS resource,
+               CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN i = 0 THEN 'hook' WHEN i = n - 1 AND l_suppkey % 5 > 0 THEN 'close' WHEN l_suppkey % 17 = 0 THEN 'turn' ELSE 'development' END AS role,
+               CASE WHEN l_linestatus = 'O' THEN p_name ELSE NULL END AS text, hero AS subject, CASE WHEN l_linestatus = 'F' AND l_suppkey % 3 = 0 THEN p_name ELSE NULL END AS says, l_suppkey, l_partkey
+        FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {shots}) s JOIN {part} ON p_partkey = l_partkey"""),
+    "c_beats": (["c_blocks"], "SELECT concept_id, i, CASE WHEN l_suppkey % 9 = 0 THEN t0 - 3 ELSE t0 END AS at_s, 'Raise ' || CAST(l_partkey % 6 AS VARCHAR(5)) AS raises, CASE WHEN l_suppkey % 2 = 0 THEN 'wait' ELSE NULL END AS mini_hook FROM {c_blocks} WHERE i % 2 = 0"),
+    "c_variants": (["c_blocks", "c_head"], """
+        SELECT b.concept_id, b.i, CASE WHEN l_suppkey % 19 = 0 THEN 'A' ELSE substr('ABCDEFGH', b.i + 1, 1) END AS letter, CASE WHEN b.i = 0 THEN 'base' ELSE CASE CAST((l_suppkey + b.i) % 5 AS INT) WHEN 0 THEN 'base' WHEN 1 THEN 'hook' WHEN 2 THEN 'close' WHEN 3 THEN 'voice' ELSE 'shots' END END AS differs_in,
+               CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN hook_resource ELSE resource END AS hook_resource, CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN close_resource ELSE resource END AS close_resource,
+               CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_partkey % 5 = 0 END AS narrated, CASE WHEN l_suppkey % 10 = 3 THEN 'Same cuts, Other song' ELSE 'another middle' END AS what, CAST(l_partkey % 6 AS INT) AS n_new, narration,
+               'v' || CAST(b.concept_id AS VARCHAR(20)) || '-' || CAST(b.i AS VARCHAR(3)) AS variant_id, t1 AS duration_s, l_suppkey, l_partkey FROM {c_blocks} b JOIN {c_head} h ON h.concept_id = b.concept_id WHERE b.i < 2 + k % 4"""),
+    "c_stories": (["c_head"], "SELECT DISTINCT project_id, 's-' || substr(CAST(1000 + k % 20 AS VARCHAR(5)), 2, 3) AS id FROM {c_head} WHERE project_id % 5 <> 4"),
+    "builds": (["c_variants"], """
+        SELECT variant_id, CAST(1 + l_suppkey % 20 AS INT) AS cuts, CAST(l_partkey % 22 AS INT) AS cuts_with_subject, -0.1e0 * (l_partkey % 15) AS peak_dbtp, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS black_frames, duration_s AS video_duration_s, duration_s + (l_partkey % 9 - 4) * 0.15e0 AS audio_duration_s,
+               CASE WHEN l_suppkey % 29 = 0 THEN 2 WHEN l_suppkey % 29 = 1 THEN NULL ELSE 1 END AS audio_tracks, CASE WHEN l_partkey % 27 = 0 THEN 'm1' ELSE NULL END AS out_of_window, narrated, CASE WHEN l_suppkey % 3 = 0 THEN 'x.json' ELSE NULL END AS voice_script FROM {c_variants}"""),
+    "reviews": (["c_variants", "c_head"], """
+        SELECT v.concept_id, v.i, v.variant_id, v.letter, CAST(1 + v.l_suppkey % 20 AS INT) AS cuts, CAST(v.l_partkey % (1 + v.l_suppkey % 20) AS INT) AS subject_cuts, h.max_ratio, h.min_ratio, round((v.l_partkey % (1 + v.l_suppkey % 20)) * 1e0 / (1 + v.l_suppkey % 20) + CASE WHEN v.l_partkey % 10 = 0 THEN 0.05e0 ELSE 0 END, 2) AS ratio, v.l_partkey % 3 > 0 AS pass,
+               v.l_suppkey % 4 > 0 AS approved, CASE WHEN v.l_partkey % 4 = 0 THEN 'blocks' WHEN v.l_partkey % 4 = 1 THEN 'important' ELSE 'minor' END AS severity, CASE WHEN v.l_suppkey % 3 = 0 THEN 'open' WHEN v.l_suppkey % 3 = 1 THEN 'fixed' ELSE 'not_fixable' END AS status, CASE WHEN v.l_suppkey % 6 = 2 THEN 'reason' ELSE NULL END AS reason, h.k % 9 <> 0 AS language_ok
+        FROM {c_variants} v JOIN {c_head} h ON h.concept_id = v.concept_id"""),
+    "story_reviews": (["c_head"], """
+        SELECT concept_id, k, CASE CAST(k % 3 AS INT) WHEN 0 THEN 'ship' WHEN 1 THEN 'rework' ELSE 'reject' END AS verdict, CASE WHEN k % 2 = 0 THEN 'pre' ELSE 'post' END AS pass, k % 7 <> 0 AS paid_ok, CASE WHEN k % 5 = 0 THEN NULL ELSE paid_off_s END AS paid_at, k % 6 <> 0 AS close_ok, CAST(k % 3 AS INT) AS n_blocks,
+               picture_s AS declared_s, picture_s * (1 + (k % 5 - 2) * 0.1e0) AS recommended_s, CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END AS n_windows, CAST(k % 8 AS INT) AS n_watched, picture_s * (k % 30) / 10 AS variant_s FROM {c_head}"""),
+    "variant_results": (["c_variants"], """
+        SELECT concept_id, variant_id, letter, l_suppkey % 5 > 0 AS verify_pass, CASE WHEN l_partkey % 8 = 0 THEN FALSE WHEN l_partkey % 8 = 1 THEN NULL ELSE TRUE END AS deliverable, CASE WHEN l_partkey % 6 = 0 THEN 'text_sync,ending' ELSE '' END AS skipped, duration_s, CAST(40 + l_partkey % 60 AS INT) AS rubric_total FROM {c_variants}"""),
+    "repairs": (["variant_results"], "SELECT concept_id, CASE WHEN rubric_total % 10 = 0 THEN letter || 'x' ELSE letter END AS letter, TRUE AS verify_pass, rubric_total + 5 AS rubric_total FROM (SELECT concept_id, letter, max(rubric_total) AS rubric_total FROM {variant_results} WHERE rubric_total < 60 GROUP BY concept_id, letter) x"),
+    "fixes": (["c_variants"], "SELECT concept_id, letter, CASE WHEN l_suppkey % 3 = 0 THEN 'blocks' ELSE 'optional' END AS level, 'fix ' || CAST(l_suppkey AS VARCHAR(5)) AS what FROM {c_variants} WHERE l_suppkey % 2 = 0"),
+    # ---- faces and variants ------------------------------------------------------------------
+    "face_embeddings": (["embeddings"], "SELECT 0 AS g, vec_id AS key, CAST(floor(vec_id / 2) AS BIGINT) AS item, embedding AS vec, label, (vec_id * 7 % 90) / 100e0 AS area_pct, (vec_id * 13 % 100) / 100e0 AS score FROM {embeddings}"),
+    "face_refs": (["face_embeddings"], "SELECT g, label AS person, key, vec FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key) AS r FROM {face_embeddings}) x WHERE r <= 3 AND label < 3"),
+    "spec_shots": (["shots"], """SELECT CAST(floor(video_id / 3) AS BIGINT) AS concept_id, video_id AS variant_id, i, CAST(l_partkey % 12 AS BIGINT) AS src, start_s / 5 AS start_s, dur, video_id % 4 = 0 AS narrated FROM {shots}"""),
+    "thumbs": (["spec_shots"], ("""
+        SELECT concept_id, variant_id, i, dur, narrated, transform(sequence(0, 31), j -> CAST(CASE WHEN src % 6 = 5 THEN 20 + j % 3 WHEN src % 6 = 4 THEN 120 + j % 2 ELSE (src * 41 + j * (30 + src * 5) + CAST(floor(start_s) AS INT) * 3) % 256 END AS INT)) AS px FROM {spec_shots}""", """
+        SELECT concept_id, variant_id, i, dur, narrated, list_transform(range(0, 32), lambda j: CAST(CASE WHEN src % 6 = 5 THEN 20 + j % 3 WHEN src % 6 = 4 THEN 120 + j % 2 ELSE (src * 41 + j * (30 + src * 5) + CAST(floor(start_s) AS INT) * 3) % 256 END AS INT)) AS px FROM {spec_shots}""")),
 }

@@ -62,9 +62,10 @@ def baseline(posts, g=("platform",)):
     return exact_quantile(long, [*g, "metric"], "value", out="base")
 
 
-def score_posts(posts, g=("platform",)):
-    """Weighted mean of clipped ratios to the baseline. The baseline has one small row per group."""
-    base = baseline(posts, g).groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("metric", "base"))).alias("_b"))
+def score_posts(posts, g=("platform",), base=None):
+    """Weighted mean of clipped ratios to the baseline. The baseline has one small row per group; pass
+    one (from history) to score arriving posts."""
+    base = (baseline(posts, g) if base is None else base).groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("metric", "base"))).alias("_b"))
     total, used = F.lit(0.0), F.lit(0.0)
     for m, w in METRIC_WEIGHTS.items():
         b = F.try_element_at("_b", F.lit(m))

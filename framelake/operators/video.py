@@ -183,7 +183,7 @@ def remap_captions(caps, pieces, key="variant_id"):
 def pacing(shots, totals, key=V):
     s = shots.join(totals, key)
     third = lambda k: F.count_if((F.col("t0") >= F.col("total_s") * k / 3) & (F.col("t0") < F.col("total_s") * (k + 1) / 3))
-    return s.groupBy(key).agg(F.count("*").alias("shots"), F.avg("dur").alias("mean"), F.median("dur").alias("median"), F.min_by("dur", "i").alias("first"), F.max("dur").alias("longest"),
+    return s.groupBy(key).agg(F.count("*").alias("shots"), (exact_sum("dur", 6) / F.count("*")).alias("mean"), F.median("dur").alias("median"), F.min_by("dur", "i").alias("first"), F.max("dur").alias("longest"),
                               third(0).alias("third1"), third(1).alias("third2"), third(2).alias("third3"), (F.stddev_pop("dur") / F.avg("dur")).alias("cv"))
 
 

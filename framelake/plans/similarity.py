@@ -23,8 +23,8 @@ def _tiles(e, key, vec, tile):
     sig = sum((F.when(F.get(F.col(vec), F.lit(i)) > 0, 2 ** i).otherwise(0) for i in range(8)), F.lit(0))
     # the block also carries a hash, so a single signature cannot pile up in one task
     block = sig * F.lit(4096) + F.pmod(F.xxhash64(key), F.lit(4096))
-    n = numbered(e.withColumn("_blk", block), ["g"], F.col("_blk"), ["_blk", key], "_n")
-    n = n.withColumn("tile", F.floor((F.col("_n") - 1) / tile))
+    n = numbered(e.withColumn("_blk", block), ["g"], F.col("_blk"), ["_blk", key], "pos")
+    n = n.withColumn("tile", F.floor((F.col("pos") - 1) / tile))
     packed = n.groupBy("g", "tile").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
 
     def cone(it):

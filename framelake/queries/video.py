@@ -195,7 +195,7 @@ def _(t):
     return V.line_openers(t.timed_lines, t.captions)
 
 
-@query("JN-27", ["shots", "voice_lines"], """SELECT s.video_id, s.i, round(coalesce(sum(greatest(0, least(s.t1, v.t1) - greatest(s.t0, v.t0))), 0), 6) AS talk_s FROM shots s LEFT JOIN voice_lines v ON v.video_id = s.video_id AND v.t0 <= s.t1 AND s.t0 <= v.t1 GROUP BY 1, 2""")
+@query("JN-27", ["shots", "voice_lines"], """SELECT s.video_id, s.i, round(coalesce(sum(CASE WHEN v.t0 IS NOT NULL THEN greatest(0, least(s.t1, v.t1) - greatest(s.t0, v.t0)) END), 0), 6) AS talk_s FROM shots s LEFT JOIN voice_lines v ON v.video_id = s.video_id AND v.t0 <= s.t1 AND s.t0 <= v.t1 GROUP BY 1, 2""")
 def _(t):
     return r6(V.talk_in_shot(t.shots, t.voice_lines).select("video_id", "i", "talk_s"), "talk_s")
 
