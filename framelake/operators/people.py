@@ -1,7 +1,7 @@
 """Faces: subjects, similar pairs, groups, matches against a person."""
 from pyspark.sql import Window, functions as F
 
-from framelake.functions.core import let, py_round
+from framelake.functions.core import exact_sum, let, py_round
 from framelake.plans.similarity import average_link, cosine_pairs
 
 # Same-person similarity, smallest share of the frame in percent, borderline band.
@@ -21,8 +21,8 @@ def face_pairs(e, threshold=SAME_PERSON):
     return cosine_pairs(e.select("g", "key", "vec"), threshold)
 
 
-def cluster_faces(e, threshold=SAME_PERSON, pairs=None):
-    return average_link(e.select("g", "key", "vec"), threshold, pairs)
+def cluster_faces(e, threshold=SAME_PERSON, pairs=None, small=2000):
+    return average_link(e.select("g", "key", "vec"), threshold, pairs, small)
 
 
 def cluster_report(e, clusters, min_size=3, best=6):
@@ -60,7 +60,7 @@ def match_lists(matches):
 
 # ---- variants of one concept ---------------------------------------------------------------------
 def _variants(shots):
-    return shots.groupBy("concept_id", "variant_id").agg(F.count("*").alias("n"), F.sum("dur").alias("len"), F.max("narrated").alias("voiced"))
+    return shots.groupBy("concept_id", "variant_id").agg(F.count("*").alias("n"), exact_sum("dur", 6).alias("len"), F.max("narrated").alias("voiced"))
 
 
 def _pairs(v):
@@ -116,6 +116,6 @@ def compare_seen(thumbs):
     hit = (a.join(b, ["concept_id", "_b"]).filter((F.col("va") < F.col("vb")) & _alike(F.col("pa"), F.col("pb"))).select("concept_id", "va", "vb", "ia").distinct()
            .groupBy("concept_id", F.col("va").alias("variant_id_a"), F.col("vb").alias("variant_id_b")).agg(F.count("*").alias("shared")))
     n = use.groupBy("concept_id", "variant_id").agg(F.count("*").alias("n"))
-    v = t.groupBy("concept_id", "variant_id").agg(F.sum("dur").alias("len"), F.max("narrated").alias("voiced"), F.min_by("px", "i").alias("h"), F.max_by("px", "i").alias("c")).join(n, ["concept_id", "variant_id"])
+    v = t.groupBy("concept_id", "variant_id").agg(exact_sum("dur", 6).alias("len"), F.max("narrated").alias("voiced"), F.min_by("px", "i").alias("h"), F.max_by("px", "i").alias("c")).join(n, ["concept_id", "variant_id"])
     p = _pairs(v).join(hit, ["concept_id", "variant_id_a", "variant_id_b"], "left")
     return _verdict(p.withColumn("same_hook", _alike(F.col("h_a"), F.col("h_b"))).withColumn("same_close", _alike(F.col("c_a"), F.col("c_b"))), "shared_shots")

@@ -115,8 +115,8 @@ def split_captions(segments, keep=()):
     s = s.select(*keep, "t0", "t1", "_n", F.posexplode("_p").alias("piece", "text"), "_p")
     before = F.aggregate(F.slice("_p", F.lit(1), F.col("piece")), F.lit(0), lambda a, x: a + F.length(x) + 1)
     span = F.col("t1") - F.col("t0")
-    return s.withColumn("_b", before).select(*keep, "piece", py_round(F.col("t0") + span * F.col("_b") / F.col("_n"), 3).alias("t0"),
-                    py_round(F.least(F.col("t1"), F.col("t0") + span * (F.col("_b") + F.length("text") + 1) / F.col("_n")), 3).alias("t1"), "text")
+    return s.withColumn("_b", before).select(*keep, "piece", (F.col("t0") + span * F.col("_b") / F.col("_n")).alias("t0"),
+                    F.least(F.col("t1"), F.col("t0") + span * (F.col("_b") + F.length("text") + 1) / F.col("_n")).alias("t1"), "text")
 
 
 def karaoke(captions, keep):

@@ -62,7 +62,7 @@ def _verdict_sql(hit, same_h, same_c, n):
    FROM v p JOIN v q ON q.concept_id = p.concept_id AND p.variant_id < q.variant_id LEFT JOIN h ON h.a = p.variant_id AND h.b = q.variant_id) y) w"""
 
 
-@query("JN-18", ["spec_shots"], """, s AS (SELECT *, round_even(start_s, 1) AS st FROM spec_shots), v AS (SELECT concept_id, variant_id, count(*) AS n, sum(dur) AS len, bool_or(narrated) AS voiced, arg_min([src, st], i) AS h, arg_max([src, st], i) AS c FROM s GROUP BY 1, 2),
+@query("JN-18", ["spec_shots"], """, s AS (SELECT *, round_even(start_s, 1) AS st FROM spec_shots), v AS (SELECT concept_id, variant_id, count(*) AS n, sum(dur::DECIMAL(28,6))::DOUBLE AS len, bool_or(narrated) AS voiced, arg_min([src, st], i) AS h, arg_max([src, st], i) AS c FROM s GROUP BY 1, 2),
    h AS (SELECT x.variant_id AS a, y.variant_id AS b, count(DISTINCT x.i) AS n FROM s x JOIN s y ON y.concept_id = x.concept_id AND y.variant_id > x.variant_id AND y.src = x.src AND abs(x.st - y.st) < 1 GROUP BY 1, 2) """
        + _verdict_sql("", "ha[1] = hb[1] AND abs(ha[2] - hb[2]) < 1", "ca[1] = cb[1] AND abs(ca[2] - cb[2]) < 1", ""))
 def _(t):
@@ -74,7 +74,7 @@ _AL = "(list_sum(list_transform(list_zip({x}, {y}), lambda z: abs(z[1] - z[2])))
 
 
 @query("JN-19", ["thumbs"], """, t AS (SELECT *, list_avg(px) < 45 OR list_stddev_pop(px) < 12 AS flat FROM thumbs), u AS (SELECT * FROM (SELECT *, bool_and(flat) OVER (PARTITION BY concept_id, variant_id) AS allf FROM t) z WHERE NOT flat OR allf),
-   v AS (SELECT t.concept_id, t.variant_id, any_value(k.n) AS n, sum(dur) AS len, bool_or(narrated) AS voiced, arg_min(px, i) AS h, arg_max(px, i) AS c FROM t JOIN (SELECT variant_id, count(*) AS n FROM u GROUP BY 1) k USING (variant_id) GROUP BY 1, 2),
+   v AS (SELECT t.concept_id, t.variant_id, any_value(k.n) AS n, sum(dur::DECIMAL(28,6))::DOUBLE AS len, bool_or(narrated) AS voiced, arg_min(px, i) AS h, arg_max(px, i) AS c FROM t JOIN (SELECT variant_id, count(*) AS n FROM u GROUP BY 1) k USING (variant_id) GROUP BY 1, 2),
    h AS (SELECT x.variant_id AS a, y.variant_id AS b, count(DISTINCT x.i) AS n FROM u x JOIN u y ON y.concept_id = x.concept_id AND y.variant_id > x.variant_id AND """ + _AL.format(x="x.px", y="y.px") + " GROUP BY 1, 2) "
        + _verdict_sql("", _AL.format(x="ha", y="hb"), _AL.format(x="ca", y="cb"), ""))
 def _(t):

@@ -2,9 +2,15 @@
 from pyspark.sql import Window, functions as F
 
 from framelake.operators import text as X, video as Vd
-from framelake.registry import query
+from framelake.registry import ORACLES, oracle_text, query
 from framelake.sources import readers as R  # noqa: F401
 
+def r9(df, *cols, n=9):
+    for x in cols:
+        df = df.withColumn(x, F.round(x, n))
+    return df
+
+
 _FOLD = "translate(lower({t}), 'áàäâéèëêíìïîóòöôúùüûñç', 'aaaaeeeeiiiioooouuuunc')"
 
 
@@ -51,7 +57,7 @@ def _(t):
 
 @query("PRJ-16", ["segments"])
 def _(t):
-    return X.split_captions(t.segments, ("doc_id", "n"))
+    return r9(X.split_captions(t.segments, ("doc_id", "n")), "t0", "t1")
 
 
 @query("PRJ-17", ["segments"], """, w AS (SELECT doc_id, n, t0, t1, unnest(a) AS w, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id, n, t0, t1, list_filter(regexp_split_to_array(text, '[\\s\\pZ]+'), lambda x: x <> '') AS a FROM segments) z),
@@ -208,4 +214,26 @@ def _(t):
 
 @query("WN-27", ["motion_events"])
 def _(t):
-    return X.smooth_track(t.ev.selectExpr("user_id * 100 + cast(floor(event_id / 400) as bigint) as track", "cast(event_id as double) as t", "value as x"))
+    return r9(X.smooth_track(t.ev.selectExpr("user_id * 100 + cast(floor(event_id / 400) as bigint) as track", "cast(event_id as double) as t", "value as x")), "smooth", n=6)
+
+
+# ---- sequential rules as recursive SQL -------------------------------------------------------------
+def recursive(uses, body):
+    return "WITH RECURSIVE " + oracle_text(uses, "").removeprefix("WITH ") + body
+
+
+ORACLES["PRJ-16"] = recursive(["segments"], r""", s AS (SELECT doc_id, n, t0, t1, trim(regexp_replace(text, '[\s\x0b\x85\pZ]+', ' ', 'g')) AS t FROM segments), l AS (SELECT * FROM s WHERE t <> '' AND NOT (length(t) <= 42 AND t1 - t0 <= 3.2::DOUBLE)),
+  w AS (SELECT doc_id, n, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS p FROM l),
+  r(doc_id, n, p, c, len) AS (SELECT doc_id, n, 1::BIGINT, 0, length(w) FROM w WHERE p = 1 UNION ALL SELECT r.doc_id, r.n, w.p, CASE WHEN r.len + 1 + length(w.w) > 42 THEN r.c + 1 ELSE r.c END, CASE WHEN r.len + 1 + length(w.w) > 42 THEN length(w.w) ELSE r.len + 1 + length(w.w) END FROM r JOIN w ON w.doc_id = r.doc_id AND w.n = r.n AND w.p = r.p + 1),
+  k AS (SELECT r.doc_id, r.n, r.c AS piece, string_agg(w.w, ' ' ORDER BY r.p) AS text FROM r JOIN w ON w.doc_id = r.doc_id AND w.n = r.n AND w.p = r.p GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, n, 0, t FROM s WHERE t <> '' AND length(t) <= 42 AND t1 - t0 <= 3.2::DOUBLE),
+  b AS (SELECT k.*, s.t0 AS a0, s.t1 AS a1, coalesce(sum(length(text) + 1) OVER (PARTITION BY k.doc_id, k.n ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b, sum(length(text) + 1) OVER (PARTITION BY k.doc_id, k.n)::BIGINT AS m FROM k JOIN s ON s.doc_id = k.doc_id AND s.n = k.n)
+  SELECT doc_id, n, CAST(piece AS INT) AS piece, round(a0 + (a1 - a0) * b / m, 9) AS t0, round(least(a1, a0 + (a1 - a0) * (b + length(text) + 1) / m), 9) AS t1, text FROM b""")
+ORACLES["WN-29"] = recursive(["words"], """, w AS (SELECT *, row_number() OVER (PARTITION BY script_id, segment ORDER BY pos) AS n FROM words),
+  r(script_id, segment, n, g, c, len, s0, shut) AS (SELECT script_id, segment, n, 0, 1, length(w), t0, FALSE FROM w WHERE n = 1
+    UNION ALL SELECT script_id, segment, n, CASE WHEN fresh THEN g + 1 ELSE g END, CASE WHEN fresh THEN 1 ELSE c + 1 END, CASE WHEN fresh THEN length(w) ELSE len + 1 + length(w) END, CASE WHEN fresh THEN t0 ELSE s0 END, NOT fresh AND (c + 1 >= 3 OR right(w, 1) IN (',', '.', '…', '?', '!', ':', ';'))
+    FROM (SELECT w.script_id, w.segment, w.n, w.w, w.t0, r.g, r.c, r.len, r.s0, r.shut OR r.len + 1 + length(w.w) > 42 OR w.t1 - r.s0 > 3.2::DOUBLE AS fresh FROM r JOIN w ON w.script_id = r.script_id AND w.segment = r.segment AND w.n = r.n + 1) q)
+  SELECT r.script_id, r.segment, CAST(g AS INT) AS g, round_even(min(t0), 3) AS t0, round_even(max(t1), 3) AS t1, string_agg(w, ' ' ORDER BY r.n) AS text FROM r JOIN w ON w.script_id = r.script_id AND w.segment = r.segment AND w.n = r.n GROUP BY 1, 2, 3""")
+ORACLES["WN-27"] = recursive(["ev"], """, x AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, x) AS n FROM (SELECT user_id * 100 + event_id // 400 AS track, event_id::DOUBLE AS t, value AS x FROM ev) a),
+  r(track, n, t, p, s) AS (SELECT track, n, t, x, 0.0::DOUBLE FROM x WHERE n = 1 UNION ALL SELECT track, n, t, CASE WHEN dt > 0 THEN p + dt / (dt + 1 / (2 * pi() * (0.4::DOUBLE + 0.02::DOUBLE * abs(s)))) * (x - p) ELSE p END, s
+    FROM (SELECT x.track, x.n, x.t, x.x, r.p, x.t - r.t AS dt, CASE WHEN x.t > r.t THEN r.s + (x.t - r.t) / (x.t - r.t + 1 / (2 * pi())) * ((x.x - r.p) / (x.t - r.t) - r.s) ELSE r.s END AS s FROM r JOIN x ON x.track = r.track AND x.n = r.n + 1) q)
+  SELECT track, t, round(p, 6) AS smooth FROM r""")
