@@ -101,22 +101,17 @@ def apply_lexicon(lines, lexicons, lang="lang", text="text"):
 
 def split_captions(segments, keep=()):
     """Sentence to caption-sized pieces; the time is shared by letters."""
-    def fold(words):
-        end = lambda a: F.array_append(a["done"], a["cur"])
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-        step = lambda a, w: F.when((a["cur"] != "") & (F.length(a["cur"]) + 1 + F.length(w) > MAX_CHARS), F.struct(end(a).alias("done"), w.alias("cur"))).otherwise(
-            F.struct(a["done"].alias("done"), F.ltrim(F.concat(a["cur"], F.lit(" "), w)).alias("cur")))
-        return F.aggregate(words, start, step, lambda a: F.when(a["cur"] != "", end(a)).otherwise(a["done"]))
+    # greedy packing as one pattern: the longest run of whole words within the limit, or one longer word
+    packed = rf"[^ ]{{{MAX_CHARS + 1},}}|[^ ](?:.{{0,{MAX_CHARS - 2}}}[^ ])?(?= |$)"
     clean = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     whole = (F.length("_t") <= MAX_CHARS) & (F.col("t1") - F.col("t0") <= MAX_DUR)
     s = segments.withColumn("_t", clean).filter("_t <> ''")
-    s = s.withColumn("_p", F.when(whole, F.array("_t")).otherwise(fold(F.split("_t", " "))))
-    s = s.withColumn("_n", F.aggregate("_p", F.lit(0), lambda a, x: a + F.length(x) + 1))
-    s = s.select(*keep, "t0", "t1", "_n", F.posexplode("_p").alias("piece", "text"), "_p")
-    before = F.aggregate(F.slice("_p", F.lit(1), F.col("piece")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    span = F.col("t1") - F.col("t0")
-    return s.withColumn("_b", before).select(*keep, "piece", (F.col("t0") + span * F.col("_b") / F.col("_n")).alias("t0"),
-                    F.least(F.col("t1"), F.col("t0") + span * (F.col("_b") + F.length("text") + 1) / F.col("_n")).alias("t1"), "text")
+    s = s.select(*keep, "t0", "t1", (F.length("_t") + 1).alias("_n"), F.when(whole, F.array("_t")).otherwise(F.regexp_extract_all("_t", F.lit(packed), 0)).alias("_p"))
+    # pieces are one space apart, so the letters before a piece are the lengths so far
+    starts = F.aggregate("_p", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x) + 1))
+    s = s.withColumn("_s", starts).select(*keep, "t0", "t1", "_n", "_s", F.posexplode("_p").alias("piece", "text"))
+    span, b = F.col("t1") - F.col("t0"), F.get("_s", F.col("piece"))
+    return s.select(*keep, "piece", (F.col("t0") + span * b / F.col("_n")).alias("t0"), F.least(F.col("t1"), F.col("t0") + span * (b + F.length("text") + 1) / F.col("_n")).alias("t1"), "text")
 
 
 def karaoke(captions, keep):

@@ -299,15 +299,20 @@ def renewal(shots, caps, voice, totals, key=V):
 # ---- the end of the picture ------------------------------------------------------------------
 def fade(frames, totals, key=V, hint=None):
     """Trailing run of frames that brightens backwards up to 85 % of the middle brightness."""
-    n = frames.groupBy(key).agg(F.count("*").alias("_n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY y DESC)").alias("typical"))
-    f = frames.join(n, key).filter("_n >= 12")
+    # a fade is shorter than three seconds: only those frames, and the one before them, are ordered
+    cut = F.col("total_s") - 3.0
+    f = frames.join(totals, key)
+    n = f.groupBy(key).agg(F.count("*").alias("_n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY y DESC)").alias("typical"), F.max(F.when(F.col("t") < cut, F.struct("t", "y"))).alias("_p"))
+    n = n.filter("_n >= 12")
+    late = f.filter(F.col("t") >= cut).select(key, "t", "y").unionByName(n.filter("_p is not null").select(key, "_p.t", "_p.y"))
+    f = late.join(n.select(key, "typical"), key)
     back = Window.partitionBy(key).orderBy(F.col("t").desc())
     prev = F.lag("y").over(back)
     upto, before = back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("_bad", F.col("y").isNull() | F.coalesce(F.col("y") < prev - 1.0, F.lit(False))).withColumn("_top", F.coalesce(F.col("y") >= F.col("typical") * 0.85, F.lit(False)))
     f = f.withColumn("_in", ~F.max("_bad").over(upto) & ~F.coalesce(F.max("_top").over(before), F.lit(False)))
     run = f.filter("_in").groupBy(key, "typical").agg(F.min("t").alias("from_s"), F.max_by("y", "t").alias("last_y"))
-    r = totals.join(n.filter("_n >= 12").select(key), key, "left_semi").join(run, key, "left")
+    r = totals.join(n.select(key), key, "left_semi").join(run, key, "left")
     ok = (F.col("last_y") < F.greatest(F.lit(2.0), F.col("typical") * 0.5)) & (F.col("total_s") - F.col("from_s") < F.least(F.lit(3.0), F.col("total_s") / 3))
     return r.select(key, F.when(ok, py_round(F.col("total_s") - F.col("from_s"), 3)).otherwise(0.0).alias("fade_s"))
 
