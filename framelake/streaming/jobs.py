@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import posts as P, rules as R
 from framelake.session import ensure_checkpoint_dir
-from framelake.sources.sinks import read_table, write_table
+from framelake.sources.sinks import append_table, current, read_table, write_table
 
 
 def file_stream(spark, path, per_trigger=None):
@@ -29,35 +29,40 @@ def drain(df, path=None):
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def _merge_sink(path, merge):
+COMPACT_AFTER = 20
+
+
+def _merge_sink(path, reduce, fresh=None):
+    """Each micro-batch adds its own reduced rows; the table is folded when read, and rewritten only now
+    and then, so a batch never costs the whole state."""
+    state = f"{path}/state"
+
     def run(batch, batch_id):
         spark = batch.sparkSession
-        try:
-            old = read_table(spark, f"{path}/state")
-        except Exception as e:      # no pointer yet: the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        write_table(merge(old, batch), f"{path}/state")
+        rows = reduce(batch)
+        if fresh is not None and current(spark, state):
+            rows = fresh(rows, read_table(spark, state))
+        if append_table(rows, state) > COMPACT_AFTER:
+            write_table(reduce(read_table(spark, state)), state)
     return run
 
 
-def drain_merge(df, merge, path=None):
-    """Runs a stream into a keyed table; merge(old or None, batch) returns the new table."""
+def drain_merge(df, reduce, path=None, fresh=None):
+    """Runs a stream into a keyed table. reduce(rows) keeps one row per key and may be applied again to its
+    own result; fresh(rows, table) drops what the table already holds."""
     spark = df.sparkSession
     path = path or work_dir(spark)
-    q = df.writeStream.foreachBatch(_merge_sink(path, merge)).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(_merge_sink(path, reduce, fresh)).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
-    return read_table(spark, f"{path}/state")
+    return reduce(read_table(spark, f"{path}/state"))
 
 
 def latest_by(keys, order):
-    """Merge that keeps the newest row per key; replaying a batch changes nothing."""
-    def merge(old, batch):
-        rows = batch if old is None else old.unionByName(batch)
+    """Keeps the newest row per key; a batch that is replayed changes nothing."""
+    def reduce(rows):
         rest = [c for c in rows.columns if c not in keys]
         return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
-    return merge
+    return reduce
 
 
 # ---- jobs ------------------------------------------------------------------------------------
@@ -91,10 +96,7 @@ def stream_results(results, path=None):
 
 def ingest_batches(batches, path=None):
     """A batch already covered is not taken again."""
-    def merge(old, batch):
-        new = batch.dropDuplicates(["batch"])
-        return new if old is None else old.unionByName(new.join(old.select("batch"), "batch", "left_anti"))
-    return drain_merge(batches, merge, path)
+    return drain_merge(batches, lambda rows: rows.dropDuplicates(["batch"]), path, lambda rows, table: rows.join(table.select("batch"), "batch", "left_anti"))
 
 
 def stream_contradictions(lines, facts):
