@@ -252,11 +252,13 @@ def voice_levels(lines, samples, totals, key=V, reach=10.0):
     gaps = gaps.join(last, key).filter((F.col("g0") < F.col("_le")) & (F.col("g1") - F.col("g0") > 0.05))
     gl = span_levels(gaps.select(key, "g0", "g1"), samples, [], "g0", "g1", key).withColumnRenamed("level", "bg")
     lv = span_levels(win.select(key, "i", "w0", "w1"), samples, ["i"], "w0", "w1", key)
-    near = overlap_join(lv.select(key, "i", "w0", "w1"), gl, [key], (f"w0 - {reach}", f"w1 + {reach}"), ("g0", "g1"), 2 * reach)
-    near = near.withColumn("_d", F.least(F.abs(F.col("g0") - F.col("w1")), F.abs(F.col("g1") - F.col("w0"))))
-    o = Window.partitionBy(key, "i").orderBy("_d", "bg", "g0")
-    bg = near.withColumn("_r", F.row_number().over(o)).filter("_r <= 2").groupBy(key, "i").agg(F.avg("bg").alias("background"))
-    return lv.join(bg, [key, "i"], "left").select(key, "i", "w0", "w1", "level", "background")
+    near = overlap_join(lv, gl, [key], (f"w0 - {reach}", f"w1 + {reach}"), ("g0", "g1"), 2 * reach, how="left")
+    d = F.least(F.abs(F.col("g0") - F.col("w1")), F.abs(F.col("g1") - F.col("w0")))
+    # the stretches within reach of a line are few; the two nearest are kept
+    two = F.slice(F.array_sort(F.collect_list(F.when(F.col("bg").isNotNull(), F.struct(d.alias("d"), "bg", "g0")))), 1, 2)
+    r = near.groupBy(key, "i", "w0", "w1", "level").agg(two.alias("_two"))
+    mean = F.aggregate("_two", F.lit(0.0), lambda a, x: a + x["bg"]) / F.nullif(F.size("_two"), F.lit(0))
+    return r.select(key, "i", "w0", "w1", "level", mean.alias("background"))
 
 
 def weak_lines(levels, margin=4.0):
@@ -322,6 +324,6 @@ def end_motion(frames, fades, totals, key=V, tail_s=0.5):
     f = frames.join(fades, key).join(totals, key)
     end = F.when(F.col("fade_s") > 0.05, F.col("total_s") - F.col("fade_s") - 0.1).otherwise(F.col("total_s"))
     f = f.withColumn("_e", end)
-    body = f.filter((F.col("t") > 0.5) & (F.col("t") < F.col("_e") - tail_s - 0.1)).groupBy(key).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("_m"))
-    tail = f.filter((F.col("t") >= F.col("_e") - tail_s) & (F.col("t") < F.col("_e"))).groupBy(key).agg(F.avg("d").alias("_t"))
-    return fades.join(body, key, "left").join(tail, key, "left").select(key, "fade_s", F.when(F.col("_m") >= 0.05, F.col("_t") / F.col("_m")).alias("motion"))
+    f = f.withColumn("_body", F.when((F.col("t") > 0.5) & (F.col("t") < F.col("_e") - tail_s - 0.1), F.col("d"))).withColumn("_tail", F.when((F.col("t") >= F.col("_e") - tail_s) & (F.col("t") < F.col("_e")), F.col("d")))
+    r = f.groupBy(key).agg(F.max("fade_s").alias("fade_s"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _body DESC)").alias("_m"), F.avg("_tail").alias("_t"))
+    return r.select(key, "fade_s", F.when(F.col("_m") >= 0.05, F.col("_t") / F.col("_m")).alias("motion"))
