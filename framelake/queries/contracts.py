@@ -9,14 +9,19 @@ def arr(df, key, *cols):
     return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", *cols))).alias("_a"))
 
 
-def concepts(t):
-    """Concept documents: one row with its blocks, beats, variants and declared resources."""
+def concepts(t, *parts):
+    """Concept documents: one row with its blocks, beats, variants and declared resources, or some of them."""
     k = "concept_id"
-    b = arr(t.c_blocks, k, "t0", "t1", "resource", "role", "text", "subject", "says").withColumnRenamed("_a", "blocks")
-    e = arr(t.c_beats, k, "at_s", "raises", "mini_hook").withColumnRenamed("_a", "beats")
-    v = arr(t.c_variants, k, "letter", "differs_in", "hook_resource", "close_resource", "narrated", "what", "n_new").withColumnRenamed("_a", "variants")
-    r = t.c_blocks.filter("l_partkey % 7 <> 0").groupBy(k).agg(F.collect_set("resource").alias("resources"))
-    return t.c_head.join(b, k, "left").join(e, k, "left").join(v, k, "left").join(r, k, "left")
+    make = {
+        "blocks": lambda: arr(t.c_blocks, k, "t0", "t1", "resource", "role", "text", "subject", "says").withColumnRenamed("_a", "blocks"),
+        "beats": lambda: arr(t.c_beats, k, "at_s", "raises", "mini_hook").withColumnRenamed("_a", "beats"),
+        "variants": lambda: arr(t.c_variants, k, "letter", "differs_in", "hook_resource", "close_resource", "narrated", "what", "n_new").withColumnRenamed("_a", "variants"),
+        "resources": lambda: t.c_blocks.filter("l_partkey % 7 <> 0").groupBy(k).agg(F.collect_set("resource").alias("resources")),
+    }
+    out = t.c_head
+    for p in parts or make:
+        out = out.join(make[p](), k, "left")
+    return out
 
 
 CON = ["c_head", "c_blocks", "c_beats", "c_variants"]
@@ -33,7 +38,7 @@ _BT = "(SELECT *, lag(at_s) OVER w AS pa, lag(mini_hook) OVER w AS pm, row_numbe
 @query("WN-06", CON, rules(_BT, "concept_id", ("beat_order", "at_s <= pa", "n"), ("beat_gap", "at_s > pa AND at_s - pa > 5 AND coalesce(pm, '') = ''", "n"))
        + " UNION ALL SELECT concept_id, 'beats_repeat', NULL FROM c_beats GROUP BY 1 HAVING count(*) <> count(DISTINCT lower(raises))")
 def _(t):
-    return C.beat_gaps(concepts(t))
+    return C.beat_gaps(concepts(t, "beats"))
 
 
 _BL = "(SELECT *, lag(t1) OVER (PARTITION BY concept_id ORDER BY i) AS p1 FROM c_blocks) z"
@@ -45,7 +50,7 @@ _RK = "CASE role WHEN 'hook' THEN 1 WHEN 'development' THEN 2 WHEN 'turn' THEN 3
        LEFT JOIN (SELECT DISTINCT concept_id AS bad FROM (SELECT concept_id, {_RK} AS k, max({_RK}) OVER (PARTITION BY concept_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM c_blocks WHERE role IS NOT NULL) o WHERE k < m) b ON b.bad = g.concept_id,
        (VALUES ('role_missing'), ('role_order'), ('last_not_close'), ('close_short')) x(c) WHERE (c = 'role_missing' AND nr > 0 AND nr <> n) OR (c = 'role_order' AND bad IS NOT NULL) OR (c = 'last_not_close' AND nr > 0 AND last <> 'close') OR (c = 'close_short' AND cl <> 0 AND cl < 1.2)""")
 def _(t):
-    return C.structure_checks(concepts(t))
+    return C.structure_checks(concepts(t, "blocks"))
 
 
 _ARC = """(SELECT h.*, coalesce(b.e, target_duration_s) AS e, b.played, b.says FROM c_head h LEFT JOIN (SELECT concept_id, arg_max(t1, i) AS e, max(t1) FILTER (role = 'hook') AS played, count(says) AS says FROM c_blocks GROUP BY 1) b ON b.concept_id = h.concept_id) z"""
@@ -54,7 +59,7 @@ _ARC = """(SELECT h.*, coalesce(b.e, target_duration_s) AS e, b.played, b.says F
 @query("DQ-03", CON, rules(_ARC, "concept_id", ("promise_after_end", "e > 0 AND paid_off_s > e + 0.5", "NULL"), ("promise_too_early", "e > 0 AND paid_off_s <= e + 0.5 AND paid_off_s < e / 3", "NULL"), ("hook_clock", "abs(played - hook_ends_s) > 0.5", "NULL"),
        ("turn_after_end", "e > 0 AND turn_s > e + 0.5", "NULL"), ("close_after_end", "e > 0 AND close_s > e + 0.5", "NULL"), ("narration_without_says", "narration AND says = 0", "NULL")))
 def _(t):
-    return C.check_arc(concepts(t))
+    return C.check_arc(concepts(t, "blocks"))
 
 
 _CON = """(SELECT h.*, b.total, b.n, b.subj, coalesce(e.n, 0) AS beats, coalesce(v.n, 0) AS vars FROM c_head h JOIN (SELECT concept_id, arg_max(t1, i) AS total, count(*) AS n, count(*) FILTER (subject) AS subj FROM c_blocks GROUP BY 1) b USING (concept_id)
@@ -66,7 +71,7 @@ _CON = """(SELECT h.*, b.total, b.n, b.subj, coalesce(e.n, 0) AS beats, coalesce
        ("quota_ceiling", "max_ratio > CASE quota_kind WHEN 'first_person' THEN 0.8::DOUBLE WHEN 'recap' THEN 0.5::DOUBLE WHEN 'place_first' THEN 0.25::DOUBLE ELSE 1 END", "NULL"), ("quota_custom_note", "quota_kind = 'custom' AND quota_note IS NULL", "NULL"), ("beats_few", "beats < 2", "NULL"),
        ("structure_short", "n < 2", "NULL"), ("variants_count", "vars < 2 OR vars > 5", "NULL"), ("length_mismatch", "target_duration_s <> 0 AND abs(total - target_duration_s) > greatest(3, target_duration_s * 0.25::DOUBLE)", "NULL"), ("subject_over_quota", "subj / n > max_ratio + 1e-9", "NULL")))
 def _(t):
-    return C.check_concepts(concepts(t))
+    return C.check_concepts(concepts(t, "blocks", "beats", "variants"))
 
 
 _VA = "(SELECT v.*, h.hook_resource AS hr, h.close_resource AS cr, row_number() OVER (PARTITION BY v.concept_id ORDER BY v.i) - 1 AS n, differs_in || '|' || coalesce(nullif(v.hook_resource, ''), nullif(v.close_resource, ''), CASE narrated WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' END, '-') AS sig FROM c_variants v JOIN c_head h USING (concept_id)) z"
@@ -78,7 +83,7 @@ _VA = "(SELECT v.*, h.hook_resource AS hr, h.close_resource AS cr, row_number()
        + " UNION ALL SELECT concept_id, 'many_bases', NULL FROM c_variants GROUP BY 1 HAVING count(*) FILTER (differs_in = 'base') > 1 UNION ALL SELECT concept_id, 'letter_repeat', NULL FROM c_variants GROUP BY 1 HAVING count(*) <> count(DISTINCT letter)"
        + " UNION ALL SELECT concept_id, 'voice_not_different', NULL FROM c_variants GROUP BY 1 HAVING bool_or(differs_in = 'voice') AND count(DISTINCT coalesce(narrated, narration, FALSE)) < 2")
 def _(t):
-    return C.check_variants(concepts(t))
+    return C.check_variants(concepts(t, "variants"))
 
 
 _RES = "(SELECT DISTINCT concept_id, resource FROM c_blocks WHERE l_partkey % 7 <> 0)"
@@ -86,12 +91,12 @@ _RES = "(SELECT DISTINCT concept_id, resource FROM c_blocks WHERE l_partkey % 7
 
 @query("SO-06", CON, f"SELECT DISTINCT b.concept_id, b.resource FROM c_blocks b WHERE b.concept_id IN (SELECT concept_id FROM {_RES} r) AND NOT EXISTS (SELECT 1 FROM {_RES} r WHERE r.concept_id = b.concept_id AND r.resource = b.resource)")
 def _(t):
-    return C.undeclared(concepts(t))
+    return C.undeclared(concepts(t, "blocks", "resources"))
 
 
 @query("SO-07", CON, f"SELECT v.concept_id, v.letter, v.i, v.n_new AS got, CAST(coalesce(need, 0) AS INT) AS need FROM c_variants v LEFT JOIN (SELECT concept_id, ceil(count(*) * 0.4::DOUBLE) AS need FROM {_RES} r GROUP BY 1) n USING (concept_id) WHERE differs_in <> 'base' AND n_new < coalesce(need, 0)")
 def _(t):
-    return C.new_material(concepts(t))
+    return C.new_material(concepts(t, "variants", "resources"))
 
 
 _ST = """SELECT concept_id, 'no_story' AS "check", NULL AS story FROM c_head h WHERE story IS NULL AND project_id IN (SELECT project_id FROM c_stories) UNION ALL SELECT concept_id, 'unknown_story', story FROM c_head h WHERE story IS NOT NULL AND project_id IN (SELECT project_id FROM c_stories)

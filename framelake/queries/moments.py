@@ -180,9 +180,9 @@ def _(t):
    v AS (SELECT n.*, round_even(greatest(0, r0 / 10.0::DOUBLE + CASE WHEN r0 > 0 THEN 0.1::DOUBLE ELSE 0 END), 2) AS start_s, round_even(greatest(0, r1 / 10.0::DOUBLE - CASE WHEN r1 < n THEN 0.1::DOUBLE ELSE 0 END), 2) AS end_s, m.cam, m.subj FROM n
       JOIN (SELECT s.clip_id, median(camera) AS cam, quantile_cont(subject, 0.75) AS subj FROM motion_samples s JOIN n ON n.clip_id = s.clip_id WHERE r1 = 0 OR (i >= r0 AND i < r1) GROUP BY 1) m ON m.clip_id = n.clip_id),
    c AS (SELECT *, CASE WHEN steady < 0.35 THEN 'shaky' WHEN end_s - start_s < 1 THEN 'short' WHEN subj >= 0.9 AND cam < 0.35 THEN 'subject' WHEN cam >= 0.1::DOUBLE * 0.3::DOUBLE AND cam < 0.35 THEN 'camera' ELSE 'static' END AS motion FROM v)
-   SELECT clip_id, start_s, end_s, round(cam, 6) AS camera, round(subj, 6) AS subject, motion, motion IN ('subject', 'camera') AS usable FROM c""")
+   SELECT clip_id, start_s, end_s, round(cam, 9) AS camera, round(subj, 9) AS subject, motion, motion IN ('subject', 'camera') AS usable FROM c""")
 def _(t):
-    return M.live_verdict(t.motion_samples).withColumn("camera", F.round("camera", 6)).withColumn("subject", F.round("subject", 6))
+    return M.live_verdict(t.motion_samples).withColumn("camera", F.round("camera", 9)).withColumn("subject", F.round("subject", 9))
 
 
 @query("SRC-03", ["batch_items"], "SELECT 'catalog-' || project_id || '-' || batch AS origin, id, path, start_s, end_s, quality FROM batch_items")

@@ -19,6 +19,7 @@ class Tables:
 
     def __init__(self, spark, sf_dir):
         self.spark, self.dir, self._seen = spark, sf_dir.rstrip("/"), {}
+        spark.conf.set("spark.sql.session.timeZone", "UTC")      # wall clocks must not shift
 
     def __getattr__(self, name):
         if name.startswith("_"):
