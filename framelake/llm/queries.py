@@ -5,7 +5,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from framelake.llm.bpe import encode_documents
+from framelake.llm.fingerprint import compare_with_next
 from framelake.llm.packing import pack_documents
+from framelake.llm.simhash import near_duplicates
 from framelake.llm.url_filter import url_filter
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -19,6 +21,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"), max_bits=4)
+
+
 def op5_url_filter(spark, sf_dir):
     return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
@@ -28,6 +34,10 @@ def op7_byte_bpe(spark, sf_dir):
                             outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_fingerprint(spark, sf_dir):
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -45,5 +55,6 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_url_filter": op5_url_filter, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
+           "op7_byte_bpe": op7_byte_bpe, "op10_fingerprint": op10_fingerprint}
 ORACLES = {"op5_url_filter": OP5_SQL}
