@@ -20,7 +20,7 @@ FIELDS = {
 @lru_cache(2)
 def _loaded(path: str, pattern: str):
     tok = load_ranks(path, pattern)
-    return tok, ByteTable(tok.get_vocab())
+    return PieceEncoder(tok), ByteTable(tok.get_vocab())
 
 
 class ByteTable:
@@ -67,8 +67,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, outputs=("ids",)
     schema = T.StructType([*source.select(*keep).schema.fields, *(T.StructField(n, FIELDS[n]) for n in outputs)])
 
     def run(batches):
-        tok, table = _loaded(ranks, pattern)
-        enc = PieceEncoder(tok)
+        enc, table = _loaded(ranks, pattern)
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in outputs}
             for value in batch.column("_text"):

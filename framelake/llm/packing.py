@@ -19,8 +19,8 @@ RANKED_TOGETHER = 500_000
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
-    return load_json(path)
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(load_json(path))            # a worker's tasks share what it has learned
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, te
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        enc = PieceEncoder(_tokenizer(tokenizer))
+        enc = _encoder(tokenizer)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column("_text")):

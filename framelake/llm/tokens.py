@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 
-#: Cached word pieces per task. When the table is full it is emptied, so memory is bounded and results do not change.
-CACHE_PIECES = 150_000
+#: Word pieces that a worker keeps with their ids (some 200 bytes each). A full table is emptied: memory is bounded,
+#: results do not change.
+CACHE_PIECES = 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -58,34 +59,56 @@ class PieceEncoder:
 
     def __init__(self, tokenizer):
         self.tok = tokenizer
-        self.first: dict[str, bytes | None] = {}    # pieces at the start of a text
-        self.rest: dict[str, bytes | None] = {}     # pieces after a space
-
-    def _learn(self, cache: dict, pieces: list[str], lead: str, strict: bool):
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i:i + 2000]
-            for p, e in zip(part, self.tok.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                cache[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def _ids(self, parts: list[str]) -> bytes:
-        head, tail = parts[:1], parts[1:]
-        if head[0] not in self.first:
-            self._learn(self.first, head, "", True)
-        need = set(tail)
-        new = need.difference(self.rest)
-        if new:
-            if len(self.rest) + len(new) > CACHE_PIECES:
-                self.rest.clear()
-                new = need
-            self._learn(self.rest, list(new), " ", True)
-        return self.first[head[0]] + b"".join(map(self.rest.__getitem__, tail))
+        self.first: dict[str, bytes] = {}           # pieces at the start of a text
+        self.rest: dict[str, bytes] = {}            # pieces after a space
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocab.values(), default=-1) + 1, dtype=np.int64)
+        for word, i in vocab.items():
+            self.size[i] = len(word)                # one character stands for one byte
+
+    def _alone(self, piece: str) -> bytes:
+        return np.asarray(self.tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, pieces: list[str]):
+        """Ids of pieces after a space: many are encoded as one text and told apart by the bytes that ids stand for."""
+        groups = [pieces[i:i + 256] for i in range(0, len(pieces), 256)]
+        for g, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in g])
+            cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * 4
+            raw, at = ids.tobytes(), 0
+            for p, cut in zip(g, cuts.tolist()):
+                self.rest[p] = raw[at:cut]
+                at = cut
+
+    def _ids(self, parts: list[str]) -> bytes | None:
+        """None: some piece begins or ends with white space, so that the cuts are not safe. Such pieces are never kept."""
+        need = set(parts[1:])
+        new = [p for p in need.difference(self.rest)]
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+            return None
+        if len(self.rest) + len(new) > CACHE_PIECES:
+            self.rest.clear()
+            new = list(need)
+        self._learn(new)
+        head = parts[0]
+        if head not in self.first:
+            if not head or head[-1].isspace():
+                return None
+            if len(self.first) > CACHE_PIECES // 10:
+                self.first.clear()
+            self.first[head] = self._alone(head)
+        return self.first[head] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
-        if not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in set(parts)):
-            parts = _CUT.split(text)
-        return self._ids(parts)
+        ids = self._ids(text.split(" "))
+        if ids is not None:
+            return ids
+        # cut only between characters that are not white space; what stands before and after is encoded with its neighbour
+        parts = _CUT.split(text)
+        if len(parts) < 3:
+            return self._alone(text)
+        inner = self._ids(["a", *parts[1:-1]])           # any first piece will do: its ids are taken off again
+        return self._alone(parts[0]) + inner[len(self.first["a"]):] + self._alone(" " + parts[-1])
