@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from framelake.llm.bpe import encode_documents
 from framelake.llm.fingerprint import compare_with_next
+from framelake.llm.language import fit_languages, identify_languages, in_fold
 from framelake.llm.packing import pack_documents
+from framelake.llm.quality import fit_quality, score_quality
 from framelake.llm.simhash import near_duplicates
 from framelake.llm.url_filter import url_filter
 
@@ -34,6 +36,17 @@ def op7_byte_bpe(spark, sf_dir):
                             outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", in_fold())
+    return identify_languages(docs, fit_languages(docs.where("NOT held_out")), keep=("doc_id", "held_out"))
+
+
+def op9_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", in_fold())
+    model = fit_quality(docs.where("NOT held_out"), _table(spark, sf_dir, "labels").where(~in_fold()))
+    return score_quality(docs, model, keep=("doc_id", "held_out"))
+
+
 def op10_fingerprint(spark, sf_dir):
     return compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +69,5 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 """
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
-           "op7_byte_bpe": op7_byte_bpe, "op10_fingerprint": op10_fingerprint}
+           "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLES = {"op5_url_filter": OP5_SQL}
