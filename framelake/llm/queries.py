@@ -11,6 +11,7 @@ from framelake.llm.packing import pack_documents
 from framelake.llm.quality import fit_quality, score_quality
 from framelake.llm.simhash import near_duplicates
 from framelake.llm.url_filter import url_filter
+from framelake.llm.warc import archive_and_index
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -23,6 +24,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_warc(spark, sf_dir):
+    return archive_and_index(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), max_bits=4)
 
@@ -68,6 +73,6 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_warc": op3_warc, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
            "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLES = {"op5_url_filter": OP5_SQL}
