@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lowest_hashed(df: DataFrame, group: str, key: str, k: int, groups: int) -> DataFrame:
+    """Up to k rows of each of the `groups` largest groups: those whose key has the lowest hash. Counts come first, so that
+    all but about 2 k rows of a group are dropped where they are read, however large the group is."""
+    counts = df.groupBy(group).agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), group).limit(groups)
+    low = F.lit(-2.0 ** 63) + F.lit(2.0 ** 65) * k / F.col("_all")      # 2 k of _all hash values are expected below
+    some = df.withColumn("_h", F.xxhash64(key)).join(F.broadcast(counts), group).where(F.col("_h").cast("double") <= low)
+    return (some.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_h", key))).where(F.col("_k") <= k)
+            .drop("_h", "_k", "_all"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node", root: str = "component") -> DataFrame:
     """Connected components of an edge list: one row per node that has an edge, with the smallest node it reaches.
 

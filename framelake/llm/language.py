@@ -1,16 +1,21 @@
 """Language identification by cross-parsing entropy."""
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.common import lowest_hashed
+
 #: The bounds of what is learned from: texts per language, characters of each (from its start), and symbols per language.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 400, 400, 40_000
+#: The most frequent languages that are learned, symbols of all of them, and letters told apart (others count as unknown).
+MAX_LANGUAGES, ALL_SYMBOLS, MAX_LETTERS = 64, 320_000, 120
 #: A text is parsed in stretches of this many symbols side by side; a phrase ends where a stretch ends.
 STRETCH = 256
 #: Stretches parsed together in one step, over all languages.
@@ -72,10 +77,12 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS):
         self.languages = sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t))
-        letters = sorted({c for k in self.languages for t in samples[k] for x in t.lower() for c in x if c.isalpha()})
-        self.letters = letters[:250]                             # one byte per symbol; more letters than that are unknown ones
+        seen = Counter(c for k in self.languages for t in samples[k] for c in t.lower() if c.isalpha())
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
+        self.letters = letters[:MAX_LETTERS]
         codes = _codes(tuple(self.letters))
         tables, self.bits = [], []
+        symbols = min(symbols, ALL_SYMBOLS // max(1, len(self.languages)))
         for k in self.languages:
             parts = [s for t in samples[k] for s in (to_symbols(t, codes), np.array([-1]))]
             text = np.concatenate(parts).astype(np.int64)[:symbols] if parts else np.zeros(0, np.int64)
@@ -155,12 +162,11 @@ def in_fold(key: str = "doc_id"):
 
 def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id") -> LanguageModel:
     """Learns from a bounded sample: of each language (non-null) SAMPLE_TEXTS texts with the lowest hash of `order`, their
-    first SAMPLE_CHARS characters, SAMPLE_SYMBOLS symbols in all. Only that sample reaches the driver."""
-    w = Window.partitionBy(lang).orderBy(F.xxhash64(order), order)
-    chosen = (docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang), F.col(order), F.substring(text, 1, SAMPLE_CHARS).alias("_t"))
-              .withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SAMPLE_TEXTS).select(lang, "_t", "_k"))
+    first SAMPLE_CHARS characters, SAMPLE_SYMBOLS symbols in all (fewer where many languages share ALL_SYMBOLS). Only that sample reaches the driver."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, order, F.substring(text, 1, SAMPLE_CHARS).alias("_t"))
+    chosen = lowest_hashed(rows, lang, order, SAMPLE_TEXTS, MAX_LANGUAGES)
     samples: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r[0], r[2])):
+    for r in sorted(chosen.select(lang, "_t").collect()):
         samples.setdefault(r[0], []).append(r[1])
     return LanguageModel(samples)
 

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.common import lowest_hashed
+
 #: Bounds of what is learned from: documents per label, and passages of one document (evenly spread over it).
 SAMPLE_DOCS, SAMPLE_PASSAGES = 2500, 48
 #: Words of a passage.
@@ -122,8 +124,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
     each at most SAMPLE_PASSAGES passages. Passages are encoded by Spark; only their numbers reach the driver. Rows without
     a key or label are left out; of a key labelled twice the lower label counts."""
     one = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_y"))
-    w = Window.partitionBy("_y").orderBy(F.xxhash64(key), key)
-    chosen = one.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SAMPLE_DOCS).drop("_k")
+    chosen = lowest_hashed(one, "_y", key, SAMPLE_DOCS, 2)
     rows = docs.select(key, docs[text].alias("_text")).join(F.broadcast(chosen), key)   # at most 2 * SAMPLE_DOCS rows
 
     def run(batches):
