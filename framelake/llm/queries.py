@@ -10,6 +10,7 @@ from framelake.llm.language import fit_languages, identify_languages, in_fold
 from framelake.llm.packing import pack_documents
 from framelake.llm.quality import fit_quality, score_quality
 from framelake.llm.simhash import near_duplicates
+from framelake.llm.substrings import dedup_substrings
 from framelake.llm.url_filter import url_filter
 from framelake.llm.warc import archive_and_index
 
@@ -24,6 +25,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark, sf_dir):
     return archive_and_index(_table(spark, sf_dir, "pages"))
 
@@ -73,6 +79,6 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_warc": op3_warc, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
            "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLES = {"op5_url_filter": OP5_SQL}
