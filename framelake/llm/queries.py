@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from framelake.llm.bpe import encode_documents
+from framelake.llm.embeddings import near_duplicate_vectors
 from framelake.llm.fingerprint import compare_with_next
 from framelake.llm.language import fit_languages, identify_languages, in_fold
 from framelake.llm.packing import pack_documents
@@ -42,6 +43,10 @@ def op5_url_filter(spark, sf_dir):
     return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_byte_bpe(spark, sf_dir):
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
                             outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -80,5 +85,5 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 """
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
-           "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
+           "op6_embedding_dedup": op6_embedding_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLES = {"op5_url_filter": OP5_SQL}
