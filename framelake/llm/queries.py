@@ -32,7 +32,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 
 def op3_warc(spark, sf_dir):
-    return archive_and_index(_table(spark, sf_dir, "pages"))
+    return archive_and_index(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_simhash(spark, sf_dir):
@@ -67,6 +67,32 @@ def op10_fingerprint(spark, sf_dir):
     return compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(len(words) - 19)) AS s FROM w WHERE len(words) >= 20),
+repeated AS (
+  SELECT doc_id, s FROM starts
+  QUALIFY row_number() OVER (PARTITION BY array_to_string(words[s + 1:s + 20], ' ') ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + unnest(range(20)) AS i FROM repeated),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, 10 * (k // 8)::INT + 1, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31) + 1)::INT, 1) FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p
+"""
+
 OP5_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -86,4 +112,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
            "op6_embedding_dedup": op6_embedding_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
-ORACLES = {"op5_url_filter": OP5_SQL}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_url_filter": OP5_SQL}

@@ -1,8 +1,6 @@
 """URL rules against a plain loop over all rules."""
-import duckdb
-
 from framelake.llm import url_filter as uf
-from framelake.llm.queries import OP5_SQL, RULES, op5_url_filter
+from framelake.llm.queries import RULES
 
 
 def judge(url, rules):
@@ -39,10 +37,3 @@ def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(uf.xxhash, "xxh64_intdigest", lambda b: 7)
     a = uf.DigestArray({"a/": "block", "b/": "allow"}, str(tmp_path))
     assert [a.rules[i] if i >= 0 else None for i in a.find(["b/", "c/", "a/"])] == ["b/", None, "a/"]
-
-
-def test_op5_sql(spark, sf):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
-    rel = con.sql(OP5_SQL).fetchall()
-    assert sorted(map(str, rel)) == sorted(str(tuple(r)) for r in op5_url_filter(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect())
