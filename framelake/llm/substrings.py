@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from framelake.llm.common import partitions, written
 
 #: Words of a window, and of the short sequences of which the least (by hash) is a window's minimiser.
-WINDOW, SHORT = 20, 5
+WINDOW, SHORT = 20, 3
 #: Bytes of text that are cut into windows together, and of packed strings that a task gathers before it sends them.
 BATCH_BYTES, PACK_BYTES = 1 << 20, 16 << 20
 #: Windows aimed at for one bucket: what a task holds when it sorts.
@@ -201,7 +201,7 @@ class Packs:
         used, at = np.unique(bucket[order], return_index=True)
         ends = np.append(at[1:], len(order))
         low = np.searchsorted(which, np.append(at, len(order)))
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         out_bucket, out = [], []
         for b, s, e, i, j in zip(used.tolist(), at.tolist(), ends.tolist(), low[:-1].tolist(), low[1:].tolist()):
             body = b"\n".join([strings[k] for k in order[s:e].tolist()])
