@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from framelake.llm.common import components, partitions, written
 from framelake.llm.simhash import forest
 
-#: Blocks of the product code, members a filter should have by chance, and filters that a pair at the threshold should share.
-BLOCKS, MEMBERS, SHARED = 2, 64, 8.0
+#: Independent product codes, blocks of each, members a filter should have by chance, and filters that a pair at the threshold
+#: should share over all codes. With one code, whole clusters can lie where few codeword sums reach; several even that out.
+CODES, BLOCKS, MEMBERS, SHARED = 8, 2, 64, 10.0
 SEED = 11
 #: Vectors of one filter that are compared at once.
 TILE = 1024
@@ -35,46 +36,51 @@ def both_exceed(z: float, rho: float) -> float:
 
 def filter_size(n: int, threshold: float) -> tuple[float, int]:
     """(cap height z, codewords per block) for n vectors: the height leaves about MEMBERS vectors in a filter, and there are
-    so many filters (codewords to the power of BLOCKS) that a pair at the threshold shares SHARED of them on average."""
+    so many filters (CODES times codewords to the power of BLOCKS) that a pair at the threshold shares SHARED on average."""
     share = min(0.05, MEMBERS / max(n, 1))
     low, high = 1.0, 8.0
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if _tail(mid) > share else (low, mid)
     z = (low + high) / 2
-    return z, max(4, math.ceil((SHARED / both_exceed(z, threshold)) ** (1 / BLOCKS)))
+    return z, max(4, math.ceil((SHARED / CODES / both_exceed(z, threshold)) ** (1 / BLOCKS)))
 
 
-@lru_cache(8)
-def product_code(dim: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+@lru_cache(4 * CODES)
+def product_code(dim: int, words: int, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(rotation, code of each block): the same in every task. Codewords are standard normal, so the sum of a unit vector's
     block products with one codeword a block is standard normal too."""
-    rng = np.random.default_rng([SEED, dim, words])
+    rng = np.random.default_rng([SEED, dim, words, number])
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
     cuts = np.linspace(0, dim, BLOCKS + 1).astype(int)
     return rotation, [rng.normal(size=(b - a, words)) for a, b in zip(cuts, cuts[1:])]
 
 
 def list_decode(x: np.ndarray, z: float, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, filter) of every filter direction, a codeword of each block, whose products with the vector sum to z or more.
+    """(vector, filter) of every filter direction, a codeword of each block of a code, whose products with the vector sum to z
+    or more.
 
     Block by block: a partial choice lives on only while the best codewords of the blocks to come can still lift it to z,
     so only a small part of the product is ever looked at."""
-    rotation, code = product_code(x.shape[1], words)
-    x = x @ rotation
-    cuts = np.cumsum([0, *(len(c) for c in code)])
-    products = [x[:, a:b] @ c for a, b, c in zip(cuts, cuts[1:], code)]
-    best = np.array([p.max(axis=1) if p.shape[1] else 0 for p in products])
-    row, name, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
-    for k, p in enumerate(products):
-        need = z - best[k + 1:].sum(axis=0)
-        out = []
-        for i in range(0, len(row), 4096):
-            r = row[i:i + 4096]
-            a, c = np.nonzero(total[i:i + 4096, None] + p[r] >= need[r][:, None])
-            out.append((r[a], name[i:i + 4096][a] * words + c, total[i:i + 4096][a] + p[r[a], c]))
-        row, name, total = (np.concatenate(v) for v in zip(*out)) if out else (row, name, total)
-    return row, name
+    rows, names = [], []
+    for number in range(CODES):
+        rotation, code = product_code(x.shape[1], words, number)
+        turned = x @ rotation
+        cuts = np.cumsum([0, *(len(c) for c in code)])
+        products = [turned[:, a:b] @ c for a, b, c in zip(cuts, cuts[1:], code)]
+        best = np.array([p.max(axis=1) if p.shape[1] else 0 for p in products])
+        row, name, total = np.arange(len(x)), np.full(len(x), number), np.zeros(len(x))
+        for k, p in enumerate(products):
+            need = z - best[k + 1:].sum(axis=0)
+            out = []
+            for i in range(0, len(row), 4096):
+                r = row[i:i + 4096]
+                a, c = np.nonzero(total[i:i + 4096, None] + p[r] >= need[r][:, None])
+                out.append((r[a], name[i:i + 4096][a] * words + c, total[i:i + 4096][a] + p[r[a], c]))
+            row, name, total = (np.concatenate(v) for v in zip(*out)) if out else (row, name, total)
+        rows.append(row)
+        names.append(name)
+    return np.concatenate(rows), np.concatenate(names)
 
 
 def _unit(flat: np.ndarray) -> np.ndarray:
@@ -93,26 +99,41 @@ def _pairs(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, t
     return i[~close], j[~close]
 
 
-def _first_common(own: np.ndarray, lists_a: np.ndarray, lists_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """True where the pair's vectors share no filter before `own`: every pair is counted in just one of its filters."""
-    out = np.ones(len(i), dtype=bool)
-    for s in range(0, len(i), 1 << 14):
-        a, b = lists_a[i[s:s + (1 << 14)]], lists_b[j[s:s + (1 << 14)]]
-        for c in a.T:
-            out[s:s + (1 << 14)] &= ~(((c < own) & (c >= 0))[:, None] & (b == c[:, None])).any(axis=1)
-    return out
+class _Tile:
+    """Vectors of one filter: ids, copies, values, and their filter lists one after another with the length of each."""
 
+    def __init__(self, ids, copies, raw, filters, lengths):
+        self.ids, self.copies, self.raw, self.filters, self.lengths = ids, copies, raw, filters, lengths
+        self.unit = _unit(raw)
 
-class _Tile:
-    """Vectors of one filter: ids, copies, values and filter lists."""
+    def parts(self):
+        return self.ids, self.copies, self.raw, self.filters, self.lengths
+
+    def before(self, own: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of the filters before `own` of some rows."""
+        row = np.repeat(np.arange(len(self.ids)), self.lengths)
+        keep = (self.filters < own) & np.isin(row, rows)
+        return row[keep], self.filters[keep]
+
+
+def _join(tiles: list) -> tuple:
+    return tuple(np.concatenate(x) for x in zip(*tiles))
 
-    def __init__(self, ids, copies, vectors: list, lists: list):
-        self.ids, self.copies = np.asarray(ids, dtype=np.int64), np.asarray(copies, dtype=np.int64)
-        self.raw = np.array(vectors, dtype=np.float64)
-        self.unit = _unit(self.raw)
-        self.lists = np.full((len(lists), max(map(len, lists), default=0)), -1, dtype=np.int64)
-        for k, x in enumerate(lists):
-            self.lists[k, :len(x)] = x
+
+def _counted_before(own: int, a: _Tile, b: _Tile, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """True for the pairs (i, j) that share a filter before `own`: every pair counts in the first of its filters only."""
+    (ra, fa), (rb, fb) = a.before(own, i), b.before(own, j)
+    common = np.intersect1d(fa, fb)
+    out = np.zeros((len(a.ids), len(b.ids)), dtype=bool)
+    for k in range(0, len(common), 2048):
+        some = common[k:k + 2048]
+        x, y = (np.zeros((n, len(some)), dtype=np.float32) for n in out.shape)
+        for r, f, m in ((ra, fa, x), (rb, fb, y)):
+            at = np.minimum(np.searchsorted(some, f), len(some) - 1)
+            hit = some[at] == f
+            m[r[hit], at[hit]] = 1
+        out |= x @ y.T > 0.5
+    return out[i, j]
 
 
 def _compare(own: int, a: _Tile, b: _Tile | None, threshold: float) -> tuple[np.ndarray, ...]:
@@ -122,30 +143,37 @@ def _compare(own: int, a: _Tile, b: _Tile | None, threshold: float) -> tuple[np.
     if same:
         keep = i < j
         i, j = i[keep], j[keep]
-    keep = _first_common(own, a.lists, b.lists, i, j)
+    if not len(i):
+        return (np.zeros(0, np.int64),) * 4
+    keep = ~_counted_before(own, a, b, i, j)
     i, j = i[keep], j[keep]
     links = [(a.ids, np.bincount(i, weights=b.copies[j], minlength=len(a.ids))), (b.ids, np.bincount(j, weights=a.copies[i], minlength=len(b.ids)))]
     nodes = a.ids if same else np.concatenate([a.ids, b.ids])
     f, t = forest(nodes, i, j if same else j + len(a.ids))
-    ids, n = (np.concatenate(x) for x in zip(*links))
+    ids, n = _join(links)
     return ids[n > 0], n[n > 0].astype(np.int64), f, t
 
 
-FOUND = "kind string, a long, b long, filter long, tile int, ids array<long>, copies array<long>, vectors array<array<double>>, lists array<array<long>>"
-_LONGS, _DEEP = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+PARTS = ["ids", "copies", "raw", "filters", "lengths"]
+NAMES = ["kind", "a", "b", "filter", "tile", *PARTS]
+FOUND = "kind string, a long, b long, filter long, tile int, " + ", ".join(f"{c} binary" for c in PARTS)
 
 
 def _rows(kind: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     n = len(a)
-    empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), _LONGS, _LONGS, pa.list_(pa.list_(pa.float64())), _DEEP)]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *empty], names=[c.split()[0] for c in FOUND.split(", ")])
+    empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * len(PARTS))]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *empty], names=NAMES)
 
 
 def _tile_row(own: int, number: int, t: _Tile) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array(["tile"]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own], pa.int64()), pa.array([number], pa.int32()), pa.array([t.ids.tolist()], _LONGS),
-        pa.array([t.copies.tolist()], _LONGS), pa.array([t.raw.tolist()], pa.list_(pa.list_(pa.float64()))), pa.array([[x[x >= 0].tolist() for x in t.lists]], _DEEP)],
-        names=[c.split()[0] for c in FOUND.split(", ")])
+        pa.array(["tile"]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own], pa.int64()), pa.array([number], pa.int32()),
+        *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in t.parts())], names=NAMES)
+
+
+def _tile_of(row: dict, suffix: str) -> _Tile:
+    ids, copies, raw, filters, lengths = (np.frombuffer(row[c + suffix], np.float64 if c == "raw" else np.int64) for c in PARTS)
+    return _Tile(ids, copies, raw.reshape(len(ids), -1), filters, lengths)
 
 
 def similar_vectors(distinct: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -171,7 +199,7 @@ def similar_vectors(distinct: DataFrame, n: int, threshold: float) -> DataFrame:
                     row, name = list_decode(x[i:i + 512], z, words)
                     order = np.lexsort((name, row))
                     row, name = row[order], name[order]
-                    own = name + dim * (words ** BLOCKS)            # vectors of other lengths have filters of their own
+                    own = name + dim * CODES * words ** BLOCKS            # vectors of other lengths have filters of their own
                     count = np.bincount(row, minlength=len(x[i:i + 512]))
                     offsets = np.append(0, np.cumsum(count))
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(own))
@@ -184,55 +212,62 @@ def similar_vectors(distinct: DataFrame, n: int, threshold: float) -> DataFrame:
              .repartition(parts, "filter").sortWithinPartitions("filter", "id"))
 
     def scan(batches):
-        own, number, rows = None, 0, []
-        links: dict[int, int] = {}
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def close(last: bool):
-            """Compares the rows held as one tile."""
-            if len(rows) < 2 and not number:
-                return None
-            t = _Tile(*zip(*rows))
-            ids, n, f, g = _compare(own, t, None, threshold)
-            for i, k in zip(ids.tolist(), n.tolist()):
-                links[i] = links.get(i, 0) + k
-            if len(f):
-                edges.append((f, g))
-            return t if number or not last else None
+        own, number, held, size = None, 0, [], 0            # the filter being read, its tiles so far, its rows not yet in a tile
+        ids, counts, edges = [], [], []
+
+        def close():
+            """Compares the rows held as one tile; returns it."""
+            t = _Tile(*_join(held))
+            i, n, f, g = _compare(own, t, None, threshold)
+            if len(i):
+                ids.append(i), counts.append(n), edges.append((f, g))
+            return t
 
         def flush(least: int):
-            if len(links) >= least:
-                yield _rows("links", np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links)))
-                links.clear()
-            if sum(len(f) for f, _ in edges) >= least:
-                yield _rows("edge", *(np.concatenate(x) for x in zip(*edges)))
-                edges.clear()
+            if sum(map(len, ids)) >= least:
+                i, where = np.unique(np.concatenate(ids), return_inverse=True)
+                yield _rows("links", i, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64))
+                yield _rows("edge", *_join(edges))
+                ids.clear(), counts.clear(), edges.clear()
+
+        def ended():
+            if own is not None and (size > 1 or number and size):
+                t = close()
+                if number:
+                    yield _tile_row(own, number, t)
 
         for b in batches:
-            for f, i, c, v, x in zip(*(b.column(k).to_pylist() for k in range(5))):
-                if f != own:
-                    if own is not None and (t := close(True)):
-                        yield _tile_row(own, number, t)
-                    own, number, rows = f, 0, []
-                elif len(rows) == TILE:
-                    yield _tile_row(own, number, close(False))
-                    number, rows = number + 1, []
-                rows.append((i, c, v, x))
+            name, id_, copies = (b.column(k).to_numpy() for k in range(3))
+            vectors, lists = b.column(3), b.column(4)
+            at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy()
+            to, filters = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cut = np.flatnonzero(name[1:] != name[:-1]) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(name)]):
+                if s == e:
+                    continue
+                if name[s] != own:
+                    yield from ended()
+                    own, number, held, size = int(name[s]), 0, [], 0
+                while s < e:
+                    if size == TILE:
+                        yield _tile_row(own, number, close())
+                        number, held, size = number + 1, [], 0
+                    stop = min(e, s + TILE - size)
+                    held.append((id_[s:stop], copies[s:stop], flat[at[s]:at[stop]].reshape(stop - s, -1).astype(np.float64), filters[to[s]:to[stop]], np.diff(to[s:stop + 1]).astype(np.int64)))
+                    size, s = size + stop - s, stop
             yield from flush(50_000)
-        if own is not None and (t := close(True)):
-            yield _tile_row(own, number, t)
+        yield from ended()
         yield from flush(1)
 
     found = written(dealt.mapInArrow(scan, FOUND), "filtered")
-    tiles = found.where("kind = 'tile'").select("filter", "tile", "ids", "copies", "vectors", "lists")
-    other = tiles.select("filter", *(F.col(c).alias(f"{c}2") for c in ("tile", "ids", "copies", "vectors", "lists")))
+    tiles = found.where("kind = 'tile'").select("filter", "tile", *PARTS)
+    other = tiles.select("filter", *(F.col(c).alias(f"{c}2") for c in ("tile", *PARTS)))
 
     def cross(batches):
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                a, c = (_Tile(r["ids" + s], r["copies" + s], r["vectors" + s], r["lists" + s]) for s in ("", "2"))
-                ids, n, f, g = _compare(r["filter"], a, c, threshold)
+                ids, n, f, g = _compare(r["filter"], _tile_of(r, ""), _tile_of(r, "2"), threshold)
                 yield _rows("links", ids, n)
                 yield _rows("edge", f, g)
 
