@@ -310,9 +310,12 @@ def _repeated_windows(own: np.ndarray, strings: list[bytes], n_words: np.ndarray
 
 
 def repeated_stretches(docs: DataFrame, text: str = "text", key: str = "_doc", row: str = "_row") -> DataFrame:
-    """(_doc, _row, first, stop): stretches of words whose windows also start earlier, by (_doc, _row, word)."""
+    """(_doc, _row, gone): for each document with any the stretches of words, apart and in order, that windows cover which
+    also start earlier, by (_doc, _row, word). Stretches leave a bucket packed by the part their documents belong to, and
+    are merged there."""
     hot, windows = hot_minimisers(docs, text)
-    buckets = max(partitions(docs.sparkSession), -(-windows // BUCKET_WINDOWS))
+    parts = partitions(docs.sparkSession)
+    buckets = max(parts, -(-windows // BUCKET_WINDOWS))
     source = docs.select(key, row, docs[text].alias("_text"))
 
     def pack(batches):
@@ -331,13 +334,43 @@ def repeated_stretches(docs: DataFrame, text: str = "text", key: str = "_doc", r
         unpack = zstandard.ZstdDecompressor().decompress
         held = [unpack(p) for b in batches for p in b.column("pack").to_pylist()]
         if held:
-            d, r, s, e = repeated_in_bucket(held)
-            for i in range(0, len(d), 100_000):
-                c = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(d[c]), pa.array(r[c]), pa.array(s[c].astype(np.int32)), pa.array(e[c].astype(np.int32))], names=["_doc", "_row", "first", "stop"])
+            found = np.stack([x.astype(np.int64) for x in repeated_in_bucket(held)])
+            part = (_mix(_mix(found[0].view(np.uint64) * _ODD[3]) + found[1].view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            found, part = found[:, order], part[order]
+            used, at = np.unique(part, return_index=True)
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            packs = [squeeze(np.ascontiguousarray(found[:, i:j]).tobytes()) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packs, pa.binary())], names=["part", "pack"])
+
+    def merge(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        held = [np.frombuffer(unpack(p), np.int64).reshape(4, -1) for b in batches for p in b.column("pack").to_pylist()]
+        if not held:
+            return
+        doc, row_, first, stop = np.concatenate(held, axis=1)
+        order = np.lexsort((first, row_, doc))
+        doc, row_, first, stop = doc[order], row_[order], first[order], stop[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (row_[1:] != row_[:-1]))
+        owner = np.cumsum(new) - 1
+        # the furthest end so far in the document: counted on by document, so that earlier documents lie below
+        span = int(stop.max()) + 1
+        reach = np.maximum.accumulate(stop + owner * span) - owner * span
+        begin = new | np.append(True, first[1:] > reach[:-1])
+        at = np.flatnonzero(begin)
+        end = reach[np.append(at[1:], len(doc)) - 1]
+        of = owner[at]
+        lead = np.flatnonzero(new)
+        for i in range(0, len(lead), 10_000):
+            j = min(i + 10_000, len(lead))
+            lo, hi = np.searchsorted(of, [i, j])
+            offsets = np.searchsorted(of[lo:hi], np.arange(i, j + 1))
+            gone = pa.StructArray.from_arrays([pa.array(first[at[lo:hi]]), pa.array(end[lo:hi])], names=["first", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lead[i:j]]), pa.array(row_[lead[i:j]]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), gone)], names=["_doc", "_row", "gone"])
 
     return (source.mapInArrow(pack, "bucket int, pack binary").repartitionById(buckets, F.col("bucket")).select("pack")
-            .mapInArrow(find, "_doc long, _row long, first int, stop int"))
+            .mapInArrow(find, "part int, pack binary").repartitionById(parts, F.col("part")).select("pack")
+            .mapInArrow(merge, "_doc long, _row long, gone array<struct<first:bigint,stop:bigint>>"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -359,7 +392,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
         keyed = docs.select(*kept, F.col(key).cast("long").alias("_doc"), F.lit(0).cast("long").alias("_row"))
     else:
         keyed = written(docs.select(*kept, F.coalesce(F.col(key).cast("long"), F.lit(2 ** 63 - 1)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
-    found = (repeated_stretches(keyed, text).groupBy("_doc", "_row").agg(F.collect_list(F.struct("first", "stop")).alias("_gone")))
+    found = repeated_stretches(keyed, text).withColumnRenamed("gone", "_gone")
     joined = keyed.join(found, ["_doc", "_row"], "left").select(*kept, "_gone")
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in joined.select(*kept).schema.fields),
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -372,11 +405,11 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
                 n = len(words)
                 removed = 0
                 if gone.is_valid:
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(edge, gone.values.field("first").to_numpy(), 1)
-                    np.add.at(edge, gone.values.field("stop").to_numpy(), -1)
-                    stays = np.cumsum(edge)[:n] == 0
-                    words = [words[i] for i in np.flatnonzero(stays).tolist()]
+                    kept_words, at = [], 0
+                    for s, e in zip(gone.values.field("first").to_pylist(), gone.values.field("stop").to_pylist()):
+                        kept_words += words[at:s]
+                        at = e
+                    words = kept_words + words[at:]
                     removed = n - len(words)
                 texts.append(b" ".join(words))
                 n_words.append(n)
