@@ -330,8 +330,8 @@ VIEWS = {
     "repairs": (["variant_results"], "SELECT concept_id, CASE WHEN rubric_total % 10 = 0 THEN letter || 'x' ELSE letter END AS letter, TRUE AS verify_pass, rubric_total + 5 AS rubric_total FROM (SELECT concept_id, letter, max(rubric_total) AS rubric_total FROM {variant_results} WHERE rubric_total < 60 GROUP BY concept_id, letter) x"),
     "fixes": (["c_variants"], "SELECT concept_id, letter, CASE WHEN l_suppkey % 3 = 0 THEN 'blocks' ELSE 'optional' END AS level, 'fix ' || CAST(l_suppkey AS VARCHAR(5)) AS what FROM {c_variants} WHERE l_suppkey % 2 = 0"),
     # ---- faces and variants ------------------------------------------------------------------
-    "face_embeddings": (["embeddings"], "SELECT 0 AS g, vec_id AS key, CAST(floor(vec_id / 2) AS BIGINT) AS item, embedding AS vec, label, (vec_id * 7 % 90) / 100e0 AS area_pct, (vec_id * 13 % 100) / 100e0 AS score FROM {embeddings}"),
-    "face_refs": (["face_embeddings"], "SELECT g, label AS person, key, vec FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key) AS r FROM {face_embeddings}) x WHERE r <= 3 AND label < 3"),
+    "face_embeddings": (["embeddings"], "SELECT CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 + vec_id % 11 END AS g, vec_id AS key, CAST(floor(vec_id / 2) AS BIGINT) AS item, embedding AS vec, label, (vec_id * 7 % 90) / 100e0 AS area_pct, (vec_id * 13 % 100) / 100e0 AS score FROM {embeddings}"),
+    "face_refs": (["face_embeddings"], "SELECT g, label AS person, key, vec FROM {face_embeddings}"),
     "spec_shots": (["shots"], """SELECT CAST(floor(video_id / 3) AS BIGINT) AS concept_id, video_id AS variant_id, i, CAST(l_partkey % 12 AS BIGINT) AS src, start_s / 5 AS start_s, dur, video_id % 4 = 0 AS narrated FROM {shots}"""),
     "thumbs": (["spec_shots"], ("""
         SELECT concept_id, variant_id, i, dur, narrated, transform(sequence(0, 31), j -> CAST(CASE WHEN src % 6 = 5 THEN 20 + j % 3 WHEN src % 6 = 4 THEN 120 + j % 2 ELSE (src * 41 + j * (30 + src * 5) + CAST(floor(start_s) AS INT) * 3) % 256 END AS INT)) AS px FROM {spec_shots}""", """

@@ -2,10 +2,12 @@
 from pyspark.sql import Window, functions as F
 
 from framelake.functions.core import exact_sum, let, py_round
-from framelake.plans.similarity import average_link, cosine_pairs
+from framelake.plans.similarity import average_link, cosine_pairs, written_once
 
 # Same-person similarity, smallest share of the frame in percent, borderline band.
 SAME_PERSON, MIN_FACE_PCT, BAND = 0.363, 0.15, 0.08
+# People whose mean vectors are sent to every task (of a few hundred numbers each), and parts of a library beyond that.
+REFERENCES, SALTS = 10_000, 64
 
 
 def big_faces(faces, min_pct=MIN_FACE_PCT):
@@ -21,8 +23,8 @@ def face_pairs(e, threshold=SAME_PERSON):
     return cosine_pairs(e.select("g", "key", "vec"), threshold)
 
 
-def cluster_faces(e, threshold=SAME_PERSON, pairs=None, small=2000):
-    return average_link(e.select("g", "key", "vec"), threshold, pairs, small)
+def cluster_faces(e, threshold=SAME_PERSON, pairs=None):
+    return average_link(e.select("g", "key", "vec"), threshold, pairs)
 
 
 def cluster_report(e, clusters, min_size=3, best=6):
@@ -45,9 +47,17 @@ def reference_vectors(refs):
 
 
 def match_faces(e, refs, threshold=SAME_PERSON, band=BAND):
-    """Best similarity per item and person: a hit, or borderline just below the threshold."""
+    """Best similarity per item and person: a hit, or borderline just below the threshold. The people of a library are
+    its query set, each face is compared with all of them. They are written once and counted: up to REFERENCES of them
+    travel to the faces; more are dealt out with the faces by library and salt, so a large library is many tasks."""
+    known = written_once(reference_vectors(refs))
+    if known.count() <= REFERENCES:
+        e, known, on = e, F.broadcast(known), ["g"]
+    else:
+        e = e.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+        known, on = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "_salt"]
     dot = F.aggregate(F.zip_with("vec", "ref", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    s = e.join(reference_vectors(refs), "g").select("g", "person", "item", dot.alias("similarity")).groupBy("g", "person", "item").agg(F.max("similarity").alias("similarity"))
+    s = e.join(known, on).select("g", "person", "item", dot.alias("similarity")).groupBy("g", "person", "item").agg(F.max("similarity").alias("similarity"))
     kind = F.when(F.col("similarity") >= threshold, "match").when(F.col("similarity") >= threshold - band, "borderline")
     return s.withColumn("kind", kind).filter("kind is not null")
 

@@ -4,9 +4,8 @@ Pairs: vectors are packed into tiles; a tile pair is the unit of work, so a libr
 faces is simply many tile pairs. A tile pair whose bounding cones are too far apart cannot hold a pair
 above the threshold and is never shipped. Only pairs above the threshold leave a task.
 
-Groups: a library of a few thousand faces at most (its size is checked) is grouped inside one task, and
-such libraries run side by side. For larger ones, nothing is gathered: for unit vectors the average similarity of two groups is the dot product of their mean vectors.
-Each round merges all groups that are each other's best partner; average link is reducible, so this
+Groups: no library is ever gathered. For unit vectors the average similarity of two groups is the dot product of
+their mean vectors. Each round merges all groups that are each other's best partner; average link is reducible, so this
 gives the same groups as merging the single best pair each time.
 """
 import uuid
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
 from framelake.plans.ordered import numbered
-from framelake.session import ensure_checkpoint_dir
+from framelake.session import checkpoint_dir
 
 TILE = 256
 
@@ -74,69 +73,22 @@ def cosine_pairs(e, threshold, tile=TILE):
     return work.mapInPandas(above, schema)
 
 
-def _cut(df):
+def written_once(df):
     """Cuts the lineage with a written table in the checkpoint folder: computed once, survives executors."""
     spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def link_in_memory(v, threshold):
-    """Average-link labels of one small set by following nearest neighbours until two choose each other."""
-    n = len(v)
-    s = v @ v.T
-    np.fill_diagonal(s, -np.inf)
-    size, label, waiting, path = np.ones(n), np.arange(n), set(range(n)), []
-    while waiting or path:
-        if not path:
-            path.append(min(waiting))
-        i = path[-1]
-        j = int(np.argmax(s[i]))
-        if len(path) > 1 and s[i, path[-2]] >= s[i, j]:
-            j = path[-2]
-        if s[i, j] <= threshold:            # nothing near enough, and merges elsewhere cannot bring it nearer
-            waiting.discard(i)
-            path.pop()
-        elif len(path) > 1 and j == path[-2]:
-            path = path[:-2]
-            row = (size[i] * s[i] + size[j] * s[j]) / (size[i] + size[j])
-            keep, gone = min(i, j), max(i, j)
-            row[keep] = row[gone] = -np.inf
-            s[keep], s[:, keep] = row, row
-            s[gone], s[:, gone] = -np.inf, -np.inf
-            size[keep] += size[gone]
-            label[label == gone] = keep
-            waiting.discard(gone)
-        else:
-            path.append(j)
-    return label
-
-
-def average_link(e, threshold, pairs=None, small=2000, max_rounds=500):
-    """e(g, key, vec) -> (g, key, cluster); cluster is the smallest key of the group. Libraries of up to
-    `small` faces are solved whole in one task each; the rest in rounds over the pairs above the threshold."""
-    schema = T.StructType([e.schema["g"], e.schema["key"], T.StructField("cluster", e.schema["key"].dataType)])
-    counts = e.groupBy("g").agg(F.count("*").alias("n"))
-
-    def solve(pdf):
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        lab = link_in_memory(np.array(pdf["vec"].tolist(), dtype=np.float64), threshold)
-        return pd.DataFrame({"g": pdf["g"], "key": pdf["key"], "cluster": pdf["key"].to_numpy()[lab]})
-    local = e.join(counts.filter(F.col("n") <= small).select("g"), "g", "left_semi").select("g", "key", "vec").groupBy("g").applyInPandas(solve, schema)
-    large = counts.filter(F.col("n") > small)
-    if large.isEmpty():
-        return local
-    return local.unionByName(_link_in_rounds(e.join(large.select("g"), "g", "left_semi"), threshold, pairs, max_rounds))
-
-
-def _link_in_rounds(e, threshold, pairs, max_rounds):
-    ensure_checkpoint_dir(e.sparkSession)
-    edges = _cut((cosine_pairs(e, threshold) if pairs is None else pairs.join(e.select("g").distinct(), "g", "left_semi")).select("g", "a", "b"))
+def average_link(e, threshold, pairs=None):
+    """e(g, key, vec) -> (g, key, cluster); cluster is the smallest key of the group. Every round merges at least one pair of
+    groups, so the rounds end by themselves."""
+    edges = written_once((cosine_pairs(e, threshold) if pairs is None else pairs).select("g", "a", "b"))
     member = e.select("g", "key", F.col("key").alias("cluster"))
-    groups = _cut(e.select("g", F.col("key").alias("cluster"), F.col("vec").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
+    groups = written_once(e.select("g", F.col("key").alias("cluster"), F.col("vec").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
     dot = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    for _ in range(max_rounds):
+    while True:
         sims = (edges.join(groups.select("g", F.col("cluster").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), ["g", "a"])
                 .join(groups.select("g", F.col("cluster").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), ["g", "b"])
                 .select("g", "a", "b", (dot / (F.col("na") * F.col("nb"))).alias("sim")).filter(F.col("sim") > threshold))
@@ -144,18 +96,16 @@ def _link_in_rounds(e, threshold, pairs, max_rounds):
         both = sims.select("g", "sim", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("g", "p.x", "p.y", "sim")
         best = both.groupBy("g", "x").agg(F.max_by("y", F.struct("sim", (-F.least("x", "y")).alias("p"), (-F.greatest("x", "y")).alias("q"))).alias("y"))
         # a pair that chose each other is named twice
-        merge = _cut(best.groupBy("g", F.least("x", "y").alias("keep"), F.greatest("x", "y").alias("gone")).agg(F.count("*").alias("c")).filter("c = 2").drop("c"))
+        merge = written_once(best.groupBy("g", F.least("x", "y").alias("keep"), F.greatest("x", "y").alias("gone")).agg(F.count("*").alias("c")).filter("c = 2").drop("c"))
         if merge.isEmpty():
             break
         to = merge.select("g", F.col("gone").alias("c"), F.col("keep").alias("to"))
         rename = lambda d, c: (d.join(to.withColumnRenamed("c", c), ["g", c], "left")
                                .withColumn(c, F.coalesce("to", c)).drop("to"))
-        member = _cut(rename(member, "cluster"))
+        member = written_once(rename(member, "cluster"))
         # at most two sum vectors meet per group and are added element by element
-        groups = _cut(rename(groups, "cluster").groupBy("g", "cluster").agg(F.collect_list("s").alias("ss"), F.sum("n").alias("n")).select(
+        groups = written_once(rename(groups, "cluster").groupBy("g", "cluster").agg(F.collect_list("s").alias("ss"), F.sum("n").alias("n")).select(
             "g", "cluster", F.when(F.size("ss") == 1, F.col("ss")[0]).otherwise(F.zip_with(F.col("ss")[0], F.get("ss", F.lit(1)), lambda x, y: x + y)).alias("s"), "n"))
         ed = rename(rename(edges, "a"), "b").filter("a <> b")
-        edges = _cut(ed.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    else:
-        raise RuntimeError(f"average_link: no fixed point after {max_rounds} rounds")
+        edges = written_once(ed.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return member.select("g", "key", "cluster")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import moments as M
 from framelake.registry import query
-from framelake.session import ensure_checkpoint_dir
+from framelake.session import checkpoint_dir
 from framelake.sources import readers as R, sinks as S
 
 _USE = "coalesce(use, TRUE)"
@@ -195,7 +195,6 @@ def _(t):
 
 @query("SNK-01", ["moments"], f"SELECT project_id, id, quality FROM moments WHERE {_USE}")
 def _(t):
-    ensure_checkpoint_dir(t.spark)
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(t.spark)}/table-{uuid.uuid4().hex}"
     S.write_table(t.moments.filter(M.in_use()).select("project_id", "id", "quality"), path)
     return S.read_table(t.spark, path)

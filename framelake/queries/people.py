@@ -28,12 +28,34 @@ def _(t):
     return Pe.face_pairs(t.face_embeddings, 0.2).withColumn("sim", F.round("sim", 6))
 
 
-@query("WN-32", ["face_embeddings"])
+# Average link with every pair that chose each other merged per round; rounds are numbered and the last one counts.
+_LINK = f""", s AS (SELECT a.g, a.key AS a, b.key AS b, {_D} AS sim FROM face_embeddings a JOIN face_embeddings b ON a.g = b.g AND a.key <> b.key),
+   r(g, key, cluster, round) AS (SELECT g, key, key, 0 FROM face_embeddings
+   UNION ALL
+   SELECT cur.g, cur.key, coalesce(m.keep, cur.cluster), cur.round + 1 FROM r cur LEFT JOIN (
+      SELECT p.g, p.y AS gone, p.x AS keep FROM (
+         SELECT g, x, y, row_number() OVER (PARTITION BY g, x ORDER BY sim DESC, least(x, y), greatest(x, y)) AS k FROM (
+            SELECT s.g, p.cluster AS x, q.cluster AS y, avg(s.sim) AS sim FROM s JOIN r p ON p.g = s.g AND p.key = s.a JOIN r q ON q.g = s.g AND q.key = s.b
+            WHERE p.cluster <> q.cluster GROUP BY 1, 2, 3 HAVING avg(s.sim) > 0.2) z) p JOIN (
+         SELECT g, x, y, row_number() OVER (PARTITION BY g, x ORDER BY sim DESC, least(x, y), greatest(x, y)) AS k FROM (
+            SELECT s.g, p.cluster AS x, q.cluster AS y, avg(s.sim) AS sim FROM s JOIN r p ON p.g = s.g AND p.key = s.a JOIN r q ON q.g = s.g AND q.key = s.b
+            WHERE p.cluster <> q.cluster GROUP BY 1, 2, 3 HAVING avg(s.sim) > 0.2) z) q
+         ON p.g = q.g AND p.x = q.y AND p.y = q.x AND p.k = 1 AND q.k = 1 AND p.x < p.y) m ON m.g = cur.g AND m.gone = cur.cluster
+   WHERE EXISTS (SELECT 1 FROM s JOIN r p ON p.g = s.g AND p.key = s.a JOIN r q ON q.g = s.g AND q.key = s.b WHERE p.cluster <> q.cluster
+                 GROUP BY s.g, p.cluster, q.cluster HAVING avg(s.sim) > 0.2)),
+   grouped AS (SELECT g, key, cluster FROM r WHERE round = (SELECT max(round) FROM r)) """
+
+
+@query("WN-32", ["face_embeddings"], _LINK + "SELECT g, key, cluster FROM grouped", recursive=True)
 def _(t):
     return Pe.cluster_faces(t.face_embeddings, 0.2)
 
 
-@query("AG-19", ["face_embeddings"])
+@query("AG-19", ["face_embeddings"], _LINK + """, j AS (SELECT * FROM face_embeddings JOIN grouped USING (g, key)),
+   n AS (SELECT g, cluster, count(*) AS faces, count(DISTINCT item) AS items FROM j GROUP BY 1, 2),
+   top AS (SELECT g, cluster, string_agg(key, ',' ORDER BY k) AS best FROM (
+      SELECT g, cluster, key, row_number() OVER (PARTITION BY g, cluster ORDER BY area_pct DESC, score DESC, key) AS k FROM j) z WHERE k <= 6 GROUP BY 1, 2)
+   SELECT n.g, n.cluster, faces, items, best, (SELECT count(*) FROM n o WHERE o.g = n.g AND o.faces < 3) AS loose FROM n JOIN top USING (g, cluster) WHERE faces >= 3""", recursive=True)
 def _(t):
     e = t.face_embeddings
     return Pe.cluster_report(e, Pe.cluster_faces(e, 0.2)).withColumn("best", F.array_join("best", ","))

@@ -1,14 +1,6 @@
 """Registered queries and their SQL counterparts. Logical tables are bound to the driver's tables by
 portable SQL, so both engines see the same input."""
-import uuid
-
 from framelake.bindings import BASE, VIEWS
-from framelake.session import ensure_checkpoint_dir
-
-# Derived tables that cost a shuffle and feed many consumers of one query: written once per application to
-# the shared checkpoint folder, instead of being worked out again in every branch of the plan.
-WRITTEN_ONCE = {"shots": "video_id", "videos": "video_id", "frame_stats": "video_id", "level_samples": "video_id"}
-_WRITTEN: dict = {}
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,19 +23,9 @@ class Tables:
                 deps, sql = VIEWS[name][0], VIEWS[name][1]
                 text = sql[0] if isinstance(sql, tuple) else sql
                 df = self.spark.sql(text, **{d: getattr(self, d) for d in deps})
-            self._seen[name] = self._written(name, df) if name in WRITTEN_ONCE and not df.isStreaming else df
+            self._seen[name] = df
         return self._seen[name]
 
-    def _written(self, name, df):
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _WRITTEN:
-            ensure_checkpoint_dir(self.spark)
-            path = f"{self.spark.sparkContext.getCheckpointDir()}/derived-{uuid.uuid4().hex}"
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df.repartition(n, WRITTEN_ONCE[name]).write.parquet(path)
-            _WRITTEN[key] = path
-        return self.spark.read.schema(df.schema).parquet(_WRITTEN[key])
-
 
 def _ordered(names, seen=None):
     seen = [] if seen is None else seen
@@ -65,12 +47,13 @@ def oracle_text(uses, body, ctes=()):
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
-def query(key, uses=(), sql=None, ctes=()):
+def query(key, uses=(), sql=None, ctes=(), recursive=False):
     """@query('AG-01', uses=['media'], sql='SELECT …') registers fn(tables) -> DataFrame."""
     def deco(fn):
         assert key not in QUERIES, key
         QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[key] = oracle_text(uses, sql, ctes)
+            text = oracle_text(uses, sql, ctes)
+            ORACLES[key] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
         return fn
     return deco

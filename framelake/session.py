@@ -19,9 +19,15 @@ def get_spark(app="framelake", cores="*", partitions=8, **conf):
     return s
 
 
-def ensure_checkpoint_dir(spark):
-    """Iterative plans cut their lineage with checkpoint(). The cluster names the shared folder in
-    spark.checkpoint.dir; a temporary one is used only where nothing is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-ckpt-")
+def checkpoint_dir(spark):
+    """The shared folder for tables that cut a lineage, for derived tables and for stream state: spark.checkpoint.dir.
+    Where it is unset, a local master gets a temporary folder for the application; a cluster is refused, since its
+    executors would each write to a disk of their own."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if d is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="framelake-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
+    return d.rstrip("/")

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from framelake.operators import posts as P, rules as R
-from framelake.session import ensure_checkpoint_dir
+from framelake.session import checkpoint_dir
 from framelake.sources.sinks import append_table, current, read_table, write_table
 
 
@@ -16,8 +16,7 @@ def file_stream(spark, path, per_trigger=None):
 
 
 def work_dir(spark):
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(df, path=None):
