@@ -240,7 +240,7 @@ VIEWS = {
           l_discount * 6 AS haze, l_quantity + 20 AS contrast, 1 - l_tax * 8 AS clear_band, l_tax * 6 AS people_bottom, l_discount AS people_middle, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey / 100.0e0 END AS face_cy, l_discount AS face_h FROM {lineitem}""".replace("LO", "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"))),
     # camera swing and subject motion of short live clips, ten samples a second
     "motion_samples": (["ev"], """
-        SELECT user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, CAST(row_number() OVER (PARTITION BY user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) ORDER BY ts, event_id) - 1 AS INT) AS i,
+        SELECT user_id * 1000000 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, CAST(row_number() OVER (PARTITION BY user_id * 1000000 + CAST(floor(event_id / 400) AS BIGINT) ORDER BY ts, event_id) - 1 AS INT) AS i,
                k / 200.0e0 AS camera, value / 40 AS subject FROM {ev}"""),
     # ---- measurements of rendered videos -----------------------------------------------------
     "totals": (["videos"], "SELECT video_id, picture_s AS total_s FROM {videos}"),
@@ -276,8 +276,7 @@ VIEWS = {
                CASE WHEN i % 5 = 4 AND NOT pin THEN t0 ELSE NULL END AS t0, CASE WHEN i % 5 = 4 THEN t1 ELSE NULL END AS t1 FROM {captions}"""),
     "clip_subs": (["part"], "SELECT p_partkey AS src, 0 AS sub, p_size / 2e0 AS t0, p_size / 2e0 + 2 AS t1, p_name AS text FROM {part} UNION ALL SELECT p_partkey AS src, 1 AS sub, p_size / 2e0 + 2.1e0 AS t0, p_size / 2e0 + 2.4e0 AS t1, p_type AS text FROM {part}"),
     "clip_segs": (["shots"], "SELECT video_id, i, src, start_s / 2 AS start_s, 1e0 + l_suppkey % 2 AS speed, t0 AS g0, t1 AS g1 FROM {shots}"),
-    "text_samples": (["ev"], "SELECT user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, event_id AS t, CASE WHEN event_type IN ('error', 'signup') THEN NULL WHEN event_type = 'click' THEN 'view' ELSE event_type END AS text FROM {ev}"),
-    "motion_events": (["ev"], "SELECT user_id * 100 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, CASE WHEN event_type = 'view' THEN 'start' ELSE 'end' END AS kind, CAST(event_id AS DOUBLE) / 10 AS t FROM {ev} WHERE event_type IN ('view', 'click', 'purchase')"),
+    "text_samples": (["ev"], "SELECT user_id * 1000000 + CAST(floor(event_id / 400) AS BIGINT) AS clip_id, event_id AS t, CASE WHEN event_type IN ('error', 'signup') THEN NULL WHEN event_type = 'click' THEN 'view' ELSE event_type END AS text FROM {ev}"),
     "segments": (["lines"], "SELECT doc_id, n, n * 9e0 AS t0, n * 9e0 + length(text) * 0.07e0 AS t1, text, -1e0 * (length(text) % 13) / 10 AS avg_logprob, (length(text) % 11) / 10e0 AS no_speech FROM {lines}"),
     "script_rows": (["lines"], """
         SELECT doc_id AS script_id, n, CASE WHEN n % 9 = 8 THEN '## Notes:' WHEN n % 7 = 5 THEN '---' WHEN n % 5 = 4 THEN text WHEN n % 5 = 3 THEN '[' || CAST(n AS VARCHAR(9)) || '.25] s |  ~2.4 s  ' || text WHEN n % 6 = 2 THEN CAST(n AS VARCHAR(9)) || '   ' || substr(text, 1, 6) WHEN n % 11 = 10 THEN '3 line text and so on' ELSE CAST(n AS VARCHAR(9)) || '.5  ' || text END AS line FROM {lines}"""),
@@ -287,12 +286,15 @@ VIEWS = {
     "tracks": (["pages"], """SELECT page_id, CASE CAST(page_id % 9 AS INT) WHEN 0 THEN ' Voice ' WHEN 1 THEN 'FX' WHEN 2 THEN 'music' WHEN 3 THEN '' ELSE NULL END AS role,
         CASE CAST(page_id % 5 AS INT) WHEN 0 THEN url WHEN 1 THEN 'a/sfx/' || CAST(page_id AS VARCHAR(9)) || '.wav' WHEN 2 THEN 'take/l' || CAST(page_id AS VARCHAR(9)) || '.wav' WHEN 3 THEN 'A/Narration/x.wav' ELSE NULL END AS src FROM {pages}"""),
     "ocr_words": (["shots", "part"], """
-        SELECT video_id AS frame, upper(substr(p_name, 1, 2)) AS text, 0.9e0 AS conf, 0.1e0 AS x0, (i % 5) / 8e0 AS y0, 0.18e0 AS x1, (i % 5) / 8e0 + 0.05e0 AS y1 FROM {shots} JOIN {part} ON p_partkey = l_partkey WHERE i < 5
-        UNION ALL SELECT video_id, CAST(1000 + l_partkey % 9000 AS VARCHAR(9)), CASE WHEN l_suppkey % 7 = 0 THEN 0.3e0 ELSE 0.8e0 END, 0.2e0 + l_tax, (i % 5) / 8e0 + 0.01e0, 0.3e0 + l_tax, (i % 5) / 8e0 + 0.06e0 FROM {shots} WHERE i < 5"""),
+        SELECT video_id AS frame, upper(substr(p_name, 1, 2)) AS text, 0.9e0 AS conf, 0.1e0 AS x0, i / 8e0 AS y0, 0.18e0 AS x1, i / 8e0 + 0.05e0 AS y1 FROM {shots} JOIN {part} ON p_partkey = l_partkey
+        UNION ALL SELECT video_id, CAST(1000 + l_partkey % 9000 AS VARCHAR(9)), CASE WHEN l_suppkey % 7 = 0 THEN 0.3e0 ELSE 0.8e0 END, 0.2e0 + l_tax, i / 8e0 + 0.01e0, 0.3e0 + l_tax, i / 8e0 + 0.06e0 FROM {shots}"""),
     "lexicons": (["benchmark"], ("""
         SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, 0 AS layer, split(text, ' ')[1] AS term, 'say1' AS say FROM {benchmark}
         UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END, 1, concat(split(text, ' ')[1], ' ', split(text, ' ')[2]), 'say2' FROM {benchmark}
-        UNION ALL SELECT 'en', 2, lower(split(text, ' ')[1]), 'say3' FROM {benchmark} WHERE item_id % 4 = 0""", "SELECT 1")),
+        UNION ALL SELECT 'en', 2, lower(split(text, ' ')[1]), 'say3' FROM {benchmark} WHERE item_id % 4 = 0""", """
+        SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, 0 AS layer, string_split(text, ' ')[2] AS term, 'say1' AS say FROM {benchmark}
+        UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END, 1, string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3], 'say2' FROM {benchmark}
+        UNION ALL SELECT 'en', 2, lower(string_split(text, ' ')[2]), 'say3' FROM {benchmark} WHERE item_id % 4 = 0""")),
     # ---- concepts, builds and reviews --------------------------------------------------------
     "c_head": (["videos"], """
         SELECT video_id AS concept_id, o_custkey AS k, o_custkey % 40 AS project_id, picture_s * (1 + (o_custkey % 5 - 2) * 0.2e0) AS target_duration_s, o_custkey % 4 = 0 AS narration,

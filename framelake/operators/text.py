@@ -1,9 +1,6 @@
 """Spoken and written text in time: tokens, phrases, captions, scripts, word marks."""
-import difflib
 import math
-import re
 
-import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
 from framelake.functions.core import c, let, py_round
@@ -76,27 +73,34 @@ def classify_scene(f):
                         .when(warm & inside, "interior-warm").when(warm, "golden-hour").when(F.col("sky_grey") > 0.35, "overcast-film").otherwise("urban-clean"))
 
 
-def apply_lexicon(lines, lexicons, lang="lang", text="text"):
-    """Later layers win per term. The longest term matches first, on word bounds, in one pass. A
-    language's lexicon is a short hand-made list; it travels as one row per language."""
-    lex = (lexicons.groupBy("lang", F.lower("term").alias("term")).agg(F.max_by("say", "layer").alias("say"))
-           .groupBy(F.col("lang").alias("_lang")).agg(F.map_from_entries(F.collect_list(F.struct("term", "say"))).alias("_lex")))
-
-    @F.pandas_udf("string")
-    def say(t: pd.Series, lx: pd.Series) -> pd.Series:
-        cache, out = {}, []
-        for s, m in zip(t, lx):
-            m = dict(m) if m is not None else {}
-            if not m:
-                out.append(s)
-                continue
-            key = tuple(sorted(m.items()))
-            if key not in cache:
-                alt = "|".join(re.escape(k) for k in sorted(m, key=len, reverse=True))
-                cache[key] = re.compile(rf"(?<!\w)({alt})(?!\w)", re.I)
-            out.append(cache[key].sub(lambda h: m[h.group(0).lower()], s))
-        return pd.Series(out)
-    return lines.join(lex, F.col(lang) == F.col("_lang"), "left").withColumn("spoken", say(F.col(text), F.col("_lex"))).drop("_lang", "_lex")
+# Words, and every other character by itself.
+TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+
+
+def apply_lexicon(lines, lexicons, keys, lang="lang", text="text"):
+    """Later layers win per term. Terms match on word bounds whatever their case, leftmost first, the longest of those that
+    begin at one place, in one pass. Runs of up to as many tokens as the longest term has meet the lexicon in an equi join on
+    language and run, so neither side's size matters; keys name a line."""
+    tokens = F.regexp_extract_all(c(text), F.lit(TOKENS), F.lit(0))
+    lex = (lexicons.filter("term <> ''").groupBy(F.col("lang").alias("_lang"), F.lower("term").alias("_run")).agg(F.max_by("say", "layer").alias("say")))
+    most = lex.agg(F.max(F.size(F.regexp_extract_all(F.col("_run"), F.lit(TOKENS), F.lit(0)))).alias("_most"))
+    wordy = lambda w: w.rlike(r"^[\p{L}\p{N}_]")
+    t = lines.withColumn("_tok", tokens)
+    runs = (t.crossJoin(F.broadcast(most)).filter("_most IS NOT NULL AND size(_tok) > 0")           # one row
+            .select(*keys, F.col(lang).alias("_lang"), "_tok", "_most", F.explode(F.sequence(F.lit(0), F.size("_tok") - 1)).alias("at"))
+            .withColumn("len", F.explode(F.sequence(F.lit(1), F.least("_most", F.size("_tok") - F.col("at")))))
+            # a run that begins or ends with another sign must not touch a word there
+            .filter(wordy(F.get("_tok", F.col("at"))) | (F.col("at") == 0) | ~wordy(F.get("_tok", F.col("at") - 1)))
+            .filter(wordy(F.get("_tok", F.col("at") + F.col("len") - 1)) | (F.col("at") + F.col("len") == F.size("_tok")) | ~wordy(F.get("_tok", F.col("at") + F.col("len"))))
+            .select(*keys, "_lang", "at", "len", F.lower(F.array_join(F.slice("_tok", F.col("at") + 1, F.col("len")), "")).alias("_run")))
+    found = runs.join(lex, ["_lang", "_run"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", (-F.length("_run")).alias("k"), "len", "say"))).alias("_m"))
+    none = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,len:int,say:string>>").alias("took"))
+    took = F.aggregate("_m", none, lambda a, m: F.when(m["at"] >= a["free"], F.struct((m["at"] + m["len"]).alias("free"), F.array_append(
+        a["took"], F.struct(m["at"].alias("at"), m["len"].alias("len"), m["say"].alias("say"))).alias("took"))).otherwise(a), lambda a: a["took"])
+    said = F.transform("_tok", lambda w, i: let(F.get(F.filter("_m", lambda m: (m["at"] <= i) & (i < m["at"] + m["len"])), F.lit(0)),
+                                                lambda m: F.when(m.isNull(), w).when(m["at"] == i, m["say"]).otherwise("")))
+    j = t.join(found.withColumn("_m", took), list(keys), "left")
+    return j.withColumn("spoken", F.when(F.col("_m").isNull(), c(text)).otherwise(F.array_join(said, ""))).drop("_tok", "_m")
 
 
 def split_captions(segments, keep=()):
@@ -142,28 +146,31 @@ def weak_words(words, keys, floor=LOW_CONFIDENCE):
 
 
 # ---- readers ---------------------------------------------------------------------------------
+# Fixed values of narration scripts: headings that end the narration, the shape of a timed line (second, text), what is
+# cleaned off a text in this order, what a text must hold, and words that begin a table heading.
+SCRIPT_END = (r"(?iU)^[#\s]*(notes?|notas?|observaciones|obs)\s*:?\s*$", r"(?iU)^[#\s]*(optional|opcional|opcionais)\b")
+TIMED_LINE = r"^\s*(?:\[\s*)?~?\s*(\d+(?:\.\d+)?)\s*(?:\])?\s*(?:s\b)?\s*(?:\|)?\s+(?:~?\s*[\d.]+\s*s?\s+)?(.+)$"
+LEFTOVERS = (r"\s{2,}[\d.]+\s*s\.?$", r"^(?:s\b|~?\s*[\d.]+\s*s\b|\d+)\s*", r"^~?\s*[\d.]+\s*s\b\s*")
+MIN_TEXT, LETTERS, TABLE_HEADING = 8, r"[\p{L}]{3}", "^(line|in|dur|duration|video|optional|notes)"
+
+
 def parse_scripts(rows, key="script_id"):
-    """rows(key, n, line): narration lines, dropped rows with the reason; below a Notes or Optional
-    heading nothing counts."""
-    # Headings and the shape of a timed line.
-    notes, optional = r"(?iU)^[#\s]*(notes?|notas?|observaciones|obs)\s*:?\s*$", r"(?iU)^[#\s]*(optional|opcional|opcionais)\b"
-    timed = r"^\s*(?:\[\s*)?~?\s*(\d+(?:\.\d+)?)\s*(?:\])?\s*(?:s\b)?\s*(?:\|)?\s+(?:~?\s*[\d.]+\s*s?\s+)?(.+)$"
-    ln = F.regexp_replace("line", r"\s+$", "")
-    head = F.when(ln.rlike(notes) | ln.rlike(optional), F.col("n"))
-    stop = rows.groupBy(key).agg(F.min(head).alias("_stop"))
-    r = rows.join(stop, key).filter(F.col("_stop").isNull() | (F.col("n") < F.col("_stop"))).withColumn("_l", ln)
-    r = r.filter((F.trim("_l") != "") & ~F.ltrim("_l").rlike("^(---|===|#)"))
-    text = F.btrim(F.regexp_extract("_l", timed, 2), F.lit(" |"))
-    text = F.trim(F.regexp_replace(text, r"\s{2,}[\d.]+\s*s\.?$", ""))
-    text = F.trim(F.regexp_replace(text, r"^(?:s\b|~?\s*[\d.]+\s*s\b|\d+)\s*", ""))
-    text = F.btrim(F.trim(F.regexp_replace(text, r"^~?\s*[\d.]+\s*s\b\s*", "")), F.lit(" |\t"))
-    r = r.withColumn("text", text)
-    why = (F.when(~F.col("_l").rlike(timed), "it does not start with the second the line comes in on")
-           .when((F.length("text") < 8) | ~F.col("text").rlike(r"[\p{L}]{3}"), "what is left after the second is too short to be a sentence")
-           .when(F.lower("text").rlike("^(line|in|dur|duration|video|optional|notes)"), "it reads as a table heading, not as narration"))
-    r = r.withColumn("dropped", why)
-    ok = F.col("dropped").isNull()
-    return r.select(key, "n", F.when(ok, F.regexp_extract("_l", timed, 1).try_cast("double")).alias("start_s"), F.when(ok, F.col("text")).alias("text"), "dropped")
+    """rows(key, n, line) -> narration lines with their second; dropped lines keep a code of the reason: 'untimed',
+    'too_short' or 'heading'. Rulings, blank lines and all from the first end heading on are left out."""
+    ends = F.lit(False)
+    for p in SCRIPT_END:
+        ends = ends | F.col("line").rlike(p)
+    body = rows.withColumn("line", F.regexp_replace("line", r"\s+$", "")).withColumn("_end", F.max(ends).over(Window.partitionBy(key).orderBy("n")))
+    body = body.filter(~F.col("_end") & (F.trim("line") != "") & ~F.ltrim("line").rlike("^(---|===|#)"))
+    text = F.btrim(F.regexp_extract("line", TIMED_LINE, 2), F.lit(" |"))
+    for p in LEFTOVERS:
+        text = F.trim(F.regexp_replace(text, p, ""))
+    body = body.withColumn("text", F.btrim(text, F.lit(" |\t")))
+    reason = (F.when(~F.col("line").rlike(TIMED_LINE), "untimed").when((F.length("text") < MIN_TEXT) | ~F.col("text").rlike(LETTERS), "too_short")
+              .when(F.lower("text").rlike(TABLE_HEADING), "heading"))
+    body = body.withColumn("dropped", reason)
+    kept = lambda x: F.when(F.col("dropped").isNull(), x)
+    return body.select(key, "n", kept(F.regexp_extract("line", TIMED_LINE, 1).try_cast("double")).alias("start_s"), kept(F.col("text")).alias("text"), "dropped")
 
 
 LINE_SCHEMA = "start_s double, t double, at double, text string, duration_hint_s double, dur double, end_s double, duck boolean, emphasis string"
@@ -279,149 +286,70 @@ def word_marks(lines, words, key="script_id"):
         "beyond_audio", F.coalesce(F.col("last_end") > py_round(F.col("at") + F.col("duration_s"), 3) + 0.05, F.lit(False)))
 
 
-# ---- sequential rules: the next step needs the previous result, so each line is folded as one row ----
-def group_captions(lines):
-    """lines(key, words: array<struct<text,t0,t1>>): readable captions of up to three words."""
-    key_fields = [f for f in lines.schema.fields if f.name != "words"]
-    schema = T.StructType(key_fields + [T.StructField("g", T.IntegerType()), T.StructField("t0", T.DoubleType()), T.StructField("t1", T.DoubleType()), T.StructField("text", T.StringType())])
-    names = [f.name for f in key_fields]
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for k, ws in zip(pdf[names].itertuples(index=False, name=None), pdf["words"]):
-                groups, cur = [], []
-                for w in ws:
-                    wide = " ".join(x["text"] for x in [*cur, w])
-                    if cur and (len(wide) > MAX_CHARS or w["t1"] - cur[0]["t0"] > MAX_DUR):
-                        groups.append(cur)
-                        cur = []
-                    cur = [*cur, w]
-                    if len(cur) == MAX_WORDS or (len(cur) > 1 and w["text"].endswith(END_PUNCT)):
-                        groups.append(cur)
-                        cur = []
-                groups += [cur] if cur else []
-                out += [(*k, i, round(g[0]["t0"], 3), round(g[-1]["t1"], 3), " ".join(x["text"] for x in g)) for i, g in enumerate(groups)]
-            yield pd.DataFrame(out, columns=schema.names)
-    return lines.mapInPandas(run, schema)
-
-
-def _align(written, heard, duration):
-    """Times for each written word from the heard ones."""
-    n = len(written)
-    end = duration or (heard[-1]["t1"] if len(heard) else 0.35 * n)
-    by_letters = lambda: [((end * sum(len(x) + 1 for x in written[:k])) / sum(len(x) + 1 for x in written),
-                           (end * sum(len(x) + 1 for x in written[:k + 1])) / sum(len(x) + 1 for x in written)) for k in range(n)]
-    fold = lambda w: re.sub(r"[^\w']+", "", w.lower()).translate(str.maketrans(*ACCENTS))
-    spans = [None] * n
-    for op, a0, a1, b0, b1 in difflib.SequenceMatcher(None, [fold(h["text"]) for h in heard], [fold(w) for w in written], autojunk=False).get_opcodes():
-        if op == "equal":
-            spans[b0:b1] = [(h["t0"], h["t1"]) for h in heard[a0:a1]]
-        elif op == "replace":
-            lo, step = heard[a0]["t0"], (heard[a1 - 1]["t1"] - heard[a0]["t0"]) / (b1 - b0)
-            spans[b0:b1] = [(lo + step * k, lo + step * (k + 1)) for k in range(b1 - b0)]
-    known = [k for k in range(n) if spans[k]]
-    if not known:
-        return [(round(a, 3), round(b, 3)) for a, b in by_letters()]
-    k = 0
-    while k < n:
-        m = k
-        while m < n and spans[m] is None:
-            m += 1
-        if m > k:
-            lo = spans[k - 1][1] if k else max(0.0, spans[known[0]][0] - 0.25 * (known[0] + 1))
-            hi = spans[m][0] if m < n else max(lo + 0.2, min(end, spans[known[-1]][1] + 0.6))
-            spans[k:m] = [(lo + (hi - lo) * x / (m - k), lo + (hi - lo) * (x + 1) / (m - k)) for x in range(m - k)]
-        k = m + 1
-    out, floor = [], 0.0
-    for a, b in spans:
-        floor = max(floor, a)
-        out.append((round(floor, 3), round(max(floor + 0.08, b), 3)))
-    return out
-
-
-def align_words(lines):
-    """lines(key…, text, heard: array<struct<text,t0,t1>>, duration_s): one row per written word."""
-    key_fields = [f for f in lines.schema.fields if f.name not in ("text", "heard", "duration_s")]
-    names = [f.name for f in key_fields]
-    schema = T.StructType(key_fields + [T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("t0", T.DoubleType()), T.StructField("t1", T.DoubleType())])
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for k, text, heard, dur in zip(pdf[names].itertuples(index=False, name=None), pdf["text"], pdf["heard"], pdf["duration_s"]):
-                written = text.split()
-                if written:
-                    times = _align(written, list(heard) if heard is not None else [], None if dur is None or math.isnan(dur) else dur)
-                    out += [(*k, i, w, a, b) for i, (w, (a, b)) in enumerate(zip(written, times))]
-            yield pd.DataFrame(out, columns=schema.names)
-    return lines.mapInPandas(run, schema)
-
-
-def missed_names(lines, heard, keys):
-    """Names and numbers of a line with no close heard word. Exact hits and words of impossible length
-    leave by joins; only the rest is compared letter by letter."""
-    bare = lambda w: F.regexp_replace(F.lower(w), r"(?U)[^\w]", "")
-    want = (lines.select(*keys, F.explode(F.split(F.trim("text"), r"(?U)\s+")).alias("w")).withColumn("n", bare("w"))
-            .filter((F.length("n") >= 4) & (F.col("w").rlike(r"^\p{Lu}") | F.col("w").rlike(r"\d"))).distinct())
-    have = heard.select(*keys, bare("w").alias("h")).filter("h <> ''").distinct()
-    open_ = want.join(have.withColumnRenamed("h", "n"), [*keys, "n"], "left_anti")
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() >= 0.7 for x, y in zip(a, b)])
-    # ratio = 2·matches/(la+lb) ≤ 2·min/(la+lb): pairs that cannot reach 0.7 are never compared
-    can = 2 * F.least(F.length("n"), F.length("h")) >= 0.7 * (F.length("n") + F.length("h"))
-    hit = open_.join(have, list(keys)).filter(can).filter(close("n", "h")).select(*keys, "w").distinct()
-    return open_.join(hit, [*keys, "w"], "left_anti").select(*keys, F.btrim("w", F.lit(".,;:¿?¡!«»\"'")).alias("missed")).distinct()
+# ---- sequential rules: the next step needs the previous result, so each line, picture or track is folded in its row ----
+def _fold(items, state, step, open_item):
+    """Folds an array into groups: state has done (closed groups) and cur (the open one, null at first); step(cur, item)
+    gives (the item opens a new group, the group with the item in it, that group is complete)."""
+    def take(a, x):
+        fresh, grown, full = step(a["cur"], x)
+        done = F.when(fresh & a["cur"].isNotNull(), F.array_append(a["done"], a["cur"])).otherwise(a["done"])
+        return let(F.struct(done.alias("done"), F.when(fresh, open_item(x)).otherwise(grown).alias("cur"), (full & ~fresh).alias("full")), lambda s: F.struct(
+            F.when(s["full"], F.array_append(s["done"], s["cur"])).otherwise(s["done"]).alias("done"), F.when(~s["full"], s["cur"]).alias("cur")))
+    start = F.struct(F.array().cast(f"array<{state}>").alias("done"), F.lit(None).cast(state).alias("cur"))
+    return F.aggregate(items, start, take, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
+
+
+def group_captions(lines, words="words"):
+    """lines(key, words: array<struct<text,t0,t1>>) -> captions of up to MAX_WORDS words that fit length and time and end at a
+    mark: (key, g, t0, t1, text)."""
+    state = "struct<text:string,t0:double,t1:double,n:int>"
+
+    def one(w):
+        return F.struct(w["text"].alias("text"), w["t0"].cast("double").alias("t0"), w["t1"].cast("double").alias("t1"), F.lit(1).alias("n"))
+
+    def step(cur, w):
+        text = F.concat(cur["text"], F.lit(" "), w["text"])
+        fresh = cur.isNull() | (F.length(text) > MAX_CHARS) | (w["t1"] - cur["t0"] > MAX_DUR)
+        grown = F.struct(text.alias("text"), cur["t0"].alias("t0"), w["t1"].cast("double").alias("t1"), (cur["n"] + 1).alias("n"))
+        return fresh, grown, F.coalesce((cur["n"] + 1 == MAX_WORDS) | F.right(w["text"], F.lit(1)).isin(*END_PUNCT), F.lit(False))
+    keys = [f for f in lines.columns if f != words]
+    g = lines.select(*keys, F.posexplode(_fold(c(words), state, step, one)).alias("g", "c"))
+    return g.select(*keys, "g", py_round("c.t0", 3).alias("t0"), py_round("c.t1", 3).alias("t1"), F.col("c.text").alias("text"))
 
 
 def private_text(words, frame="frame", min_conf=0.5):
-    """Words on one line, close together, are joined; then plates, phones and e-mails are kept once."""
-    schema = T.StructType([words.schema[frame]] + [T.StructField("text", T.StringType())] + [T.StructField(x, T.DoubleType()) for x in ("x0", "y0", "x1", "y1")])
-
-    def join_lines(it):
-        for pdf in it:
-            rows = []
-            for f, ws in zip(pdf[frame], pdf["ws"]):
-                out = []
-                for w in ws:
-                    if out:
-                        p, h = out[-1], max(out[-1][4] - out[-1][2], w["y1"] - w["y0"])
-                        if abs((p[2] + p[4]) / 2 - (w["y0"] + w["y1"]) / 2) < h * 0.6 and 0 <= w["x0"] - p[3] < h * 2.5:
-                            out[-1] = [f"{p[0]} {w['text']}", p[1], min(p[2], w["y0"]), w["x1"], max(p[4], w["y1"])]
-                            continue
-                    out.append([w["text"], w["x0"], w["y0"], w["x1"], w["y1"]])
-                rows += [(f, *o) for o in out]
-            yield pd.DataFrame(rows, columns=schema.names)
+    """Words on one line, close together, are read as one text; then plates, phones and e-mails are kept once a picture. A
+    word continues a line if the middles differ by under 0.6 of the taller height and the gap is under 2.5 of it."""
+    state = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
+
+    def one(w):
+        return F.struct(w["text"].alias("text"), *(w[k].alias(k) for k in ("x0", "y0", "x1", "y1")))
+
+    def step(cur, w):
+        tall = F.greatest(cur["y1"] - cur["y0"], w["y1"] - w["y0"])
+        apart, gap = F.abs((cur["y0"] + cur["y1"]) / 2 - (w["y0"] + w["y1"]) / 2), w["x0"] - cur["x1"]
+        joins = (apart < tall * 0.6) & (gap >= 0) & (gap < tall * 2.5)
+        grown = F.struct(F.concat(cur["text"], F.lit(" "), w["text"]).alias("text"), cur["x0"].alias("x0"), F.least(cur["y0"], w["y0"]).alias("y0"), w["x1"].alias("x1"), F.greatest(cur["y1"], w["y1"]).alias("y1"))
+        return ~F.coalesce(joins, F.lit(False)), grown, F.lit(False)
     # the words of one picture, in reading order
     item = F.struct(py_round((F.col("y0") + F.col("y1")) / 2, 2).alias("row"), "x0", "text", "y0", "x1", "y1")
-    lines = words.filter(F.col("conf") >= min_conf).groupBy(frame).agg(F.array_sort(F.collect_list(item)).alias("ws"))
-    r = lines.mapInPandas(join_lines, schema).withColumn("kind", private_kind("text")).filter("kind is not null")
-    r = r.withColumn("_k", F.regexp_replace("text", r"(?U)\W", ""))
+    seen = words.filter(F.col("conf") >= min_conf).groupBy(frame).agg(F.array_sort(F.collect_list(item)).alias("ws"))
+    r = seen.select(frame, F.explode(_fold(F.col("ws"), state, step, one)).alias("l")).select(frame, "l.*")
+    r = r.withColumn("kind", private_kind("text")).filter("kind is not null").withColumn("_k", F.regexp_replace("text", r"(?U)\W", ""))
     best = r.groupBy(frame, "kind", "_k").agg(F.min(F.struct("y0", "x0", "text", "x1", "y1")).alias("b"))
     return best.select(frame, "kind", "b.text", py_round((F.col("b.x0") + F.col("b.x1")) / 2, 3).alias("cx"), py_round((F.col("b.y0") + F.col("b.y1")) / 2, 3).alias("cy"))
 
 
 def smooth_track(samples, key="track", t="t", x="x", min_cutoff=0.4, beta=0.02, d_cutoff=1.0):
-    """Speed-adaptive low-pass along a track: each value depends on the one before, so a track is one group."""
-    schema = T.StructType([samples.schema[key], samples.schema[t], T.StructField("smooth", T.DoubleType())])
+    """Speed-adaptive low-pass along a track: each value depends on the one before, so a track is one row while it is folded."""
     weight = lambda cut, dt: dt / (dt + 1 / (2 * math.pi * cut))
 
-    def run(it):
-        for pdf in it:
-            rows = []
-            for k, xs in zip(pdf[key], pdf["xs"]):
-                prev, speed, last = None, 0.0, None
-                for s in xs:
-                    now, v = s[t], s[x]
-                    if prev is None:
-                        prev = v
-                    elif now > last:
-                        dt = now - last
-                        speed += weight(d_cutoff, dt) * ((v - prev) / dt - speed)
-                        prev += weight(min_cutoff + beta * abs(speed), dt) * (v - prev)
-                    last = now
-                    rows.append((k, now, prev))
-            yield pd.DataFrame(rows, columns=schema.names)
-    return samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, x))).alias("xs")).mapInPandas(run, schema)
+    def step(a, s):
+        dt = s["t"] - a["t"]
+        speed = a["speed"] + weight(d_cutoff, dt) * ((s["x"] - a["x"]) / dt - a["speed"])
+        moved = let(speed, lambda v: F.struct((a["x"] + weight(min_cutoff + beta * F.abs(v), dt) * (s["x"] - a["x"])).alias("x"), v.alias("speed")))
+        now = F.when(a["t"].isNull(), F.struct(s["x"].alias("x"), F.lit(0.0).alias("speed"))).when(dt > 0, moved).otherwise(F.struct(a["x"].alias("x"), a["speed"].alias("speed")))
+        return let(now, lambda n: F.struct(s["t"].alias("t"), n["x"].alias("x"), n["speed"].alias("speed"), F.array_append(a["rows"], F.struct(s["t"].alias("t"), n["x"].alias("smooth"))).alias("rows")))
+    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("speed"), F.array().cast("array<struct<t:double,smooth:double>>").alias("rows"))
+    xs = F.array_sort(F.collect_list(F.struct(c(t).cast("double").alias("t"), c(x).cast("double").alias("x"))))
+    return samples.groupBy(key).agg(xs.alias("xs")).select(key, F.explode(F.aggregate("xs", start, step, lambda a: a["rows"])).alias("r")).select(key, F.col("r.t").alias(t), "r.smooth")

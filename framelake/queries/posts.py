@@ -1,4 +1,6 @@
 """Post statistics, preferences, rules, facts."""
+import re
+
 from pyspark.sql import functions as F
 
 from framelake.operators import posts as P, rules as R
@@ -111,7 +113,7 @@ _GUARD = [(r"(/Users/|/home/|[A-Za-z]:\\\\Users\\\\)[^\s/\\]+", "a home folder p
           (r"\d[\d ().-]{8,}\d", "a phone number"), (rf"(?i){_B0}(pass(word|wd)|api[_ -]?key|secret|token|bearer|cvv|iban){_B1}", "a credential"), (rf"{_B0}\d{{13,19}}{_B1}", "a long number that could be a card")]
 
 
-@query("PRJ-10", ["lines", "conversations"][:1], "SELECT doc_id, n, CASE WHEN c = '' THEN 'empty' WHEN length(c) > 5000 THEN 'too long' " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{w}'" for p, w in _GUARD)
+@query("PRJ-10", ["lines"], "SELECT doc_id, n, CASE WHEN c = '' THEN 'empty' WHEN length(c) > 5000 THEN 'too long' " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{w}'" for p, w in _GUARD)
        + " END AS refused FROM (SELECT doc_id, n, trim(regexp_replace(text, '[\\s\\x0b\\x85\\pZ]+', ' ', 'g')) AS c FROM (SELECT doc_id, n, text FROM lines UNION ALL SELECT -conv_id - 1, turn::INT, text FROM conversations) u) s")
 def _(t):
     both = t.lines.select("doc_id", "n", "text").unionByName(t.conversations.selectExpr("-conv_id - 1 as doc_id", "cast(turn as int) as n", "text"))
@@ -126,15 +128,17 @@ def _(t):
     return R.looks_like_fact(t.lines).select("doc_id", "n", "factlike")
 
 
-_PL = R.PLATE.replace(r"一-鿿", r"\x{4e00}-\x{9fff}").replace(r"ก-ฮ", r"\x{0e01}-\x{0e2e}")
+_PL = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", R.PLATE)
+PRIVATE_KIND = rf"""CASE WHEN regexp_matches(text, '{_PL}') AND length(regexp_replace(text, '[\s·.-]', '', 'g')) >= 4 THEN 'plate'
+   WHEN regexp_matches(text, '{R.PHONE}') AND length(regexp_replace(text, '\D', '', 'g')) >= 8 THEN 'phone' WHEN regexp_matches(text, '[\pL\pN_.+-]+@[\pL\pN_-]+\.[\pL\pN_.]+') THEN 'email' END"""
 
 
-@query("PRJ-12", ["lines"], rf"""SELECT kind, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, CASE WHEN regexp_full_match(text, '({_PL})') AND length(regexp_replace(text, '[\s·.-]', '', 'g')) >= 4 THEN 'plate'
-   WHEN regexp_matches(text, '{R.PHONE}') AND length(regexp_replace(text, '\D', '', 'g')) >= 8 THEN 'phone' WHEN regexp_matches(text, '[\pL\pN_.+-]+@[\pL\pN_-]+\.[\pL\pN_.]+') THEN 'email' END AS kind
-   FROM (SELECT doc_id, text FROM lines UNION ALL SELECT p_partkey, upper(substr(p_name, 1, 2)) || ' ' || p_partkey % 10000 FROM part) u) s GROUP BY 1""")
+@query("PRJ-12", ["lines"], f"""SELECT id, n, {PRIVATE_KIND} AS kind
+   FROM (SELECT doc_id AS id, n, text FROM lines UNION ALL SELECT p_partkey, -1, p_name FROM part UNION ALL SELECT p_partkey, -2, upper(substr(p_name, 1, 2)) || ' ' || p_partkey % 10000 FROM part) u""")
 def _(t):
-    both = t.lines.select("doc_id", "text").unionByName(t.part.selectExpr("p_partkey as doc_id", "concat(upper(substr(p_name, 1, 2)), ' ', p_partkey % 10000) as text"))
-    return both.withColumn("kind", R.private_kind("text")).groupBy("kind").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    plates = t.part.selectExpr("p_partkey as id", "-2 as n", "concat(upper(substr(p_name, 1, 2)), ' ', p_partkey % 10000) as text")
+    texts = t.lines.selectExpr("doc_id as id", "n", "text").unionByName(t.part.selectExpr("p_partkey as id", "-1 as n", "p_name as text")).unionByName(plates)
+    return texts.select("id", "n", R.private_kind("text").alias("kind"))
 
 
 @query("JN-11", ["lines", "facts"], """SELECT DISTINCT l.doc_id, l.n, l.source AS project, f.fact FROM lines l JOIN facts f ON f.project = l.source

@@ -2,6 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from framelake.operators import text as X, video as Vd
+from framelake.queries.posts import PRIVATE_KIND
 from framelake.registry import ORACLES, oracle_text, query
 from framelake.sources import readers as R  # noqa: F401
 
@@ -50,9 +51,23 @@ def _(t):
     return Vd.unify_look(X.classify_scene(t.scene_features)).select("video_id", "i", "side", "look")
 
 
-@query("PRJ-15", ["lines"])
+_TOK = r"[\pL\pN_]+|[^\pL\pN_]"
+
+
+@query("PRJ-15", ["lines", "lexicons"], rf""", lex AS (SELECT lang, lower(term) AS run, arg_max(say, layer) AS say FROM lexicons WHERE term <> '' GROUP BY 1, 2),
+   tk AS (SELECT doc_id, n, lang, text, regexp_extract_all(text, '{_TOK}') AS tok FROM lines), longest AS (SELECT max(len(regexp_extract_all(run, '{_TOK}'))) AS m FROM lex),
+   wd AS (SELECT doc_id, n, lang, tok, unnest(range(1, len(tok) + 1)) AS a FROM tk), sp AS (SELECT doc_id, n, lang, tok, a, unnest(range(1, (SELECT m FROM longest) + 1)) AS k FROM wd),
+   ok AS (SELECT doc_id, n, a, k, say FROM (SELECT *, lower(array_to_string(tok[a:a + k - 1], '')) AS run FROM sp WHERE a + k - 1 <= len(tok)
+      AND (regexp_matches(tok[a], '^[\pL\pN_]') OR a = 1 OR NOT regexp_matches(tok[a - 1], '^[\pL\pN_]'))
+      AND (regexp_matches(tok[a + k - 1], '^[\pL\pN_]') OR a + k - 1 = len(tok) OR NOT regexp_matches(tok[a + k], '^[\pL\pN_]'))) z JOIN lex USING (lang, run)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, n, a ORDER BY length(run) DESC) = 1),
+   r(doc_id, n, a, k, say) AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY a) = 1
+      UNION ALL SELECT o.doc_id, o.n, o.a, o.k, o.say FROM r JOIN ok o ON o.doc_id = r.doc_id AND o.n = r.n AND o.a >= r.a + r.k QUALIFY row_number() OVER (PARTITION BY o.doc_id, o.n ORDER BY o.a) = 1),
+   out AS (SELECT wd.doc_id, wd.n, string_agg(CASE WHEN r.a IS NULL THEN tok[wd.a] WHEN r.a = wd.a THEN say ELSE '' END, '' ORDER BY wd.a) AS spoken
+      FROM wd LEFT JOIN r ON r.doc_id = wd.doc_id AND r.n = wd.n AND r.a <= wd.a AND wd.a < r.a + r.k GROUP BY 1, 2)
+   SELECT doc_id, n, coalesce(spoken, text) AS spoken FROM lines LEFT JOIN out USING (doc_id, n)""", recursive=True)
 def _(t):
-    return X.apply_lexicon(t.lines, t.lexicons).select("doc_id", "n", "spoken")
+    return X.apply_lexicon(t.lines, t.lexicons, ["doc_id", "n"]).select("doc_id", "n", "spoken")
 
 
 @query("PRJ-16", ["segments"])
@@ -86,8 +101,8 @@ _TIMED = r"^\s*(?:\[\s*)?~?\s*(\d+(?:\.\d+)?)\s*(?:\])?\s*(?:s\b)?\s*(?:\|)?\s+(
 @query("SRC-05", ["script_rows"], rf""", l AS (SELECT script_id, n, regexp_replace(line, '\s+$', '') AS line FROM script_rows), st AS (SELECT script_id, min(n) AS stop FROM l WHERE regexp_matches(line, '(?i)^[#\s]*(notes?|notas?|observaciones|obs)\s*:?\s*$') OR regexp_matches(line, '(?i)^[#\s]*(optional|opcional|opcionais)\b') GROUP BY 1),
    a AS (SELECT l.* FROM l LEFT JOIN st USING (script_id) WHERE (stop IS NULL OR n < stop) AND trim(line) <> '' AND NOT regexp_matches(ltrim(line), '^(---|===|#)')),
    b AS (SELECT *, trim(trim(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_extract(line, '{_TIMED}', 2), ' |'), '\s{{2,}}[\d.]+\s*s\.?$', '')), '^(?:s\b|~?\s*[\d.]+\s*s\b|\d+)\s*', '')), '^~?\s*[\d.]+\s*s\b\s*', ''))), ' |' || chr(9)) AS x FROM a),
-   c AS (SELECT *, CASE WHEN NOT regexp_matches(line, '{_TIMED}') THEN 'it does not start with the second the line comes in on' WHEN length(x) < 8 OR NOT regexp_matches(x, '\pL\pL\pL') THEN 'what is left after the second is too short to be a sentence'
-      WHEN regexp_matches(lower(x), '^(line|in|dur|duration|video|optional|notes)') THEN 'it reads as a table heading, not as narration' END AS dropped FROM b)
+   c AS (SELECT *, CASE WHEN NOT regexp_matches(line, '{_TIMED}') THEN 'untimed' WHEN length(x) < 8 OR NOT regexp_matches(x, '\pL\pL\pL') THEN 'too_short'
+      WHEN regexp_matches(lower(x), '^(line|in|dur|duration|video|optional|notes)') THEN 'heading' END AS dropped FROM b)
    SELECT script_id, n, CASE WHEN dropped IS NULL THEN CAST(regexp_extract(line, '{_TIMED}', 1) AS DOUBLE) END AS start_s, CASE WHEN dropped IS NULL THEN x END AS text, dropped FROM c""")
 def _(t):
     return X.parse_scripts(t.script_rows)
@@ -194,27 +209,14 @@ def _(t):
     return X.group_captions(lines)
 
 
-@query("WN-30", ["words"])
-def _(t):
-    heard = t.words.filter("length(w) % 4 <> 0").groupBy("script_id", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.length("w") % 5 == 0, F.lit("mumble")).otherwise(F.col("w")).alias("text"), "t0", "t1"))).alias("heard"))
-    lines = t.conversations.select(F.col("conv_id").alias("script_id"), F.col("turn").cast("int").alias("segment"), "text", F.lit(None).cast("double").alias("duration_s"))
-    return X.align_words(lines.join(heard, ["script_id", "segment"], "left"))
-
-
-@query("WN-31", ["words"])
-def _(t):
-    lines = t.conversations.select(F.col("conv_id").alias("script_id"), F.col("turn").cast("int").alias("segment"), "text")
-    return X.missed_names(lines, t.words.filter("length(w) % 3 <> 0").select("script_id", "segment", "w"), ["script_id", "segment"])
-
-
 @query("WN-28", ["ocr_words"])
 def _(t):
     return X.private_text(t.ocr_words)
 
 
-@query("WN-27", ["motion_events"])
+@query("WN-27", ["ev"])
 def _(t):
-    return r9(X.smooth_track(t.ev.selectExpr("user_id * 100 + cast(floor(event_id / 400) as bigint) as track", "cast(event_id as double) as t", "value as x")), "smooth", n=6)
+    return r9(X.smooth_track(t.ev.selectExpr("user_id * 1000000 + cast(floor(event_id / 400) as bigint) as track", "cast(event_id as double) as t", "value as x")), "smooth", n=6)
 
 
 # ---- sequential rules as recursive SQL -------------------------------------------------------------
@@ -233,7 +235,15 @@ ORACLES["WN-29"] = recursive(["words"], """, w AS (SELECT *, row_number() OVER (
     UNION ALL SELECT script_id, segment, n, CASE WHEN fresh THEN g + 1 ELSE g END, CASE WHEN fresh THEN 1 ELSE c + 1 END, CASE WHEN fresh THEN length(w) ELSE len + 1 + length(w) END, CASE WHEN fresh THEN t0 ELSE s0 END, NOT fresh AND (c + 1 >= 3 OR right(w, 1) IN (',', '.', '…', '?', '!', ':', ';'))
     FROM (SELECT w.script_id, w.segment, w.n, w.w, w.t0, r.g, r.c, r.len, r.s0, r.shut OR r.len + 1 + length(w.w) > 42 OR w.t1 - r.s0 > 3.2::DOUBLE AS fresh FROM r JOIN w ON w.script_id = r.script_id AND w.segment = r.segment AND w.n = r.n + 1) q)
   SELECT r.script_id, r.segment, CAST(g AS INT) AS g, round_even(min(t0), 3) AS t0, round_even(max(t1), 3) AS t1, string_agg(w, ' ' ORDER BY r.n) AS text FROM r JOIN w ON w.script_id = r.script_id AND w.segment = r.segment AND w.n = r.n GROUP BY 1, 2, 3""")
-ORACLES["WN-27"] = recursive(["ev"], """, x AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, x) AS n FROM (SELECT user_id * 100 + event_id // 400 AS track, event_id::DOUBLE AS t, value AS x FROM ev) a),
+ORACLES["WN-27"] = recursive(["ev"], """, x AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, x) AS n FROM (SELECT user_id * 1000000 + event_id // 400 AS track, event_id::DOUBLE AS t, value AS x FROM ev) a),
   r(track, n, t, p, s) AS (SELECT track, n, t, x, 0.0::DOUBLE FROM x WHERE n = 1 UNION ALL SELECT track, n, t, CASE WHEN dt > 0 THEN p + dt / (dt + 1 / (2 * pi() * (0.4::DOUBLE + 0.02::DOUBLE * abs(s)))) * (x - p) ELSE p END, s
     FROM (SELECT x.track, x.n, x.t, x.x, r.p, x.t - r.t AS dt, CASE WHEN x.t > r.t THEN r.s + (x.t - r.t) / (x.t - r.t + 1 / (2 * pi())) * ((x.x - r.p) / (x.t - r.t) - r.s) ELSE r.s END AS s FROM r JOIN x ON x.track = r.track AND x.n = r.n + 1) q)
   SELECT track, t, round(p, 6) AS smooth FROM r""")
+ORACLES["WN-28"] = recursive(["ocr_words"], f""", w AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round_even((y0 + y1) / 2, 2), x0, text, y0, x1, y1) AS n FROM ocr_words WHERE conf >= 0.5),
+  r(frame, n, g, text, x0, y0, x1, y1) AS (SELECT frame, n, 0, text, x0, y0, x1, y1 FROM w WHERE n = 1
+    UNION ALL SELECT frame, n, CASE WHEN near THEN g ELSE g + 1 END, CASE WHEN near THEN pt || ' ' || text ELSE text END, CASE WHEN near THEN px0 ELSE x0 END, CASE WHEN near THEN least(py0, y0) ELSE y0 END, x1, CASE WHEN near THEN greatest(py1, y1) ELSE y1 END
+    FROM (SELECT w.*, r.g, r.text AS pt, r.x0 AS px0, r.y0 AS py0, r.y1 AS py1, abs((r.y0 + r.y1) / 2 - (w.y0 + w.y1) / 2) < greatest(r.y1 - r.y0, w.y1 - w.y0) * 0.6::DOUBLE AND w.x0 - r.x1 >= 0 AND w.x0 - r.x1 < greatest(r.y1 - r.y0, w.y1 - w.y0) * 2.5::DOUBLE AS near
+          FROM r JOIN w ON w.frame = r.frame AND w.n = r.n + 1) q),
+  l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY frame, g ORDER BY n DESC) = 1), k AS (SELECT *, {PRIVATE_KIND} AS kind FROM l)
+  SELECT frame, kind, text, round_even((x0 + x1) / 2, 3) AS cx, round_even((y0 + y1) / 2, 3) AS cy FROM k WHERE kind IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY frame, kind, regexp_replace(text, '[^\\pL\\pN_]', '', 'g') ORDER BY y0, x0, text, x1, y1) = 1""")

@@ -60,7 +60,7 @@ def test_rule_or_fact_and_lexicon(spark):
     assert [r.factlike for r in R.looks_like_fact(d).collect()] == [True, False]
     lines = spark.createDataFrame([("es-MX", "Vamos a Downtown Loop, downtown.")], "lang string, text string").withColumn("l2", F.substring("lang", 1, 2))
     lex = spark.createDataFrame([("es", 0, "downtown", "x"), ("es", 1, "downtown", "dauntáun"), ("es", 0, "downtown loop", "dauntáun lup")], "lang string, layer int, term string, say string")
-    assert X.apply_lexicon(lines, lex, lang="l2").first().spoken == "Vamos a dauntáun lup, dauntáun."
+    assert X.apply_lexicon(lines, lex, ["text"], lang="l2").first().spoken == "Vamos a dauntáun lup, dauntáun."
 
 
 def test_private_kind(spark):
@@ -118,16 +118,7 @@ def test_word_recall(spark):
     assert V.recall(lines, heard).first().recall == pytest.approx(0.6)
 
 
-def test_align_words(spark):
-    d = spark.createDataFrame([(1, "¿Cuánto cuesta el boleto?", [("cuanto", 0.0, 0.4), ("cuesta", 0.5, 0.9), ("boleto", 1.3, 1.8)], None)], "i int, text string, heard array<struct<text:string,t0:double,t1:double>>, duration_s double")
-    got = [(r.word, r.t0, r.t1) for r in X.align_words(d).orderBy("pos").collect()]
-    assert got == [("¿Cuánto", 0.0, 0.4), ("cuesta", 0.5, 0.9), ("el", 0.9, 1.3), ("boleto?", 1.3, 1.8)]
-
-
-def test_missed_names_and_ocr(spark):
-    lines = spark.createDataFrame([(1, "Fuimos al Valentino en 2024 con Ana")], "k int, text string")
-    heard = spark.createDataFrame([(1, "fuimos"), (1, "valentina"), (1, "dosmil")], "k int, w string")
-    assert [r.missed for r in X.missed_names(lines, heard, ["k"]).collect()] == ["2024"]
+def test_private_text(spark):
     w = spark.createDataFrame([(1, "VK", 0.9, 0.1, 0.5, 0.15, 0.55), (1, "9312", 0.9, 0.17, 0.5, 0.25, 0.55), (1, "51D", 0.9, 0.1, 0.8, 0.2, 0.85)], "frame int, text string, conf double, x0 double, y0 double, x1 double, y1 double")
     assert [(r.kind, r.text) for r in X.private_text(w).collect()] == [("plate", "VK 9312")]
 
