@@ -129,7 +129,7 @@ VIEWS = {
                CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(5)) || '-' || CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LO}) AS VARCHAR(5)) AS id,
                'lib/f' || CAST(l_partkey AS VARCHAR(20)) || CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.mov' ELSE '.insv' END AS path,
                CASE WHEN p_size % 3 = 0 THEN 'photo' WHEN p_size % 3 = 1 THEN 'video' ELSE '360' END AS type,
-               l_shipdate AS date, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS place, p_brand AS location, p_name AS description,
+               l_shipdate AS date, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS place, p_brand AS location, CASE WHEN p_size % 4 = 0 THEN ' ' || lower(p_brand) || ' ' ELSE NULL END AS city, p_name AS description,
                l_quantity AS start_s, l_quantity + l_discount * 40 AS end_s,
                CAST(1 + p_size % 5 AS INT) AS quality, CAST(1 + l_suppkey % 5 AS INT) AS hook,
                CASE WHEN l_returnflag = 'N' THEN FALSE WHEN l_returnflag = 'R' THEN TRUE ELSE NULL END AS use,
@@ -203,27 +203,30 @@ VIEWS = {
         SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)) AS project, item_id AS fact, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS forbid, string_split(text, ' ')[-1] AS allow_if FROM {benchmark}
         UNION ALL SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)), item_id, string_split(text, ' ')[3] || '( a| the|,)? ' || string_split(text, ' ')[4], string_split(text, ' ')[-1] FROM {benchmark}""")),
     "place_facts": (["pages"], """
-        SELECT page_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'economy' WHEN 1 THEN 'Small' WHEN 2 THEN 'LARGE' WHEN 3 THEN 'brand#1' WHEN 4 THEN 'Brand#2' ELSE 'nowhere' END AS place,
+        SELECT page_id, 1 + page_id % 7 AS project_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'economy' WHEN 1 THEN 'Small' WHEN 2 THEN 'LARGE' WHEN 3 THEN 'brand#1' WHEN 4 THEN 'Brand#2' ELSE 'nowhere' END AS place,
                CASE CAST(page_id % 8 AS INT) WHEN 0 THEN 'price' WHEN 1 THEN 'time' WHEN 2 THEN 'how' WHEN 3 THEN 'tip' WHEN 4 THEN 'mistake' WHEN 5 THEN 'number' WHEN 6 THEN 'gossip' ELSE NULL END AS kind,
                html AS text, CASE WHEN page_id % 5 = 0 THEN replace(url, 'http', 'ftp') ELSE url END AS source,
                CASE WHEN page_id % 9 = 0 THEN NULL ELSE CAST('2026-01-01' AS DATE) - CAST(page_id % 200 AS INT) END AS seen FROM {pages}"""),
     # ---- disk and library state of the catalogue ---------------------------------------------
-    "files": (["part"], """
-        SELECT CASE WHEN p_partkey % 5 <> 0 THEN 'lib/f' || k || ext WHEN p_partkey % 3 = 0 THEN '/p/proj/new/F' || k || ext ELSE '/q/old/proxy-f' || k || '_small' || ext END AS path,
-               p_size * 1000 AS bytes, CAST(p_size AS DOUBLE) AS duration_s FROM (SELECT *, CAST(p_partkey AS VARCHAR(20)) AS k, CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.mov' ELSE '.insv' END AS ext FROM {part}) x
-        WHERE p_partkey % 5 <> 0 OR p_partkey % 3 < 2
+    "project_parts": (["lineitem", "part"], "SELECT DISTINCT l_suppkey AS project_id, p_partkey, p_size FROM {lineitem} JOIN {part} ON p_partkey = l_partkey"),
+    # the same file names in many projects, with other files missing in each
+    "files": (["project_parts"], """
+        SELECT project_id, CASE WHEN r % 5 <> 0 THEN 'lib/f' || k || ext WHEN r % 3 = 0 THEN '/p/proj/new/F' || k || ext ELSE '/q/old/proxy-f' || k || '_small' || ext END AS path,
+               p_size * 1000 AS bytes, CAST(p_size AS DOUBLE) AS duration_s FROM (SELECT *, p_partkey + project_id AS r, CAST(p_partkey AS VARCHAR(20)) AS k, CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.mov' ELSE '.insv' END AS ext FROM {project_parts}) x
+        WHERE r % 5 <> 0 OR r % 3 < 2
         UNION ALL
-        SELECT CASE WHEN p_size % 2 = 0 THEN '/p/v3/c1/resources/f' ELSE '/z/f' END || CAST(p_partkey AS VARCHAR(20)) || CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.mov' ELSE '.insv' END, p_size * 900, CAST(p_size AS DOUBLE) + 20 FROM {part} WHERE p_partkey % 3 = 0"""),
-    "library_names": (["part"], """
-        SELECT 'F' || CAST(p_partkey AS VARCHAR(20)) || CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.MOV' ELSE '.insv' END AS original_name, 'U-' || CAST(p_partkey AS VARCHAR(20)) AS uuid, FALSE AS trashed FROM {part} WHERE p_partkey % 2 = 0"""),
+        SELECT project_id, CASE WHEN p_size % 2 = 0 THEN '/p/v3/c1/resources/f' ELSE '/z/f' END || CAST(p_partkey AS VARCHAR(20)) || CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.mov' ELSE '.insv' END, p_size * 900, CAST(p_size AS DOUBLE) + 20 FROM {project_parts} WHERE (p_partkey + project_id) % 3 = 0"""),
+    "library_names": (["project_parts"], """
+        SELECT project_id, 'F' || CAST(p_partkey AS VARCHAR(20)) || CASE WHEN p_size % 3 = 0 THEN '.jpg' WHEN p_size % 3 = 1 THEN '.MOV' ELSE '.insv' END AS original_name, 'U-' || CAST(project_id AS VARCHAR(20)) || '-' || CAST(p_partkey AS VARCHAR(20)) AS uuid, p_partkey % 2 = 1 AS trashed FROM {project_parts}"""),
     "vetoes": (["lineitem"], "SELECT DISTINCT l_suppkey AS project_id, CAST(l_quantity AS BIGINT) AS n FROM {lineitem} WHERE CAST(l_quantity AS BIGINT) % 7 = 0"),
     "used_ids": (["lineitem"], """
-        SELECT DISTINCT l_suppkey AS project_id, CASE WHEN l_partkey % 17 = 0 THEN 'zz' ELSE '' END || CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(5)) || '-1' AS id FROM {lineitem} WHERE l_linenumber < 4"""),
+        SELECT DISTINCT l_suppkey AS project_id, CASE WHEN l_partkey % 17 = 0 THEN 'zz' ELSE '' END || CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(5)) || '-1' AS id FROM {lineitem}"""),
     "cuts": (["moments"], "SELECT project_id, id, orderkey AS video_id, start_s + quality - 2 AS cut_start, start_s + quality - 2 + hook * 0.5e0 AS cut_end FROM {moments} WHERE type <> 'photo'"),
     "batch_items": (["moments"], """
-        SELECT project_id, id, path, type, date, start_s, end_s, quality, hook, description, batch, CASE WHEN type = 'photo' THEN 'b' || CAST(partkey AS VARCHAR(20)) || '-' || CAST(quality AS VARCHAR(5)) ELSE NULL END AS burst FROM {moments}"""),
+        SELECT project_id, id, path, type, date, start_s, end_s, quality, hook, description, batch, place, favorite, use, notes, subject_present, emotion, candid, story_potential, yaw, CASE WHEN type = 'photo' THEN 'b' || CAST(partkey AS VARCHAR(20)) || '-' || CAST(quality AS VARCHAR(5)) ELSE NULL END AS burst FROM {moments}"""),
     "frame_report": (["moments"], """
-        SELECT project_id, id, notes, quality, hook > 3 AND reaction AS foreground, subject_present AND quality = 1 AS private, 'the bottom third is people, quality ' || CAST(quality AS VARCHAR(5)) AS finding FROM {moments}"""),
+        SELECT project_id, id, notes, quality, CASE WHEN hook > 3 AND reaction THEN 'foreground_people' ELSE 'glass' END AS obstruction, CASE WHEN subject_present AND quality = 1 THEN 'private_plate' ELSE 'horizontal_edge' END AS finding1,
+               'blocking_people at ' || repeat('0', 150) || CAST(quality AS VARCHAR(5)) AS finding2, CASE WHEN quality = 2 THEN NULL ELSE quality END AS at_s FROM {moments}"""),
     "live_moments": (["moments"], """
         SELECT project_id, id, CASE WHEN orderkey % 5 = 0 THEN 'ABCDEF12-0000-4000-8000-' || right('000000000000' || CAST(partkey AS VARCHAR(20)), 12) ELSE NULL END AS uuid,
                CASE WHEN orderkey % 5 = 1 THEN 'x/abcdef12-0000-4000-8000-' || right('000000000000' || CAST(partkey AS VARCHAR(20)), 12) || '.jpg' ELSE path END AS path,
@@ -233,10 +236,12 @@ VIEWS = {
     "live_library": (["part"], """SELECT 'ABCDEF12-0000-4000-8000-' || right('000000000000' || CAST(p_partkey AS VARCHAR(20)), 12) AS uuid, p_partkey % 2 = 0 AS live, CASE WHEN p_partkey % 4 = 0 THEN 'orig/' || CAST(p_partkey AS VARCHAR(20)) || '_3.mov' ELSE NULL END AS local_mov FROM {part}"""),
     "frame_measures": (["lineitem"], ("""
         SELECT l_orderkey AS moment_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY LO) AS INT) AS at_s,
-          filter(array(CASE WHEN l_linenumber % 3 > 0 THEN named_struct('axis', CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'v' END, 'at', 0.3e0 + l_discount, 'len', 0.5e0 + l_tax) END, CASE WHEN l_linenumber % 3 > 1 THEN named_struct('axis', 'v', 'at', 0.6e0, 'len', 0.5e0) END), x -> x IS NOT NULL) AS crossing_lines,
+          filter(array(CASE WHEN l_linenumber % 3 > 0 THEN named_struct('axis', CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'v' END, 'at', 0.3e0 + l_discount, 'len', 0.5e0 + l_tax) END, CASE WHEN l_linenumber % 3 > 1 THEN named_struct('axis', 'v', 'at', 0.6e0, 'len', 0.5e0) END, CASE WHEN l_linenumber % 3 > 1 AND l_suppkey % 3 = 0 THEN named_struct('axis', 'h', 'at', 0.7e0, 'len', 0.5e0) END), x -> x IS NOT NULL) AS crossing_lines,
+          CASE WHEN l_partkey % 11 = 0 THEN array('plate') WHEN l_partkey % 11 = 1 THEN array('phone', 'email') END AS private_text,
           l_discount * 6 AS haze, l_quantity + 20 AS contrast, 1 - l_tax * 8 AS clear_band, l_tax * 6 AS people_bottom, l_discount AS people_middle,
           CASE WHEN l_partkey % 3 = 0 THEN array(named_struct('cy', l_suppkey / 100.0e0, 'height_share', l_discount)) ELSE filter(array(named_struct('cy', 0e0, 'height_share', 0e0)), x -> false) END AS faces FROM {lineitem}""".replace("LO", "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"), """
-        SELECT l_orderkey AS moment_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY LO) AS INT) AS at_s, CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis1, CAST(l_linenumber % 3 AS INT) AS n_lines, 0.3e0 + l_discount AS at1,
+        SELECT l_orderkey AS moment_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY LO) AS INT) AS at_s, CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'v' END AS axis1, CAST(l_linenumber % 3 AS INT) + CASE WHEN l_linenumber % 3 > 1 AND l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS n_lines, 0.3e0 + l_discount AS at1,
+          CASE WHEN l_partkey % 11 = 0 THEN ['private_plate'] WHEN l_partkey % 11 = 1 THEN ['private_phone', 'private_email'] ELSE [] END AS priv,
           l_discount * 6 AS haze, l_quantity + 20 AS contrast, 1 - l_tax * 8 AS clear_band, l_tax * 6 AS people_bottom, l_discount AS people_middle, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey / 100.0e0 END AS face_cy, l_discount AS face_h FROM {lineitem}""".replace("LO", "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"))),
     # camera swing and subject motion of short live clips, ten samples a second
     "motion_samples": (["ev"], """

@@ -85,9 +85,9 @@ def file_rank(project_root):
     return [F.col("file").rlike(r"/v[0-9]+/[^/]+/resources/"), ~F.col("file").startswith(project_root), F.col("bytes").desc(), F.col("file")]
 
 
-def rank_files(files, project_root):
+def rank_files(files, project_root, g=("project_id",)):
     f = files.withColumnRenamed("path", "file").withColumn("name", F.lower(base_name("file")))
-    return f.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*file_rank(project_root))))
+    return f.withColumn("rank", F.row_number().over(Window.partitionBy(*g, "name").orderBy(*file_rank(project_root))))
 
 
 def _fits():
@@ -96,24 +96,28 @@ def _fits():
     return ~video | (need == 0) | (F.col("duration_s") >= need - 0.05)
 
 
-def broken_paths(moments, files):
-    return moments.join(files.select("path"), "path", "left_anti")
+def broken_paths(moments, files, g=("project_id",)):
+    return moments.join(files.select(*g, "path"), [*g, "path"], "left_anti")
 
 
-def _best_copy(broken, names, project_root, how):
-    """The best-ranked file that fits per broken path and window; distinct paths are few per name."""
-    w = Window.partitionBy("path", "type", "end_s").orderBy(*file_rank(project_root))
-    need = broken.select("path", "type", "end_s", "_key").distinct()
-    hit = (need.join(names, "_key").filter(_fits()).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-           .select("path", "type", F.col("end_s").alias("_e"), F.col("file").alias("now"), F.lit(how).alias("how")))
-    return broken.join(hit, (broken["path"] == hit["path"]) & (broken["type"] == hit["type"]) & broken["end_s"].eqNullSafe(hit["_e"]), "left").select(broken["*"], "now", "how").drop("_key")
+def _best_copy(broken, names, project_root, how, g):
+    """The best-ranked file of the same project that fits, per broken path and window; distinct paths are few per name. A
+    name that every project has meets only the files of its own project."""
+    w = Window.partitionBy(*g, "path", "type", "end_s").orderBy(*file_rank(project_root))
+    need = broken.select(*g, "path", "type", "end_s", "_key").distinct()
+    hit = (need.join(names, [*g, "_key"]).filter(_fits()).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+           .select(*g, "path", "type", F.col("end_s").alias("_e"), F.col("file").alias("now"), F.lit(how).alias("how")))
+    same = broken["end_s"].eqNullSafe(hit["_e"])
+    for k in (*g, "path", "type"):
+        same = same & (broken[k] == hit[k])
+    return broken.join(hit, same, "left").select(broken["*"], "now", "how").drop("_key")
 
 
-def repair_paths(moments, files, project_root):
+def repair_paths(moments, files, project_root, g=("project_id",)):
     """Broken paths repointed to a file of the same name whose length holds the window."""
-    b = broken_paths(moments, files).withColumn("_key", F.lower(base_name("path")))
-    names = files.select(F.lower(base_name("path")).alias("_key"), F.col("path").alias("file"), "bytes", "duration_s")
-    return _best_copy(b, names, project_root, "same name")
+    b = broken_paths(moments, files, g).withColumn("_key", F.lower(base_name("path")))
+    names = files.select(*g, F.lower(base_name("path")).alias("_key"), F.col("path").alias("file"), "bytes", "duration_s")
+    return _best_copy(b, names, project_root, "same_name", g)
 
 
 def name_pieces(name):
@@ -125,19 +129,19 @@ def name_pieces(name):
     return let(name, cut)
 
 
-def working_copies(broken, files, project_root):
+def working_copies(broken, files, project_root, g=("project_id",)):
     """A copy whose name holds the stem between separators, found by equality on the pieces."""
     stem = F.lower(F.regexp_replace(base_name("path"), r"(?<=.)\.[^.]*$", ""))
-    names = files.select(F.explode(name_pieces(F.lower(base_name("path")))).alias("_key"), F.col("path").alias("file"), "bytes", "duration_s")
-    return _best_copy(broken.withColumn("_key", stem), names, project_root, "working copy of the same original")
+    names = files.select(*g, F.explode(name_pieces(F.lower(base_name("path")))).alias("_key"), F.col("path").alias("file"), "bytes", "duration_s")
+    return _best_copy(broken.withColumn("_key", stem), names, project_root, "name_contains_stem", g)
 
 
-def library_fallback(missing, library):
-    """What is on no disk may still be in the library under its original name; else it is missing."""
-    lib = library.filter("not trashed").groupBy(F.upper("original_name").alias("_n")).agg(F.max("uuid").alias("uuid"))
-    j = missing.withColumn("_n", F.upper(base_name("path"))).join(lib, "_n", "left").drop("_n")
-    why = F.when(F.col("uuid").isNotNull(), F.concat(F.lit("not on disk; in the photo library as "), "uuid", F.lit(": export it by id first"))).otherwise("not on disk and not in the photo library under this name")
-    return j.withColumn("missing", F.lit(True)).withColumn("notes", add_note("notes", F.concat(F.lit("disk check: "), why), "disk check:"))
+def library_fallback(missing, library, g=("project_id",)):
+    """What is on no disk may still be in the project's library under its original name; the note says which."""
+    lib = library.filter("not trashed").groupBy(*g, F.upper("original_name").alias("_n")).agg(F.max("uuid").alias("uuid"))
+    j = missing.withColumn("_n", F.upper(base_name("path"))).join(lib, [*g, "_n"], "left").drop("_n")
+    note = F.concat(F.lit("file_state="), F.coalesce(F.concat(F.lit("library:"), "uuid"), F.lit("lost")))
+    return j.withColumn("missing", F.lit(True)).withColumn("notes", add_note("notes", note, "file_state="))
 
 
 def sheet_index(items, per_sheet, g=("project_id",), order=("date", "id"), block_s=86400 * 30):
@@ -148,7 +152,7 @@ def sheet_index(items, per_sheet, g=("project_id",), order=("date", "id"), block
 def veto(moments, index, numbers, g=("project_id",)):
     struck = index.join(numbers, [*g, "n"], "left_semi").select(*g, "id", F.lit(True).alias("_v")).distinct()
     j = moments.join(struck, [*g, "id"], "left")
-    note = F.btrim(F.concat(F.rtrim(F.coalesce("notes", F.lit(""))), F.lit(" | vetoed by the user on the contact sheet")), F.lit(" |"))
+    note = F.btrim(F.concat(F.rtrim(F.coalesce("notes", F.lit(""))), F.lit(" | struck_on_sheet")), F.lit(" |"))
     return j.withColumn("use", F.when(F.col("_v"), False).otherwise(F.col("use"))).withColumn("notes", F.when(F.col("_v"), note).otherwise(F.col("notes"))).drop("_v")
 
 
@@ -196,9 +200,9 @@ def duplicate_ids(rows, key, order, g=("project_id",)):
 
 
 # ---- frame check -----------------------------------------------------------------------------
-def frame_decision(m):
-    """obstructions[] from the numbers and one finding code per defect. Bodies low in the frame block
-    only when no face there looks at the lens."""
+def frame_decision(m, max_edges=None):
+    """obstructions[] from the numbers and one finding code per defect, private texts first. Bodies low in the frame block
+    only when no face there looks at the lens. max_edges: findings of further crossing edges are left out (off: all)."""
     facing = F.exists("faces", lambda f: f["cy"] >= FACE_LOW_Y - 0.1)
     people = (F.coalesce("people_bottom", F.lit(0.0)) >= BOTTOM_PEOPLE) & (F.coalesce("people_middle", F.lit(0.0)) < F.coalesce("people_bottom", F.lit(0.0)) / 2) & ~F.coalesce(facing, F.lit(False))
     m = m.withColumn("_p", people).withColumn("_n", F.coalesce(F.size("crossing_lines"), F.lit(0)))
@@ -206,8 +210,9 @@ def frame_decision(m):
     line = F.col("_n") > 0
     on = lambda cond, name: F.when(cond, F.lit(name))
     obstructions = F.array_compact(F.array(on(F.col("_p"), "foreground_people"), on(line, "frame"), on(((F.col("_p") | line) & fog) | (F.col("_p") & line), "glass"), on((F.col("_p") | line) & fog, "dirt")))
-    edges = F.transform(F.slice("crossing_lines", 1, 2), lambda x: F.concat(F.when(x["axis"] == "h", "horizontal").otherwise("vertical"), F.lit("_edge")))
-    findings = F.concat(F.array_compact(F.array(on(F.col("_p"), "blocking_people"))), F.coalesce(edges, F.array().cast("array<string>")),
+    edges = F.transform(F.col("crossing_lines") if max_edges is None else F.slice("crossing_lines", 1, max_edges), lambda x: F.concat(F.when(x["axis"] == "h", "horizontal").otherwise("vertical"), F.lit("_edge")))
+    private = F.transform("private_text", lambda x: F.concat(F.lit("private_"), x)) if "private_text" in m.columns else F.lit(None).cast("array<string>")
+    findings = F.concat(F.coalesce(private, F.array().cast("array<string>")), F.array_compact(F.array(on(F.col("_p"), "blocking_people"))), F.coalesce(edges, F.array().cast("array<string>")),
                         F.array_compact(F.array(on((F.col("_p") | line) & fog, "dirty_glass"), on((F.col("clear_band") < CLEAR_MIN) & (F.col("_p") | (F.col("_n") > 1)), "no_clear_band"), on(F.col("_p") & line, "vehicle_window"))))
     return m.withColumn("obstructions", obstructions).withColumn("findings", findings).drop("_p", "_n")
 
@@ -220,13 +225,15 @@ def worst_sample(decided, key="moment_id", at="at_s"):
 
 
 def annotate_moments(moments, report, g=("project_id",)):
-    """Adds a note once, never changes quality."""
-    r = report.select(*g, "id", "foreground", "private", "finding")
-    j = moments.join(r, [*g, "id"], "left")
-    n1 = F.when(F.col("private"), add_note("notes", F.concat(F.lit("frame check, private text: "), F.substring("finding", 1, 120)), "frame check, private text")).otherwise(F.col("notes"))
-    j = j.withColumn("notes", n1)
-    n2 = F.when(F.col("foreground"), add_note("notes", F.concat(F.lit("frame check, needs a look: "), F.substring("finding", 1, 140)), "frame check, needs a look")).otherwise(F.col("notes"))
-    return j.withColumn("notes", n2).drop("foreground", "private", "finding")
+    """report(id, obstructions, findings, at_s): one note for findings of private text, one for people in the way with every
+    finding and its second; each is added once, in full, and quality never changes."""
+    j = moments.join(report.select(*g, "id", "obstructions", "findings", "at_s"), [*g, "id"], "left")
+    private = F.filter("findings", lambda x: x.startswith("private_"))
+    seen = F.concat(F.lit("frame_private="), F.array_join(private, "; "))
+    look = F.concat(F.lit("frame_look="), F.array_join("findings", "; "), F.coalesce(F.concat(F.lit(" @"), F.col("at_s").cast("string")), F.lit("")))
+    j = j.withColumn("notes", F.when(F.size(private) > 0, add_note("notes", seen, "frame_private=")).otherwise(F.col("notes")))
+    blocked = F.array_contains("obstructions", "foreground_people")
+    return j.withColumn("notes", F.when(blocked, add_note("notes", look, "frame_look=")).otherwise(F.col("notes"))).drop("obstructions", "findings", "at_s")
 
 
 # ---- live clips ------------------------------------------------------------------------------

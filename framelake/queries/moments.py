@@ -66,11 +66,12 @@ def _(t):
 
 _RANK = "regexp_matches(f.path, '/v[0-9]+/[^/]+/resources/'), NOT starts_with(f.path, '/p/proj'), f.bytes DESC, f.path"
 _FIT = "(m.type = 'photo' OR regexp_matches(f.path, '(?i)\\.(jpg|jpeg|heic|png)$') OR m.end_s = 0 OR f.duration_s >= m.end_s - 0.05)"
-_REP = f""", broken AS (SELECT * FROM moments WHERE path NOT IN (SELECT path FROM files)),
-   s1 AS (SELECT b.id, b.path, b.type, b.end_s, b.notes, f.path AS now FROM broken b LEFT JOIN (SELECT * FROM (SELECT m.path AS was, m.end_s, f.path, row_number() OVER (PARTITION BY m.path, m.end_s ORDER BY {_RANK}) AS r
-      FROM (SELECT DISTINCT path, type, end_s FROM broken) m JOIN files f ON lower(parse_filename(f.path, false, 'forward_slash')) = lower(parse_filename(m.path, false, 'forward_slash')) WHERE {_FIT}) x WHERE r = 1) f ON f.was = b.path AND f.end_s = b.end_s),
-   s2 AS (SELECT b.id, b.path, b.notes, f.path AS now FROM s1 b LEFT JOIN (SELECT * FROM (SELECT m.path AS was, m.end_s, f.path, row_number() OVER (PARTITION BY m.path, m.end_s ORDER BY {_RANK}) AS r
-      FROM (SELECT DISTINCT path, type, end_s FROM s1 WHERE now IS NULL) m JOIN (SELECT *, '-' || replace(lower(parse_filename(path, false, 'forward_slash')), '_', '-') || '-' AS pn FROM files) f ON contains(f.pn, '-' || lower(parse_filename(m.path, true, 'forward_slash')) || '-') OR contains(f.pn, '-' || lower(parse_filename(m.path, true, 'forward_slash')) || '.') WHERE {_FIT}) x WHERE r = 1) f ON f.was = b.path AND f.end_s = b.end_s WHERE b.now IS NULL) """
+_REP = f""", broken AS (SELECT * FROM moments m WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.project_id = m.project_id AND f.path = m.path)),
+   s1 AS (SELECT b.project_id, b.id, b.path, b.type, b.end_s, b.notes, f.path AS now FROM broken b LEFT JOIN (SELECT * FROM (SELECT m.project_id, m.path AS was, m.end_s, f.path, row_number() OVER (PARTITION BY m.project_id, m.path, m.end_s ORDER BY {_RANK}) AS r
+      FROM (SELECT DISTINCT project_id, path, type, end_s FROM broken) m JOIN files f ON f.project_id = m.project_id AND lower(parse_filename(f.path, false, 'forward_slash')) = lower(parse_filename(m.path, false, 'forward_slash')) WHERE {_FIT}) x WHERE r = 1) f ON f.project_id = b.project_id AND f.was = b.path AND f.end_s = b.end_s),
+   s2 AS (SELECT b.project_id, b.id, b.path, b.notes, f.path AS now FROM s1 b LEFT JOIN (SELECT * FROM (SELECT m.project_id, m.path AS was, m.end_s, f.path, row_number() OVER (PARTITION BY m.project_id, m.path, m.end_s ORDER BY {_RANK}) AS r
+      FROM (SELECT DISTINCT project_id, path, type, end_s FROM s1 WHERE now IS NULL) m JOIN (SELECT *, '-' || replace(lower(parse_filename(path, false, 'forward_slash')), '_', '-') || '-' AS pn FROM files) f ON f.project_id = m.project_id AND (contains(f.pn, '-' || lower(parse_filename(m.path, true, 'forward_slash')) || '-')
+        OR contains(f.pn, '-' || lower(parse_filename(m.path, true, 'forward_slash')) || '.')) WHERE {_FIT}) x WHERE r = 1) f ON f.project_id = b.project_id AND f.was = b.path AND f.end_s = b.end_s WHERE b.now IS NULL) """
 
 
 def _repair(t):
@@ -80,25 +81,25 @@ def _repair(t):
     return same, rest
 
 
-@query("JN-06", ["moments", "files"], _REP + "SELECT id, path, now, CASE WHEN now IS NOT NULL THEN 'same name' END AS how FROM s1")
+@query("JN-06", ["moments", "files"], _REP + "SELECT project_id, id, path, now, CASE WHEN now IS NOT NULL THEN 'same_name' END AS how FROM s1")
 def _(t):
-    return _repair(t)[0].select("id", "path", "now", "how")
+    return _repair(t)[0].select("project_id", "id", "path", "now", "how")
 
 
-@query("JN-07", ["moments", "files"], _REP + "SELECT id, path, now, CASE WHEN now IS NOT NULL THEN 'working copy of the same original' END AS how FROM s2")
+@query("JN-07", ["moments", "files"], _REP + "SELECT project_id, id, path, now, CASE WHEN now IS NOT NULL THEN 'name_contains_stem' END AS how FROM s2")
 def _(t):
-    return _repair(t)[1].select("id", "path", "now", "how")
+    return _repair(t)[1].select("project_id", "id", "path", "now", "how")
 
 
-@query("JN-08", ["moments", "files", "library_names"], _REP + """SELECT id, path, uuid, TRUE AS missing, CASE WHEN notes IS NULL THEN '' ELSE notes || ' | ' END || 'disk check: ' || CASE WHEN uuid IS NULL THEN 'not on disk and not in the photo library under this name' ELSE 'not on disk; in the photo library as ' || uuid || ': export it by id first' END AS notes
-   FROM s2 LEFT JOIN (SELECT upper(original_name) AS n, max(uuid) AS uuid FROM library_names WHERE NOT trashed GROUP BY 1) l ON l.n = upper(parse_filename(s2.path, false, 'forward_slash')) WHERE now IS NULL""")
+@query("JN-08", ["moments", "files", "library_names"], _REP + """SELECT s2.project_id, id, path, uuid, TRUE AS missing, CASE WHEN notes IS NULL THEN '' ELSE notes || ' | ' END || 'file_state=' || coalesce('library:' || uuid, 'lost') AS notes
+   FROM s2 LEFT JOIN (SELECT project_id, upper(original_name) AS n, max(uuid) AS uuid FROM library_names WHERE NOT trashed GROUP BY 1, 2) l ON l.project_id = s2.project_id AND l.n = upper(parse_filename(s2.path, false, 'forward_slash')) WHERE now IS NULL""")
 def _(t):
-    return M.library_fallback(_repair(t)[1].filter("now is null"), t.library_names).select("id", "path", "uuid", "missing", "notes")
+    return M.library_fallback(_repair(t)[1].filter("now is null"), t.library_names).select("project_id", "id", "path", "uuid", "missing", "notes")
 
 
-@query("TK-04", ["files"], f"SELECT lower(parse_filename(path, false, 'forward_slash')) AS name, path AS file, CAST(row_number() OVER (PARTITION BY lower(parse_filename(path, false, 'forward_slash')) ORDER BY {_RANK}) AS INT) AS rank FROM files f")
+@query("TK-04", ["files"], f"SELECT project_id, lower(parse_filename(path, false, 'forward_slash')) AS name, path AS file, CAST(row_number() OVER (PARTITION BY project_id, lower(parse_filename(path, false, 'forward_slash')) ORDER BY {_RANK}) AS INT) AS rank FROM files f")
 def _(t):
-    return M.rank_files(t.files, "/p/proj").select("name", "file", "rank")
+    return M.rank_files(t.files, "/p/proj").select("project_id", "name", "file", "rank")
 
 
 _INDEX = f"(SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY date, id) AS n FROM moments WHERE {_USE} AND subject_present)"
@@ -109,7 +110,7 @@ def _(t):
     return M.sheet_index(t.moments.filter(M.in_use() & F.col("subject_present")), 30).select("project_id", "id", "n", "page", "cell")
 
 
-@query("JN-10", ["moments", "vetoes"], f"""SELECT m.project_id, m.id, CASE WHEN s.id IS NOT NULL THEN FALSE ELSE m.use END AS use, CASE WHEN s.id IS NULL THEN notes WHEN notes IS NULL THEN 'vetoed by the user on the contact sheet' ELSE notes || ' | vetoed by the user on the contact sheet' END AS notes
+@query("JN-10", ["moments", "vetoes"], f"""SELECT m.project_id, m.id, CASE WHEN s.id IS NOT NULL THEN FALSE ELSE m.use END AS use, CASE WHEN s.id IS NULL THEN notes WHEN notes IS NULL THEN 'struck_on_sheet' ELSE notes || ' | struck_on_sheet' END AS notes
    FROM moments m LEFT JOIN (SELECT i.project_id, i.id FROM {_INDEX} i JOIN vetoes v ON v.project_id = i.project_id AND v.n = i.n) s ON s.project_id = m.project_id AND s.id = m.id""")
 def _(t):
     idx = M.sheet_index(t.moments.filter(M.in_use() & F.col("subject_present")), 30)
@@ -143,15 +144,16 @@ def _(t):
     return M.duplicate_ids(t.moments, "raw_id", ["date", "id"])
 
 
-@query("FLT-10", ["moments", "frame_report"], """SELECT project_id, id, CASE WHEN foreground THEN CASE WHEN n1 IS NULL THEN '' ELSE n1 || ' | ' END || 'frame check, needs a look: ' || finding ELSE n1 END AS notes, quality FROM (
-   SELECT r.*, CASE WHEN private THEN CASE WHEN notes IS NULL THEN '' ELSE notes || ' | ' END || 'frame check, private text: ' || finding ELSE notes END AS n1 FROM frame_report r) s""")
+@query("FLT-10", ["moments", "frame_report"], """SELECT project_id, id, CASE WHEN obstruction = 'foreground_people' THEN coalesce(n1 || ' | ', '') || 'frame_look=' || finding1 || '; ' || finding2 || coalesce(' @' || at_s, '') ELSE n1 END AS notes, quality FROM (
+   SELECT r.*, CASE WHEN finding1 LIKE 'private%' THEN coalesce(notes || ' | ', '') || 'frame_private=' || finding1 ELSE notes END AS n1 FROM frame_report r) s""")
 def _(t):
-    return M.annotate_moments(t.moments, t.frame_report).select("project_id", "id", "notes", "quality")
+    report = t.frame_report.select("project_id", "id", F.array("obstruction").alias("obstructions"), F.array("finding1", "finding2").alias("findings"), "at_s")
+    return M.annotate_moments(t.moments, report).select("project_id", "id", "notes", "quality")
 
 
 _FD = """(SELECT *, array_to_string(list_filter([CASE WHEN p THEN 'foreground_people' END, CASE WHEN n_lines > 0 THEN 'frame' END, CASE WHEN ((p OR n_lines > 0) AND fog) OR (p AND n_lines > 0) THEN 'glass' END, CASE WHEN (p OR n_lines > 0) AND fog THEN 'dirt' END], lambda x: x IS NOT NULL), ',') AS obstructions,
-   list_filter([CASE WHEN p THEN 'blocking_people' END, CASE WHEN n_lines > 0 THEN CASE WHEN axis1 = 'h' THEN 'horizontal_edge' ELSE 'vertical_edge' END END, CASE WHEN n_lines > 1 THEN 'vertical_edge' END, CASE WHEN (p OR n_lines > 0) AND fog THEN 'dirty_glass' END, CASE WHEN clear_band < 0.55 AND (p OR n_lines > 1) THEN 'no_clear_band' END,
-      CASE WHEN p AND n_lines > 0 THEN 'vehicle_window' END], lambda x: x IS NOT NULL) AS f
+   list_concat(priv, list_filter([CASE WHEN p THEN 'blocking_people' END, CASE WHEN n_lines > 0 THEN CASE WHEN axis1 = 'h' THEN 'horizontal_edge' ELSE 'vertical_edge' END END, CASE WHEN n_lines > 1 THEN 'vertical_edge' END, CASE WHEN n_lines > 2 THEN 'horizontal_edge' END, CASE WHEN (p OR n_lines > 0) AND fog THEN 'dirty_glass' END, CASE WHEN clear_band < 0.55 AND (p OR n_lines > 1) THEN 'no_clear_band' END,
+      CASE WHEN p AND n_lines > 0 THEN 'vehicle_window' END], lambda x: x IS NOT NULL)) AS f
    FROM (SELECT *, people_bottom >= 0.22 AND people_middle < people_bottom / 2 AND NOT coalesce(face_cy >= 0.55::DOUBLE - 0.1::DOUBLE, FALSE) AS p, haze >= 0.42 AND contrast <= 46 AS fog FROM frame_measures) a)"""
 
 
@@ -185,12 +187,16 @@ def _(t):
     return M.live_verdict(t.motion_samples).withColumn("camera", F.round("camera", 9)).withColumn("subject", F.round("subject", 9))
 
 
-@query("SRC-03", ["batch_items"], "SELECT 'catalog-' || project_id || '-' || batch AS origin, id, path, start_s, end_s, quality FROM batch_items")
+@query("SRC-03", ["batch_items"], """SELECT 'catalog-' || project_id || '-' || batch AS origin, id, path, start_s, end_s, quality, hook, burst, place, favorite, use, notes, subject_present, emotion, candid, story_potential, yaw FROM batch_items""")
 def _(t):
-    items = F.to_json(F.collect_list(F.struct("id", "path", "type", "start_s", "end_s", "quality", "hook", "description", "burst")))
-    files = (t.batch_items.groupBy("project_id", "batch").agg(items.alias("l"))
-             .select(F.expr("concat('/w/catalog-', project_id, '-', batch, '.json')").alias("file"), F.expr("""if(batch % 2 = 0, l, concat('{"items":', l, '}'))""").alias("body")))
-    return R.parse_batches(files).select("origin", "id", "path", "start_s", "end_s", "quality")
+    human, direction = F.struct("emotion", "candid", "story_potential").alias("human"), F.struct("yaw", F.lit(0.0).alias("pitch")).alias("direction")
+    items = F.to_json(F.collect_list(F.struct("id", "path", "type", "start_s", "end_s", "quality", "hook", "description", "burst", "place", "favorite", "use", "notes", "subject_present", human, direction)))
+    body = F.expr("""if(batch % 2 = 0, l, concat('{"batch":"', batch, '","items":', l, '}'))""").alias("body")
+    folder = f"{checkpoint_dir(t.spark)}/catalog-{uuid.uuid4().hex}"
+    t.batch_items.groupBy("project_id", "batch").agg(items.alias("l")).select("project_id", "batch", body).write.partitionBy("project_id", "batch").text(folder)
+    origin = F.regexp_replace("file", r"^.*/project_id=(\d+)/batch=(\d+)/.*$", "catalog-$1-$2")
+    return R.read_batches(t.spark, folder, origin).select("origin", "id", "path", "start_s", "end_s", "quality", "hook", "burst", "place", "favorite", "use", "notes", "subject_present",
+                                                          "human.emotion", "human.candid", "human.story_potential", "direction.yaw")
 
 
 @query("SNK-01", ["moments"], f"SELECT project_id, id, quality FROM moments WHERE {_USE}")

@@ -147,8 +147,9 @@ def _(t):
     return R.contradictions(t.lines.select("doc_id", "n", F.col("source").alias("project"), "text"), t.facts).select("doc_id", "n", "project", "fact")
 
 
-@query("JN-12", ["moments", "place_facts"], """SELECT u.project_id, u.place, u.uses, coalesce(f.n, 0) AS facts FROM (SELECT project_id, place, count(*) AS uses FROM (SELECT project_id, place FROM moments UNION ALL SELECT project_id, location FROM moments) a WHERE place IS NOT NULL GROUP BY 1, 2) u
-   LEFT JOIN (SELECT lower(place) AS p, count(*) AS n FROM place_facts GROUP BY 1) f ON f.p = lower(u.place)""")
+@query("JN-12", ["moments", "place_facts"], """SELECT u.project_id, u.place, u.uses, coalesce(f.n, 0) AS facts FROM (SELECT project_id, place, count(*) AS uses FROM (
+      SELECT project_id, place FROM moments UNION ALL SELECT project_id, location FROM moments UNION ALL SELECT project_id, trim(city) FROM moments) a WHERE place IS NOT NULL GROUP BY 1, 2) u
+   LEFT JOIN (SELECT project_id, lower(place) AS p, count(*) AS n FROM place_facts GROUP BY 1, 2) f ON f.project_id = u.project_id AND f.p = lower(u.place)""")
 def _(t):
     return R.place_coverage(t.moments, t.place_facts)
 

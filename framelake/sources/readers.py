@@ -18,19 +18,28 @@ def classify_listing(listing, g=()):
             .groupBy(*g, "kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")))
 
 
-ITEM_SCHEMA = "id string, path string, type string, date string, start_s double, end_s double, quality int, hook int, description string, burst string"
+# Every field of a catalogue item; what a file does not have is null.
+ITEM_SCHEMA = ("struct<id:string,path:string,type:string,date:string,place:string,start_s:double,end_s:double,duration_s:double,fps:double,description:string,quality:int,"
+               "obstructions:array<string>,hook:int,subject_present:boolean,favorite:boolean,audio:string,framing:string,focus:struct<x:double,y:double>,"
+               "direction:struct<yaw:double,pitch:double,fov:double>,sheet:string,tags:array<string>,notes:string,use:boolean,reason:string,"
+               "live:struct<available:boolean,uuid:string,library_mov:string,mov:string,start_s:double,end_s:double,still_s:double,motion:string,usable:boolean,why:string>,"
+               "human:struct<emotion:string,reaction:boolean,candid:boolean,real_voice:string,story_potential:int,story_ids:array<string>>,burst:string>")
+BATCH_SCHEMA = f"struct<batch:string,agent:string,generated:string,summary:string,struck_me:array<string>,gaps:array<string>,items:array<{ITEM_SCHEMA}>>"
 
 
-def parse_batches(files):
-    """files(file, body): JSON that is a list of items or an object holding them under `items`."""
-    items = f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in ITEM_SCHEMA.split(','))}>>"
-    obj = F.from_json("body", f"struct<items:{items}>")["items"]
-    arr = F.from_json("body", items)
-    body = F.when(F.ltrim("body").startswith("["), arr).otherwise(obj)
-    return files.withColumn("_i", F.explode(body)).select(F.regexp_replace("file", r"^.*/|\.json$", "").alias("origin"), "_i.*")
+def parse_batches(files, origin=None):
+    """files(file, body): JSON that is a list of items or a batch that holds them under `items`. One row per item."""
+    body = F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{ITEM_SCHEMA}>")).otherwise(F.from_json("body", BATCH_SCHEMA)["items"])
+    name = F.regexp_replace("file", r"^.*/|\.json$", "") if origin is None else origin
+    return files.withColumn("_i", F.explode(body)).select(name.alias("origin"), "_i.*")
 
 
-def read_batches(spark, glob):
-    """Batch files of a catalogue, each item with the batch it came from."""
-    raw = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
-    return parse_batches(raw)
+def parse_batch_heads(files):
+    """What a batch says about itself, one row per file that is a batch and not a bare list."""
+    return files.filter(~F.ltrim("body").startswith("[")).withColumn("_b", F.from_json("body", BATCH_SCHEMA)).select("file", "_b.batch", "_b.agent", "_b.generated", "_b.summary", "_b.struck_me", "_b.gaps")
+
+
+def read_batches(spark, path, origin=None):
+    """Batch files of a catalogue, each item with the batch it came from (origin: a column over `file`, by default its name)."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+    return parse_batches(raw, origin)
