@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 from framelake.functions.core import c, let, py_round
 from framelake.plans.ordered import mid_rank, numbered
 from framelake.plans.quantile import exact_quantile
+from framelake.plans.similarity import small_side, written_once
 
 # Duration bands, metric weights, weight limits, rubric criteria and their weights.
 BANDS = ((0, 12, "under 12s"), (12, 20, "12-20s"), (20, 30, "20-30s"), (30, 45, "30-45s"), (45, 60, "45-60s"), (60, 10 ** 9, "over 60s"))
@@ -63,16 +64,16 @@ def baseline(posts, g=("platform",)):
 
 
 def score_posts(posts, g=("platform",), base=None):
-    """Weighted mean of clipped ratios to the baseline. The baseline has one small row per group; pass
-    one (from history) to score arriving posts."""
-    base = (baseline(posts, g) if base is None else base).groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("metric", "base"))).alias("_b"))
+    """Weighted mean of clipped ratios to the baseline. The baseline has one small row per group, is written once and, its
+    size checked, sent to the posts, which stay where they are; pass one (from history) to score arriving posts."""
+    base = written_once((baseline(posts, g) if base is None else base).groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("metric", "base"))).alias("_b")))
     total, used = F.lit(0.0), F.lit(0.0)
     for m, w in METRIC_WEIGHTS.items():
         b = F.try_element_at("_b", F.lit(m))
         on = b.isNotNull() & (b != 0) & F.col(m).isNotNull()
         total = total + F.when(on, w * F.greatest(F.lit(0.2), F.least(F.lit(5.0), F.col(m) / b))).otherwise(0.0)
         used = used + F.when(on, w).otherwise(0.0)
-    return (rates(posts).join(base, list(g), "left").withColumn("_u", used)
+    return (rates(posts).join(small_side(base), list(g), "left").withColumn("_u", used)
             .withColumn("score", F.when(F.col("_u") > 0, total / F.col("_u"))).drop("_b", "_u"))
 
 
@@ -120,24 +121,32 @@ def _outcomes(posts, scores, g):
 
 
 def calibrate(posts, scores, min_n=3, g=("platform",)):
-    """Spearman of each criterion and of the total against the share watched."""
+    """Spearman of each criterion and of the total against the share watched. Posts are ranked by that share once; per value
+    of a criterion only a count and sums of those ranks remain, from which its own ranks and the covariance follow."""
     rows = _outcomes(posts, scores, g)
     total = sum((F.coalesce(F.col(k), F.lit(0)) * w for k, w in RUBRIC.items()), F.lit(0))
     xs = [F.struct(F.lit(k).alias("criterion"), F.coalesce(F.col(k), F.lit(0)).cast("double").alias("x")) for k in RUBRIC]
     xs.append(F.struct(F.lit("total").alias("criterion"), F.bround(total / 10.0, 0).alias("x")))
-    r = mid_rank(rows.select(*g, "id", "y", *RUBRIC), list(g), "y", 0.25, "ry")
-    long = r.withColumn("_x", F.explode(F.array(*xs))).select(*g, "ry", "_x.criterion", "_x.x")
-    ranked = mid_rank(long, [*g, "criterion"], "x", 1.0, "rx")
-    a = ranked.groupBy(*g, "criterion").agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("_c"), F.stddev_pop("rx").alias("_a"), F.stddev_pop("ry").alias("_b"))
-    rho = F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / F.when(F.col("_a") > 0, F.col("_a") * F.when(F.col("_b") > 0, F.col("_b")))).otherwise(0.0)
-    return a.filter(F.col("n") >= min_n).select(*g, "criterion", "n", rho.alias("spearman"))
+    rows = written_once(rows.select(*g, "id", "y", F.array(*xs).alias("xs")))
+    ranked = mid_rank(rows, list(g), "y", 0.25, "ry")
+    cells = (ranked.select(*g, "ry", F.explode("xs").alias("_x")).groupBy(*g, "_x.criterion", "_x.x")
+             .agg(F.count("*").alias("c"), F.sum("ry").alias("sy"), F.sum(F.col("ry") * F.col("ry")).alias("syy")))
+    w = Window.partitionBy(*g, "criterion").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)      # values of a criterion: few
+    rx = F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2.0
+    a = cells.withColumn("rx", rx).groupBy(*g, "criterion").agg(
+        F.sum("c").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), F.sum(F.col("rx") * F.col("c")).alias("sx"),
+        F.sum(F.col("rx") * F.col("rx") * F.col("c")).alias("sxx"), F.sum(F.col("rx") * F.col("sy")).alias("sxy"))
+    n = F.col("n")
+    vx, vy, cov = F.col("sxx") * n - F.col("sx") * F.col("sx"), F.col("syy") * n - F.col("sy") * F.col("sy"), F.col("sxy") * n - F.col("sx") * F.col("sy")
+    rho = F.when((vx > 0) & (vy > 0), cov / F.sqrt(F.when(vx > 0, vx)) / F.sqrt(F.when(vy > 0, vy))).otherwise(0.0)
+    return a.filter(n >= min_n).select(*g, "criterion", "n", rho.alias("spearman"))
 
 
 def lost_in_3s(posts, scores, g=("platform",)):
     d = _outcomes(posts, scores, g).filter("curve is not null")
     k = kept_at(F.col("curve"), 3.0)
     d = d.withColumn("lost", 100 - let(k, lambda v: F.when(F.coalesce(v, F.lit(0.0)) == 0, 100.0).otherwise(v)))
-    return exact_quantile(d, list(g), "lost", out="lost3")
+    return exact_quantile(d.select(*g, "lost"), list(g), "lost", out="lost3")
 
 
 def list_posts(posts, limit=10, g=("platform",)):

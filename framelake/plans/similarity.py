@@ -81,6 +81,16 @@ def written_once(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may travel to every task; callers' rows hold a few numbers or one vector.
+SMALL_ROWS = 50_000
+
+
+def small_side(table):
+    """The table marked for broadcast if a count of its rows allows it; else as it is, for a join that shuffles. The table
+    should be a written one, as it is counted first."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+
+
 def average_link(e, threshold, pairs=None):
     """e(g, key, vec) -> (g, key, cluster); cluster is the smallest key of the group. Every round merges at least one pair of
     groups, so the rounds end by themselves."""

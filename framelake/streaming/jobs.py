@@ -100,7 +100,7 @@ def ingest_batches(batches, path=None):
 
 def stream_contradictions(lines, facts):
     """Arriving lines against the recorded facts: a stateless join with a static side."""
-    return R.contradictions_rows(lines, facts)
+    return R.contradictions(lines, facts)
 
 
 def stream_scores(posts, base, window="7 days", delay="1 day"):
