@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from framelake.plans.similarity import small_side, written_once
 
 #: Bins of one narrowing step, and distinct values of a key that one task orders.
-BINS, FEW = 1024, 20_000
+BINS, FEW = 1024, 200_000
 
 
 def _ranks(p, kind):

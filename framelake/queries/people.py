@@ -151,7 +151,7 @@ def _(t):
 _MET = "CASE l_linenumber % 3 WHEN 0 THEN 'views' WHEN 1 THEN 'saves' ELSE 'likes' END"
 
 
-@query("ST-04", ["lineitem"][:0], f"""SELECT id, max(value) FILTER (metric = 'views') AS views, max(value) FILTER (metric = 'saves') AS saves, max(value) FILTER (metric = 'likes') AS likes FROM (
+@query("ST-04", [], f"""SELECT id, max(value) FILTER (metric = 'views') AS views, max(value) FILTER (metric = 'saves') AS saves, max(value) FILTER (metric = 'likes') AS likes FROM (
    SELECT l_orderkey AS id, {_MET} AS metric, arg_max(l_quantity, (l_shipdate, l_extendedprice)) AS value FROM lineitem GROUP BY 1, 2) s GROUP BY 1""")
 def _(t):
     s = J.file_stream(t.spark, f"{t.dir}/lineitem*.parquet").selectExpr("l_orderkey as id", f"{_MET} as metric", "l_quantity as value", "l_shipdate as at", "l_extendedprice as seq")
@@ -160,7 +160,8 @@ def _(t):
 
 @query("ST-05", ["ev"], "SELECT DISTINCT 'b' || user_id || '-' || k AS batch, k FROM ev")
 def _(t):
-    return J.ingest_batches(Streams(t, "events").ev.selectExpr("concat('b', user_id, '-', k) as batch", "k"))
+    s = Streams(t, "events").ev.selectExpr("concat('b', user_id, '-', k) as batch", "k", "cast(ts as timestamp) as ts")
+    return J.ingest_batches(s, time="ts").select("batch", "k")
 
 
 @query("ST-06", ["lines", "facts"], """SELECT DISTINCT l.doc_id, l.n, l.source AS project, f.fact FROM lines l JOIN facts f ON f.project = l.source WHERE regexp_matches(l.text, '(?i)' || f.forbid) AND NOT regexp_matches(l.text, '(?i)' || f.allow_if)""")

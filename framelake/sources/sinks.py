@@ -14,27 +14,17 @@ def write_table(df, path, partition_by=()):
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{path}/{version}")
-    _point(spark, path, [version])
+    _point(spark, path, version)
     return version
 
 
-def append_table(df, path):
-    """Adds a version beside the current ones: the cost is the new rows only. Returns how many there are."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{path}/{version}")
-    now = [*current(spark, path), version]
-    _point(spark, path, now)
-    return len(now)
-
-
-def _point(spark, path, versions):
+def _point(spark, path, version):
     """Moves the pointer by one atomic rename."""
     fs, jvm = _fs(spark, path)
     P = jvm.org.apache.hadoop.fs.Path
-    tmp, cur = P(f"{path}/.CURRENT-{versions[-1]}"), P(f"{path}/CURRENT")
+    tmp, cur = P(f"{path}/.CURRENT-{version}"), P(f"{path}/CURRENT")
     out = fs.create(tmp, True)
-    out.write(bytearray("\n".join(versions).encode()))
+    out.write(bytearray(version.encode()))
     out.close()
     opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -42,18 +32,18 @@ def _point(spark, path, versions):
 
 
 def current(spark, path):
-    """Names of the versions that make up the table now; none before the first write."""
+    """Name of the version that is the table now; None before the first write."""
     fs, jvm = _fs(spark, path)
     p = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     if not fs.exists(p):
-        return []
+        return None
     f = fs.open(p)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8").split("\n")
+        return jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")
     finally:
         f.close()
 
 
 def read_table(spark, path):
     """The table as of now."""
-    return spark.read.parquet(*[f"{path}/{v}" for v in current(spark, path)])
+    return spark.read.parquet(f"{path}/{current(spark, path)}")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from framelake.operators import posts as P, rules as R
 from framelake.session import checkpoint_dir
-from framelake.sources.sinks import append_table, current, read_table, write_table
 
 
 def file_stream(spark, path, per_trigger=None):
@@ -28,46 +27,24 @@ def drain(df, path=None):
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-COMPACT_AFTER = 20
-
-
-def _merge_sink(path, reduce, fresh=None):
-    """Each micro-batch adds its own reduced rows; the table is folded when read, and rewritten only now
-    and then, so a batch never costs the whole state."""
-    state = f"{path}/state"
-
-    def run(batch, batch_id):
-        spark = batch.sparkSession
-        rows = reduce(batch)
-        if fresh is not None and current(spark, state):
-            rows = fresh(rows, read_table(spark, state))
-        if append_table(rows, state) > COMPACT_AFTER:
-            write_table(reduce(read_table(spark, state)), state)
-    return run
-
-
-def drain_merge(df, reduce, path=None, fresh=None):
-    """Runs a stream into a keyed table. reduce(rows) keeps one row per key and may be applied again to its
-    own result; fresh(rows, table) drops what the table already holds."""
-    spark = df.sparkSession
+def drain_latest(rows, keys, order, path=None):
+    """Runs a stream into the newest row per key. Spark's state store holds that row; every micro-batch writes the keys that
+    changed in it under its own number, so a batch that is run again replaces itself, and a read takes each key's last one.
+    A restart on the same path goes on from there."""
+    spark = rows.sparkSession
     path = path or work_dir(spark)
-    q = df.writeStream.foreachBatch(_merge_sink(path, reduce, fresh)).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return reduce(read_table(spark, f"{path}/state"))
-
-
-def latest_by(keys, order):
-    """Keeps the newest row per key; a batch that is replayed changes nothing."""
-    def reduce(rows):
-        rest = [c for c in rows.columns if c not in keys]
-        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
-    return reduce
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/changes/batch={n}")
+    newest.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes")
+    return changes.groupBy(*keys).agg(F.max_by("_r", "batch").alias("_r")).select(*keys, "_r.*")
 
 
 # ---- jobs ------------------------------------------------------------------------------------
 def unit_state(updates, artifacts=None, path=None):
     """Latest state per work unit. Disk wins: done needs an artifact, and an artifact means done."""
-    s = drain_merge(updates, latest_by(["unit"], ["updated_at", "seq"]), path)
+    s = drain_latest(updates, ["unit"], ["updated_at", "seq"], path)
     if artifacts is None:
         return s
     a = artifacts.select("unit").distinct().withColumn("_a", F.lit(True))
@@ -89,13 +66,16 @@ def stream_sessions(media, gap_min=90, delay="1 hour"):
 
 def stream_results(results, path=None):
     """Measurements arriving over time; the newest value per post and metric, one row per post."""
-    m = drain_merge(results, latest_by(["id", "metric"], ["at", "seq"]), path)
+    m = drain_latest(results, ["id", "metric"], ["at", "seq"], path)
     return m.groupBy("id").pivot("metric", ["views", "saves", "likes"]).agg(F.max("value"))
 
 
-def ingest_batches(batches, path=None):
-    """A batch already covered is not taken again."""
-    return drain_merge(batches, lambda rows: rows.dropDuplicates(["batch"]), path, lambda rows, table: rows.join(table.select("batch"), "batch", "left_anti"))
+def ingest_batches(batches, path=None, time=None, remember="400 days"):
+    """A batch already covered is not taken again: the first row of a batch to arrive is kept. With an event time, a batch is
+    remembered for as long as stated, which bounds the state; without one, for good."""
+    if time is None:
+        return drain(batches.dropDuplicates(["batch"]), path)
+    return drain(batches.withWatermark(time, remember).dropDuplicatesWithinWatermark(["batch"]), path)
 
 
 def stream_contradictions(lines, facts):
