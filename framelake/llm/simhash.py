@@ -1,6 +1,7 @@
 """SimHash fingerprints and their near-duplicate components by the generalised pigeonhole principle."""
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from math import comb
 
@@ -10,34 +11,57 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.llm.common import components, partitions, written
 
 SEED, SHINGLE = 42, 4
 #: Fingerprints of one bucket that are compared at once; larger buckets are cut into tiles of this size.
-TILE = 2048
+TILE = 8192
+#: Words of 64 bits in a wide fingerprint, and standard deviations by which pairs at a stated similarity may miss the mean
+#: number of differing bits and still be found.
+WIDE, SLACK = 4, 1.25
 #: Costs of the plan in seconds: one row through a shuffle and into a task, one comparison inside a task.
 ROW_COST, PAIR_COST = 2e-6, 2e-9
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64-bit SimHash of the XXH64 values of all word shingles, repeats included; 0 without a word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()       # bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= size:
+def signature(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """SimHash of 64 bits times `words`: a bit is 1 if it is set in over half the hashes of all shingles of `size` words,
+    repeats included. The first 64 are of the shingles' XXH64 values, further ones of values mixed from them. Zero without
+    a word."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()      # bytes: A-Z only, ASCII white space only
+    if not tokens:
+        return np.zeros(words, dtype=np.uint64)
+    joined = b" ".join(tokens)
+    if len(tokens) <= size:
         h = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
     else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+        ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         digest = xxhash.xxh64_intdigest
-        n = len(words) - size + 1
+        n = len(tokens) - size + 1
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), dtype=np.uint64, count=n)
-    count = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 15):
-        count += np.unpackbits(h[i:i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+    out = np.zeros(words, dtype=np.uint64)
+    for w in range(words):
+        count = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(h), 1 << 15):
+            count += np.unpackbits(h[i:i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[w] = int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return out
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return int(signature(text, size)[0])
+
+
+def bits_at(similarity: float, n: int) -> int:
+    """Differing bits of n that a pair of this shingle similarity (Jaccard) stays within but for the tail beyond SLACK
+    standard deviations: each bit differs with the share that the angle of their shingle counts has of a half turn."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(n * p + SLACK * math.sqrt(n * p * (1 - p)))
 
 
 def fingerprint_column(text: str):
@@ -145,22 +169,23 @@ BOTH, INDEX, PROBE = 0, 1, 2
 
 
 def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(bucket, fp, role): every fingerprint under its own value in each group and, where the threshold is over 0, under
-    all values within it."""
+    """(bucket, node, fp, more, role): every fingerprint under its own value in each group and, where the threshold is over 0,
+    under all values within it."""
     def run(batches):
         for b in batches:
-            fp = b.column("fp").to_numpy().astype(np.int64)
+            node, fp, more = b.column("node"), b.column("fp").to_numpy().astype(np.int64), b.column("more")
             bits = _bits(fp).astype(np.int64)
             for k, (group, t) in enumerate(plan):
                 own = (bits[:, group] << np.arange(len(group))).sum(axis=1) | (k << 57)
-                yield _rows(own, fp, INDEX if t else BOTH)
+                yield _rows(own, node, fp, more, INDEX if t else BOTH)
                 for masks in _masks(len(group), t) if t else ():
-                    yield _rows((own[:, None] ^ masks).ravel(), np.repeat(fp, len(masks)), PROBE)
-    return fps.select("fp").mapInArrow(run, "bucket long, fp long, role byte")
+                    at = pa.array(np.repeat(np.arange(len(fp)), len(masks)))
+                    yield _rows((own[:, None] ^ masks).ravel(), node.take(at), np.repeat(fp, len(masks)), more.take(at), PROBE)
+    return fps.select("node", "fp", "more").mapInArrow(run, "bucket long, node long, fp long, more binary, role byte")
 
 
-def _rows(bucket, fp, role):
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(fp), pa.array(np.full(len(fp), role, dtype=np.int8))], names=["bucket", "fp", "role"])
+def _rows(bucket, node, fp, more, role):
+    return pa.RecordBatch.from_arrays([pa.array(bucket), node, pa.array(fp), more, pa.array(np.full(len(fp), role, dtype=np.int8))], names=["bucket", "node", "fp", "more", "role"])
 
 
 def _masks(n: int, t: int):
@@ -176,11 +201,19 @@ def _masks(n: int, t: int):
         yield np.array(block, dtype=np.int64)
 
 
-def _links(a: np.ndarray, b: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a and b within tau."""
-    a, b = a.view(np.uint64), b.view(np.uint64)         # of signed values, bitwise_count counts the magnitude's bits
-    found = [np.nonzero(np.bitwise_count(a[i:i + 256, None] ^ b[None, :]) <= tau) for i in range(0, len(a), 256)]
-    return np.concatenate([x + 256 * i for i, (x, _) in enumerate(found)]), np.concatenate([y for _, y in found])
+def _links(a: tuple, b: tuple, tau: int, wide: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a and b (fingerprints, further words) within tau and, over all words, within `wide`."""
+    fa, fb = a[0].view(np.uint64), b[0].view(np.uint64)     # of signed values, bitwise_count counts the magnitude's bits
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(fa), 128):
+        apart = np.bitwise_count(fa[i:i + 128, None] ^ fb[None, :])
+        p, q = np.nonzero(apart <= tau)
+        if wide is not None and len(p):
+            near = np.bitwise_count(a[1][i + p] ^ b[1][q]).sum(axis=1, dtype=np.int64) + apart[p, q] <= wide
+            p, q = p[near], q[near]
+        x.append(p + i)
+        y.append(q)
+    return np.concatenate(x), np.concatenate(y)
 
 
 def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +233,14 @@ def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return nodes[at], nodes[label[at]]
 
 
-def near_edges(fps: DataFrame, tau: int) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints exactly as all links within tau do, without listing all links.
+FOUND = "a long, b long, bucket long, tile int, nodes binary, fps binary, mores binary, roles binary"
+NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def near_edges(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes that connect distinct fingerprints exactly as all links do, without listing all links.
+    fps(node, fp, more): fingerprints link within tau bits; with `wide`, also within so many bits over fp and the further
+    words in `more`.
 
     Buckets are read in sorted runs, so a task holds one tile of a bucket. A bucket of several tiles is compared tile by
     tile within the task, and hands its tiles on: pairs of tiles are then dealt out to all tasks."""
@@ -209,93 +248,100 @@ def near_edges(fps: DataFrame, tau: int) -> DataFrame:
     n = fps.count()
     corr, p = correlation(bit_counts(fps), n)
     plan = allocate(n, corr, p, tau)
-    empty = pa.array([], pa.int64())
+
+    def edges_of(a, b):
+        """Forest of the links between the probing rows of one tile and the indexed rows of another (or the same)."""
+        nodes, i, j = np.concatenate([a["node"], b["node"]]), [], []
+        for one, two, s, t in ((a, b, 0, len(a["node"])), (b, a, len(a["node"]), 0)) if a is not b else ((a, a, 0, 0),):
+            probe, index = np.flatnonzero(one["role"] != INDEX), np.flatnonzero(two["role"] != PROBE)
+            x, y = _links((one["fp"][probe], one["more"][probe]), (two["fp"][index], two["more"][index]), tau, wide)
+            i.append(probe[x] + s)
+            j.append(index[y] + t)
+        # a node may stand in several rows: they are one
+        nodes, at = np.unique(nodes, return_inverse=True)
+        return forest(nodes, at[np.concatenate(i)], at[np.concatenate(j)])
+
+    def edge_rows(found):
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            k = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.binary())] * 4], names=NAMES)
+
+    def tile_rows(bucket, number, t):
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int64()), pa.array([number], pa.int32()),
+                                          *(pa.array([np.ascontiguousarray(t[c]).tobytes()], pa.binary()) for c in ("node", "fp", "more", "role"))], names=NAMES)
 
     def scan(batches):
-        rest = None                                 # rows of the last bucket so far, and its tile number
-        tile = 0
-
-        def close(bucket, fp, role, number, more):
-            out = []
-            index, probe = fp[role != PROBE], fp[role != INDEX]
-            nodes = np.concatenate([index, probe])
-            i, j = _links(probe, index, tau)
-            a, b = forest(nodes, i + len(index), j)
-            keep = a != b
-            # both roles of one fingerprint are one node
-            if keep.any():
-                out.append((a[keep], b[keep]))
-            return out, (bucket, number, fp, role) if number or more else None
+        own, number, held, size, found = None, 0, [], 0, []
+
+        def close():
+            t = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            a, b = edges_of(t, t)
+            if len(a):
+                found.append((a, b))
+            return t
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("bucket", "fp", "role")]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
-            bucket, fp, role = cols
-            if not len(bucket):
-                continue
+            bucket, node, fp, role = (batch.column(c).to_numpy() for c in ("bucket", "node", "fp", "role"))
+            raw = batch.column("more").to_pylist()
+            more = np.frombuffer(b"".join(raw), dtype=np.uint64).reshape(len(raw), -1) if raw else np.zeros((0, 0), np.uint64)
             cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-            edges, tiles = [], []
-            whole = ends[:-1] - starts[:-1] > 1         # a single row matters only as the end of a bucket begun before
-            whole[:1] |= tile > 0
-            for s, e in zip(starts[:-1][whole].tolist(), ends[:-1][whole].tolist()):
-                first = int(s == 0) * tile
-                for k, at in enumerate(range(s, e, TILE)):
-                    found, kept = close(bucket[s], fp[at:min(e, at + TILE)], role[at:min(e, at + TILE)], first + k, e - s > TILE or first)
-                    edges += found
-                    tiles += [kept] if kept else []
-            # the last bucket may go on: full tiles of it are closed, what is left waits
-            s, e = int(starts[-1]), len(bucket)
-            tile = tile if s == 0 else 0
-            while e - s > TILE:
-                found, kept = close(bucket[s], fp[s:s + TILE], role[s:s + TILE], tile, True)
-                edges += found
-                tiles.append(kept)
-                s, tile = s + TILE, tile + 1
-            rest = [c[s:] for c in cols]
-            yield from rows(edges, tiles)
-        if rest is not None and len(rest[0]) > 0 and (len(rest[0]) > 1 or tile):
-            found, kept = close(rest[0][0], rest[1], rest[2], tile, tile > 0)
-            yield from rows(found, [kept] if kept else [])
-
-    def rows(edges, tiles):
-        if edges:
-            a, b = (np.concatenate(x) for x in zip(*edges))
-            n = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-        for bucket, number, fp, role in tiles:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int64()), pa.array([number], pa.int32()),
-                                              pa.array([fp.astype("<i8").tobytes()], pa.binary()), pa.array([role.astype(np.int8).tobytes()], pa.binary())], names=names)
-
-    names = ["a", "b", "bucket", "tile", "fps", "roles"]
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
+                if s < e and bucket[s] != own:
+                    if size > 1 or number and size:
+                        t = close()
+                        if number:
+                            yield from tile_rows(own, number, t)
+                    own, number, held, size = int(bucket[s]), 0, [], 0
+                while s < e:
+                    if size == TILE:
+                        yield from tile_rows(own, number, close())
+                        number, held, size = number + 1, [], 0
+                    stop = min(e, s + TILE - size)
+                    held.append({"node": node[s:stop], "fp": fp[s:stop], "more": more[s:stop], "role": role[s:stop]})
+                    size, s = size + stop - s, stop
+            yield from edge_rows(found)
+            found = []
+        if size > 1 or number and size:
+            t = close()
+            if number:
+                yield from tile_rows(own, number, t)
+        yield from edge_rows(found)
+
     parts = partitions(spark)
     dealt = probes(fps, plan).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = written(dealt.mapInArrow(scan, "a long, b long, bucket long, tile int, fps binary, roles binary"), "links")
-    tiles = found.where("tile IS NOT NULL").select("bucket", "tile", "fps", "roles")
-    other = tiles.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("tile", "fps", "roles")))
+    found = written(dealt.mapInArrow(scan, FOUND), "links")
+    columns = ("tile", "nodes", "fps", "mores", "roles")
+    tiles = found.where("tile IS NOT NULL").select("bucket", *columns)
+    other = tiles.select("bucket", *(F.col(c).alias(f"{c}2") for c in columns))
 
     def cross(batches):
         for batch in batches:
-            for x in batch.to_pylist():
-                f, g = np.frombuffer(x["fps"], "<i8"), np.frombuffer(x["fps2"], "<i8")
-                r, q = np.frombuffer(x["roles"], np.int8), np.frombuffer(x["roles2"], np.int8)
-                nodes = np.concatenate([f, g])
-                i, j = [], []
-                for one, two, a0, b0, ra, rb in ((f, g, 0, len(f), r, q), (g, f, len(f), 0, q, r)):
-                    p, ix = np.flatnonzero(ra != INDEX), np.flatnonzero(rb != PROBE)
-                    a, b = _links(one[p], two[ix], tau) if len(p) and len(ix) else (np.zeros(0, int), np.zeros(0, int))
-                    i.append(p[a] + a0)
-                    j.append(ix[b] + b0)
-                a, b = forest(nodes, np.concatenate(i), np.concatenate(j))
-                keep = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])] if keep.any() else [empty, empty], names=["a", "b"])
+            for i in range(batch.num_rows):
+                x = batch.slice(i, 1).to_pylist()[0]
+                pair = []
+                for s in ("", "2"):
+                    node = np.frombuffer(x["nodes" + s], np.int64)
+                    pair.append({"node": node, "fp": np.frombuffer(x["fps" + s], np.int64), "more": np.frombuffer(x["mores" + s], np.uint64).reshape(len(node), -1),
+                                 "role": np.frombuffer(x["roles" + s], np.int8)})
+                a, b = edges_of(*pair)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     pairs = (tiles.join(other, "bucket").where("tile < tile2").repartition(parts, "bucket", "tile", "tile2")
              .mapInArrow(cross, "a long, b long"))
     return found.where("a IS NOT NULL").select("a", "b").unionAll(pairs)
 
 
+def _components(own: DataFrame, key: str, tau: int, wide: int | None) -> DataFrame:
+    """(key, fp, more, component_id) of a written table (key, fp, more). Equal fingerprints are one node from the start."""
+    distinct = written(own.groupBy("fp", "more").agg(F.min(key).alias("low")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    comp = components(near_edges(distinct, tau, wide), node="node", root="root")
+    rooted = written(distinct.join(comp, "node", "left").select("fp", "more", "low", F.coalesce("root", "node").alias("root")), "rooted")
+    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(low, "root").select("fp", "more", "component_id")
+    return own.join(named, ["fp", "more"])
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id) of every document.
 
@@ -303,28 +349,43 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, text: str = "text", key:
     bits; component_id is the smallest key that a chain of links reaches. Null and empty texts have fingerprint zero and
     link as any other; repeated rows each return; a null key stays null and never names a component unless no member has a
     key; an empty table gives no rows. Equal fingerprints are merged before anything is compared, so copies cost one row."""
-    own = written(fingerprints(docs, text, key), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
-    comp = components(near_edges(distinct, max_bits), node="fp", root="root")
-    rooted = distinct.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(low, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = written(fingerprints(docs, text, key).withColumn("more", F.lit(b"")), "fingerprints")
+    return _components(own, key, max_bits, None).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fingerprint, component_id) as near_duplicates, by a similarity of word shingles that SimHash estimates: documents
+    link when their wide fingerprints (WIDE times 64 bits, all in hex) differ in no more bits than pairs of that similarity
+    do but for their tail. The first 64 bits are searched within as many bits as such pairs differ in, the pigeonhole way;
+    what is found is decided on all bits."""
+    kind = docs.schema[key]
+    source = docs.select(key, docs[text].alias("_text"))
 
+    def run(batches):
+        for b in batches:
+            prints = [signature(t.as_py(), shingle, WIDE) for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([int(p.view(np.int64)[0]) for p in prints], pa.int64()), pa.array([p[1:].tobytes() for p in prints], pa.binary())],
+                                             names=[key, "fp", "more"])
+
+    own = written(source.mapInArrow(run, T.StructType([kind, T.StructField("fp", T.LongType()), T.StructField("more", T.BinaryType())])), "fingerprints")
+    found = _components(own, key, bits_at(similarity, 64), bits_at(similarity, 64 * WIDE))
+    return found.select(key, F.lower(F.concat(F.lpad(F.hex("fp"), 16, "0"), F.hex("more"))).alias("fingerprint"), "component_id")
 
-def keep_one_of_each(docs: DataFrame, max_bits: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest key stays, once. Rows without a key are
-    told apart by their fingerprints; one stays for a component in which no row has a key. All columns are kept."""
-    found = written(near_duplicates(docs, max_bits, text, key), "near")
+
+def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without near duplicates (see similar_documents): of each component the row with the smallest key stays, once.
+    Rows without a key are told apart by their texts' fingerprints; one stays for a component in which no row has a key.
+    All columns are kept."""
+    found = written(similar_documents(docs, similarity, shingle, text, key), "near")
     # a component is named by a key that one of its rows has, so that row is the one to keep
     kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     rows = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    alone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    if alone.isEmpty():
+    if found.where(F.col(key).isNull() & F.col("component_id").isNull()).isEmpty():
         return rows
-    # components in which no row has a key: their rows are numbered and grouped once more by those numbers
-    hexed = F.lower(F.lpad(F.hex(fingerprint_column(text)), 16, "0"))
-    bare = written(docs.where(F.col(key).isNull()).withColumn("_n", F.monotonically_increasing_id()).withColumn("_fp", hexed), "bare")
-    bare = bare.join(alone.withColumnRenamed("fingerprint", "_fp"), "_fp", "left_semi")
-    stay = near_duplicates(bare.select("_n", text), max_bits, text, "_n").where("_n = component_id").select("_n")
-    return rows.unionByName(bare.join(stay, "_n", "left_semi").drop("_n", "_fp"))
+    # rows without a key in components that have none: all rows without a key are numbered and grouped once more by number
+    bare = written(docs.where(F.col(key).isNull()).withColumn("_n", F.monotonically_increasing_id()), "bare")
+    named = found.where(F.col(key).isNotNull()).select("fingerprint").distinct()
+    again = written(similar_documents(bare.select("_n", text), similarity, shingle, text, "_n"), "again")
+    alone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
+    stay = (again.join(alone, "fingerprint", "left_semi").join(named, "fingerprint", "left_anti").where("_n = component_id").select("_n"))
+    return rows.unionByName(bare.join(stay, "_n", "left_semi").drop("_n"))

@@ -1,13 +1,14 @@
 """The pipeline against plain Python: the classifiers text by text, fingerprints and windows by brute force."""
 import re
+from itertools import combinations
 
 import numpy as np
-from test_simhash import brute_components, brute_print
 from test_tokens import check_packing
 
 import corpus_pipeline as C
 from framelake.llm import language as L
 from framelake.llm import quality as Q
+from framelake.llm import simhash as S
 
 
 def without_repeats(docs, k=20):
@@ -33,8 +34,18 @@ def test_run(spark, sf):
     langs = L.fit_languages(docs.where(docs.doc_id.isin(good) & ~L.in_fold()))
     kept = [(d, t) for d, t in texts if d in set(good)]
     kept = [(d, t) for d, t in kept if langs.classify([t])[0][0] != "und"]
-    comps = {d: c for d, _, c in brute_components([(d, brute_print(t)) for d, t in kept], 4)}
-    kept = [(d, t) for d, t in kept if comps[d] == d]
+    prints = {d: S.signature(t, 5, S.WIDE) for d, t in kept}
+    low, near, wide = {d: d for d, _ in kept}, S.bits_at(0.8, 64), S.bits_at(0.8, 256)
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+    for a, b in combinations(prints, 2):
+        apart = np.bitwise_count(prints[a] ^ prints[b])
+        if apart[0] <= near and apart.sum() <= wide:
+            low[max(find(a), find(b))] = min(find(a), find(b))
+    kept = [(d, t) for d, t in kept if find(d) == d]
     check_packing(C.run(spark, sf).collect(), without_repeats(kept))
     bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
     fine = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
