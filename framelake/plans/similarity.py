@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
 from framelake.plans.ordered import numbered
-from framelake.session import checkpoint_dir
+from framelake.session import checkpoint_dir, delete_at_exit
 
 TILE = 256
 
@@ -78,6 +78,7 @@ def written_once(df):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

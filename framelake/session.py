@@ -31,3 +31,9 @@ def checkpoint_dir(spark):
         d = tempfile.mkdtemp(prefix="framelake-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def delete_at_exit(spark, path):
+    """An intermediate table goes when the application's JVM ends: results that read it are lazy until then."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
