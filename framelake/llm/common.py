@@ -1,35 +1,25 @@
 """Helpers that several corpus operators share."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without the setting;
-    there a temporary folder is set for the application."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-llm-"))
-    return sc.getCheckpointDir().rstrip("/")
+from framelake.session import checkpoint_dir, delete_at_exit
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share (spark.checkpoint.dir)."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so a lost executor costs only a reread."""
+    """df as a table in the shared folder: its lineage ends there, so a lost executor costs only a reread. It goes when the
+    application ends."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
