@@ -309,7 +309,10 @@ VIEWS = {
                CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE 30e0 + o_custkey % 200 END AS bpm, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'first_person' WHEN 1 THEN 'recap' WHEN 2 THEN 'place_first' ELSE 'custom' END AS quota_kind,
                (o_custkey % 10) / 10e0 AS max_ratio, CASE WHEN o_custkey % 8 = 0 THEN 0.2e0 ELSE NULL END AS min_ratio, CASE WHEN o_custkey % 9 = 0 THEN 'why' ELSE NULL END AS quota_note, o_custkey % 5 <> 0 AS human_anchor,
                CASE WHEN o_custkey % 10 = 9 THEN 'vlog' WHEN o_custkey % 2 = 0 THEN 'list' ELSE 'character' END AS family, CASE WHEN o_custkey % 12 = 0 THEN 'english' ELSE 'en-US' END AS lang,
-               CASE WHEN o_custkey % 15 = 0 THEN 'too short' ELSE 'four beats of about five seconds each' END AS duration_rationale, CASE WHEN o_custkey % 6 < 2 THEN NULL ELSE 's-' || substr(CAST(1000 + o_custkey % 30 AS VARCHAR(5)), 2, 3) END AS story, picture_s FROM {videos}"""),
+               CASE WHEN o_custkey % 15 = 0 THEN 'too short' ELSE 'four beats of about five seconds each' END AS duration_rationale, CASE WHEN o_custkey % 6 < 2 THEN NULL ELSE 's-' || substr(CAST(1000 + o_custkey % 30 AS VARCHAR(5)), 2, 3) END AS story, picture_s,
+               CASE WHEN o_custkey % 21 = 0 THEN 'cinema' ELSE 'reels' END AS platform, CASE WHEN o_custkey % 22 = 0 THEN NULL WHEN o_custkey % 22 = 1 THEN 'fade' ELSE 'loop' END AS close_kind, CASE WHEN o_custkey % 23 = 0 THEN -1e0 ELSE 0.5e0 END AS beat0_s,
+               CASE WHEN o_custkey % 24 = 0 THEN 'ab' ELSE 'a title' END AS title, CASE WHEN o_custkey % 26 = 0 THEN 'sea' ELSE 'the sea at dawn' END AS hook_visual, CASE WHEN o_custkey % 27 = 0 THEN NULL WHEN o_custkey % 27 = 1 THEN 'a view' ELSE 'what the tram costs' END AS promise,
+               CASE WHEN o_custkey % 28 = 0 THEN 'it ends' ELSE 'it answers the opening' END AS lands_because, CASE WHEN o_custkey % 29 = 0 THEN -2e0 ELSE 3e0 END AS anchor_at_s, CASE WHEN o_custkey % 31 = 0 THEN 'a man' ELSE 'a man who laughs' END AS anchor_what FROM {videos}"""),
     "c_blocks": (["shots", "part"], """
         SELECT video_id AS concept_id, i, CASE WHEN l_suppkey % 11 = 0 THEN t0 - 0.2e0 ELSE t0 END AS t0, CASE WHEN l_suppkey % 23 = 0 THEN t0 - 0.3e0 ELSE t1 END AS t1, 'r' || CAST(l_partkey % 50 AS VARCHAR(5)) AS resource,
                CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN i = 0 THEN 'hook' WHEN i = n - 1 AND l_suppkey % 5 > 0 THEN 'close' WHEN l_suppkey % 17 = 0 THEN 'turn' ELSE 'development' END AS role,
@@ -317,7 +320,7 @@ VIEWS = {
         FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {shots}) s JOIN {part} ON p_partkey = l_partkey"""),
     "c_beats": (["c_blocks"], "SELECT concept_id, i, CASE WHEN l_suppkey % 9 = 0 THEN t0 - 3 ELSE t0 END AS at_s, 'Raise ' || CAST(l_partkey % 6 AS VARCHAR(5)) AS raises, CASE WHEN l_suppkey % 2 = 0 THEN 'wait' ELSE NULL END AS mini_hook FROM {c_blocks} WHERE i % 2 = 0"),
     "c_variants": (["c_blocks", "c_head"], """
-        SELECT b.concept_id, b.i, CASE WHEN l_suppkey % 19 = 0 THEN 'A' ELSE substr('ABCDEFGH', b.i + 1, 1) END AS letter, CASE WHEN b.i = 0 THEN 'base' ELSE CASE CAST((l_suppkey + b.i) % 5 AS INT) WHEN 0 THEN 'base' WHEN 1 THEN 'hook' WHEN 2 THEN 'close' WHEN 3 THEN 'voice' ELSE 'shots' END END AS differs_in,
+        SELECT b.concept_id, b.i, CASE WHEN l_suppkey % 19 = 0 THEN 'A' WHEN l_suppkey % 19 = 1 THEN 'Z' ELSE substr('ABCDEFGH', b.i + 1, 1) END AS letter, CASE WHEN b.i = 0 THEN 'base' ELSE CASE CAST((l_suppkey + b.i) % 5 AS INT) WHEN 0 THEN 'base' WHEN 1 THEN 'hook' WHEN 2 THEN 'close' WHEN 3 THEN 'voice' ELSE 'shots' END END AS differs_in,
                CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN hook_resource ELSE resource END AS hook_resource, CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN close_resource ELSE resource END AS close_resource,
                CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_partkey % 5 = 0 END AS narrated, CASE WHEN l_suppkey % 10 = 3 THEN 'Same cuts, Other song' ELSE 'another middle' END AS what, CAST(l_partkey % 6 AS INT) AS n_new, narration,
                'v' || CAST(b.concept_id AS VARCHAR(20)) || '-' || CAST(b.i AS VARCHAR(3)) AS variant_id, t1 AS duration_s, l_suppkey, l_partkey FROM {c_blocks} b JOIN {c_head} h ON h.concept_id = b.concept_id WHERE b.i < 2 + k % 4"""),
@@ -327,11 +330,16 @@ VIEWS = {
                CASE WHEN l_suppkey % 29 = 0 THEN 2 WHEN l_suppkey % 29 = 1 THEN NULL ELSE 1 END AS audio_tracks, CASE WHEN l_partkey % 27 = 0 THEN 'm1' ELSE NULL END AS out_of_window, narrated, CASE WHEN l_suppkey % 3 = 0 THEN 'x.json' ELSE NULL END AS voice_script FROM {c_variants}"""),
     "reviews": (["c_variants", "c_head"], """
         SELECT v.concept_id, v.i, v.variant_id, v.letter, CAST(1 + v.l_suppkey % 20 AS INT) AS cuts, CAST(v.l_partkey % (1 + v.l_suppkey % 20) AS INT) AS subject_cuts, h.max_ratio, h.min_ratio, round((v.l_partkey % (1 + v.l_suppkey % 20)) * 1e0 / (1 + v.l_suppkey % 20) + CASE WHEN v.l_partkey % 10 = 0 THEN 0.05e0 ELSE 0 END, 2) AS ratio, v.l_partkey % 3 > 0 AS pass,
-               v.l_suppkey % 4 > 0 AS approved, CASE WHEN v.l_partkey % 4 = 0 THEN 'blocks' WHEN v.l_partkey % 4 = 1 THEN 'important' ELSE 'minor' END AS severity, CASE WHEN v.l_suppkey % 3 = 0 THEN 'open' WHEN v.l_suppkey % 3 = 1 THEN 'fixed' ELSE 'not_fixable' END AS status, CASE WHEN v.l_suppkey % 6 = 2 THEN 'reason' ELSE NULL END AS reason, h.k % 9 <> 0 AS language_ok
+               v.l_suppkey % 4 > 0 AS approved, CASE WHEN v.l_partkey % 4 = 0 THEN 'blocks' WHEN v.l_partkey % 4 = 1 THEN 'important' WHEN v.l_partkey % 39 = 2 THEN 'ugly' ELSE 'minor' END AS severity, CASE WHEN v.l_suppkey % 3 = 0 THEN 'open' WHEN v.l_suppkey % 3 = 1 THEN 'fixed' WHEN v.l_suppkey % 41 = 2 THEN 'later' ELSE 'not_fixable' END AS status, CASE WHEN v.l_suppkey % 6 = 2 THEN 'reason' ELSE NULL END AS reason, h.k % 9 <> 0 AS language_ok,
+               CASE WHEN v.l_partkey % 33 = 0 THEN 'dark' ELSE 'the cut comes late' END AS what, CASE WHEN v.l_partkey % 34 = 0 THEN '' ELSE '3.2 s' END AS place, CASE WHEN v.l_partkey % 35 = 0 THEN 'trim' ELSE 'trim half a second' END AS how_to_fix,
+               CASE WHEN v.l_partkey % 36 = 0 THEN 'B is better' ELSE 'B opens faster and keeps its promise' END AS comparison, CASE WHEN v.l_partkey % 37 = 0 THEN 'J' ELSE 'B' END AS recommended, CASE WHEN v.l_partkey % 38 = 0 THEN '/home/u/readme.md' ELSE 'readme.md' END AS readme
         FROM {c_variants} v JOIN {c_head} h ON h.concept_id = v.concept_id"""),
     "story_reviews": (["c_head"], """
-        SELECT concept_id, k, CASE CAST(k % 3 AS INT) WHEN 0 THEN 'ship' WHEN 1 THEN 'rework' ELSE 'reject' END AS verdict, CASE WHEN k % 2 = 0 THEN 'pre' ELSE 'post' END AS pass, k % 7 <> 0 AS paid_ok, CASE WHEN k % 5 = 0 THEN NULL ELSE paid_off_s END AS paid_at, k % 6 <> 0 AS close_ok, CAST(k % 3 AS INT) AS n_blocks,
-               picture_s AS declared_s, picture_s * (1 + (k % 5 - 2) * 0.1e0) AS recommended_s, CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END AS n_windows, CAST(k % 8 AS INT) AS n_watched, picture_s * (k % 30) / 10 AS variant_s FROM {c_head}"""),
+        SELECT concept_id, k, CASE WHEN k % 41 = 5 THEN 'maybe' WHEN k % 3 = 0 THEN 'ship' WHEN k % 3 = 1 THEN 'rework' ELSE 'reject' END AS verdict, CASE WHEN k % 43 = 6 THEN 'mid' WHEN k % 2 = 0 THEN 'pre' ELSE 'post' END AS pass, k % 7 <> 0 AS paid_ok, CASE WHEN k % 5 = 0 THEN NULL ELSE paid_off_s END AS paid_at, k % 6 <> 0 AS close_ok, CAST(k % 3 AS INT) AS n_blocks,
+               picture_s AS declared_s, picture_s * (1 + (k % 5 - 2) * 0.1e0) AS recommended_s, CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END AS n_windows, CAST(k % 8 AS INT) AS n_watched, picture_s * (k % 30) / 10 AS variant_s,
+               CASE WHEN k % 31 = 0 THEN 'fade' ELSE 'loop' END AS close_kind, CASE WHEN k % 32 = 0 THEN 'soon' ELSE 'optional' END AS fix_level, CASE WHEN k % 33 = 0 THEN 'A concept' ELSE 'concept-1' END AS concept, CASE WHEN k % 34 = 0 THEN 'I' ELSE 'C' END AS fix_variant,
+               CASE WHEN k % 35 = 0 THEN '3+3' ELSE 'three beats of four' END AS in_beats, CASE WHEN k % 36 = 0 THEN 'cut it' ELSE 'cut the second shot' END AS fix_what, CASE WHEN k % 37 = 0 THEN 'slow' ELSE 'it repeats itself' END AS fix_why,
+               CASE WHEN k % 38 = 0 THEN -1 ELSE 4 END AS beats, CASE WHEN k % 39 = 0 THEN -0.5e0 ELSE 2e0 END AS largest_gap_s FROM {c_head}"""),
     "variant_results": (["c_variants"], """
         SELECT concept_id, variant_id, letter, l_suppkey % 5 > 0 AS verify_pass, CASE WHEN l_partkey % 8 = 0 THEN FALSE WHEN l_partkey % 8 = 1 THEN NULL ELSE TRUE END AS deliverable, CASE WHEN l_partkey % 6 = 0 THEN 'text_sync,ending' ELSE '' END AS skipped, duration_s, CAST(40 + l_partkey % 60 AS INT) AS rubric_total FROM {c_variants}"""),
     "repairs": (["variant_results"], "SELECT concept_id, CASE WHEN rubric_total % 10 = 0 THEN letter || 'x' ELSE letter END AS letter, TRUE AS verify_pass, rubric_total + 5 AS rubric_total FROM (SELECT concept_id, letter, max(rubric_total) AS rubric_total FROM {variant_results} WHERE rubric_total < 60 GROUP BY concept_id, letter) x"),

@@ -14,7 +14,14 @@ ID, PATH = "^[a-z0-9][a-z0-9_-]*$", r"^(?!/Users/|/home/|/root/|[A-Za-z]:\\Users
 LANG = "^[a-z]{2,3}(-[A-Z][a-z]{3})?(-([A-Z]{2}|[0-9]{3}))?$"
 DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(Z|[+-]\d{2}:?\d{2})?)?$"
 MAX_BEAT_GAP, MIN_READ, MIN_CLOSE = 5.0, 0.8, 1.2
-
+FRAMINGS, LIVE_MOTIONS = ("vertical", "horizontal", "square"), ("subject", "camera", "static", "shaky", "short", "unreadable")
+ITEM_KEYS = ("id", "path", "type", "date", "place", "start_s", "end_s", "duration_s", "fps", "description", "quality", "obstructions", "hook", "subject_present", "favorite", "audio", "framing",
+             "focus", "direction", "sheet", "tags", "notes", "use", "reason", "live", "human")
+PLATFORMS, CUTS = ("tiktok", "reels", "shorts"), ("beat", "natural_sound", "narration", "free")
+CLOSE_KINDS = ("punchline", "back_to_hook", "final_fact", "question", "loop")
+QUOTA_KINDS = ("first_person", "recap", "place_first", "custom")
+SEVERITIES, STATUSES, VERDICTS, PASSES, LEVELS = ("blocks", "important", "minor"), ("fixed", "open", "not_fixable"), ("ship", "rework", "reject"), ("pre", "post"), ("blocks", "optional")
+LETTER, CONCEPT_ID = "^[A-H]$", "^[a-z0-9][a-z0-9-]*$"
 
 
 def _empty():
@@ -35,13 +42,36 @@ def pairs(name, arr, cond):
                        lambda i: F.struct(F.lit(name).alias("check"), (i + 1).alias("at")))
 
 
+def words(**allowed):
+    """One check per column: a value that is not in its vocabulary (<column>_vocabulary)."""
+    return [one(f"{k}_vocabulary", ~F.col(k).isin(*v)) for k, v in allowed.items()]
+
+
+def shorter(**least):
+    """One check per column: a text of fewer letters (<column>_short)."""
+    return [one(f"{k}_short", F.length(k) < n) for k, n in least.items()]
+
+
+def outside(**bounds):
+    """One check per column: a number out of its bounds, None for open ones (<column>_bounds)."""
+    def bad(k, lo, hi):
+        c = F.lit(False) if lo is None else F.col(k) < lo
+        return c if hi is None else c | (F.col(k) > hi)
+    return [one(f"{k}_bounds", bad(k, *b)) for k, b in bounds.items()]
+
+
+def unlike(**patterns):
+    return [one(f"{k}_pattern", ~F.col(k).rlike(p)) for k, p in patterns.items()]
+
+
 def violations(df, key, *checks):
     return df.select(*key, F.explode(F.concat(*checks)).alias("_v")).select(*key, "_v.check", "_v.at")
 
 
 # ---- moments ---------------------------------------------------------------------------------
 def check_moments(m, key=("project_id", "id")):
-    """Types, ranges, vocabularies and conditional requirements; windows and duplicates are separate."""
+    """Types, ranges, vocabularies, unknown keys and conditional requirements; windows and duplicates are separate. Columns
+    of nested fields are flat (focus_x, pitch, live_motion); keys are those that the document has."""
     used = F.coalesce("use", F.lit(True))
     need = lambda c: used & F.col(c).isNull()
     rng = lambda c, lo, hi: F.col(c).isNotNull() & ~F.col(c).between(lo, hi)
@@ -53,7 +83,9 @@ def check_moments(m, key=("project_id", "id")):
         one("dropped_reason", ~used & (F.col("reason").isNull() | (F.length("reason") < 3))), one("needs_description", need("description")), one("needs_quality", need("quality")), one("needs_hook", need("hook")),
         one("needs_subject", need("subject_present")), one("needs_sheet", need("sheet")), one("needs_tags", need("tags")), one("tags_empty", F.size("tags") == 0), one("tags_repeat", F.size("tags") != F.size(F.array_distinct("tags"))),
         each("tag_vocabulary", F.col("tags"), lambda t: ~t.isin(*TAGS)), each("obstruction_vocabulary", F.col("obstructions"), lambda t: ~t.isin(*OBSTRUCTIONS)),
-        one("sphere_direction", (F.col("type") == "video360") & used & F.col("yaw").isNull()), one("yaw_range", rng("yaw", -360, 360)), one("obstruction_notes", has_o & F.col("notes").isNull()), one("obstruction_quality", has_o & (F.col("quality") > 2)))
+        one("sphere_direction", (F.col("type") == "video360") & used & F.col("yaw").isNull()), one("yaw_range", rng("yaw", -360, 360)), *outside(pitch=(-90, 90), fov=(10, 180), focus_x=(0, 1), focus_y=(0, 1), fps=(1, None), end_s=(0, None), duration_s=(0, None)),
+        *shorter(description=12), *words(framing=FRAMINGS, live_motion=LIVE_MOTIONS), one("obstructions_repeat", F.size("obstructions") != F.size(F.array_distinct("obstructions"))),
+        each("unknown_key", F.col("keys"), lambda k: ~k.isin(*ITEM_KEYS)), one("obstruction_notes", has_o & F.col("notes").isNull()), one("obstruction_quality", has_o & (F.col("quality") > 2)))
 
 
 # ---- concepts: one row with blocks, beats, variants and resources as arrays --------------------
@@ -130,7 +162,10 @@ def check_concepts(c, key=("concept_id",)):
                       one("beat_needs_bpm", (F.col("cut_to") == "beat") & F.col("bpm").isNull()), one("bpm_range", ~F.col("bpm").between(40, 220)), one("long_needs_turn", (t > 35) & F.col("turn_s").isNull()), one("hook_ends_range", ~F.col("hook_ends_s").between(0.5, 3)),
                       one("quota_ceiling", F.col("max_ratio") > ceiling), one("quota_custom_note", (F.col("quota_kind") == "custom") & F.col("quota_note").isNull()), one("beats_few", F.coalesce(F.size("beats"), F.lit(0)) < 2), one("structure_short", F.size("blocks") < 2),
                       one("variants_count", ~F.coalesce(F.size("variants"), F.lit(0)).between(2, 5)), one("length_mismatch", (t != 0) & (F.abs(total - t) > F.greatest(F.lit(3.0), t * 0.25))),
-                      one("subject_over_quota", (F.size("blocks") > 0) & (ratio > F.col("max_ratio") + 1e-9)))
+                      one("subject_over_quota", (F.size("blocks") > 0) & (ratio > F.col("max_ratio") + 1e-9)),
+                      *words(platform=PLATFORMS, cut_to=CUTS, close_kind=CLOSE_KINDS, quota_kind=QUOTA_KINDS), *outside(max_ratio=(0, 1), min_ratio=(0, 1), beat0_s=(0, None), paid_off_s=(1, None), anchor_at_s=(0, None)),
+                      *shorter(title=3, hook_visual=8, promise=12, lands_because=12, anchor_what=8), one("promise_missing", F.col("promise").isNull()), one("close_missing", F.col("close_kind").isNull()),
+                      each("letter_pattern", F.col("variants"), lambda v: ~v["letter"].rlike(LETTER)), one("resources_repeat", F.size("resources") != F.size(F.array_distinct("resources"))))
 
 
 def story_anchor(concepts, stories, g="project_id", key="concept_id"):
@@ -171,7 +206,8 @@ def check_reviews(r, key=("variant_id",)):
     ok = (ratio <= F.coalesce("max_ratio", F.lit(1.0)) + 1e-9) & (F.col("min_ratio").isNull() | (ratio >= F.col("min_ratio") - 1e-9))
     return violations(r, key, one("ratio", (F.col("cuts") > 0) & (F.abs(ratio - F.col("ratio")) > 0.01)), one("pass", (F.col("cuts") > 0) & (F.col("pass") != ok)),
                       one("approved_with_blocker", F.col("approved") & (F.col("severity") == "blocks") & (F.col("status") == "open")), one("not_fixable_reason", (F.col("status") == "not_fixable") & F.col("reason").isNull()),
-                      one("language", ~F.coalesce("language_ok", F.lit(True))))
+                      one("language", ~F.coalesce("language_ok", F.lit(True))), *words(severity=SEVERITIES, status=STATUSES), *unlike(letter=LETTER, recommended=LETTER, readme=PATH),
+                      *shorter(what=8, place=1, how_to_fix=8, comparison=20), *outside(cuts=(1, None), subject_cuts=(0, None), ratio=(0, 1)))
 
 
 def check_stories(s, key=("concept_id",)):
@@ -179,7 +215,9 @@ def check_stories(s, key=("concept_id",)):
     rec, dec = F.col("recommended_s"), F.col("declared_s")
     return violations(s, key, one("paid_without_second", F.col("paid_ok") & F.col("paid_at").isNull()), one("ship_unpaid", ship & ~F.col("paid_ok")), one("ship_no_close", ship & ~F.col("close_ok")), one("ship_with_blockers", ship & (F.col("n_blocks") > 0)),
                       one("duration_without_seconds", (rec != 0) & (dec != 0) & (F.abs(rec - dec) > F.greatest(F.lit(2.0), dec * 0.15)) & (F.col("n_windows") == 0)),
-                      one("variant_too_long", (rec != 0) & (F.col("variant_s") > rec * 2)), one("post_without_variants", (F.col("pass") == "post") & (F.col("n_watched") == 0)))
+                      one("variant_too_long", (rec != 0) & (F.col("variant_s") > rec * 2)), one("post_without_variants", (F.col("pass") == "post") & (F.col("n_watched") == 0)),
+                      *words(verdict=VERDICTS, close_kind=CLOSE_KINDS, fix_level=LEVELS, **{"pass": PASSES}), *unlike(concept=CONCEPT_ID, fix_variant=LETTER), *shorter(in_beats=12, fix_what=12, fix_why=8),
+                      *outside(recommended_s=(3, None), declared_s=(0, None), beats=(0, None), largest_gap_s=(0, None)))
 
 
 # ---- round level -------------------------------------------------------------------------------

@@ -32,6 +32,22 @@ def rules(frm, key, *items):
     return " UNION ALL ".join(f"SELECT {key}, '{n}' AS \"check\", CAST({at} AS INT) AS at FROM {frm} WHERE {c}" for n, c, at in items)
 
 
+def sql_words(**allowed):
+    return [(f"{k}_vocabulary", f"{k} NOT IN ({', '.join(repr(x) for x in v)})", "NULL") for k, v in allowed.items()]
+
+
+def sql_shorter(**least):
+    return [(f"{k}_short", f"length({k}) < {n}", "NULL") for k, n in least.items()]
+
+
+def sql_outside(**bounds):
+    return [(f"{k}_bounds", " OR ".join([f"{k} < {lo}"] * (lo is not None) + [f"{k} > {hi}"] * (hi is not None)), "NULL") for k, (lo, hi) in bounds.items()]
+
+
+def sql_unlike(**patterns):
+    return [(f"{k}_pattern", f"NOT regexp_matches({k}, '{p}')", "NULL") for k, p in patterns.items()]
+
+
 _BT = "(SELECT *, lag(at_s) OVER w AS pa, lag(mini_hook) OVER w AS pm, row_number() OVER w - 1 AS n FROM c_beats WINDOW w AS (PARTITION BY concept_id ORDER BY i)) z"
 
 
@@ -69,9 +85,15 @@ _CON = """(SELECT h.*, b.total, b.n, b.subj, coalesce(e.n, 0) AS beats, coalesce
 @query("DQ-02", CON, rules(_CON, "concept_id", ("family_vocabulary", "family = 'vlog'", "NULL"), ("lang_format", "lang = 'english'", "NULL"), ("duration_range", "target_duration_s < 6 OR target_duration_s > 180", "NULL"), ("rationale_short", "length(duration_rationale) < 20", "NULL"),
        ("beat_needs_bpm", "cut_to = 'beat' AND bpm IS NULL", "NULL"), ("bpm_range", "bpm < 40 OR bpm > 220", "NULL"), ("long_needs_turn", "target_duration_s > 35 AND turn_s IS NULL", "NULL"), ("hook_ends_range", "hook_ends_s < 0.5 OR hook_ends_s > 3", "NULL"),
        ("quota_ceiling", "max_ratio > CASE quota_kind WHEN 'first_person' THEN 0.8::DOUBLE WHEN 'recap' THEN 0.5::DOUBLE WHEN 'place_first' THEN 0.25::DOUBLE ELSE 1 END", "NULL"), ("quota_custom_note", "quota_kind = 'custom' AND quota_note IS NULL", "NULL"), ("beats_few", "beats < 2", "NULL"),
-       ("structure_short", "n < 2", "NULL"), ("variants_count", "vars < 2 OR vars > 5", "NULL"), ("length_mismatch", "target_duration_s <> 0 AND abs(total - target_duration_s) > greatest(3, target_duration_s * 0.25::DOUBLE)", "NULL"), ("subject_over_quota", "subj / n > max_ratio + 1e-9", "NULL")))
+       ("structure_short", "n < 2", "NULL"), ("variants_count", "vars < 2 OR vars > 5", "NULL"), ("length_mismatch", "target_duration_s <> 0 AND abs(total - target_duration_s) > greatest(3, target_duration_s * 0.25::DOUBLE)", "NULL"), ("subject_over_quota", "subj / n > max_ratio + 1e-9", "NULL"),
+       *sql_words(platform=("tiktok", "reels", "shorts"), cut_to=("beat", "natural_sound", "narration", "free"), close_kind=("punchline", "back_to_hook", "final_fact", "question", "loop"), quota_kind=("first_person", "recap", "place_first", "custom")),
+       *sql_outside(max_ratio=(0, 1), min_ratio=(0, 1), beat0_s=(0, None), paid_off_s=(1, None), anchor_at_s=(0, None)), *sql_shorter(title=3, hook_visual=8, promise=12, lands_because=12, anchor_what=8),
+       ("promise_missing", "promise IS NULL", "NULL"), ("close_missing", "close_kind IS NULL", "NULL")) + """ UNION ALL
+   SELECT concept_id, 'letter_pattern', CAST(n AS INT) FROM (SELECT concept_id, letter, row_number() OVER (PARTITION BY concept_id ORDER BY i) - 1 AS n FROM c_variants) v WHERE NOT regexp_matches(letter, '^[A-H]$') UNION ALL
+   SELECT concept_id, 'resources_repeat', NULL FROM c_blocks GROUP BY concept_id HAVING count(resource) <> count(DISTINCT resource)""")
 def _(t):
-    return C.check_concepts(concepts(t, "blocks", "beats", "variants"))
+    listed = t.c_blocks.groupBy("concept_id").agg(F.collect_list("resource").alias("resources"))
+    return C.check_concepts(concepts(t, "blocks", "beats", "variants").join(listed, "concept_id", "left"))
 
 
 _VA = "(SELECT v.*, h.hook_resource AS hr, h.close_resource AS cr, row_number() OVER (PARTITION BY v.concept_id ORDER BY v.i) - 1 AS n, differs_in || '|' || coalesce(nullif(v.hook_resource, ''), nullif(v.close_resource, ''), CASE narrated WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' END, '-') AS sig FROM c_variants v JOIN c_head h USING (concept_id)) z"
@@ -140,30 +162,52 @@ _OKR = "(subject_cuts / cuts <= max_ratio + 1e-9 AND (min_ratio IS NULL OR subje
 
 
 @query("DQ-08", ["reviews"], rules("reviews", "variant_id", ("ratio", "abs(subject_cuts / cuts - ratio) > 0.01", "NULL"), ("pass", f"pass <> {_OKR}", "NULL"), ("approved_with_blocker", "approved AND severity = 'blocks' AND status = 'open'", "NULL"),
-       ("not_fixable_reason", "status = 'not_fixable' AND reason IS NULL", "NULL"), ("language", "NOT language_ok", "NULL")))
+       ("not_fixable_reason", "status = 'not_fixable' AND reason IS NULL", "NULL"), ("language", "NOT language_ok", "NULL"), *sql_words(severity=("blocks", "important", "minor"), status=("fixed", "open", "not_fixable")),
+       *sql_unlike(letter="^[A-H]$", recommended="^[A-H]$"), ("readme_pattern", "starts_with(readme, '/home/')", "NULL"), *sql_shorter(what=8, place=1, how_to_fix=8, comparison=20), *sql_outside(cuts=(1, None), subject_cuts=(0, None), ratio=(0, 1))))
 def _(t):
     return C.check_reviews(t.reviews)
 
 
 @query("DQ-09", ["story_reviews"], rules("story_reviews", "concept_id", ("paid_without_second", "paid_ok AND paid_at IS NULL", "NULL"), ("ship_unpaid", "verdict = 'ship' AND NOT paid_ok", "NULL"), ("ship_no_close", "verdict = 'ship' AND NOT close_ok", "NULL"), ("ship_with_blockers", "verdict = 'ship' AND n_blocks > 0", "NULL"),
-       ("duration_without_seconds", "abs(recommended_s - declared_s) > greatest(2, declared_s * 0.15::DOUBLE) AND n_windows = 0", "NULL"), ("variant_too_long", "variant_s > recommended_s * 2", "NULL"), ("post_without_variants", "pass = 'post' AND n_watched = 0", "NULL")))
+       ("duration_without_seconds", "abs(recommended_s - declared_s) > greatest(2, declared_s * 0.15::DOUBLE) AND n_windows = 0", "NULL"), ("variant_too_long", "variant_s > recommended_s * 2", "NULL"), ("post_without_variants", "pass = 'post' AND n_watched = 0", "NULL"),
+       *sql_words(verdict=("ship", "rework", "reject"), close_kind=("punchline", "back_to_hook", "final_fact", "question", "loop"), fix_level=("blocks", "optional"), **{"pass": ("pre", "post")}), *sql_unlike(concept="^[a-z0-9][a-z0-9-]*$", fix_variant="^[A-H]$"),
+       *sql_shorter(in_beats=12, fix_what=12, fix_why=8), *sql_outside(recommended_s=(3, None), declared_s=(0, None), beats=(0, None), largest_gap_s=(0, None))))
 def _(t):
     return C.check_stories(t.story_reviews)
 
 
-_MO = """(SELECT project_id, CASE WHEN quality = 5 THEN upper(id) || '!' ELSE id END AS id, CASE WHEN batch = 7 THEN '/home/u/' || path ELSE path END AS path, CASE WHEN type = '360' THEN 'video360' ELSE type END AS type, CASE WHEN batch = 3 THEN 'soon' ELSE CAST(date::DATE AS VARCHAR) END AS date, quality, hook, start_s, CASE WHEN batch = 4 THEN NULL ELSE end_s END AS end_s,
-   use, CASE WHEN batch < 9 THEN 'blurred' ELSE 'no' END AS reason, description, subject_present, story_potential, emotion, notes, CASE WHEN batch = 6 THEN NULL ELSE 'sheet-1' END AS sheet, batch, hook > 3 AND reaction AS obst, CASE WHEN batch % 5 = 0 THEN NULL ELSE yaw END AS yaw FROM moments) z"""
+# One document per moment with every kind of fault, in both dialects: the rules are stated on its fields alone.
+_MO_FIELDS = """project_id, CASE WHEN quality = 5 THEN upper(id) || '!' ELSE id END AS id, CASE WHEN batch = 7 THEN '/home/u/' || path WHEN batch = 11 THEN '' ELSE path END AS path,
+   CASE WHEN batch = 0 THEN 'movie' WHEN type = '360' THEN 'video360' ELSE type END AS type, CASE WHEN batch = 3 THEN 'soon' ELSE CAST(CAST(date AS DATE) AS VARCHAR(10)) END AS date, quality + CASE WHEN batch = 2 THEN 2 ELSE 0 END AS quality,
+   hook - CASE WHEN batch = 2 THEN 1 ELSE 0 END AS hook, start_s - CASE WHEN batch = 1 THEN 10 ELSE 0 END AS start_s, CASE WHEN batch = 4 THEN NULL WHEN batch = 9 THEN -1e0 ELSE end_s END AS end_s, use, CASE WHEN batch < 9 THEN 'blurred' ELSE 'no' END AS reason,
+   CASE WHEN batch = 10 THEN 'a boat' WHEN batch = 9 THEN NULL ELSE description END AS description, CASE WHEN batch = 5 THEN NULL ELSE subject_present END AS subject_present, story_potential + CASE WHEN batch = 8 THEN 3 ELSE 0 END AS story_potential,
+   CASE WHEN batch = 7 THEN 'anger' ELSE emotion END AS emotion, notes, CASE WHEN batch = 6 THEN NULL ELSE 'sheet-1' END AS sheet, CASE WHEN batch % 5 = 0 THEN NULL ELSE yaw END AS yaw, yaw - 200 AS pitch, yaw / 2 AS fov, yaw / 300 AS focus_x, (yaw - 20) / 300 AS focus_y,
+   CAST(hook - 1 AS DOUBLE) AS fps, start_s - 5 AS duration_s, CASE WHEN batch = 3 THEN 'wide' ELSE 'vertical' END AS framing, CASE WHEN batch = 4 THEN 'jumpy' WHEN batch < 8 THEN 'static' END AS live_motion"""
+_MO_ARRAYS = """CASE batch WHEN 8 THEN NULL WHEN 2 THEN {l}'sky', 'sky'{r} WHEN 1 THEN {l}'sky', 'clouds', 'mud'{r} WHEN 0 THEN {e} ELSE {l}'sky', 'city'{r} END AS tags,
+   CASE WHEN hook > 3 AND reaction THEN CASE batch WHEN 10 THEN {l}'fog'{r} WHEN 11 THEN {l}'glass', 'glass'{r} ELSE {l}'glass'{r} END END AS obstructions, CASE WHEN batch = 6 THEN {l}'id', 'colour', 'path', 'mood'{r} ELSE {l}'id', 'path', 'type'{r} END AS keys"""
+_MO = f"(SELECT {_MO_FIELDS}, {_MO_ARRAYS.format(l='[', r=']', e='[]::VARCHAR[]')} FROM moments) z"
+_IN = {n: ", ".join(repr(x) for x in v) for n, v in dict(tags=C.TAGS, obstructions=C.OBSTRUCTIONS, emotions=C.EMOTIONS, keys=C.ITEM_KEYS).items()}
+
+
+def _each(name, col, allowed):
+    return f" UNION ALL SELECT project_id, id, '{name}', CAST(n AS INT) FROM (SELECT project_id, id, unnest({col}) AS x, generate_subscripts({col}, 1) - 1 AS n FROM {_MO}) y WHERE x NOT IN ({allowed})"
+
+
+_USED = "coalesce(use, TRUE)"
 
 
-@query("DQ-01", ["moments"], rules(_MO, "project_id, id", ("id_pattern", "NOT regexp_matches(id, '^[a-z0-9][a-z0-9_-]*$')", "NULL"), ("path_private", "path LIKE '/home/%'", "NULL"), ("date_format", "date = 'soon'", "NULL"), ("video_window", "type IN ('video', 'video360') AND end_s IS NULL", "NULL"),
-       ("dropped_reason", "NOT coalesce(use, TRUE) AND length(reason) < 3", "NULL"), ("needs_sheet", "coalesce(use, TRUE) AND sheet IS NULL", "NULL"), ("needs_tags", "coalesce(use, TRUE) AND batch = 8", "NULL"), ("tags_repeat", "batch = 2", "NULL"), ("tag_vocabulary", "batch = 1", "1"),
-       ("obstruction_vocabulary", "obst AND batch = 10", "0"), ("sphere_direction", "type = 'video360' AND coalesce(use, TRUE) AND yaw IS NULL", "NULL"), ("yaw_range", "yaw > 360", "NULL"), ("obstruction_notes", "obst AND notes IS NULL", "NULL"), ("obstruction_quality", "obst AND quality > 2", "NULL")))
+@query("DQ-01", ["moments"], rules(_MO, "project_id, id", ("id_pattern", "NOT regexp_matches(id, '^[a-z0-9][a-z0-9_-]*$')", "NULL"), ("path_private", "regexp_matches(path, '^(/Users/|/home/|/root/)')", "NULL"), ("path_missing", "path IS NULL OR path = ''", "NULL"),
+       ("type_vocabulary", "type NOT IN ('photo', 'video', 'video360', 'live')", "NULL"), ("date_format", r"NOT regexp_matches(date, '^\d{4}-\d{2}-\d{2}')", "NULL"), ("quality_range", "quality NOT BETWEEN 1 AND 5", "NULL"), ("hook_range", "hook NOT BETWEEN 1 AND 5", "NULL"),
+       ("start_negative", "start_s < 0", "NULL"), ("story_range", "story_potential NOT BETWEEN 0 AND 5", "NULL"), ("emotion_vocabulary", f"emotion NOT IN ({_IN['emotions']})", "NULL"), ("video_window", "type IN ('video', 'video360') AND (start_s IS NULL OR end_s IS NULL)", "NULL"),
+       ("dropped_reason", f"NOT {_USED} AND (reason IS NULL OR length(reason) < 3)", "NULL"), *[(f"needs_{n}", f"{_USED} AND {c} IS NULL", "NULL") for n, c in (("description", "description"), ("quality", "quality"), ("hook", "hook"), ("subject", "subject_present"), ("sheet", "sheet"), ("tags", "tags"))],
+       ("tags_empty", "len(tags) = 0", "NULL"), ("tags_repeat", "len(tags) <> len(list_distinct(tags))", "NULL"), ("sphere_direction", f"type = 'video360' AND {_USED} AND yaw IS NULL", "NULL"), ("yaw_range", "yaw NOT BETWEEN -360 AND 360", "NULL"),
+       *sql_outside(pitch=(-90, 90), fov=(10, 180), focus_x=(0, 1), focus_y=(0, 1), fps=(1, None), end_s=(0, None), duration_s=(0, None)), *sql_shorter(description=12),
+       *sql_words(framing=("vertical", "horizontal", "square"), live_motion=("subject", "camera", "static", "shaky", "short", "unreadable")), ("obstructions_repeat", "len(obstructions) <> len(list_distinct(obstructions))", "NULL"),
+       ("obstruction_notes", "len(obstructions) > 0 AND notes IS NULL", "NULL"), ("obstruction_quality", "len(obstructions) > 0 AND quality > 2", "NULL"))
+       + _each("tag_vocabulary", "tags", _IN["tags"]) + _each("obstruction_vocabulary", "obstructions", _IN["obstructions"]) + _each("unknown_key", "keys", _IN["keys"]))
 def _(t):
-    m = t.moments.selectExpr("project_id", "if(quality = 5, concat(upper(id), '!'), id) as id", "if(batch = 7, concat('/home/u/', path), path) as path", "if(type = '360', 'video360', type) as type", "if(batch = 3, 'soon', cast(cast(date as date) as string)) as date",
-                             "quality", "hook", "start_s", "if(batch = 4, null, end_s) as end_s", "use", "if(batch < 9, 'blurred', 'no') as reason", "description", "subject_present", "story_potential", "emotion", "notes", "if(batch = 6, null, 'sheet-1') as sheet",
-                             "case when batch = 8 then null when batch = 2 then array('sky', 'sky') when batch = 1 then array('sky', 'clouds') else array('sky', 'city') end as tags",
-                             "case when hook > 3 and reaction then if(batch = 10, array('fog'), array('glass')) end as obstructions", "if(batch % 5 = 0, null, yaw) as yaw")
-    return C.check_moments(m)
+    arrays = _MO_ARRAYS.format(l="array(", r=")", e="cast(array() AS array<string>)")
+    return C.check_moments(t.spark.sql(f"SELECT {_MO_FIELDS}, {arrays} FROM {{m}}", m=t.moments))
 
 
 @query("AG-23", ["c_blocks", "c_head"], """SELECT concept_id AS variant_id, cuts, subject_cuts, subject_cuts / cuts AS ratio, subject_cuts / cuts <= max_ratio + 1e-9 AND (min_ratio IS NULL OR subject_cuts / cuts >= min_ratio - 1e-9) AS pass
