@@ -186,17 +186,17 @@ VIEWS = {
         SELECT doc_id, CAST(n AS INT) AS n, line AS text, lang, source FROM (
           SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM {documents}) x""")),
     "pref_lists": (["orders"], """
-        SELECT o_custkey AS owner, 'formats' AS section, CASE WHEN min(o_orderstatus) = 'F' THEN 'worked' ELSE 'failed' END AS leaf, o_orderpriority AS value
-        FROM {orders} WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey, o_orderpriority"""),
+        SELECT o_custkey AS owner, 'formats' AS section, CASE WHEN min(o_orderstatus) = 'F' THEN 'worked' ELSE 'failed' END AS leaf, CASE WHEN min(o_orderkey) % 3 = 0 THEN 'other ' || o_orderpriority ELSE o_orderpriority END AS value
+        FROM {orders} GROUP BY o_custkey, o_orderpriority"""),
     "pref_changes": (["orders"], """
         SELECT o_custkey AS owner, 'formats' AS section, CASE WHEN o_orderkey % 2 = 0 THEN 'worked' ELSE 'failed' END AS leaf,
-               CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS value, o_orderkey AS seq FROM {orders} WHERE o_orderkey % 4 = 0"""),
+               CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS value, o_orderkey AS seq FROM {orders}"""),
     "rules": (["orders"], """
-        SELECT o_custkey AS owner, 'r-' || substr(CAST(1000 + o_orderkey % 900 AS VARCHAR(10)), 2, 3) AS id, 'Keep ' || o_orderpriority AS text, 'do' AS kind, CAST(o_orderkey % 3 AS INT) AS hits
-        FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM {orders} WHERE o_orderkey % 3 = 0 GROUP BY o_custkey, o_orderpriority) x"""),
+        SELECT o_custkey AS owner, 'r-' || substr(CAST(1000 + o_orderkey % 900 AS VARCHAR(10)), 2, 3) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'Keep ' ELSE 'Always keep ' END || o_orderpriority AS text, 'do' AS kind, CAST(o_orderkey % 3 AS INT) AS hits
+        FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM {orders} GROUP BY o_custkey, o_orderpriority) x"""),
     "new_rules": (["orders"], """
         SELECT o_custkey AS owner, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'keep ' ELSE 'Keep ' END || o_orderpriority AS text,
-               CASE WHEN o_orderstatus = 'F' THEN 'never' ELSE 'do' END AS kind FROM {orders} WHERE o_orderkey % 3 = 1"""),
+               CASE WHEN o_orderstatus = 'F' THEN 'never' ELSE 'do' END AS kind FROM {orders}"""),
     "facts": (["benchmark"], ("""
         SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)) AS project, item_id AS fact, concat(split(text, ' ')[0], ' ', split(text, ' ')[1]) AS forbid, element_at(split(text, ' '), -1) AS allow_if FROM {benchmark}
         UNION ALL SELECT 'src' || CAST(item_id % 8 AS VARCHAR(5)), item_id, concat(split(text, ' ')[2], '( a| the|,)? ', split(text, ' ')[3]), element_at(split(text, ' '), -1) FROM {benchmark}""", """
@@ -318,13 +318,13 @@ VIEWS = {
                CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN i = 0 THEN 'hook' WHEN i = n - 1 AND l_suppkey % 5 > 0 THEN 'close' WHEN l_suppkey % 17 = 0 THEN 'turn' ELSE 'development' END AS role,
                CASE WHEN l_linestatus = 'O' THEN p_name ELSE NULL END AS text, hero AS subject, CASE WHEN l_linestatus = 'F' AND l_suppkey % 3 = 0 THEN p_name ELSE NULL END AS says, l_suppkey, l_partkey
         FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {shots}) s JOIN {part} ON p_partkey = l_partkey"""),
-    "c_beats": (["c_blocks"], "SELECT concept_id, i, CASE WHEN l_suppkey % 9 = 0 THEN t0 - 3 ELSE t0 END AS at_s, 'Raise ' || CAST(l_partkey % 6 AS VARCHAR(5)) AS raises, CASE WHEN l_suppkey % 2 = 0 THEN 'wait' ELSE NULL END AS mini_hook FROM {c_blocks} WHERE i % 2 = 0"),
+    "c_beats": (["c_blocks"], "SELECT concept_id, i, CASE WHEN l_suppkey % 9 = 0 THEN t0 - 3 ELSE t0 END AS at_s, 'Raise ' || CAST(l_partkey % 6 AS VARCHAR(5)) AS raises, CASE WHEN l_suppkey % 2 = 0 THEN 'wait' ELSE NULL END AS mini_hook FROM {c_blocks}"),
     "c_variants": (["c_blocks", "c_head"], """
         SELECT b.concept_id, b.i, CASE WHEN l_suppkey % 19 = 0 THEN 'A' WHEN l_suppkey % 19 = 1 THEN 'Z' ELSE substr('ABCDEFGH', b.i + 1, 1) END AS letter, CASE WHEN b.i = 0 THEN 'base' ELSE CASE CAST((l_suppkey + b.i) % 5 AS INT) WHEN 0 THEN 'base' WHEN 1 THEN 'hook' WHEN 2 THEN 'close' WHEN 3 THEN 'voice' ELSE 'shots' END END AS differs_in,
                CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN hook_resource ELSE resource END AS hook_resource, CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN close_resource ELSE resource END AS close_resource,
                CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_partkey % 5 = 0 END AS narrated, CASE WHEN l_suppkey % 10 = 3 THEN 'Same cuts, Other song' ELSE 'another middle' END AS what, CAST(l_partkey % 6 AS INT) AS n_new, narration,
-               'v' || CAST(b.concept_id AS VARCHAR(20)) || '-' || CAST(b.i AS VARCHAR(3)) AS variant_id, t1 AS duration_s, l_suppkey, l_partkey FROM {c_blocks} b JOIN {c_head} h ON h.concept_id = b.concept_id WHERE b.i < 2 + k % 4"""),
-    "c_stories": (["c_head"], "SELECT DISTINCT project_id, 's-' || substr(CAST(1000 + k % 20 AS VARCHAR(5)), 2, 3) AS id FROM {c_head} WHERE project_id % 5 <> 4"),
+               'v' || CAST(b.concept_id AS VARCHAR(20)) || '-' || CAST(b.i AS VARCHAR(3)) AS variant_id, t1 AS duration_s, l_suppkey, l_partkey FROM {c_blocks} b JOIN {c_head} h ON h.concept_id = b.concept_id"""),
+    "c_stories": (["c_head"], "SELECT DISTINCT CASE WHEN project_id % 5 = 4 THEN -project_id ELSE project_id END AS project_id, 's-' || substr(CAST(1000 + k % 20 AS VARCHAR(5)), 2, 3) AS id FROM {c_head}"),
     "builds": (["c_variants"], """
         SELECT variant_id, CAST(1 + l_suppkey % 20 AS INT) AS cuts, CAST(l_partkey % 22 AS INT) AS cuts_with_subject, -0.1e0 * (l_partkey % 15) AS peak_dbtp, CASE WHEN l_suppkey % 31 = 0 THEN 2 ELSE 0 END AS black_frames, duration_s AS video_duration_s, duration_s + (l_partkey % 9 - 4) * 0.15e0 AS audio_duration_s,
                CASE WHEN l_suppkey % 29 = 0 THEN 2 WHEN l_suppkey % 29 = 1 THEN NULL ELSE 1 END AS audio_tracks, CASE WHEN l_partkey % 27 = 0 THEN 'm1' ELSE NULL END AS out_of_window, narrated, CASE WHEN l_suppkey % 3 = 0 THEN 'x.json' ELSE NULL END AS voice_script FROM {c_variants}"""),

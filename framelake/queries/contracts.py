@@ -16,7 +16,7 @@ def concepts(t, *parts):
         "blocks": lambda: arr(t.c_blocks, k, "t0", "t1", "resource", "role", "text", "subject", "says").withColumnRenamed("_a", "blocks"),
         "beats": lambda: arr(t.c_beats, k, "at_s", "raises", "mini_hook").withColumnRenamed("_a", "beats"),
         "variants": lambda: arr(t.c_variants, k, "letter", "differs_in", "hook_resource", "close_resource", "narrated", "what", "n_new").withColumnRenamed("_a", "variants"),
-        "resources": lambda: t.c_blocks.filter("l_partkey % 7 <> 0").groupBy(k).agg(F.collect_set("resource").alias("resources")),
+        "resources": lambda: t.c_blocks.groupBy(k).agg(F.collect_set(F.expr("if(l_partkey % 7 = 0, concat(resource, '-old'), resource)")).alias("resources")),
     }
     out = t.c_head
     for p in parts or make:
@@ -108,7 +108,7 @@ def _(t):
     return C.check_variants(concepts(t, "variants"))
 
 
-_RES = "(SELECT DISTINCT concept_id, resource FROM c_blocks WHERE l_partkey % 7 <> 0)"
+_RES = "(SELECT DISTINCT concept_id, CASE WHEN l_partkey % 7 = 0 THEN resource || '-old' ELSE resource END AS resource FROM c_blocks)"
 
 
 @query("SO-06", CON, f"SELECT DISTINCT b.concept_id, b.resource FROM c_blocks b WHERE b.concept_id IN (SELECT concept_id FROM {_RES} r) AND NOT EXISTS (SELECT 1 FROM {_RES} r WHERE r.concept_id = b.concept_id AND r.resource = b.resource)")

@@ -43,10 +43,11 @@ def _(t):
 
 
 @query("AG-27", ["moments"], """SELECT p.project_id, count(*) AS batches, count(*) FILTER (coalesce(r.moments, 0) = 0) AS lost, count(*) FILTER (coalesce(r.reused, FALSE)) AS reused, CAST(coalesce(sum(r.moments), 0) AS BIGINT) AS moments
-   FROM (SELECT DISTINCT project_id, batch FROM moments) p LEFT JOIN (SELECT project_id, batch, count(*) FILTER (use) AS moments, batch % 4 = 0 AS reused FROM moments WHERE batch <> 5 GROUP BY 1, 2) r ON r.project_id = p.project_id AND r.batch = p.batch GROUP BY 1""")
+   FROM (SELECT DISTINCT project_id, batch FROM moments) p LEFT JOIN (SELECT project_id, CASE WHEN batch = 5 THEN 105 ELSE batch END AS batch, count(*) FILTER (use) AS moments, batch % 4 = 0 AS reused FROM moments GROUP BY project_id, moments.batch) r ON r.project_id = p.project_id AND r.batch = p.batch GROUP BY 1""")
 def _(t):
     planned = t.moments.select("project_id", "batch").distinct()
-    results = t.moments.filter("batch <> 5").groupBy("project_id", "batch").agg(F.count_if("use").alias("moments")).withColumn("reused", F.expr("batch % 4 = 0"))
+    results = (t.moments.groupBy("project_id", "batch").agg(F.count_if("use").alias("moments")).withColumn("reused", F.expr("batch % 4 = 0"))
+               .withColumn("batch", F.expr("if(batch = 5, 105, batch)")))          # the results of batch 5 came under another name
     return M.coverage(planned, results)
 
 

@@ -83,11 +83,11 @@ def _(t):
 
 
 @query("SNK-02", ["media"], """SELECT m.library_id, printf('h-%03d', row_number() OVER (PARTITION BY m.library_id ORDER BY date, m.id) + coalesce(top, 0)) AS id, m.name FROM media m LEFT JOIN
-   (SELECT library_id, max(id) AS top FROM media WHERE k < 10 GROUP BY 1) s ON s.library_id = m.library_id WHERE k >= 90""")
+   (SELECT library_id, max(id) FILTER (k < 10) AS top FROM media GROUP BY 1) s ON s.library_id = m.library_id""")
 def _(t):
-    store = t.media.filter("k < 10").selectExpr("library_id", "concat('h-', lpad(id, greatest(3, length(id)), '0')) as id")
+    store = t.media.selectExpr("library_id", "concat(if(k < 10, 'h-', 'other-'), lpad(id, greatest(3, length(id)), '0')) as id")
     from framelake.plans.ordered import block_of
-    return P.append_with_ids(store, t.media.filter("k >= 90").select("library_id", "date", F.col("id").alias("item"), "name"), "h", ["library_id"], block_of("date", 3600), ["date", "item"]).select("library_id", "id", "name")
+    return P.append_with_ids(store, t.media.select("library_id", "date", F.col("id").alias("item"), "name"), "h", ["library_id"], block_of("date", 3600), ["date", "item"]).select("library_id", "id", "name")
 
 
 @query("SO-03", ["pref_lists", "pref_changes"], """, ch AS (SELECT owner, section, lower(value) AS v, arg_max(leaf, seq) AS leaf, arg_max(value, seq) AS value FROM pref_changes GROUP BY 1, 2, 3)
