@@ -9,14 +9,20 @@ V = "video_id"
 
 
 # ---- timelines -------------------------------------------------------------------------------
-TIMELINE = ("struct<duration:double,fade_out:double,loop:boolean,shots:array<struct<i:int,t0:double,t1:double,dur:double,src:string,hero:boolean,says:string>>,"
+TIMELINE = ("struct<duration:double,fade_out:double,loop:boolean,shots:array<struct<i:int,t0:double,t1:double,dur:double,src:string,hero:boolean,says:variant>>,"
             "captions:array<struct<t0:double,t1:double,text:string,source:string,audio_t0:double>>,words:array<struct<t0:double,t1:double,text:string>>,voice:array<array<double>>>")
 
 
+def phrases(says):
+    """The phrases a shot promises: a timeline states one text or a list of them."""
+    v = F.col(says)
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("array<string>")).when(v.isNotNull() & ~F.is_variant_null(v), F.array(v.cast("string")))
+
+
 def read_timelines(docs, key=V, body="body"):
     """Timeline sidecars -> (shots, captions, words, voice windows)."""
     d = docs.select(key, F.from_json(body, TIMELINE).alias("d")).filter("d.shots is not null")
-    shots = d.select(key, F.explode("d.shots").alias("x")).select(key, "x.*")
+    shots = d.select(key, F.explode("d.shots").alias("x")).select(key, "x.*").withColumn("says", phrases("says"))
     caps = d.select(key, F.posexplode("d.captions").alias("i", "x")).select(key, "i", "x.*")
     words = d.select(key, F.posexplode("d.words").alias("i", "x")).select(key, "i", "x.*")
     voice = d.select(key, F.posexplode("d.voice").alias("i", "x")).select(key, "i", F.col("x")[0].alias("t0"), F.col("x")[1].alias("t1"))
@@ -205,17 +211,19 @@ def text_cut(caps, shots, tol=0.35, key=V):
 
 
 def voice_image(shots, words, tol=0.25, key=V):
-    """The phrase a shot promises against when the voice says it first (whole-token n-gram match)."""
+    """Each phrase that a shot promises (says: a list of texts) against when the voice says it first, as whole tokens in a row:
+    (key, i, k, status, said_at), k counting the shot's phrases."""
     flat = words.select(key, "n", "t0", "t1", F.posexplode(token_array("text", "phrase")).alias("k", "token"))
-    pos = flat.withColumn("p", F.row_number().over(Window.partitionBy(key).orderBy("n", "k")))
-    want = shots.filter("says is not null").select(key, "i", F.col("t0").alias("s0"), F.col("t1").alias("s1"), token_array("says", "phrase").alias("w")).filter(F.size("w") > 0)
-    each = want.select(key, "i", "s0", "s1", F.size("w").alias("m"), F.posexplode("w").alias("o", "token"))
-    hit = (each.join(pos, [key, "token"]).withColumn("at", F.col("p") - F.col("o")).groupBy(key, "i", "m", "at")
+    pos = flat.select(key, "t0", "t1", "token", F.row_number().over(Window.partitionBy(key).orderBy("n", "k")).alias("p"))
+    promised = shots.select(key, "i", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.posexplode("says").alias("k", "phrase"))
+    want = promised.withColumn("w", token_array("phrase", "phrase")).filter(F.size("w") > 0).drop("phrase")
+    each = want.select(key, "i", "k", F.size("w").alias("m"), F.posexplode("w").alias("o", "token"))
+    hit = (each.join(pos, [key, "token"]).withColumn("at", F.col("p") - F.col("o")).groupBy(key, "i", "k", "m", "at")
            .agg(F.count("*").alias("_c"), F.min(F.when(F.col("o") == 0, F.col("t0"))).alias("v0"), F.max(F.when(F.col("o") == F.col("m") - 1, F.col("t1"))).alias("v1")).filter("_c = m"))
-    first = hit.groupBy(key, "i").agg(F.min(F.struct("at", "v0", "v1")).alias("h"))
-    r = want.join(first, [key, "i"], "left")
+    first = hit.groupBy(key, "i", "k").agg(F.min(F.struct("at", "v0", "v1")).alias("h"))
+    r = want.join(first, [key, "i", "k"], "left")
     status = (F.when(F.col("h").isNull(), "never said").when((F.col("h.v1") < F.col("s0") - tol) | (F.col("h.v0") > F.col("s1") + tol), "off screen").otherwise("ok"))
-    return r.select(key, "i", status.alias("status"), F.col("h.v0").alias("said_at"))
+    return r.select(key, "i", "k", status.alias("status"), F.col("h.v0").alias("said_at"))
 
 
 def recall(lines, heard, key=V, before=0.8, after=1.2):

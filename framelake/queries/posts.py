@@ -47,9 +47,8 @@ def _(t):
     return P.group_weights(P.score_posts(t.posts))
 
 
-@query("AG-12", ["posts"], f"""SELECT p.platform, b.band FROM (SELECT DISTINCT platform, voice FROM posts WHERE voice IS NOT NULL) p, (VALUES ('under 12s'), ('12-20s'), ('20-30s'), ('30-45s'), ('45-60s'), ('over 60s')) b(band)
-   WHERE FALSE UNION ALL SELECT f, b.band FROM (SELECT DISTINCT id // 40 AS f FROM {_SCORED} s WHERE score IS NOT NULL AND ({_BAND}) IS NOT NULL) p, (VALUES ('under 12s'), ('12-20s'), ('20-30s'), ('30-45s'), ('45-60s'), ('over 60s')) b(band)
-   WHERE NOT EXISTS (SELECT 1 FROM {_SCORED} s WHERE s.id // 40 = p.f AND score IS NOT NULL AND ({_BAND}) = b.band)""".split("UNION ALL ")[1])
+@query("AG-12", ["posts"], f"""SELECT f, b.band FROM (SELECT DISTINCT id // 40 AS f FROM {_SCORED} s WHERE score IS NOT NULL AND ({_BAND}) IS NOT NULL) p, (VALUES ('under 12s'), ('12-20s'), ('20-30s'), ('30-45s'), ('45-60s'), ('over 60s')) b(band)
+   WHERE NOT EXISTS (SELECT 1 FROM {_SCORED} s WHERE s.id // 40 = p.f AND score IS NOT NULL AND ({_BAND}) = b.band)""")
 def _(t):
     return P.untried(P.score_posts(t.posts).withColumn("f", F.floor(F.col("id") / 40)), ("f",))
 

@@ -108,12 +108,14 @@ def _(t):
     return X.parse_scripts(t.script_rows)
 
 
-@query("SRC-06", ["shots"], "SELECT video_id, i, t0, t1, dur, CAST(src AS VARCHAR) AS src, hero FROM shots")
+@query("SRC-06", ["shots"], """SELECT video_id, i, t0, t1, dur, CAST(src AS VARCHAR) AS src, hero, CASE WHEN i % 3 = 1 THEN 'one phrase' WHEN i % 3 = 2 THEN 'one phrase|[and] another' END AS says FROM shots""")
 def _(t):
-    s = t.shots.groupBy("video_id").agg(F.max("t1").alias("duration"), F.collect_list(F.struct("i", "t0", "t1", "dur", F.col("src").cast("string").alias("src"), "hero")).alias("shots"))
+    # a shot says nothing, one text or a list of texts, as files have it
+    says = F.expr("""CASE WHEN i % 3 = 1 THEN parse_json('"one phrase"') WHEN i % 3 = 2 THEN parse_json('["one phrase", "[and] another"]') END""").alias("says")
+    s = t.shots.groupBy("video_id").agg(F.max("t1").alias("duration"), F.collect_list(F.struct("i", "t0", "t1", "dur", F.col("src").cast("string").alias("src"), "hero", says)).alias("shots"))
     c = t.captions.groupBy("video_id").agg(F.collect_list(F.struct("t0", "t1", "text")).alias("captions"))
     docs = s.join(c, "video_id", "left").select("video_id", F.to_json(F.struct("duration", "shots", "captions")).alias("body"))
-    return Vd.read_timelines(docs)[0].select("video_id", "i", "t0", "t1", "dur", "src", "hero")
+    return Vd.read_timelines(docs)[0].select("video_id", "i", "t0", "t1", "dur", "src", "hero", F.array_join("says", "|").alias("says"))
 
 
 @query("SRC-07", ["spec_segments"], """SELECT video_id, i, round_even(t, 3) AS t0, round_even(t + d, 3) AS t1, round_even(d, 3) AS dur, string_split(src, '/')[-1] AS src, TRUE AS partial FROM (

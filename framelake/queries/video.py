@@ -141,19 +141,19 @@ def with_anchor(t):
 
 
 def with_says(t):
-    return t.shots.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn("says", F.when(F.col("l_suppkey") % 4 == 0, F.col("p_name")))
+    return t.shots.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn("says", F.expr("CASE WHEN l_suppkey % 8 = 0 THEN array(p_name, 'of the') WHEN l_suppkey % 4 = 0 THEN array(p_name) END"))
 
 
 def said_words(t):
     return t.heard.selectExpr("video_id", "i * 100 + pos as n", "t0", "t1", "w as text")
 
 
-_SAYS = """, tk AS (SELECT video_id, w, t0, t1, row_number() OVER (PARTITION BY video_id ORDER BY i, pos) AS p FROM heard), pr AS (SELECT s.*, lower(p_name) AS ph FROM shots s JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 4 = 0),
-   h AS (SELECT pr.video_id, pr.i, arg_min(a.t0, a.p) AS v0, arg_min(b.t1, a.p) AS v1 FROM pr JOIN tk a ON a.video_id = pr.video_id JOIN tk b ON b.video_id = a.video_id AND b.p = a.p + 1 AND lower(a.w) || ' ' || lower(b.w) = pr.ph GROUP BY 1, 2),
-   vi AS (SELECT pr.video_id, pr.i, CASE WHEN h.v0 IS NULL THEN 'never said' WHEN h.v1 < pr.t0 - 0.25 OR h.v0 > pr.t1 + 0.25 THEN 'off screen' ELSE 'ok' END AS status, h.v0 AS said_at FROM pr LEFT JOIN h USING (video_id, i)) """
+_SAYS = """, tk AS (SELECT video_id, w, t0, t1, row_number() OVER (PARTITION BY video_id ORDER BY i, pos) AS p FROM heard), pr AS (SELECT s.*, 0 AS k, lower(p_name) AS ph FROM shots s JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 4 = 0 UNION ALL SELECT s.*, 1 AS k, 'of the' AS ph FROM shots s WHERE l_suppkey % 8 = 0),
+   h AS (SELECT pr.video_id, pr.i, pr.k, arg_min(a.t0, a.p) AS v0, arg_min(b.t1, a.p) AS v1 FROM pr JOIN tk a ON a.video_id = pr.video_id JOIN tk b ON b.video_id = a.video_id AND b.p = a.p + 1 AND lower(a.w) || ' ' || lower(b.w) = pr.ph GROUP BY 1, 2, 3),
+   vi AS (SELECT pr.video_id, pr.i, pr.k, CASE WHEN h.v0 IS NULL THEN 'never said' WHEN h.v1 < pr.t0 - 0.25 OR h.v0 > pr.t1 + 0.25 THEN 'off screen' ELSE 'ok' END AS status, h.v0 AS said_at FROM pr LEFT JOIN h USING (video_id, i, k)) """
 
 
-@query("JN-21", ["shots", "part", "heard"][0::2], _SAYS + "SELECT * FROM vi")
+@query("JN-21", ["shots", "heard"], _SAYS + "SELECT * FROM vi")
 def _(t):
     return V.voice_image(with_says(t), said_words(t))
 
