@@ -70,11 +70,14 @@ def gt_voice_audible(videos, lines, samples, heard=None, margin=LIMITS["voice_ma
 
 
 def gt_text_sync(videos, caps, voice, script=None, tolerance=LIMITS["text_tolerance"]):
-    """Captions against the second the voice says them; hand-typed text falls back to line openers."""
+    """Captions against the second the voice says them; hand-typed text falls back to line openers. A video counts as
+    narrated by its voice windows, or by having a script where its timeline is only worked out from a spec (partial)."""
     sync = caps.filter("audio_t0 is not null").select(K, (F.col("t0") - F.col("audio_t0")).alias("drift"))
     if script is not None:
         have = sync.select(K).distinct()
         narrated = voice.select(K).distinct()
+        if "partial" in videos.columns:
+            narrated = narrated.unionByName(videos.filter("partial").select(K)).distinct()
         free = caps.filter(F.coalesce("source", F.lit("spec")).isin("spec", "cut"))
         op = V.line_openers(script.join(have, K, "left_anti").join(narrated, K, "left_semi"), free).select(K, (F.col("cap_t0") - F.col("start_s")).alias("drift"))
         sync = sync.unionByName(op)
@@ -97,31 +100,42 @@ def gt_voice_image(videos, shots, words, tolerance=LIMITS["text_tolerance"]):
     return _row(d, "voice_image", F.when(can, _pf(F.col("_n") == 0)).otherwise("skip"), F.when(can, F.col("_n")), _fmt("%d of %d promise(s) broken", "_n", "_p"))
 
 
-def ending_symptoms(videos, shots, caps, voice, frames):
-    """Every measured symptom of a video that stops instead of ending; nulls stay unknown."""
+def ending_symptoms(videos, shots, caps, voice, frames, blacks=None, cuts=None):
+    """Every measured symptom of a video that stops instead of ending; nulls stay unknown. A video without a timeline is
+    judged by its picture: it fades if its last frames do or a black window (video_id, t0, t1) closes it, and its last
+    shot runs from the last cut seen (video_id, t)."""
     totals = videos.select(K, F.col("picture_s").alias("total_s"))
     hint = videos.select(K, "fade_out")
-    fades = V.fade(frames, totals).join(hint, K).select(K, F.greatest("fade_s", F.coalesce("fade_out", F.lit(0.0))).alias("fade_s"))
+    raw = written_once(V.fade(frames, totals).select(K, "fade_s"))
+    fades = raw.join(hint, K).select(K, F.greatest("fade_s", F.coalesce("fade_out", F.lit(0.0))).alias("fade_s"))
     prof = V.end_motion(frames, fades, totals).select(K, "motion")
+    seen = raw.select(K, (F.col("fade_s") > 0.08).alias("_faded"))
     ends = shots.groupBy(K).agg(F.max_by(F.struct("dur", "t0", "src"), "i").alias("z"), F.min_by("src", "i").alias("src0"), F.count("*").alias("n_shots"))
     cl = caps.groupBy(K).agg(F.max("t1").alias("_ct"))
     vt = voice.groupBy(K).agg(F.max("t1").alias("voice_tail"))
-    d = videos.join(prof, K, "left").join(ends, K, "left").join(cl, K, "left").join(vt, K, "left")
+    d = videos.join(prof, K, "left").join(ends, K, "left").join(cl, K, "left").join(vt, K, "left").join(seen, K, "left")
+    if blacks is not None:
+        d = d.join(blacks.groupBy(K).agg(F.max("t1").alias("_dark")), K, "left").withColumn("_faded", F.coalesce("_faded", F.lit(False)) | F.coalesce(F.col("_dark") >= F.col("picture_s") - 0.15, F.lit(False)))
+    if cuts is not None:
+        last = cuts.join(totals, K).filter(F.col("t") < F.col("total_s") - 0.05).groupBy(K).agg(F.max("t").alias("_cut"))
+        d = d.join(last, K, "left")
+    held = F.coalesce(F.col("z.dur"), F.col("picture_s") - F.col("_cut")) if cuts is not None else F.col("z.dur")
+    faded = F.when(F.col("z").isNull(), F.coalesce("_faded", F.lit(False))).otherwise(F.coalesce(F.col("fade_out") > 0.05, F.lit(False)))
     d = d.withColumn("motion", F.when(F.col("picture_s") > 1.0, F.col("motion")))
     b = lambda x: F.coalesce(x, F.lit(False))
-    return (d.withColumn("short_last", b(F.col("z.dur") < LIMITS["min_last_shot"])).withColumn("moving", b(F.col("motion") >= LIMITS["max_end_motion"]))
-            .withColumn("flat_sound", b((F.col("audio_tracks") > 0) & (F.col("taper_db") < LIMITS["min_end_taper"]))).withColumn("no_fade", ~b(F.col("fade_out") > 0.05))
+    return (d.withColumn("short_last", b(held < LIMITS["min_last_shot"])).withColumn("moving", b(F.col("motion") >= LIMITS["max_end_motion"]))
+            .withColumn("flat_sound", b((F.col("audio_tracks") > 0) & (F.col("taper_db") < LIMITS["min_end_taper"]))).withColumn("no_fade", ~faded)
             .withColumn("no_closer", b(F.col("_ct") < F.col("picture_s") - LIMITS["closer_window"])).withColumn("voice_to_end", b(F.col("voice_tail") > F.col("picture_s") - 0.15))
             .withColumn("symptoms", sum((F.col(x).cast("int") for x in ("short_last", "moving", "flat_sound", "no_fade", "no_closer", "voice_to_end")), F.lit(0))))
 
 
-def gt_ending(videos, shots, caps, voice, frames):
-    d = ending_symptoms(videos, shots, caps, voice, frames)
+def gt_ending(videos, shots, caps, voice, frames, blacks=None, cuts=None):
+    d = ending_symptoms(videos, shots, caps, voice, frames, blacks, cuts)
     bad = (F.col("symptoms") >= 2) | F.col("moving") | (F.col("short_last") & F.col("no_fade"))
     loop = F.coalesce("loop", F.lit(False))
     again = ~loop & (F.col("n_shots") > 2) & (F.col("z.src") == F.col("src0"))
     status = (F.when(loop, F.when(F.col("seam_db").isNull(), "skip").otherwise(_pf(F.col("seam_db") >= LIMITS["loop_seam_db"], "warn")))
-              .when(F.col("z").isNull() & F.col("_ct").isNull(), "skip").when(bad | F.coalesce(again, F.lit(False)), "warn").otherwise("pass"))
+              .when(F.col("z").isNull() & F.col("_ct").isNull() & F.col("motion").isNull() & F.col("taper_db").isNull(), "skip").when(bad | F.coalesce(again, F.lit(False)), "warn").otherwise("pass"))
     return _row(d, "ending", status, F.when(loop, F.col("seam_db")).otherwise(F.col("symptoms")), _fmt("%d symptom(s)", "symptoms"))
 
 
