@@ -1,6 +1,7 @@
 """Exact numbers and regressions on small literal fixtures."""
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -90,14 +91,53 @@ def test_text_unification(spark):
 
 
 def test_moved_files(spark):
-    m = spark.createDataFrame([("a", "old/IMG_1.mov", "video", 4.0, None), ("b", "old/gone.jpg", "photo", None, None), ("c", "old/GX01.mp4", "video", 9.0, None)], "id string, path string, type string, end_s double, notes string")
-    f = spark.createDataFrame([("/p/proj/new/img_1.MOV", 10, 5.0), ("/p/x/proxy-gx01_s.mp4", 5, 9.0), ("/p/x/xgx01.mp4", 50, 99.0)], "path string, bytes int, duration_s double")
+    """The same names in two projects: a path is only repaired to a file of its own project."""
+    m = spark.createDataFrame([(p, *r) for p in (1, 2) for r in [("a", "old/IMG_1.mov", "video", 4.0, None), ("b", "old/gone.jpg", "photo", None, None), ("c", "old/GX01.mp4", "video", 9.0, None)]],
+                              "project_id int, id string, path string, type string, end_s double, notes string")
+    f = spark.createDataFrame([(1, "/p/proj/new/img_1.MOV", 10, 5.0), (1, "/p/x/proxy-gx01_s.mp4", 5, 9.0), (1, "/p/x/xgx01.mp4", 50, 99.0), (2, "/q/gx01.MP4", 5, 9.0)], "project_id int, path string, bytes int, duration_s double")
     a = M.repair_paths(m, f, "/p/proj")
     b = M.working_copies(a.filter("now is null").drop("now", "how"), f, "/p/proj")
-    lib = spark.createDataFrame([("GONE.JPG", "U1", False)], "original_name string, uuid string, trashed boolean")
-    assert {r.id: r.now for r in a.collect()}["a"] == "/p/proj/new/img_1.MOV"
-    assert {r.id: r.now for r in b.collect()} == {"b": None, "c": "/p/x/proxy-gx01_s.mp4"}
-    assert M.library_fallback(b.filter("now is null"), lib).first().uuid == "U1"
+    lib = spark.createDataFrame([(1, "GONE.JPG", "U1", False), (2, "IMG_1.MOV", "U2", False)], "project_id int, original_name string, uuid string, trashed boolean")
+    assert {(r.project_id, r.id): r.now for r in a.collect() if r.now} == {(1, "a"): "/p/proj/new/img_1.MOV", (2, "c"): "/q/gx01.MP4"}
+    assert {(r.project_id, r.id): r.now for r in b.collect()} == {(1, "b"): None, (1, "c"): "/p/x/proxy-gx01_s.mp4", (2, "a"): None, (2, "b"): None}
+    got = {(r.project_id, r.id): r.notes for r in M.library_fallback(b.filter("now is null"), lib).collect()}
+    assert got == {(1, "b"): "file_state=library:U1", (2, "a"): "file_state=library:U2", (2, "b"): "file_state=lost"}
+
+
+def test_findings_are_kept_whole(spark):
+    m = spark.createDataFrame([(1, "x", "old"), (1, "y", None)], "project_id int, id string, notes string")
+    long = ["private_plate", "blocking_people " + "z" * 300, "vertical_edge", "vertical_edge"]
+    r = spark.createDataFrame([(1, "x", ["foreground_people"], long, 2.5)], "project_id int, id string, obstructions array<string>, findings array<string>, at_s double")
+    once = M.annotate_moments(m, r)
+    want = "old | frame_private=private_plate | frame_look=" + "; ".join(long) + " @2.5"
+    assert {x.id: x.notes for x in once.collect()} == {"x": want, "y": None}
+    assert {x.id: x.notes for x in M.annotate_moments(once, r).collect()} == {"x": want, "y": None}
+
+
+def test_places_as_objects_and_facts_per_project(spark):
+    m = spark.createDataFrame([(1, "Lisboa", None, ("Porto", None)), (1, None, None, (None, "Porto")), (2, "Porto", None, None)], "project_id int, place string, location string, city struct<name:string,city:string>")
+    f = spark.createDataFrame([(1, "porto"), (1, "PORTO"), (3, "Porto")], "project_id int, place string")
+    assert {(r.project_id, r.place): (r.uses, r.facts) for r in R.place_coverage(m, f).collect()} == {(1, "Lisboa"): (1, 0), (1, "Porto"): (2, 2), (2, "Porto"): (1, 0)}
+
+
+def test_nested_artifact_texts(spark):
+    body = '{"text":"top","skip":"no","lines":[{"text":"a","n":1,"deep":{"caption":"b","x":["c",{"title":"d","id":"e"}]}},"f",null,2.5],"text2":{"says":"g"}}'
+    d = spark.createDataFrame([(1, body), (2, "first \n\n third"), (3, '"just a text"'), (4, None), (5, "[]")], "artifact int, body string")
+    got = sorted((r.artifact, r.where, r.text) for r in R.artifact_texts(d).collect())
+    assert got == [(1, ".lines[0].deep.caption", "b"), (1, ".lines[0].deep.x[0]", "c"), (1, ".lines[0].deep.x[1].title", "d"), (1, ".lines[0].text", "a"), (1, ".lines[1]", "f"), (1, ".text", "top"),
+                   (1, ".text2.says", "g"), (2, ":1", "first"), (2, ":3", "third")]
+
+
+def test_quantiles_narrow_to_the_ranks(spark, monkeypatch):
+    from framelake.plans import quantile as Q
+    monkeypatch.setattr(Q, "FEW", 3)
+    monkeypatch.setattr(Q, "BINS", 4)
+    rng = np.random.default_rng(0)
+    for values in (rng.normal(size=101), np.concatenate([rng.normal(size=50), [1e300, -1e300, 5, 5, 5, 5]]), np.zeros(7), np.array([3.0]), rng.integers(0, 4, 40).astype(float)):
+        df = spark.createDataFrame([(g, float(x)) for g in "ab" for x in values] + [("a", None)], "g string, v double")
+        for p in (0.0, 0.3, 0.5, 1.0):
+            assert {r.g: r.q for r in Q.exact_quantile(df, ["g"], "v", p).collect()} == pytest.approx({g: float(np.quantile(values, p)) for g in "ab"})
+        assert Q.exact_quantile(df, [], "v", kind="upper").first().q == sorted([*values, *values])[len(values)]
 
 
 def test_calibration(spark):
