@@ -201,34 +201,41 @@ def _masks(n: int, t: int):
         yield np.array(block, dtype=np.int64)
 
 
-def _links(a: tuple, b: tuple, tau: int, wide: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a and b (fingerprints, further words) within tau and, over all words, within `wide`."""
+def _links(a: tuple, b: tuple, tau: int, wide: int | None):
+    """Positions of the pairs of a and b (fingerprints, further words) within tau and, over all words, within `wide`, in
+    blocks: a tile of near copies has very many."""
     fa, fb = a[0].view(np.uint64), b[0].view(np.uint64)     # of signed values, bitwise_count counts the magnitude's bits
-    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(fa), 128):
-        apart = np.bitwise_count(fa[i:i + 128, None] ^ fb[None, :])
+    for i in range(0, len(fa), 64):
+        apart = np.bitwise_count(fa[i:i + 64, None] ^ fb[None, :])
         p, q = np.nonzero(apart <= tau)
         if wide is not None and len(p):
             near = np.bitwise_count(a[1][i + p] ^ b[1][q]).sum(axis=1, dtype=np.int64) + apart[p, q] <= wide
             p, q = p[near], q[near]
-        x.append(p + i)
-        y.append(q)
-    return np.concatenate(x), np.concatenate(y)
+        yield p + i, q
+
+
+def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after linking i and j: label[x] is the first member of x's component, before and after."""
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        apart = low < high
+        if not apart.any():
+            return label
+        i, j = i[apart], j[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
 
 
 def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) among nodes reduced to one edge from each node to the first of its component: at most as many
     edges as nodes, however many links there are."""
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    return star(nodes, merge(np.arange(len(nodes)), i, j))
+
+
+def star(nodes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[at], nodes[label[at]]
 
@@ -251,15 +258,14 @@ def near_edges(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
 
     def edges_of(a, b):
         """Forest of the links between the probing rows of one tile and the indexed rows of another (or the same)."""
-        nodes, i, j = np.concatenate([a["node"], b["node"]]), [], []
+        # a node may stand in several rows: they are one
+        nodes, at = np.unique(np.concatenate([a["node"], b["node"]]), return_inverse=True)
+        label = np.arange(len(nodes))
         for one, two, s, t in ((a, b, 0, len(a["node"])), (b, a, len(a["node"]), 0)) if a is not b else ((a, a, 0, 0),):
             probe, index = np.flatnonzero(one["role"] != INDEX), np.flatnonzero(two["role"] != PROBE)
-            x, y = _links((one["fp"][probe], one["more"][probe]), (two["fp"][index], two["more"][index]), tau, wide)
-            i.append(probe[x] + s)
-            j.append(index[y] + t)
-        # a node may stand in several rows: they are one
-        nodes, at = np.unique(nodes, return_inverse=True)
-        return forest(nodes, at[np.concatenate(i)], at[np.concatenate(j)])
+            for x, y in _links((one["fp"][probe], one["more"][probe]), (two["fp"][index], two["more"][index]), tau, wide):
+                label = merge(label, at[probe[x] + s], at[index[y] + t])
+        return star(nodes, label)
 
     def edge_rows(found):
         if found:
