@@ -17,7 +17,7 @@ from pyspark.sql import Window, functions as F, types as T
 from framelake.plans.ordered import numbered
 from framelake.session import checkpoint_dir, delete_at_exit
 
-TILE = 256
+TILE, CELL = 256, 64        # vectors of a tile, tiles of a cell
 
 
 def _tiles(e, key, vec, tile):
@@ -44,17 +44,43 @@ def _tiles(e, key, vec, tile):
     return packed, cones
 
 
+def _cells(cones):
+    """Cones around the cones of CELL neighbouring tiles."""
+    grouped = cones.groupBy("g", F.floor(F.col("tile") / CELL).alias("cell")).agg(F.collect_list(F.struct("c", "r")).alias("_t"))
+
+    def around(it):
+        for pdf in it:
+            centre, reach = [], []
+            for tiles in pdf["_t"]:
+                m = np.array([t["c"] for t in tiles], dtype=np.float64)
+                c = m.mean(axis=0)
+                c = c / (np.linalg.norm(c) or 1.0)
+                centre.append(c.tolist())
+                reach.append(float(min(np.pi, (np.arccos(np.clip(m @ c, -1, 1)) + np.array([t["r"] for t in tiles])).max())))
+            yield pd.DataFrame({"g": pdf["g"], "cell": pdf["cell"], "c": centre, "r": reach})
+    return grouped.mapInPandas(around, T.StructType([cones.schema["g"], T.StructField("cell", T.LongType()), T.StructField("c", T.ArrayType(T.DoubleType())), T.StructField("r", T.DoubleType())]))
+
+
+def _within(threshold):
+    """Whether two cones (ca, ra) and (cb, rb) can hold a pair above the threshold."""
+    dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.acos(F.lit(max(-1.0, min(1.0, threshold)))) + F.col("ra") + F.col("rb") + 1e-6
+
+
 def cosine_pairs(e, threshold, tile=TILE):
-    """e(g, key, vec) with unit vectors -> (g, a, b, sim) for a < b and sim > threshold, exact."""
+    """e(g, key, vec) with unit vectors -> (g, a, b, sim) for a < b and sim > threshold, exact. Cells of tiles are paired
+    first, tiles only within cell pairs whose cones are near enough, and vectors only within such tile pairs."""
     key_t = e.schema["key"].dataType
     packed, cones = _tiles(e, "key", "vec", tile)
-    n = packed.groupBy("g").agg((F.max("tile") + 1).alias("nt"))
-    a = cones.select("g", F.col("tile").alias("ta"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-    pairs = (a.join(n, "g").withColumn("tb", F.explode(F.sequence(F.col("ta"), F.col("nt") - 1))).drop("nt")
-             .join(cones.select("g", F.col("tile").alias("tb"), F.col("c").alias("cb"), F.col("r").alias("rb")), ["g", "tb"]))
-    dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    reach = F.acos(F.lit(max(-1.0, min(1.0, threshold)))) + F.col("ra") + F.col("rb") + 1e-6
-    pairs = pairs.filter(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= reach).select("g", "ta", "tb")
+    cones = written_once(cones)
+    cells = written_once(_cells(cones))
+    side = lambda d, x, k: d.select("g", F.col(k).alias(f"{k}_{x}"), F.col("c").alias(f"c{x}"), F.col("r").alias(f"r{x}"))
+    last = cells.groupBy("g").agg(F.max("cell").alias("_last"))
+    near = (side(cells, "a", "cell").join(last, "g").withColumn("cell_b", F.explode(F.sequence("cell_a", "_last"))).join(side(cells, "b", "cell"), ["g", "cell_b"])
+            .filter(_within(threshold)).select("g", "cell_a", "cell_b"))
+    in_cell = lambda x: side(cones, x, "tile").withColumn(f"cell_{x}", F.floor(F.col(f"tile_{x}") / CELL))
+    pairs = (near.join(in_cell("a"), ["g", "cell_a"]).join(in_cell("b"), ["g", "cell_b"]).filter((F.col("tile_a") <= F.col("tile_b")) & _within(threshold))
+             .select("g", F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb")))
     work = (pairs.join(packed.select("g", F.col("tile").alias("ta"), F.col("rows").alias("x")), ["g", "ta"])
             .join(packed.select("g", F.col("tile").alias("tb"), F.col("rows").alias("y")), ["g", "tb"]))
     schema = T.StructType([e.schema["g"], T.StructField("a", key_t), T.StructField("b", key_t), T.StructField("sim", T.DoubleType())])
