@@ -5,7 +5,7 @@ distinct values are left in it, and only those are ordered. Nothing depends on h
 """
 from pyspark.sql import Window, functions as F
 
-from framelake.plans.similarity import small_side, written_once
+from framelake.plans.similarity import SMALL_ROWS, written_once
 
 #: Bins of one narrowing step, and distinct values of a key that one task orders.
 BINS, FEW = 1024, 200_000
@@ -21,7 +21,7 @@ def _ranks(p, kind):
 
 def _narrowed(counts, span, keys):
     """Each key's interval cut down to the bins that hold its two ranks."""
-    inside = counts.join(small_side(span), list(keys)).filter("_v BETWEEN _lo AND _hi")
+    inside = counts.join(span, list(keys)).filter("_v BETWEEN _lo AND _hi")
     bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") / 2 - F.col("_lo") / 2).otherwise(1.0) * BINS))
     held = [*keys, "_n", "_r0", "_r1", "_before"]
     bins = inside.groupBy(*held, bin_.alias("_b")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_d"))
@@ -42,11 +42,14 @@ def exact_quantile(df, keys, value, p=0.5, kind="linear", out="q", n=None):
     r0, r1 = _ranks(p, kind)
     span = (counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_d"))
             .withColumn("_r0", r0).withColumn("_r1", r1).withColumn("_before", F.lit(0).cast("long")))
-    span = written_once(span)
-    while (span.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_d")))).first()[0] or 0) > FEW:
-        span = written_once(_narrowed(counts, span, keys))
+    while True:
+        most, rows = span.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_d"))), F.count("*")).first()
+        side = F.broadcast(span) if rows <= SMALL_ROWS else span        # one row of eight numbers a key
+        if (most or 0) <= FEW:
+            break
+        span = written_once(_narrowed(counts, side, keys))
     w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    mid = counts.join(small_side(span), keys).filter("_v BETWEEN _lo AND _hi")
+    mid = counts.join(side, keys).filter("_v BETWEEN _lo AND _hi")
     mid = mid.withColumn("_end", F.col("_before") + F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
     at = lambda r: F.max(F.when((F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end")), F.col("_v")))
     res = mid.groupBy(*keys).agg(at("_r0").alias("_a"), at("_r1").alias("_b"), F.first("_r0").alias("_r0"), F.first("_n").alias("_n"))
