@@ -6,14 +6,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import lowest_hashed
-
-#: The bounds of what is learned from: texts per language, characters of each (from its start), and symbols per language.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 400, 400, 40_000
+#: The bounds of what is learned from: different texts per language, symbols per language (every chosen text gives an equal
+#: share of them), and the length of the stretches, spread over the whole text, that make up a share.
+SAMPLE_TEXTS, SAMPLE_SYMBOLS, PIECE = 400, 40_000, 50
 #: The most frequent languages that are learned, symbols of all of them, and letters told apart (others count as unknown).
 MAX_LANGUAGES, ALL_SYMBOLS, MAX_LETTERS = 64, 320_000, 120
 #: A text is parsed in stretches of this many symbols side by side; a phrase ends where a stretch ends.
@@ -85,7 +84,8 @@ class LanguageModel:
         symbols = min(symbols, ALL_SYMBOLS // max(1, len(self.languages)))
         for k in self.languages:
             parts = [s for t in samples[k] for s in (to_symbols(t, codes), np.array([-1]))]
-            text = np.concatenate(parts).astype(np.int64)[:symbols] if parts else np.zeros(0, np.int64)
+            text = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            text = text[np.cumsum(text >= 0) <= symbols]         # ends of texts don't count
             tables.append(automaton(text, 3 + len(self.letters)))
             self.bits.append(float(np.log2(max(2, (text >= 0).sum()))))
         # all automata in one table: states are counted on
@@ -160,14 +160,35 @@ def in_fold(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id") -> LanguageModel:
-    """Learns from a bounded sample: of each language (non-null) SAMPLE_TEXTS texts with the lowest hash of `order`, their
-    first SAMPLE_CHARS characters, SAMPLE_SYMBOLS symbols in all (fewer where many languages share ALL_SYMBOLS). Only that sample reaches the driver."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, order, F.substring(text, 1, SAMPLE_CHARS).alias("_t"))
-    chosen = lowest_hashed(rows, lang, order, SAMPLE_TEXTS, MAX_LANGUAGES)
+def _spread(text: str, share: str):
+    """The text as an array of pieces: whole if it has at most `share` characters, or else share / PIECE pieces (at least one),
+    each from the middle of one of as many equal parts of the text."""
+    t, n = F.col(text), F.greatest(F.lit(1), F.floor(F.col(share) / PIECE).cast("int"))
+    start = lambda i: F.floor((i + 0.5) * F.length(t) / n - PIECE / 2).cast("int")
+    return F.when(F.length(t) <= F.greatest(F.col(share), F.lit(PIECE)), F.array(t)).otherwise(
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, start(i) + 1, F.lit(PIECE))))
+
+
+def sample_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, _k, _t): of each language (non-null) the SAMPLE_TEXTS different texts with the lowest hash, numbered in its order,
+    each as pieces (see _spread) of an equal share of SAMPLE_SYMBOLS. Copies are one text. Different texts are counted
+    first, so that all but about twice the sample are dropped where they are read."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
+    counts = rows.groupBy(lang).agg(F.approx_count_distinct("_h").alias("_all"))
+    low = F.lit(-2.0 ** 63) + F.lit(2.0 ** 65) * SAMPLE_TEXTS / F.col("_all")
+    some = rows.select(lang, "_h").join(F.broadcast(counts), lang).where(F.col("_h").cast("double") <= low).select(lang, "_h").distinct()
+    chosen = some.withColumn("_k", F.row_number().over(Window.partitionBy(lang).orderBy("_h"))).where(F.col("_k") <= SAMPLE_TEXTS)
+    chosen = chosen.withColumn("_share", F.floor(SAMPLE_SYMBOLS / F.count("*").over(Window.partitionBy(lang))).cast("int"))
+    found = rows.join(F.broadcast(chosen), [lang, "_h"])
+    return found.groupBy(lang, "_k").agg(F.min(_spread("_text", "_share")).alias("_t"))
+
+
+def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
+    """Learns from a bounded sample (see sample_languages) in the order of the texts' hashes: all of it, less where many
+    languages share ALL_SYMBOLS. Only that sample reaches the driver."""
     samples: dict[str, list[str]] = {}
-    for r in sorted(chosen.select(lang, "_t").collect()):
-        samples.setdefault(r[0], []).append(r[1])
+    for name, _, pieces in sorted(map(tuple, sample_languages(docs, lang, text).collect())):
+        samples.setdefault(name, []).extend(pieces)
     return LanguageModel(samples)
 
 

@@ -110,3 +110,25 @@ def test_op9_odd(spark, odd_documents):
     assert Q.score_quality(odd_documents.limit(0), Q.fit_quality(odd_documents, labels.limit(0))).count() == 0
     a, b = Q.encode_passages("one two " * 40_000), Q.encode_passages("one two " * 40)
     assert len(a) == 1000 and np.allclose(a[500], b[0], atol=0.01) and Q.encode_passages(None).shape == (1, Q.WIDTH)
+
+
+def test_op8_sample(spark):
+    """Copies count once, and every chosen text is learned from, from its beginning to its end."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = [(i, "p", " ".join(word() for _ in range(150))) for i in range(900)] + [(i, "p", "a copy " * 150) for i in range(900, 1400)] + [(2000, "q", "kurz"), (2001, "q", "zz " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = {k: [r._t for r in L.sample_languages(docs).where(f"lang = '{k}'").orderBy("_k").collect()] for k in "pq"}
+    texts = {t for _, k, t in rows if k == "p"}
+    owners = [next(t for t in texts if all(x in t for x in pieces)) for pieces in found["p"]]
+    assert len(set(owners)) == len(owners) == L.SAMPLE_TEXTS and owners != sorted(owners)
+    first = [min(owner.index(x) for x in pieces) / len(owner) for owner, pieces in zip(owners, found["p"]) if "copy" not in owner]
+    last = [max(owner.index(x) for x in pieces) / len(owner) for owner, pieces in zip(owners, found["p"]) if "copy" not in owner]
+    assert max(first) < 0.3 and min(last) > 0.6
+    assert sorted(map(len, map("".join, found["q"]))) == [4, L.SAMPLE_SYMBOLS // 2]
+    # all of it is in the automaton: every piece is parsed as one phrase
+    model = L.fit_languages(docs)
+    codes = L._codes(tuple(model.letters))
+    for pieces in found["p"]:
+        for x in pieces:
+            assert model._count(L.to_symbols(x, codes).astype(np.int32)[:, None])[0, model.languages.index("p")] == 1
