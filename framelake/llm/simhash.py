@@ -21,26 +21,39 @@ TILE = 8192
 #: Words of 64 bits in a wide fingerprint, and standard deviations by which pairs at a stated similarity may miss the mean
 #: number of differing bits and still be found.
 WIDE, SLACK = 4, 1.25
+#: MinHash values and bits of a shingle set, values in a band, and how probable it may be, for each of the three conditions of
+#: a candidate, that a pair at the stated similarity fails it.
+MINHASHES, ROWS, MISS = 128, 3, 1e-6
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, MINHASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD, _BIT = _MIX[0], _MIX[1]
+#: Shingle sets compared at once, and shingles in them.
+SET_TILE, SET_SHINGLES = 512, 1 << 22
 #: Costs of the plan in seconds: one row through a shuffle and into a task, one comparison inside a task.
 ROW_COST, PAIR_COST = 2e-6, 2e-9
 
 
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of `size` words, in order, repeats included: none without a word, one of a shorter text."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()      # bytes: A-Z only, ASCII white space only
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(tokens)
+    if len(tokens) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    n = len(tokens) - size + 1
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), dtype=np.uint64, count=n)
+
+
 def signature(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
     """SimHash of 64 bits times `words`: a bit is 1 if it is set in over half the hashes of all shingles of `size` words,
     repeats included. The first 64 are of the shingles' XXH64 values, further ones of values mixed from them. Zero without
     a word."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()      # bytes: A-Z only, ASCII white space only
-    if not tokens:
+    h = shingles(text, size)
+    if not len(h):
         return np.zeros(words, dtype=np.uint64)
-    joined = b" ".join(tokens)
-    if len(tokens) <= size:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        n = len(tokens) - size + 1
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), dtype=np.uint64, count=n)
     out = np.zeros(words, dtype=np.uint64)
     for w in range(words):
         count = np.zeros(64, dtype=np.int64)
@@ -247,14 +260,18 @@ NAMES = [c.split()[0] for c in FOUND.split(", ")]
 def near_edges(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes that connect distinct fingerprints exactly as all links do, without listing all links.
     fps(node, fp, more): fingerprints link within tau bits; with `wide`, also within so many bits over fp and the further
-    words in `more`.
+    words in `more`."""
+    n = fps.count()
+    corr, p = correlation(bit_counts(fps), n)
+    return linked(probes(fps, allocate(n, corr, p, tau)), tau, wide)
+
+
+def linked(rows: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
+    """Edges as of near_edges between rows (see probes) that share a bucket.
 
     Buckets are read in sorted runs, so a task holds one tile of a bucket. A bucket of several tiles is compared tile by
     tile within the task, and hands its tiles on: pairs of tiles are then dealt out to all tasks."""
-    spark = fps.sparkSession
-    n = fps.count()
-    corr, p = correlation(bit_counts(fps), n)
-    plan = allocate(n, corr, p, tau)
+    spark = rows.sparkSession
 
     def edges_of(a, b):
         """Forest of the links between the probing rows of one tile and the indexed rows of another (or the same)."""
@@ -265,6 +282,8 @@ def near_edges(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
             probe, index = np.flatnonzero(one["role"] != INDEX), np.flatnonzero(two["role"] != PROBE)
             for x, y in _links((one["fp"][probe], one["more"][probe]), (two["fp"][index], two["more"][index]), tau, wide):
                 label = merge(label, at[probe[x] + s], at[index[y] + t])
+                if not label.any():                             # all are one already
+                    break
         return star(nodes, label)
 
     def edge_rows(found):
@@ -315,7 +334,7 @@ def near_edges(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
         yield from edge_rows(found)
 
     parts = partitions(spark)
-    dealt = probes(fps, plan).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = written(dealt.mapInArrow(scan, FOUND), "links")
     columns = ("tile", "nodes", "fps", "mores", "roles")
     tiles = found.where("tile IS NOT NULL").select("bucket", *columns)
@@ -359,23 +378,157 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, text: str = "text", key:
     return _components(own, key, max_bits, None).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fingerprint, component_id) as near_duplicates, by a similarity of word shingles that SimHash estimates: documents
-    link when their wide fingerprints (WIDE times 64 bits, all in hex) differ in no more bits than pairs of that similarity
-    do but for their tail. The first 64 bits are searched within as many bits as such pairs differ in, the pigeonhole way;
-    what is found is decided on all bits."""
-    kind = docs.schema[key]
-    source = docs.select(key, docs[text].alias("_text"))
+# --- similarity of shingle sets: banded MinHash finds candidates, the sets decide ---------------------------------------
+
+def minhashes(distinct: np.ndarray) -> np.ndarray:
+    """MINHASHES smallest values of the set under as many multiplications."""
+    low = np.full(MINHASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(distinct), 1 << 12):
+        low = np.minimum(low, (distinct[i:i + (1 << 12), None] * _ODD).min(axis=0))
+    return low
+
+
+def minhash_bits_at(similarity: float, n: int) -> int:
+    """Differing bits of n that a pair of this similarity exceeds with a probability below MISS: a MinHash bit differs with
+    probability (1 - similarity) / 2."""
+    p, tail = (1 - similarity) / 2, 1.0
+    for k in range(n + 1):
+        tail -= comb(n, k) * p ** k * (1 - p) ** (n - k)
+        if tail < MISS:
+            return k
+    return n
+
+
+def bands_at(similarity: float) -> int:
+    """Bands of ROWS values that a pair of this similarity all misses with a probability below MISS."""
+    return min(MINHASHES // ROWS, max(1, math.ceil(math.log(MISS) / math.log(1 - similarity ** ROWS)))) if similarity < 1 else 1
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float, cut: int = 0) -> np.ndarray:
+    """Labels (the first member's position) of the components of the sets (sorted, without repeats) that link where their
+    Jaccard similarity is at least `similarity`. With `cut`, only pairs of the first `cut` sets and the others are looked at."""
+    label = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    value, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    for i in range(cut or len(sets) - 1):
+        start = max(cut, i + 1)
+        near = (sizes[start:] >= similarity * sizes[i] - 1) & (sizes[start:] * similarity - 1 <= sizes[i]) & (label[start:] != label[i])
+        if not near.any():
+            continue
+        own = np.zeros(len(value) + 1, dtype=bool)
+        own[flat[ends[i] - sizes[i]:ends[i]]] = True
+        both = np.concatenate([[0], np.cumsum(own[flat[ends[start] - sizes[start]:]])])
+        at = ends[start:] - (ends[start] - sizes[start])
+        both = both[at] - both[at - sizes[start:]]
+        j = np.flatnonzero(near & (both / np.maximum(1, sizes[i] + sizes[start:] - both) >= similarity)) + start
+        if len(j):
+            label = merge(label, np.full(len(j), i), j)
+    return label
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes as all pairs do whose shingle sets have the similarity. candidates(node, root): only
+    pairs of one root are compared; sets(node, size, _text).
+
+    A root's nodes are dealt to tiles by hash, bounded by nodes and shingles; each tile is compared in itself, tiles of one
+    root are then compared pair by pair, dealt out to all tasks."""
+    parts = partitions(sets.sparkSession)
+    members = written(candidates.join(sets.select("node", "size"), "node"), "candidates")
+    large = (members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum("size") / SET_SHINGLES)).alias("tiles")).where("tiles > 1"))
+    dealt = (members.join(F.broadcast(large), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+             .withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).select("node", "root", "tile", (F.col("tiles") > 1).alias("more"))
+             .join(sets.select("node", "_text"), "node").repartition(parts, "root", "tile").sortWithinPartitions("root", "tile"))
+
+    def edge_rows(found):
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        k = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.binary()))], names=names)
+
+    def scan(batches):
+        own, more, nodes, sets, found = None, False, [], [], []
+
+        def close():
+            if len(nodes) > 1:
+                at = np.array(nodes, dtype=np.int64)
+                found.append(star(at, similar_sets(sets, similarity)))
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own[0]], pa.int64()), pa.array([own[1]], pa.int32()),
+                                                  pa.array([np.array(nodes, dtype=np.int64).tobytes()], pa.binary()), pa.array([[x.tobytes() for x in sets]], pa.list_(pa.binary()))], names=names)
+
+        for b in batches:
+            for node, root, tile, several, text in zip(*(b.column(c).to_pylist() for c in ("node", "root", "tile", "more", "_text"))):
+                if own != (root, tile):
+                    yield from close()
+                    own, more, nodes, sets = (root, tile), several, [], []
+                nodes.append(node)
+                sets.append(np.unique(shingles(text, shingle)))
+            yield edge_rows(found)
+            found = []
+        yield from close()
+        yield edge_rows(found)
+
+    def cross(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = batch.slice(i, 1).to_pylist()[0]
+                nodes = np.concatenate([np.frombuffer(x[c], np.int64) for c in ("nodes", "nodes2")])
+                both = [np.frombuffer(v, np.uint64) for c in ("sets", "sets2") for v in x[c]]
+                a, b = star(nodes, similar_sets(both, similarity, len(x["sets"])))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    names = ["a", "b", "root", "tile", "nodes", "sets"]
+    found = written(dealt.mapInArrow(scan, "a long, b long, root long, tile int, nodes binary, sets array<binary>"), "verified")
+    tiles = found.where("tile IS NOT NULL").select("root", "tile", "nodes", "sets")
+    other = tiles.select("root", *(F.col(c).alias(f"{c}2") for c in ("tile", "nodes", "sets")))
+    pairs = tiles.join(other, "root").where("tile < tile2").repartition(parts, "root", "tile", "tile2").mapInArrow(cross, "a long, b long")
+    return found.where("a IS NOT NULL").select("a", "b").unionAll(pairs)
+
+
+def _similar(rows: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """(_row, key, digest, root) of a written table whose _row numbers the rows: rows with one root are one component."""
+    n_bands = bands_at(similarity)
+    source = rows.select("_row", key, rows[text].alias("_text"))
 
     def run(batches):
         for b in batches:
-            prints = [signature(t.as_py(), shingle, WIDE) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([int(p.view(np.int64)[0]) for p in prints], pa.int64()), pa.array([p[1:].tobytes() for p in prints], pa.binary())],
-                                             names=[key, "fp", "more"])
+            out = []
+            for t in b.column("_text"):
+                distinct = np.unique(shingles(t.as_py(), shingle))
+                low = minhashes(distinct)
+                bits = np.packbits((low * _BIT >> np.uint64(63)).astype(np.uint8), bitorder="little").view(np.int64)
+                bands = low[:n_bands * ROWS].reshape(n_bands, ROWS)
+                own = [int(xxhash.xxh64_intdigest(v.tobytes(), k) & (1 << 63) - 1) for k, v in enumerate(bands)]
+                out.append((xxhash.xxh3_128_digest(distinct.tobytes()), len(distinct), int(bits[0]), bits[1:].tobytes(), own))
+            digest, size, fp, more, own = zip(*out) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column(key), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(fp, pa.int64()), pa.array(more, pa.binary()),
+                                              pa.array(own, pa.list_(pa.int64()))], names=["_row", key, "digest", "size", "fp", "more", "bands"])
+
+    schema = T.StructType([T.StructField("_row", T.LongType()), rows.schema[key], *(T.StructField(c, t) for c, t in (
+        ("digest", T.BinaryType()), ("size", T.LongType()), ("fp", T.LongType()), ("more", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))))])
+    own = written(source.mapInArrow(run, schema), "prints")
+    # equal sets are one node from the start, named by one of its rows
+    nodes = written(own.groupBy("digest").agg(F.min(F.struct("_row", "size", "fp", "more", "bands")).alias("s")).select("digest", F.col("s._row").alias("node"), "s.size", "s.fp", "s.more", "s.bands"), "distinct")
+    buckets = nodes.where("size > 0").select(F.explode("bands").alias("bucket"), "node", "fp", "more", F.lit(BOTH).cast("byte").alias("role"))
+    candidates = components(linked(buckets, minhash_bits_at(similarity, 64), minhash_bits_at(similarity, MINHASHES)), node="node", root="root")
+    sets = nodes.join(source.select(F.col("_row").alias("node"), "_text"), "node").select("node", "size", "_text")
+    comp = components(_verified(candidates, sets, similarity, shingle), node="node", root="root")
+    rooted = written(nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "rooted")
+    return written(own.select("_row", key, "digest").join(rooted, "digest"), "similar")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
-    own = written(source.mapInArrow(run, T.StructType([kind, T.StructField("fp", T.LongType()), T.StructField("more", T.BinaryType())])), "fingerprints")
-    found = _components(own, key, bits_at(similarity, 64), bits_at(similarity, 64 * WIDE))
-    return found.select(key, F.lower(F.concat(F.lpad(F.hex("fp"), 16, "0"), F.hex("more"))).alias("fingerprint"), "component_id")
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fingerprint, component_id) as near_duplicates, by the Jaccard similarity of the sets of word shingles: documents
+    link where it is at least `similarity`. fingerprint: 32 hex digits, the digest of the set; a text without a word has the
+    empty set. Candidates share a band of MinHash values and differ in few MinHash bits, both set so that a pair at
+    `similarity` is missed with a probability below MISS; what is found is decided on the whole sets."""
+    found = _similar(_numbered(docs.select(key, text)), similarity, shingle, text, key)
+    low = found.groupBy("root").agg(F.min(key).alias("component_id"))
+    return found.join(low, "root").select(key, F.lower(F.hex("digest")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:

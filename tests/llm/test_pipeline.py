@@ -63,3 +63,27 @@ def test_stages_on_odd_rows(spark, odd_documents, sf):
             if name != "packing":
                 assert out.columns == C.COLUMNS
             assert out.count() <= some.count() or name == "packing"
+
+
+def test_near_duplicates_by_shingles(spark, sf):
+    """The stage keeps what brute-force Jaccard of five-word shingles keeps."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    low = {d: d for d in sets}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+    near = {p for h in holders.values() for p in combinations(sorted(h), 2)} | {p for p in combinations([d for d, s in sets.items() if not s], 2)}
+    for a, b in near:
+        if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            low[max(find(a), find(b))] = min(find(a), find(b))
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()) == [d for d in sorted(sets) if find(d) == d]

@@ -148,3 +148,37 @@ def test_components(spark):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {(x, find(x)) for x in touched}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_similarity_is_exact(spark, monkeypatch, tile):
+    """Components against brute-force Jaccard, with most pairs around the similarity: edited pairs, one hot template whose
+    members are about 0.7 alike, near copies, and texts that repeat one passage and differ in the rest."""
+    monkeypatch.setattr(S, "SET_TILE", tile)
+    rng = random.Random(5)
+    texts = []
+    for i in range(150):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 100, 300]))]
+        texts += [base, edited(base, rng.choice([0.015, 0.022, 0.03]), rng)]
+    template = [f"t{i}" for i in range(200)]
+    texts += [edited(template, 0.018, rng) for _ in range(60)]
+    copy = [f"c{i}" for i in range(200)]
+    texts += [edited(copy, 0.003, rng) for _ in range(60)]
+    texts += [["again", "and", "over", "once", "more"] * 100 + [f"v{rng.randrange(10 ** 6)}" for _ in range(30)] for _ in range(10)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    near = []
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        near.append(j)
+        if j >= 0.8:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert sum(0.75 <= j < 0.8 for j in near) > 20 and sum(0.8 <= j < 0.85 for j in near) > 20
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()} == {i: find(i) for i in range(len(texts))}
