@@ -13,21 +13,19 @@ from pyspark.sql import types as T
 #: The bounds of what is learned from: different texts per language, symbols per language (every chosen text gives an equal
 #: share of them), and the length of the stretches, spread over the whole text, that make up a share.
 SAMPLE_TEXTS, SAMPLE_SYMBOLS, PIECE = 400, 40_000, 50
-#: The most frequent languages that are learned, symbols of all of them, and letters told apart (others count as unknown).
-MAX_LANGUAGES, ALL_SYMBOLS, MAX_LETTERS = 64, 320_000, 120
+#: Languages whose automata are in memory at once.
+SHARD = 64
 #: A text is parsed in stretches of this many symbols side by side; a phrase ends where a stretch ends.
 STRETCH = 256
 #: Stretches parsed together in one step, over all languages.
 LANES = 1 << 14
-UNKNOWN, SPACE, PAD = 0, 1, 2           # symbol classes; letters follow
+UNKNOWN, SPACE, PAD = 0, 1, 2           # symbol classes (unknown: letters that nothing learned has); letters follow
 NONE = "und"
 
 
-def automaton(symbols: np.ndarray, n_classes: int) -> np.ndarray:
-    """Suffix automaton of a symbol sequence as a table for greedy parsing, one row per state and one column per class.
-
-    An entry is 2 * next state, plus 1 where the longest match ends and a new phrase begins with the symbol. Negative
-    symbols end a text: no match crosses them."""
+def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Suffix automaton of a symbol sequence: of each state (0 is the root) the next one by symbol. Negative symbols end a
+    text: no match crosses them."""
     goto: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -61,59 +59,102 @@ def automaton(symbols: np.ndarray, n_classes: int) -> np.ndarray:
                 if length[cur] == length[clone] and not goto[cur]:
                     cur = clone                                  # the new text's prefix is the clone itself
         last = cur
-    table = np.zeros((len(goto), n_classes), dtype=np.int32)
-    start = goto[0]
-    table[:] = [2 * start.get(c, 0) + 1 for c in range(n_classes)]
-    for state, out in enumerate(goto):
-        for c, q in out.items():
-            table[state, c] = 2 * q
-    table[:, PAD] = 2 * np.arange(len(goto))
-    return table
+    return goto
+
+
+def packed(goto: list[dict[int, int]], n_classes: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The automaton as a double array, its root, and the root's next state by class (the root itself where it has none). A state
+    is the place from which its symbols count: slot state + symbol is (state, next state) if the state has that symbol. No
+    two states have one place. So memory is in proportion to the symbols learned, however many classes there are."""
+    n = sum(map(len, goto))
+    taken, used = bytearray(2 * n + n_classes + len(goto) + 1), set()
+    place = [0] * len(goto)
+    low, leaf, single = 0, 0, False
+    for q in sorted(range(len(goto)), key=lambda q: -len(goto[q])):
+        out = sorted(goto[q])
+        if not out:
+            while leaf in used:
+                leaf += 1
+            at = leaf
+        else:
+            if len(out) == 1 and not single:
+                low, single = 0, True
+            f = taken.find(0, max(low, out[0]))
+            tries = 0
+            while True:
+                at = f - out[0]
+                if at + n_classes >= len(taken):
+                    taken.extend(bytes(len(taken)))
+                if at not in used and not any(taken[at + c] for c in out):
+                    break
+                tries += 1
+                f = taken.find(0, f + 1)
+            for c in out:
+                taken[at + c] = 1
+            if tries > 16:
+                low = f                                         # dense before: its holes are left to states of one symbol
+        used.add(at)
+        place[q] = at
+    slots = np.full((max(place) + n_classes, 2), -1, dtype=np.int32)
+    for q, out in enumerate(goto):
+        for c, r in out.items():
+            slots[place[q] + c] = place[q], place[r]
+    first = np.full(n_classes, place[0], dtype=np.int32)
+    for c, r in goto[0].items():
+        first[c] = place[r]
+    return slots, place[0], first
 
 
 class LanguageModel:
-    """Letter classes and one automaton per language; `bits` is what a phrase of a language costs (a place in its text)."""
+    """Letter classes and one automaton per language; `bits` is what a phrase of a language costs (a place in its text).
+    Automata are built for a shard of languages at a time."""
 
-    def __init__(self, samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS):
+    def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t))
-        seen = Counter(c for k in self.languages for t in samples[k] for c in t.lower() if c.isalpha())
-        letters = sorted(seen, key=lambda c: (-seen[c], c))
-        self.letters = letters[:MAX_LETTERS]
+        self.samples = {k: samples[k] for k in self.languages}
+        seen = Counter(c.lower()[:1] for k in self.languages for t in samples[k] for c in t if c.isalpha())
+        self.letters = sorted(seen, key=lambda c: (-seen[c], c))
+        self.bits, self._shards = [], None
         codes = _codes(tuple(self.letters))
-        tables, self.bits = [], []
-        symbols = min(symbols, ALL_SYMBOLS // max(1, len(self.languages)))
         for k in self.languages:
-            parts = [s for t in samples[k] for s in (to_symbols(t, codes), np.array([-1]))]
-            text = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-            text = text[np.cumsum(text >= 0) <= symbols]         # ends of texts don't count
-            tables.append(automaton(text, 3 + len(self.letters)))
-            self.bits.append(float(np.log2(max(2, (text >= 0).sum()))))
-        # all automata in one table: states are counted on
-        base = np.cumsum([0, *(len(t) for t in tables)])[:-1]
-        self.roots = base.astype(np.int32)
-        self.table = np.concatenate([t + 2 * b for t, b in zip(tables, base)]).astype(np.int32) if tables else np.zeros((0, 3), np.int32)
-
-    def classify(self, texts: list[str]) -> tuple[list[str], list[float]]:
+            self.bits.append(float(np.log2(max(2, sum(len(to_symbols(t, codes)) for t in samples[k])))))
+
+    def shards(self):
+        """The automata of SHARD languages after another."""
+        codes = _codes(tuple(self.letters))
+        for i in range(0, len(self.languages), SHARD):
+            yield Automata([np.concatenate([s for t in self.samples[k] for s in (to_symbols(t, codes), np.array([-1]))]) for k in self.languages[i:i + SHARD]], 3 + len(self.letters))
+
+    def empty(self) -> "LanguageModel":
+        """All but what is learned, to go with shards."""
+        out = LanguageModel({})
+        out.languages, out.letters, out.bits = self.languages, self.letters, self.bits
+        return out
+
+    def classify(self, texts: list[str], shards=None) -> tuple[list[str], list[float]]:
         """The language that needs the fewest bits of phrases (equal: first by name) and 1 - best / (best + second)."""
         names, scores = [NONE] * len(texts), [0.0] * len(texts)
         if not self.languages or not texts:
             return names, scores
         codes = _codes(tuple(self.letters))
         symbols = [to_symbols(t, codes) for t in texts]
-        phrases = np.zeros((len(texts), len(self.languages)))
-        # stretches of all texts, longest first, so that a step's lanes are the first ones
+        # stretches of all texts
         owner, rows = [], []
         for i, s in enumerate(symbols):
             for k in range(0, len(s), STRETCH):
                 owner.append(i)
                 rows.append(s[k:k + STRETCH])
-        per_step = max(1, LANES // len(self.languages))
-        for k in range(0, len(rows), per_step):
-            part = rows[k:k + per_step]
-            block = np.full((max(map(len, part)), len(part)), PAD, dtype=np.int32)
-            for j, r in enumerate(part):
-                block[:len(r), j] = r
-            np.add.at(phrases, owner[k:k + per_step], self._count(block))
+        phrases, done = np.zeros((len(texts), len(self.languages))), 0
+        for shard in shards if shards is not None else self._held():
+            per_step = max(1, LANES // len(shard.roots))
+            mine = phrases[:, done:done + len(shard.roots)]
+            done += len(shard.roots)
+            for k in range(0, len(rows), per_step):
+                part = rows[k:k + per_step]
+                block = np.full((max(map(len, part)), len(part)), PAD, dtype=np.int32)
+                for j, r in enumerate(part):
+                    block[:len(r), j] = r
+                np.add.at(mine, owner[k:k + per_step], shard.count(block))
         cost = phrases * self.bits
         for i in range(len(texts)):
             if (symbols[i] != SPACE).any():
@@ -123,15 +164,39 @@ class LanguageModel:
                 scores[i] = 1.0 if np.isinf(second) else float(second / (best + second)) if best + second else 0.5
         return names, scores
 
+    def _held(self):
+        """The shards, kept if there is only one."""
+        if len(self.languages) > SHARD:
+            return self.shards()
+        if self._shards is None:
+            self._shards = list(self.shards())
+        return self._shards
+
     def _count(self, block: np.ndarray) -> np.ndarray:
         """Phrases of each column (a stretch) in each language."""
-        width, flat = self.table.shape[1], self.table.ravel()
-        state = np.repeat(self.roots[:, None], block.shape[1], axis=1).astype(np.int64)
+        return np.concatenate([s.count(block) for s in self._held()], axis=1)
+
+
+class Automata:
+    """The automata of some languages in one double array."""
+
+    def __init__(self, texts: list[np.ndarray], n_classes: int):
+        parts = [packed(automaton(t), n_classes) for t in texts]
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])[:-1]
+        self.slots = np.concatenate([np.where(p[0] >= 0, p[0] + b, -1) for p, b in zip(parts, base)]).astype(np.int32)
+        self.roots = np.array([p[1] + b for p, b in zip(parts, base)], dtype=np.int64)
+        self.first = np.stack([p[2] + b for p, b in zip(parts, base)]).astype(np.int64)
+
+    def count(self, block: np.ndarray) -> np.ndarray:
+        """Phrases of each column (a stretch) in each language."""
+        state = np.repeat(self.roots[:, None], block.shape[1], axis=1)
         count = np.ones(state.shape, dtype=np.int32)            # the phrase that is open at the end
+        slots = self.slots.view(np.int64).ravel()               # (state, next) at once; little-endian
         for row in block:
-            step = flat[state * width + row]
-            count += step & 1
-            state = step.astype(np.int64) >> 1
+            slot = slots[state + row]
+            miss = (slot & 0xFFFFFFFF) != state
+            state = np.where(miss, self.first[:, row], slot >> 32)
+            count += miss & (row != PAD)
         return count.T
 
 
@@ -139,7 +204,7 @@ class LanguageModel:
 def _codes(letters: tuple[str, ...]) -> np.ndarray:
     """Class of every code point: a letter's own, UNKNOWN for other letters, SPACE for all else."""
     own = {c: i + 3 for i, c in enumerate(letters)}
-    out = np.full(0x110000, SPACE, dtype=np.uint8)
+    out = np.full(0x110000, SPACE, dtype=np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
@@ -184,8 +249,8 @@ def sample_languages(docs: DataFrame, lang: str = "lang", text: str = "text") ->
 
 
 def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
-    """Learns from a bounded sample (see sample_languages) in the order of the texts' hashes: all of it, less where many
-    languages share ALL_SYMBOLS. Only that sample reaches the driver."""
+    """Learns every language (non-null) from a bounded sample of each (see sample_languages), all of it, in the order of the
+    texts' hashes. Only that sample reaches the driver."""
     samples: dict[str, list[str]] = {}
     for name, _, pieces in sorted(map(tuple, sample_languages(docs, lang, text).collect())):
         samples.setdefault(name, []).extend(pieces)
@@ -197,14 +262,20 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
 
     lang_pred is a learned language, or 'und' with score 0 where the text is null or has no letter, or nothing was learned.
     score is the second-best language's share of the cost of the best two: 0.5 for a tie, near 1 for a sure guess. Rows are
-    independent: nothing is shuffled, repeated rows each return, an empty table gives none. The model (at most
-    SAMPLE_SYMBOLS * 2 states a language) travels with the tasks."""
+    independent: nothing is shuffled, repeated rows each return, an empty table gives none. The automata (at most SAMPLE_SYMBOLS
+    * 2 states a language) travel with the tasks, SHARD languages in a broadcast; of several, one at a time is in memory."""
     keep = list(keep)
     source = docs.select(*keep, docs[text].alias("_text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    context = docs.sparkSession.sparkContext
+    sent, parts = context.broadcast(model.empty()), [context.broadcast(s) for s in model.shards()]
 
     def run(batches):
         m = sent.value
+        one = [parts[0].value] if len(parts) == 1 else None
+
+        def shards():
+            return one if one else (p.load_from_path(p._path) for p in parts)      # `value` would keep them all
+
         for b in batches:
             names, scores, group, size = [], [], [], 0
             for v in b.column("_text"):
@@ -212,9 +283,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
                 group.append(t)
                 size += len(t)
                 if size > 1 << 20:
-                    n, s = m.classify(group)
+                    n, s = m.classify(group, shards())
                     names, scores, group, size = names + n, scores + s, [], 0
-            n, s = m.classify(group)
+            n, s = m.classify(group, shards())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names + n, pa.string()), pa.array(scores + s, pa.float64())],
                                              names=[*keep, "lang_pred", "score"])
 

@@ -132,3 +132,17 @@ def test_op8_sample(spark):
     for pieces in found["p"]:
         for x in pieces:
             assert model._count(L.to_symbols(x, codes).astype(np.int32)[:, None])[0, model.languages.index("p")] == 1
+
+
+def test_op8_every_language_and_letter(spark):
+    """More languages than one shard, and scripts of many letters, none of which is dropped or lumped together."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(70):                             # each language has its own 40 of 2,800 Chinese letters
+        own = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        rows += [(100 * k + i, f"l{k:02}", "".join(rng.choice(own, 60))) for i in range(2 + (k < 69))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    model = L.fit_languages(docs)
+    assert len(model.languages) == 70 and set(model.letters) == {c for _, _, t in rows for c in t}
+    assert {r.doc_id: r.lang_pred for r in L.identify_languages(docs, model).collect()} == {d: k for d, k, _ in rows}
+    assert model.classify([t for _, _, t in rows])[0] == [k for _, k, _ in rows]
