@@ -532,19 +532,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without near duplicates (see similar_documents): of each component the row with the smallest key stays, once.
-    Rows without a key are told apart by their texts' fingerprints; one stays for a component in which no row has a key.
-    All columns are kept."""
-    found = written(similar_documents(docs, similarity, shingle, text, key), "near")
-    # a component is named by a key that one of its rows has, so that row is the one to keep
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    rows = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    if found.where(F.col(key).isNull() & F.col("component_id").isNull()).isEmpty():
-        return rows
-    # rows without a key in components that have none: all rows without a key are numbered and grouped once more by number
-    bare = written(docs.where(F.col(key).isNull()).withColumn("_n", F.monotonically_increasing_id()), "bare")
-    named = found.where(F.col(key).isNotNull()).select("fingerprint").distinct()
-    again = written(similar_documents(bare.select("_n", text), similarity, shingle, text, "_n"), "again")
-    alone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    stay = (again.join(alone, "fingerprint", "left_semi").join(named, "fingerprint", "left_anti").where("_n = component_id").select("_n"))
-    return rows.unionByName(bare.join(stay, "_n", "left_semi").drop("_n"))
+    """docs without near duplicates (see similar_documents): of each component one row stays, that with the smallest key (rows
+    without a key last). Rows are told apart by a number of their own, so rows of one key whose texts don't resemble each
+    other all stay. All columns are kept."""
+    rows = _numbered(docs)
+    found = _similar(rows, similarity, shingle, text, key)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("k"), "_row")).alias("s")).select("s._row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")

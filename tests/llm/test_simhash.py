@@ -182,3 +182,9 @@ def test_similarity_is_exact(spark, monkeypatch, tile):
     assert sum(0.75 <= j < 0.8 for j in near) > 20 and sum(0.8 <= j < 0.85 for j in near) > 20
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
     assert {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_keep_one_with_one_key_on_two_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    docs = spark.createDataFrame([(1, one), (1, two), (2, two), (0, three), (1, three), (1, one)], "doc_id long, text string")
+    assert sorted(map(tuple, S.keep_one_of_each(docs).collect())) == [(0, three), (1, one), (1, two)]
