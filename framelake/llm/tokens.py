@@ -7,9 +7,9 @@ import re
 
 import numpy as np
 
-#: Word pieces that a worker keeps with their ids (some 200 bytes each). A full table is emptied: memory is bounded,
-#: results do not change.
-CACHE_PIECES = 500_000
+#: Word pieces that a worker keeps with their ids (some 200 bytes each), in two halves: when the younger one is full it
+#: becomes the older one, and pieces met again move over. Memory is bounded, results do not change.
+CACHE_PIECES = 1_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -61,6 +61,8 @@ class PieceEncoder:
         self.tok = tokenizer
         self.first: dict[str, bytes] = {}           # pieces at the start of a text
         self.rest: dict[str, bytes] = {}            # pieces after a space
+        self.older: dict[str, bytes] = {}           # those of the half that was filled before
+        self.marks = {m: self._alone(m) for m in ".,;:!?"}
         vocab = tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocab.values(), default=-1) + 1, dtype=np.int64)
         for word, i in vocab.items():
@@ -81,24 +83,46 @@ class PieceEncoder:
                 self.rest[p] = raw[at:cut]
                 at = cut
 
+    def _find(self, need: set[str]):
+        """Ids of pieces not in the younger half: from the older one, from the same piece without its last mark (a mark after an
+        ASCII letter is a match of its own), or learned."""
+        rest, older, new, marked = self.rest, self.older, set(), []
+        for p in need:
+            ids = older.get(p)
+            if ids is not None:
+                rest[p] = ids
+            elif p[-1] in self.marks and p[-2:-1].isascii() and p[-2:-1].isalpha():
+                marked.append(p)
+                if p[:-1] in older:
+                    rest[p[:-1]] = older[p[:-1]]
+                elif p[:-1] not in rest:
+                    new.add(p[:-1])
+            else:
+                new.add(p)
+        self._learn(list(new))
+        for p in marked:
+            rest[p] = rest[p[:-1]] + self.marks[p[-1]]
+
     def _ids(self, parts: list[str]) -> bytes | None:
         """None: some piece begins or ends with white space, so that the cuts are not safe. Such pieces are never kept."""
-        need = set(parts[1:])
-        new = [p for p in need.difference(self.rest)]
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-            return None
-        if len(self.rest) + len(new) > CACHE_PIECES:
-            self.rest.clear()
-            new = list(need)
-        self._learn(new)
-        head = parts[0]
+        head, tail = parts[0], parts[1:]
+        found = list(map(self.rest.get, tail))
+        if None in found:
+            need = {p for p, ids in zip(tail, found) if ids is None}
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in need):
+                return None
+            if len(self.rest) + len(need) > CACHE_PIECES // 2:
+                self.rest, self.older = {}, self.rest
+                need = set(tail)
+            self._find(need)
+            found = map(self.rest.__getitem__, tail)
         if head not in self.first:
             if not head or head[-1].isspace():
                 return None
-            if len(self.first) > CACHE_PIECES // 10:
+            if len(self.first) > CACHE_PIECES // 20:
                 self.first.clear()
             self.first[head] = self._alone(head)
-        return self.first[head] + b"".join(map(self.rest.__getitem__, parts[1:]))
+        return self.first[head] + b"".join(found)
 
     def encode(self, text: str) -> bytes:
         if not text:
