@@ -5,12 +5,15 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from framelake.llm.bpe import encode_documents
+from framelake.llm.collocations import collocations
 from framelake.llm.embeddings import near_duplicate_vectors
 from framelake.llm.fingerprint import compare_with_next
 from framelake.llm.language import fit_languages, identify_languages, in_fold
+from framelake.llm.merkle import manifest
 from framelake.llm.packing import pack_documents
 from framelake.llm.quality import fit_quality, score_quality
 from framelake.llm.simhash import near_duplicates
+from framelake.llm.squares import pack_online
 from framelake.llm.substrings import dedup_substrings
 from framelake.llm.url_filter import url_filter
 from framelake.llm.warc import archive_and_index
@@ -67,6 +70,18 @@ def op10_fingerprint(spark, sf_dir):
     return compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_online_packing(spark, sf_dir):
+    return pack_online(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 starts AS (SELECT doc_id, words, unnest(range(len(words) - 19)) AS s FROM w WHERE len(words) >= 20),
@@ -110,6 +125,56 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (
+  SELECT f.lang, f.phrase, f.k, f.a, l.a AS l, r.a AS r, n.n, 1000::HUGEINT * f.a * n.n // (l.a::HUGEINT * r.a) AS score, cut
+  FROM f, range(1, f.k) AS t(cut)
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(string_split(f.phrase, ' ')[1:cut], ' ')
+  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(string_split(f.phrase, ' ')[cut + 1:], ' ')
+  JOIN n ON n.lang = f.lang
+  QUALIFY row_number() OVER (PARTITION BY f.lang, f.phrase ORDER BY score, cut) = 1),
+s AS (SELECT f.lang, f.a, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase FROM f, range(2, f.k) AS t(m), range(1, f.k - m + 2) AS u(i)),
+kept AS (SELECT c.* FROM c ANTI JOIN s ON s.lang = c.lang AND s.phrase = c.phrase AND s.a >= c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def _op13_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels leaves and subroots, level by level."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    parts = [rf"""d AS (
+  SELECT doc_id, source AS g, sha256({head} || {field("text")}) AS leaf, sha256({head} || {field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS low,
+         xor(list_reduce(list_prepend(4294967295, flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+             lambda x, e: CASE WHEN e >= 0 THEN xor(x::BIGINT, e::BIGINT) ELSE xor(x::BIGINT >> 1, 3988292384 * (x::BIGINT & 1)) END), 4294967295) % 5 = 0 AS tampered FROM documents),
+a0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h, doc_id, leaf, CASE WHEN tampered THEN low ELSE leaf END AS cur, '' AS sib FROM d)"""]
+
+    def climb(a, key, carry):
+        for j in range(levels):
+            parts.append(f"{a}r{j} AS (SELECT g, pos // 16 AS run, any_value(n) AS n, string_agg(h, '' ORDER BY pos) AS hs FROM (SELECT DISTINCT g, pos, n, h FROM {a}{j}) GROUP BY g, run)")
+            parts.append(f"""{a}{j + 1} AS (SELECT x.g, run AS pos, CASE WHEN x.n > 1 THEN (x.n + 15) // 16 ELSE 1 END AS n, CASE WHEN x.n > 1 THEN sha256(hs) ELSE hs END AS h, {carry},
+  CASE WHEN x.n > 1 THEN sha256(hs[:64 * (x.pos % 16)] || cur || hs[64 * (x.pos % 16) + 65:]) ELSE cur END AS cur, sib || CASE WHEN x.n > 1 THEN hs[:64 * (x.pos % 16)] || hs[64 * (x.pos % 16) + 65:] ELSE '' END AS sib
+  FROM {a}{j} x JOIN {a}r{j} r ON r.g IS NOT DISTINCT FROM x.g AND r.run = x.pos // 16)""")
+
+    climb("a", "g", "doc_id, leaf")
+    parts.append(f"""s AS (SELECT DISTINCT g AS name, h AS subroot FROM a{levels}),
+o AS (SELECT *, row_number() OVER (ORDER BY name NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM s),
+t0 AS (SELECT 0 AS g, o.pos, o.n, subroot AS h, doc_id, leaf, subroot, cur, sib FROM a{levels} x JOIN o ON o.name IS NOT DISTINCT FROM x.g)""")
+    climb("t", "g", "doc_id, leaf, subroot")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM t{levels}"
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_simhash": op4_simhash, "op5_url_filter": op5_url_filter,
-           "op6_embedding_dedup": op6_embedding_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_url_filter": OP5_SQL}
+           "op6_embedding_dedup": op6_embedding_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint,
+           "op11_online_packing": op11_online_packing, "op12_collocations": op12_collocations, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_url_filter": OP5_SQL, "op12_collocations": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
