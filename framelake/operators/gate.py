@@ -2,7 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from framelake.operators import video as V
-from framelake.plans.similarity import written_once
+from framelake.plans.similarity import written_by, written_once
 
 K = "video_id"
 # The gate's ceilings and floors.
@@ -184,9 +184,9 @@ def roll_up(checks):
 
 
 def all_checks(videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences):
-    """Every check over inputs that are worked out and written once: their sources are read once, and what follows knows how
-    large each input is, so small ones travel and large ones meet on the video."""
-    videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences = map(written_once, (
+    """Every check over inputs that are worked out once and written by video: each is exchanged once, and all joins and
+    aggregations of the checks find a video's rows in one place."""
+    videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences = (written_by(d, K) for d in (
         videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences))
     parts = [gt_audio_track(videos), gt_duration(videos), gt_black_frames(videos, blacks), gt_silence(videos, silences), gt_peak(videos), gt_voice_audible(videos, script, samples, heard),
              gt_text_sync(videos, caps, voice, script), gt_text_cut(videos, caps, shots), gt_voice_image(videos, shots, words), gt_ending(videos, shots, caps, voice, frames),

@@ -27,7 +27,8 @@ def _tiles(e, key, vec, tile):
     block = sig * F.lit(4096) + F.pmod(F.xxhash64(key), F.lit(4096))
     n = numbered(e.withColumn("_blk", block), ["g"], F.col("_blk"), ["_blk", key], "pos")
     n = n.withColumn("tile", F.floor((F.col("pos") - 1) / tile))
-    packed = n.groupBy("g", "tile").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows"))
+    # written: cones and both sides of the tile pairs read it
+    packed = written_once(n.groupBy("g", "tile").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("rows")))
 
     def cone(it):
         for pdf in it:
@@ -112,6 +113,17 @@ def written_once(df):
 SMALL_ROWS = 50_000
 
 
+def written_by(df, key):
+    """As written_once, but dealt out by the key for good: joins and aggregations on it read co-located buckets and need no
+    exchange, however many of them follow. A bucket lies in one file and is read by one task."""
+    spark = df.sparkSession
+    path, name = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}", f"cut_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    delete_at_exit(spark, path)
+    return spark.table(name)
+
+
 def small_side(table):
     """The table marked for broadcast if a count of its rows allows it; else as it is, for a join that shuffles. The table
     should be a written one, as it is counted first."""
@@ -120,29 +132,41 @@ def small_side(table):
 
 def average_link(e, threshold, pairs=None):
     """e(g, key, vec) -> (g, key, cluster); cluster is the smallest key of the group. Every round merges at least one pair of
-    groups, so the rounds end by themselves."""
-    edges = written_once((cosine_pairs(e, threshold) if pairs is None else pairs).select("g", "a", "b"))
-    member = e.select("g", "key", F.col("key").alias("cluster"))
-    groups = written_once(e.select("g", F.col("key").alias("cluster"), F.col("vec").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n")))
+    groups, so the rounds end by themselves.
+
+    An edge keeps the sum of the similarities between its two groups and their sizes. A round changes only edges whose end was
+    merged: those alone meet the sum vectors again, all others are carried over as they are. Groups that have no edge above the
+    threshold are final, as an average never exceeds the larger of its parts: they and their edges are left out from then on."""
     dot = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = cosine_pairs(e, threshold) if pairs is None else pairs
+    groups = e.select("g", F.col("key").alias("cluster"), F.col("vec").cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n"))
+    edges = written_once(pairs.select("g", "a", "b", F.col("sim").alias("total"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+    member, merges = e.select("g", "key", F.col("key").alias("cluster")), []
     while True:
-        sims = (edges.join(groups.select("g", F.col("cluster").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), ["g", "a"])
-                .join(groups.select("g", F.col("cluster").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), ["g", "b"])
-                .select("g", "a", "b", (dot / (F.col("na") * F.col("nb"))).alias("sim")).filter(F.col("sim") > threshold))
+        sims = edges.select("g", "a", "b", (F.col("total") / (F.col("na") * F.col("nb"))).alias("sim")).filter(F.col("sim") > threshold)
         # both directions from one pass; ties go to the smallest pair of keys, so both sides agree
         both = sims.select("g", "sim", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("g", "p.x", "p.y", "sim")
         best = both.groupBy("g", "x").agg(F.max_by("y", F.struct("sim", (-F.least("x", "y")).alias("p"), (-F.greatest("x", "y")).alias("q"))).alias("y"))
-        # a pair that chose each other is named twice
-        merge = written_once(best.groupBy("g", F.least("x", "y").alias("keep"), F.greatest("x", "y").alias("gone")).agg(F.count("*").alias("c")).filter("c = 2").drop("c"))
-        if merge.isEmpty():
+        # what becomes of each live group: a pair that chose each other is named twice and becomes its smaller key
+        pair = Window.partitionBy("g", F.least("x", "y"), F.greatest("x", "y"))
+        live = written_once(best.withColumn("both", F.count("*").over(pair) == 2).select("g", F.col("x").alias("c"), F.when(F.col("both"), F.least("x", "y")).otherwise(F.col("x")).alias("to"), "both"))
+        moved = live.filter("both")
+        if moved.isEmpty():
             break
-        to = merge.select("g", F.col("gone").alias("c"), F.col("keep").alias("to"))
-        rename = lambda d, c: (d.join(to.withColumnRenamed("c", c), ["g", c], "left")
-                               .withColumn(c, F.coalesce("to", c)).drop("to"))
-        member = written_once(rename(member, "cluster"))
-        # at most two sum vectors meet per group and are added element by element
-        groups = written_once(rename(groups, "cluster").groupBy("g", "cluster").agg(F.collect_list("s").alias("ss"), F.sum("n").alias("n")).select(
+        merges.append(moved.filter("c <> to").select("g", "c", "to"))
+        live = small_side(live)
+        # sum vectors of live groups: at most two meet and are added element by element
+        groups = written_once(groups.join(live.withColumnRenamed("c", "cluster"), ["g", "cluster"]).groupBy("g", F.col("to").alias("cluster")).agg(F.collect_list("s").alias("ss"), F.sum("n").alias("n")).select(
             "g", "cluster", F.when(F.size("ss") == 1, F.col("ss")[0]).otherwise(F.zip_with(F.col("ss")[0], F.get("ss", F.lit(1)), lambda x, y: x + y)).alias("s"), "n"))
-        ed = rename(rename(edges, "a"), "b").filter("a <> b")
-        edges = written_once(ed.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return member.select("g", "key", "cluster")
+        side = lambda c: live.select("g", F.col("c").alias(c), F.col("to").alias(f"{c}_to"), F.col("both").alias(f"{c}_new"))
+        at = edges.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).filter("a_to <> b_to")
+        kept = at.filter("NOT a_new AND NOT b_new").select("g", "a", "b", "total", "na", "nb")
+        dirty = at.filter("a_new OR b_new").select("g", F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
+        again = (dirty.join(groups.select("g", F.col("cluster").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), ["g", "a"])
+                 .join(groups.select("g", F.col("cluster").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), ["g", "b"]).select("g", "a", "b", dot.alias("total"), "na", "nb"))
+        edges = written_once(kept.unionAll(again))
+    for i, m in enumerate(merges):
+        member = member.join(small_side(m.withColumnRenamed("c", "cluster")), ["g", "cluster"], "left").select("g", "key", F.coalesce("to", "cluster").alias("cluster"))
+        if i % 16 == 15:
+            member = written_once(member)
+    return member
