@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -175,18 +176,15 @@ def _numbers(raw: bytes, n: int, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def frequent(docs: DataFrame, sizes: tuple[int, ...], threshold: int, buckets: int, known=None) -> DataFrame:
-    """(fp): fingerprints of sequences of these sizes that occur `threshold` times or more; fingerprints are cut to 48 bits, so
-    others may slip in but none is missing. With `known`, a broadcast filter of the frequent pairs, only sequences whose pairs pass count."""
+def frequent_values(docs: DataFrame, values, threshold: int, buckets: int) -> DataFrame:
+    """(fp): numbers of 64 bits that values(batches), arrays of them, holds `threshold` times or more, cut to their upper 48 bits:
+    others may slip in but none is missing. Tasks send what they counted packed by bucket; a bucket is summed as it is read."""
     parts = min(buckets, PARTS)
 
     def count(batches):
         counts = Counts(threshold)
-        for words, _, _ in texts_of(batches):
-            runs = known_pairs(words, known.value) if known is not None else None
-            for k in sizes:
-                at, fp = words.sequences(k)
-                counts.add(fp if runs is None else fp[runs[at + k - 1] - runs[at] == k - 1])
+        for v in values(batches):
+            counts.add(v)
             if counts.held > HELD:
                 counts.merged()
                 if counts.held > HELD // 2:
@@ -231,6 +229,18 @@ def frequent(docs: DataFrame, sizes: tuple[int, ...], threshold: int, buckets: i
     return packed.sortWithinPartitions("bucket").mapInArrow(find, "fp long")
 
 
+def frequent(docs: DataFrame, sizes: tuple[int, ...], threshold: int, buckets: int, known=None) -> DataFrame:
+    """(fp): fingerprints of sequences of these sizes that occur `threshold` times or more (see frequent_values). With `known`, a
+    broadcast filter of the frequent pairs, only sequences whose pairs pass count."""
+    def values(batches):
+        for words, _, _ in texts_of(batches):
+            runs = known_pairs(words, known.value) if known is not None else None
+            for k in sizes:
+                at, fp = words.sequences(k)
+                yield fp if runs is None else fp[runs[at + k - 1] - runs[at] == k - 1]
+    return frequent_values(docs, values, threshold, buckets)
+
+
 def bit_filter(fps: DataFrame) -> np.ndarray:
     """A bit for each fingerprint of a written table, as bytes: 16 bits a fingerprint within FILTER_BITS, so at most 32 MB reach the
     driver, whatever the table holds. Tasks set the bits of their share."""
@@ -260,6 +270,19 @@ def passes(known: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def marked(keys: DataFrame, *columns: str):
+    """A condition on rows with the same columns as keys: true where they stand in keys, and for few others (see bit_filter). Rows for
+    which it is false need not meet keys in a join, so their other columns are not shuffled."""
+    hashed = F.shiftrightunsigned(F.xxhash64(*columns), 16)
+    known = keys.sparkSession.sparkContext.broadcast(bit_filter(written(keys.select(hashed.alias("fp")), "keys")))
+
+    @F.pandas_udf("boolean")
+    def wanted(fp: pd.Series) -> pd.Series:
+        return pd.Series(passes(known.value, fp.to_numpy().astype(np.uint64) << np.uint64(16)))
+
+    return wanted(hashed)
+
+
 def known_pairs(words: Words, known: np.ndarray) -> np.ndarray:
     """How many of the words before each one begin a pair that passes."""
     at, fp = words.sequences(2, beyond=True)

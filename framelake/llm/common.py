@@ -46,16 +46,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
     changes (a count and a sum over all edges, computed by Spark)."""
     e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     e = written(e, "edges")
-    before = None
+    before, parts = None, partitions(e.sparkSession)
+
+    def to_lowest(rows, low, n):
+        """rows(u, w) with m of their u. Of few edges, few nodes can hold more than one in 2 P of n, and those are looked up where
+        the edges are read, so that no hub is one task's work."""
+        hubs = low.where(F.col("c") * 2 * parts > n).select("u", F.col("m").alias("hub"))       # at most 4 P: degrees add up to 2 n
+        found = rows.join(F.broadcast(hubs), "u", "left")
+        rest = found.where("hub IS NULL").drop("hub").join(low.select("u", "m"), "u")
+        return found.where("hub IS NOT NULL").select("u", "w", F.col("hub").alias("m")).unionAll(rest.select("u", "w", "m"))
+
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        n = e.count() if before is None else before[0]
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
         # large star: neighbours above u go to the smallest of u's surroundings
-        e1 = (e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u")
-              .select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
+        e1 = to_lowest(e.select(F.col("v").alias("u"), F.col("u").alias("w")), low, n).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its lower neighbours go to the smallest of them
-        low1 = e1.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = (e1.join(low1, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low1 = e1.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        e2 = (to_lowest(e1.select("u", F.col("v").alias("w")), low1, n).select("u", F.col("w").alias("v"), "m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
               .unionAll(low1.select("u", F.col("m").alias("v"))).distinct())
         e = written(e2, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

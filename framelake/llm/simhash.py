@@ -13,21 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.collocations import marked
 from framelake.llm.common import components, partitions, written
 
 SEED, SHINGLE = 42, 4
 #: Fingerprints of one bucket that are compared at once; larger buckets are cut into tiles of this size.
 TILE = 8192
-#: Words of 64 bits in a wide fingerprint, and standard deviations by which pairs at a stated similarity may miss the mean
-#: number of differing bits and still be found.
-WIDE, SLACK = 4, 1.25
 #: MinHash values and bits of a shingle set, values in a band, and how probable it may be, for each of the three conditions of
 #: a candidate, that a pair at the stated similarity fails it.
 MINHASHES, ROWS, MISS = 128, 3, 1e-6
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, MINHASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD, _BIT = _MIX[0], _MIX[1]
-#: Shingle sets compared at once, and shingles in them.
-SET_TILE, SET_SHINGLES = 512, 1 << 22
+#: Shingle sets compared at once, and shingles in them; sets of a larger candidate component that every tile of it sees; rows of a
+#: few numbers that may travel to every task.
+SET_TILE, SET_SHINGLES, LEADERS, SMALL = 1024, 1 << 22, 8, 200_000
 #: Costs of the plan in seconds: one row through a shuffle and into a task, one comparison inside a task.
 ROW_COST, PAIR_COST = 2e-6, 2e-9
 
@@ -47,34 +46,14 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), dtype=np.uint64, count=n)
 
 
-def signature(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """SimHash of 64 bits times `words`: a bit is 1 if it is set in over half the hashes of all shingles of `size` words,
-    repeats included. The first 64 are of the shingles' XXH64 values, further ones of values mixed from them. Zero without
-    a word."""
-    h = shingles(text, size)
-    if not len(h):
-        return np.zeros(words, dtype=np.uint64)
-    out = np.zeros(words, dtype=np.uint64)
-    for w in range(words):
-        count = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(h), 1 << 15):
-            count += np.unpackbits(h[i:i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[w] = int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return out
-
-
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    return int(signature(text, size)[0])
-
-
-def bits_at(similarity: float, n: int) -> int:
-    """Differing bits of n that a pair of this shingle similarity (Jaccard) stays within but for the tail beyond SLACK
-    standard deviations: each bit differs with the share that the angle of their shingle counts has of a half turn."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n * p + SLACK * math.sqrt(n * p * (1 - p)))
+    """SimHash of 64 bits: a bit is 1 if it is set in over half the hashes of all shingles of `size` words, repeats included. Zero
+    without a word."""
+    h = shingles(text, size)
+    count = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 1 << 15):
+        count += np.unpackbits(h[i:i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
 
 
 def fingerprint_column(text: str):
@@ -404,85 +383,123 @@ def bands_at(similarity: float) -> int:
     return min(MINHASHES // ROWS, max(1, math.ceil(math.log(MISS) / math.log(1 - similarity ** ROWS)))) if similarity < 1 else 1
 
 
-def similar_sets(sets: list[np.ndarray], similarity: float, cut: int = 0) -> np.ndarray:
+def similar_sets(sets: list[np.ndarray], similarity: float, bits: np.ndarray, limits: tuple[int, int], cut: int = 0) -> np.ndarray:
     """Labels (the first member's position) of the components of the sets (sorted, without repeats) that link where their
-    Jaccard similarity is at least `similarity`. With `cut`, only pairs of the first `cut` sets and the others are looked at."""
+    Jaccard similarity is at least `similarity`. Only candidates are looked at: `bits` (two words a set) differ in at most limits[0]
+    bits of the first and limits[1] of both. With `cut`, only pairs of the first `cut` sets and the others."""
     label = np.arange(len(sets))
     sizes = np.array([len(x) for x in sets])
     value, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
+    own = np.zeros(len(value), dtype=bool)
     for i in range(cut or len(sets) - 1):
         start = max(cut, i + 1)
         near = (sizes[start:] >= similarity * sizes[i] - 1) & (sizes[start:] * similarity - 1 <= sizes[i]) & (label[start:] != label[i])
-        if not near.any():
+        j = np.flatnonzero(near) + start
+        if len(j):
+            j = j[candidates_of(bits[i], bits[j], limits)]
+        if not len(j):
             continue
-        own = np.zeros(len(value) + 1, dtype=bool)
-        own[flat[ends[i] - sizes[i]:ends[i]]] = True
-        both = np.concatenate([[0], np.cumsum(own[flat[ends[start] - sizes[start]:]])])
-        at = ends[start:] - (ends[start] - sizes[start])
-        both = both[at] - both[at - sizes[start:]]
-        j = np.flatnonzero(near & (both / np.maximum(1, sizes[i] + sizes[start:] - both) >= similarity)) + start
+        mine = flat[ends[i] - sizes[i]:ends[i]]
+        own[mine] = True
+        at = np.append(0, np.cumsum(sizes[j]))
+        both = np.append(0, np.cumsum(own[np.concatenate([flat[ends[x] - sizes[x]:ends[x]] for x in j.tolist()])]))
+        both = both[at[1:]] - both[at[:-1]]
+        own[mine] = False
+        j = j[both / np.maximum(1, sizes[i] + sizes[j] - both) >= similarity]
         if len(j):
             label = merge(label, np.full(len(j), i), j)
     return label
 
 
-def _verified(candidates: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes as all pairs do whose shingle sets have the similarity. candidates(node, root): only
-    pairs of one root are compared; sets(node, size, _text).
-
-    A root's nodes are dealt to tiles by hash, bounded by nodes and shingles; each tile is compared in itself, tiles of one
-    root are then compared pair by pair, dealt out to all tasks."""
-    parts = partitions(sets.sparkSession)
-    members = written(candidates.join(sets.select("node", "size"), "node"), "candidates")
-    large = (members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum("size") / SET_SHINGLES)).alias("tiles")).where("tiles > 1"))
-    dealt = (members.join(F.broadcast(large), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-             .withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).select("node", "root", "tile", (F.col("tiles") > 1).alias("more"))
-             .join(sets.select("node", "_text"), "node").repartition(parts, "root", "tile").sortWithinPartitions("root", "tile"))
+def candidates_of(bits: np.ndarray, others: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
+    apart = np.bitwise_count(others ^ bits)
+    return (apart[:, 0] <= limits[0]) & (apart.sum(axis=1, dtype=np.int64) <= limits[1])
 
-    def edge_rows(found):
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        k = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.binary()))], names=names)
 
-    def scan(batches):
-        own, more, nodes, sets, found = None, False, [], [], []
+def _with_texts(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """rows (a written table) with the _text of their node; source: (node, _text) of all rows of the corpus. Few rows travel to the
+    texts. Of more, the nodes are first marked in a filter of bounded size, so that few other texts are shuffled."""
+    if rows.limit(SMALL + 1).count() <= SMALL:
+        return source.join(F.broadcast(rows), "node")
+    return source.where(marked(rows.select("node").distinct(), "node")).join(rows, "node")
 
-        def close():
-            if len(nodes) > 1:
-                at = np.array(nodes, dtype=np.int64)
-                found.append(star(at, similar_sets(sets, similarity)))
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own[0]], pa.int64()), pa.array([own[1]], pa.int32()),
-                                                  pa.array([np.array(nodes, dtype=np.int64).tobytes()], pa.binary()), pa.array([[x.tobytes() for x in sets]], pa.list_(pa.binary()))], names=names)
 
+def _verified(candidates: DataFrame, nodes: DataFrame, source: DataFrame, similarity: float, shingle: int, limits: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) that connect the nodes as all pairs do whose shingle sets have the similarity. candidates(node, root): only
+    pairs of one root are compared, and of those only candidates by their bits (see similar_sets).
+
+    A root's nodes are dealt to tiles by hash, bounded by nodes and shingles. Some LEADERS of a root with several tiles are in every
+    one of them, so that copies of one text become one component whatever their number. Pairs of different components are
+    then looked for in the bits, tile by tile, and only sets that stand in such a pair are shipped once more."""
+    parts = partitions(nodes.sparkSession)
+    members = written(candidates.join(nodes.select("node", "size", "fp", "more"), "node"), "candidates")
+    large = written(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum("size") / SET_SHINGLES)).cast("int").alias("tiles")).where("tiles > 1"), "large")
+    sent = large if large.limit(SMALL + 1).count() > SMALL else F.broadcast(large)
+    placed = members.join(sent, "root", "left").withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    several = placed.where("tiles IS NOT NULL")
+    leaders = (several.groupBy("root", "tiles", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("node", "fp", "more", "tile")).alias("s"))
+               .select("s.node", "root", "s.fp", "s.more", F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("s.tile"))).alias("tile")))
+    places = written(placed.select("node", "root", "fp", "more", "tile").unionAll(leaders.withColumn("tile", F.col("tile").cast("int"))), "places")
+    dealt = _with_texts(places, source).repartition(parts, "root", "tile").sortWithinPartitions("root", "tile")
+
+    def groups(batches, keys):
+        """(key, columns of its rows) of rows sorted by keys."""
+        own, held = None, []
+        names = ["node", "fp", "more", "_text"] + (["side"] if "side" in keys else [])
         for b in batches:
-            for node, root, tile, several, text in zip(*(b.column(c).to_pylist() for c in ("node", "root", "tile", "more", "_text"))):
-                if own != (root, tile):
-                    yield from close()
-                    own, more, nodes, sets = (root, tile), several, [], []
-                nodes.append(node)
-                sets.append(np.unique(shingles(text, shingle)))
-            yield edge_rows(found)
-            found = []
-        yield from close()
-        yield edge_rows(found)
-
-    def cross(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = batch.slice(i, 1).to_pylist()[0]
-                nodes = np.concatenate([np.frombuffer(x[c], np.int64) for c in ("nodes", "nodes2")])
-                both = [np.frombuffer(v, np.uint64) for c in ("sets", "sets2") for v in x[c]]
-                a, b = star(nodes, similar_sets(both, similarity, len(x["sets"])))
+            for *key, row in zip(*(b.column(c).to_pylist() for c in keys if c != "side"), zip(*(b.column(c).to_pylist() for c in names))):
+                if key != own:
+                    if len(held) > 1:
+                        yield held
+                    own, held = key, []
+                held.append(row)
+        if len(held) > 1:
+            yield held
+
+    def compare(batches, keys, cut):
+        for held in groups(batches, keys):
+            node = np.array([r[0] for r in held], dtype=np.int64)
+            bits = np.array([(r[1], int.from_bytes(r[2], "little", signed=True)) for r in held], dtype=np.int64).view(np.uint64)
+            sets = [np.unique(shingles(r[3], shingle)) for r in held]
+            a, b = star(node, similar_sets(sets, similarity, bits, limits, sum(r[4] == 0 for r in held) if cut else 0))
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    names = ["a", "b", "root", "tile", "nodes", "sets"]
-    found = written(dealt.mapInArrow(scan, "a long, b long, root long, tile int, nodes binary, sets array<binary>"), "verified")
-    tiles = found.where("tile IS NOT NULL").select("root", "tile", "nodes", "sets")
-    other = tiles.select("root", *(F.col(c).alias(f"{c}2") for c in ("tile", "nodes", "sets")))
-    pairs = tiles.join(other, "root").where("tile < tile2").repartition(parts, "root", "tile", "tile2").mapInArrow(cross, "a long, b long")
-    return found.where("a IS NOT NULL").select("a", "b").unionAll(pairs)
+    edges = written(dealt.mapInArrow(lambda batches: compare(batches, ["root", "tile"], False), "a long, b long"), "verified")
+    if large.isEmpty():
+        return edges
+    labelled = several.join(components(edges, node="node", root="label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = written(labelled.select("root", "tile", "node", "label", "size", "fp", "more"), "labelled")
+    mixed = labelled.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("root")
+    tiles = written(labelled.join(mixed, "root").groupBy("root", "tile").agg(F.collect_list(F.struct("node", "label", "size", "fp", "more")).alias("rows")), "tiles")
+
+    def apart(batches):
+        """Nodes of two tiles that stand in a candidate pair of different components."""
+        for batch in batches:
+            for x in batch.to_pylist():
+                left, right = x["rows"], x["rows2"]
+                label, size = (np.array([r[c] for r in right], dtype=np.int64) for c in ("label", "size"))
+                bits = lambda rs: np.array([(r["fp"], int.from_bytes(r["more"], "little", signed=True)) for r in rs], dtype=np.int64).view(np.uint64)
+                mine, theirs = bits(left), bits(right)
+                used, hit = [], np.zeros(len(right), dtype=bool)
+                for r, own in zip(left, mine):
+                    near = (label != r["label"]) & (size >= similarity * r["size"] - 1) & (size * similarity - 1 <= r["size"]) & candidates_of(own, theirs, limits)
+                    if near.any():
+                        used.append((r, 0))
+                        hit |= near
+                used += [(right[i], 1) for i in np.flatnonzero(hit).tolist()]
+                k = len(used)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x["root"]] * k, pa.int64()), pa.array([x["tile"]] * k, pa.int32()), pa.array([x["tile2"]] * k, pa.int32()), pa.array([s for _, s in used], pa.int32()),
+                    *(pa.array([r[c] for r, _ in used], t) for c, t in (("node", pa.int64()), ("fp", pa.int64()), ("more", pa.binary())))], names=names)
+
+    names = ["root", "tile", "tile2", "side", "node", "fp", "more"]
+    pairs = (tiles.join(tiles.select("root", F.col("tile").alias("tile2"), F.col("rows").alias("rows2")), "root").where("tile < tile2")
+             .repartition(parts, "root", "tile", "tile2").mapInArrow(apart, "root long, tile int, tile2 int, side int, node long, fp long, more binary"))
+    keys = ["root", "tile", "tile2", "side"]
+    cross = _with_texts(written(pairs, "apart"), source).repartition(parts, *keys[:3]).sortWithinPartitions(*keys)
+    return edges.unionAll(cross.mapInArrow(lambda batches: compare(batches, keys, True), "a long, b long"))
 
 
 def _similar(rows: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
@@ -510,14 +527,20 @@ def _similar(rows: DataFrame, similarity: float, shingle: int, text: str, key: s
     # equal sets are one node from the start, named by one of its rows
     nodes = written(own.groupBy("digest").agg(F.min(F.struct("_row", "size", "fp", "more", "bands")).alias("s")).select("digest", F.col("s._row").alias("node"), "s.size", "s.fp", "s.more", "s.bands"), "distinct")
     buckets = nodes.where("size > 0").select(F.explode("bands").alias("bucket"), "node", "fp", "more", F.lit(BOTH).cast("byte").alias("role"))
-    candidates = components(linked(buckets, minhash_bits_at(similarity, 64), minhash_bits_at(similarity, MINHASHES)), node="node", root="root")
-    sets = nodes.join(source.select(F.col("_row").alias("node"), "_text"), "node").select("node", "size", "_text")
-    comp = components(_verified(candidates, sets, similarity, shingle), node="node", root="root")
+    limits = minhash_bits_at(similarity, 64), minhash_bits_at(similarity, MINHASHES)
+    candidates = components(linked(buckets, *limits), node="node", root="root")
+    edges = _verified(candidates, nodes, source.select(F.col("_row").alias("node"), "_text"), similarity, shingle, limits)
+    comp = components(edges, node="node", root="root")
     rooted = written(nodes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "rooted")
     return written(own.select("_row", key, "digest").join(rooted, "digest"), "similar")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """docs with _row, a number of each row: the key where it is a whole number that no two rows share, else one of a written table."""
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        ids = docs.agg(F.count("*").alias("n"), F.count(key).alias("with_key")).first()
+        if ids.n == ids.with_key and docs.groupBy(key).count().where("count > 1").isEmpty():
+            return docs.withColumn("_row", F.col(key).cast("long"))
     return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
@@ -525,8 +548,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """(key, fingerprint, component_id) as near_duplicates, by the Jaccard similarity of the sets of word shingles: documents
     link where it is at least `similarity`. fingerprint: 32 hex digits, the digest of the set; a text without a word has the
     empty set. Candidates share a band of MinHash values and differ in few MinHash bits, both set so that a pair at
-    `similarity` is missed with a probability below MISS; what is found is decided on the whole sets."""
-    found = _similar(_numbered(docs.select(key, text)), similarity, shingle, text, key)
+    `similarity` is missed with a probability below MISS; what is found is decided on the whole sets. Null and empty texts are one
+    component; very long texts count whole; docs is read several times and should be a stored table."""
+    found = _similar(_numbered(docs.select(key, text), key), similarity, shingle, text, key)
     low = found.groupBy("root").agg(F.min(key).alias("component_id"))
     return found.join(low, "root").select(key, F.lower(F.hex("digest")).alias("fingerprint"), "component_id")
 
@@ -534,8 +558,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without near duplicates (see similar_documents): of each component one row stays, that with the smallest key (rows
     without a key last). Rows are told apart by a number of their own, so rows of one key whose texts don't resemble each
-    other all stay. All columns are kept."""
-    rows = _numbered(docs)
+    other all stay. All null and empty texts are alike: one of them stays. An empty table gives no rows. All columns are kept."""
+    rows = _numbered(docs, key)
     found = _similar(rows, similarity, shingle, text, key)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("k"), "_row")).alias("s")).select("s._row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("k"), "_row")).alias("s")).select(F.col("s._row").alias("_row"))
+    gone = written(found.select("_row").join(first, "_row", "left_anti"), "gone")
+    # only rows that may have to go meet those that have to
+    may_go = marked(gone, "_row")
+    return rows.where(~may_go).unionAll(rows.where(may_go).join(gone, "_row", "left_anti").select(rows.columns)).drop("_row")

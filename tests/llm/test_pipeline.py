@@ -8,7 +8,6 @@ from test_tokens import check_packing
 import corpus_pipeline as C
 from framelake.llm import language as L
 from framelake.llm import quality as Q
-from framelake.llm import simhash as S
 
 
 def without_repeats(docs, k=20):
@@ -25,6 +24,29 @@ def without_repeats(docs, k=20):
     return out
 
 
+def one_of_each(docs):
+    """The smallest doc_id of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    low = {d: d for d in sets}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+    near = {p for h in holders.values() for p in combinations(sorted(h), 2)} | {p for p in combinations([d for d, s in sets.items() if not s], 2)}
+    for a, b in near:
+        if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            low[max(find(a), find(b))] = min(find(a), find(b))
+    return {d for d in sets if find(d) == d}
+
+
 def test_run(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -34,18 +56,8 @@ def test_run(spark, sf):
     langs = L.fit_languages(docs.where(docs.doc_id.isin(good) & ~L.in_fold()))
     kept = [(d, t) for d, t in texts if d in set(good)]
     kept = [(d, t) for d, t in kept if langs.classify([t])[0][0] != "und"]
-    prints = {d: S.signature(t, 5, S.WIDE) for d, t in kept}
-    low, near, wide = {d: d for d, _ in kept}, S.bits_at(0.8, 64), S.bits_at(0.8, 256)
-
-    def find(d):
-        while low[d] != d:
-            d = low[d]
-        return d
-    for a, b in combinations(prints, 2):
-        apart = np.bitwise_count(prints[a] ^ prints[b])
-        if apart[0] <= near and apart.sum() <= wide:
-            low[max(find(a), find(b))] = min(find(a), find(b))
-    kept = [(d, t) for d, t in kept if find(d) == d]
+    ones = one_of_each(kept)
+    kept = [(d, t) for d, t in kept if d in ones]
     check_packing(C.run(spark, sf).collect(), without_repeats(kept))
     bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
     fine = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
@@ -68,22 +80,4 @@ def test_stages_on_odd_rows(spark, odd_documents, sf):
 def test_near_duplicates_by_shingles(spark, sf):
     """The stage keeps what brute-force Jaccard of five-word shingles keeps."""
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
-    sets = {}
-    for r in docs.collect():
-        w = (r.text or "").encode().lower().split()
-        sets[r.doc_id] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    low = {d: d for d in sets}
-    holders = {}
-    for d, s in sets.items():
-        for x in s:
-            holders.setdefault(x, []).append(d)
-
-    def find(d):
-        while low[d] != d:
-            d = low[d]
-        return d
-    near = {p for h in holders.values() for p in combinations(sorted(h), 2)} | {p for p in combinations([d for d, s in sets.items() if not s], 2)}
-    for a, b in near:
-        if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-            low[max(find(a), find(b))] = min(find(a), find(b))
-    assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()) == [d for d in sorted(sets) if find(d) == d]
+    assert {r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()} == one_of_each([(r.doc_id, r.text) for r in docs.collect()])

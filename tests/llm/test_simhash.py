@@ -150,11 +150,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark):
+    """Each star's centre is the largest, the smallest or a middle node, and holds a third of all edges."""
+    stars = spark.range(1, 60_000).selectExpr("id * 3 + id % 3 AS a", "array(-5L, 1000000L, 90001L)[cast(id % 3 AS int)] AS b")
+    got = components(stars.repartition(7))
+    assert {(r[0], r[1]) for r in got.groupBy("component").count().collect()} == {(-5, 20_000), (4, 20_001), (8, 20_001)}
+
+
 @pytest.mark.parametrize("tile", [512, 8])
 def test_similarity_is_exact(spark, monkeypatch, tile):
     """Components against brute-force Jaccard, with most pairs around the similarity: edited pairs, one hot template whose
     members are about 0.7 alike, near copies, and texts that repeat one passage and differ in the rest."""
     monkeypatch.setattr(S, "SET_TILE", tile)
+    monkeypatch.setattr(S, "SMALL", 5 if tile == 8 else S.SMALL)
     rng = random.Random(5)
     texts = []
     for i in range(150):
