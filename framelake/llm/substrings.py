@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.collocations import bit_filter, frequent_values, marked, passes
 from framelake.llm.common import partitions, written
 
 #: Words of a window, and of the short sequences of which the least (by hash) is a window's minimiser.
@@ -30,6 +31,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _spread(minimiser: np.ndarray) -> np.ndarray:
+    return _mix(minimiser * _ODD[4])
+
+
 class Batch:
     """Some documents as one run of words, and their super-k-mers."""
 
@@ -94,6 +99,11 @@ class Batch:
             value = _mix(value * _ODD[1] + self.hash[self.at[alone] + j])
         self.minimiser[alone] = value & ~_PLACE
 
+    def keep(self, known: np.ndarray) -> None:
+        """Only super-k-mers whose minimiser heads several."""
+        at = np.flatnonzero(passes(known, _spread(self.minimiser)))
+        self.at, self.windows, self.minimiser, self.doc, self.place = (x[at] for x in (self.at, self.windows, self.minimiser, self.doc, self.place))
+
     def strings(self) -> list[bytes]:
         joined = self.joined
         return [joined[a:b] for a, b in zip(self.starts[self.at].tolist(), self.ends[self.at + self.windows + WINDOW - 2].tolist())]
@@ -160,6 +170,16 @@ def hot_minimisers(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return np.array(sorted(r[0] for r in rows), dtype=np.int64).view(np.uint64), totals.get(2, 0)
 
 
+def repeated_minimisers(source: DataFrame, buckets: int) -> DataFrame:
+    """(fp): of every minimiser that heads two or more super-k-mers. A window that stands in two places has one minimiser in both, and
+    they lie in two super-k-mers; so what a single minimiser heads can't hold a repeat and need not travel."""
+    def values(batches):
+        for _, _, _, group in _batches(batches, "_text"):
+            for texts, _, _ in _long(group):
+                yield _spread(Batch(texts).minimiser)
+    return written(frequent_values(source.select("_text"), values, 2, buckets), "repeated")
+
+
 def _summed(found):
     value, where = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
     return value, np.bincount(where, weights=np.concatenate([n for _, n in found])).astype(np.int64)
@@ -317,6 +337,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", key: str = "_doc", r
     parts = partitions(docs.sparkSession)
     buckets = max(parts, -(-windows // BUCKET_WINDOWS))
     source = docs.select(key, row, docs[text].alias("_text"))
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated_minimisers(source, buckets)))
 
     def pack(batches):
         packs = Packs(buckets)
@@ -324,6 +345,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", key: str = "_doc", r
             doc, rows = (b.column(c).slice(i, j - i).to_numpy() for c in (0, 1))
             for texts, which, since in _long(group):
                 batch = Batch(texts)
+                batch.keep(known.value)
                 batch.split(hot)
                 packs.add(batch, doc[which], rows[which], np.array(since, dtype=np.int64))
                 if packs.size > PACK_BYTES:
@@ -382,8 +404,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     that share a key (or have none) count as separate documents in the order in which they are stored. All columns stay;
     columns named n_words and n_removed are replaced. An empty table gives no rows.
 
-    Texts are read three times (minimisers counted, windows packed, words removed) and shuffled twice: as packed
-    super-k-mers, and once by key to meet what is to be removed."""
+    Texts are read four times (hot minimisers found, all minimisers counted, windows packed, words removed). Super-k-mers of
+    repeated minimisers are shuffled packed, and by key only the texts that may lose words."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     ids = docs.agg(F.count("*").alias("n"), F.count(key).alias("with_key")).first()
@@ -392,8 +414,11 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
         keyed = docs.select(*kept, F.col(key).cast("long").alias("_doc"), F.lit(0).cast("long").alias("_row"))
     else:
         keyed = written(docs.select(*kept, F.coalesce(F.col(key).cast("long"), F.lit(2 ** 63 - 1)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
-    found = repeated_stretches(keyed, text).withColumnRenamed("gone", "_gone")
-    joined = keyed.join(found, ["_doc", "_row"], "left").select(*kept, "_gone")
+    found = written(repeated_stretches(keyed, text).withColumnRenamed("gone", "_gone"), "stretches")
+    # only documents that may lose words meet what they lose
+    hit = marked(found, "_doc", "_row")
+    joined = (keyed.where(~hit).select(*kept, F.lit(None).cast(found.schema["_gone"].dataType).alias("_gone"))
+              .unionAll(keyed.where(hit).join(found, ["_doc", "_row"], "left").select(*kept, "_gone")))
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in joined.select(*kept).schema.fields),
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
