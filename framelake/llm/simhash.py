@@ -563,6 +563,6 @@ def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     found = _similar(rows, similarity, shingle, text, key)
     first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("k"), "_row")).alias("s")).select(F.col("s._row").alias("_row"))
     gone = written(found.select("_row").join(first, "_row", "left_anti"), "gone")
-    # only rows that may have to go meet those that have to
+    # only rows that may have to go meet those that have to, which grow with the corpus and are never sent to every task
     may_go = marked(gone, "_row")
-    return rows.where(~may_go).unionAll(rows.where(may_go).join(gone, "_row", "left_anti").select(rows.columns)).drop("_row")
+    return rows.where(~may_go).unionAll(rows.where(may_go).join(gone.hint("merge"), "_row", "left_anti").select(rows.columns)).drop("_row")

@@ -415,10 +415,10 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     else:
         keyed = written(docs.select(*kept, F.coalesce(F.col(key).cast("long"), F.lit(2 ** 63 - 1)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
     found = written(repeated_stretches(keyed, text).withColumnRenamed("gone", "_gone"), "stretches")
-    # only documents that may lose words meet what they lose
+    # only documents that may lose words meet what they lose; that grows with the corpus and is never sent to every task
     hit = marked(found, "_doc", "_row")
     joined = (keyed.where(~hit).select(*kept, F.lit(None).cast(found.schema["_gone"].dataType).alias("_gone"))
-              .unionAll(keyed.where(hit).join(found, ["_doc", "_row"], "left").select(*kept, "_gone")))
+              .unionAll(keyed.where(hit).join(found.hint("merge"), ["_doc", "_row"], "left").select(*kept, "_gone")))
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in joined.select(*kept).schema.fields),
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
