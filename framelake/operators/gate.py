@@ -183,13 +183,14 @@ def roll_up(checks):
     return checks.groupBy(K).agg((F.count_if(F.col("status") == "fail") == 0).alias("ok"), names("fail").alias("failed"), names("warn").alias("warnings"), names("skip").alias("skipped"))
 
 
-def all_checks(videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences):
+def all_checks(videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences, cuts=None):
     """Every check over inputs that are worked out once and written by video: each is exchanged once, and all joins and
     aggregations of the checks find a video's rows in one place."""
     videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences = (written_by(d, K) for d in (
         videos, shots, caps, words, voice, script, samples, heard, frames, blacks, silences))
+    cuts = cuts if cuts is None else written_by(cuts, K)
     parts = [gt_audio_track(videos), gt_duration(videos), gt_black_frames(videos, blacks), gt_silence(videos, silences), gt_peak(videos), gt_voice_audible(videos, script, samples, heard),
-             gt_text_sync(videos, caps, voice, script), gt_text_cut(videos, caps, shots), gt_voice_image(videos, shots, words), gt_ending(videos, shots, caps, voice, frames),
+             gt_text_sync(videos, caps, voice, script), gt_text_cut(videos, caps, shots), gt_voice_image(videos, shots, words), gt_ending(videos, shots, caps, voice, frames, blacks, cuts),
              gt_renewal(videos, shots, caps, voice), gt_picture_with_voice(videos, shots, voice), gt_pace(videos, shots), gt_hook(videos, shots, caps, voice), gt_sizes(videos)]
     out = parts[0]
     for p in parts[1:]:
