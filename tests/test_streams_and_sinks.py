@@ -72,3 +72,17 @@ def test_scan_and_batches(spark, tmp_path):
     (tmp_path / "c" / "catalog-2.json").write_text('[{"id": "c", "start_s": 1.5}]')
     got = sorted((r.origin, r.id) for r in R.read_batches(spark, str(tmp_path / "c" / "*.json")).collect())
     assert got == [("catalog-1", "a"), ("catalog-1", "b"), ("catalog-2", "c")]
+
+
+def test_two_writers_lose_no_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    p = str(tmp_path / "swapped")
+    S.write_table(spark.range(1).toDF("id"), p)
+    # a writer that read number 1 while another one made number 2 is refused
+    late = S._written(spark.range(9).toDF("id"), p, ())
+    S.update_table(spark, p, lambda t: t.unionAll(spark.createDataFrame([(10,)], "id long")))
+    assert not S.swap(spark, p, late, 1) and {r.id for r in S.read_table(spark, p).collect()} == {0, 10}
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda k: S.update_table(spark, p, lambda t: t.unionAll(spark.createDataFrame([(k,)], "id long"))), (20, 30)))
+    assert sorted(done) == [3, 4] and {r.id for r in S.read_table(spark, p).collect()} == {0, 10, 20, 30}
+    assert {r.id for r in S.read_table(spark, p, 2).collect()} == {0, 10}
