@@ -153,17 +153,26 @@ def _(t):
 _DB = "-10.0 - (cast(words as bigint) * 7 + phrase) % 30"
 
 
-@query("WN-11", ["words"], _PH + f""", tt AS (SELECT script_id, max(t1) AS total_s FROM words GROUP BY 1), d AS (SELECT *, ({_DB})::DOUBLE AS mean_db FROM pa), m AS (SELECT script_id, median(mean_db) AS md FROM d GROUP BY 1),
+_PUNCH = _PH + f""", tt AS (SELECT script_id, max(t1) AS total_s FROM words GROUP BY 1), d AS (SELECT *, ({_DB})::DOUBLE AS mean_db FROM pa), m AS (SELECT script_id, median(mean_db) AS md FROM d GROUP BY 1),
    lp AS (SELECT script_id, max(pause_before) FILTER (phrase > 0) AS lp FROM d GROUP BY 1),
    s AS (SELECT d.script_id, d.phrase, d.start, d."end", 2.0::DOUBLE * CASE WHEN lp > 0.01 THEN pause_before / lp ELSE 0 END + 1.0::DOUBLE * least(greatest(0, mean_db - md) / 6.0::DOUBLE, 1.5::DOUBLE) + 0.6::DOUBLE * (start / total_s) AS score FROM d JOIN m USING (script_id) JOIN lp USING (script_id) JOIN tt USING (script_id)),
-   r AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS nx, count(*) OVER (PARTITION BY script_id) AS n FROM s WINDOW o AS (PARTITION BY script_id ORDER BY score DESC, phrase)), b AS (SELECT *, CASE WHEN n > 1 THEN score - nx END AS margin FROM r WHERE r = 1)
-   SELECT script_id, phrase AS punch, start, "end", round(margin, 6) AS margin, CASE WHEN margin IS NULL OR margin >= 0.8 THEN 'high' WHEN margin >= 0.35 THEN 'medium' ELSE 'low' END AS confidence FROM b""")
+   r AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS nx, count(*) OVER (PARTITION BY script_id) AS n FROM s WINDOW o AS (PARTITION BY script_id ORDER BY score DESC, phrase)), b AS (SELECT *, CASE WHEN n > 1 THEN score - nx END AS margin FROM r WHERE r = 1) """
+
+
+@query("WN-11", ["words"], _PUNCH + """SELECT script_id, phrase AS punch, start, "end", round(margin, 6) AS margin, CASE WHEN margin IS NULL OR margin >= 0.8 THEN 'high' WHEN margin >= 0.35 THEN 'medium' ELSE 'low' END AS confidence FROM b""")
 def _(t):
     ph = X.pauses_around(X.phrases(t.words)).withColumn("mean_db", F.expr(_DB).cast("double"))
     tot = t.words.groupBy("script_id").agg(F.max("t1").alias("total_s"))
     return X.punchline(ph, tot).withColumn("margin", F.round("margin", 6))
 
 
+@query("WN-11-roles", ["words"], _PUNCH + "SELECT d.script_id, d.phrase, CASE WHEN d.phrase < b.phrase THEN 'setup' WHEN d.phrase = b.phrase THEN 'punchline' ELSE 'tag' END AS role FROM d JOIN b USING (script_id)")
+def _(t):
+    ph = X.pauses_around(X.phrases(t.words)).withColumn("mean_db", F.expr(_DB).cast("double"))
+    tot = t.words.groupBy("script_id").agg(F.max("t1").alias("total_s"))
+    return X.phrase_roles(ph, X.punchline(ph, tot)).select("script_id", "phrase", "role")
+
+
 @query("JN-32", ["words", "script_silences"], _PH + """, g AS (SELECT script_id, "end" AS start, round_even("end" + pause_after, 3) AS e FROM pa WHERE pause_after >= 0.34)
    SELECT script_id, start, e AS "end", 'speech_gap' AS kind FROM g UNION ALL SELECT script_id, start, e, 'silence' FROM script_silences s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.script_id = s.script_id AND abs(s.start - g.start) < 0.2 - 1e-9)""")
 def _(t):
