@@ -340,9 +340,15 @@ def private_text(words, frame="frame", min_conf=0.5):
     return best.select(frame, "kind", "b.text", py_round((F.col("b.x0") + F.col("b.x1")) / 2, 3).alias("cx"), py_round((F.col("b.y0") + F.col("b.y1")) / 2, 3).alias("cy"))
 
 
+#: Samples of a track that are folded together: results are gathered block by block, so a long track is not copied at every sample.
+BLOCK = 256
+
+
 def smooth_track(samples, key="track", t="t", x="x", min_cutoff=0.4, beta=0.02, d_cutoff=1.0):
-    """Speed-adaptive low-pass along a track: each value depends on the one before, so a track is one row while it is folded."""
+    """Speed-adaptive low-pass along a track: each value depends on the one before, so a track is one row while it is folded. State of
+    constant size runs from sample to sample and from block to block; only the values of the current block are appended to."""
     weight = lambda cut, dt: dt / (dt + 1 / (2 * math.pi * cut))
+    state = ("t", "x", "speed")
 
     def step(a, s):
         dt = s["t"] - a["t"]
@@ -350,6 +356,16 @@ def smooth_track(samples, key="track", t="t", x="x", min_cutoff=0.4, beta=0.02,
         moved = let(speed, lambda v: F.struct((a["x"] + weight(min_cutoff + beta * F.abs(v), dt) * (s["x"] - a["x"])).alias("x"), v.alias("speed")))
         now = F.when(a["t"].isNull(), F.struct(s["x"].alias("x"), F.lit(0.0).alias("speed"))).when(dt > 0, moved).otherwise(F.struct(a["x"].alias("x"), a["speed"].alias("speed")))
         return let(now, lambda n: F.struct(s["t"].alias("t"), n["x"].alias("x"), n["speed"].alias("speed"), F.array_append(a["rows"], F.struct(s["t"].alias("t"), n["x"].alias("smooth"))).alias("rows")))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("speed"), F.array().cast("array<struct<t:double,smooth:double>>").alias("rows"))
+
+    rows = "array<struct<t:double,smooth:double>>"
+    none = lambda kind: F.array().cast(kind).alias("rows")
+
+    def block(a, b):
+        part = F.aggregate(b, F.struct(*(a[c].alias(c) for c in state), none(rows)), step)
+        return let(part, lambda p: F.struct(*(p[c].alias(c) for c in state), F.array_append(a["rows"], p["rows"]).alias("rows")))
+
+    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("speed"), none(f"array<{rows}>"))
     xs = F.array_sort(F.collect_list(F.struct(c(t).cast("double").alias("t"), c(x).cast("double").alias("x"))))
-    return samples.groupBy(key).agg(xs.alias("xs")).select(key, F.explode(F.aggregate("xs", start, step, lambda a: a["rows"])).alias("r")).select(key, F.col("r.t").alias(t), "r.smooth")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("xs") - 1) / BLOCK).cast("int")), lambda b: F.slice("xs", b * BLOCK + 1, F.lit(BLOCK)))
+    return (samples.groupBy(key).agg(xs.alias("xs")).select(key, blocks.alias("bs")).select(key, F.explode(F.flatten(F.aggregate("bs", start, block, lambda a: a["rows"]))).alias("r"))
+            .select(key, F.col("r.t").alias(t), "r.smooth"))
