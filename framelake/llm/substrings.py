@@ -186,10 +186,12 @@ def _summed(found):
 
 
 class Packs:
-    """Super-k-mers on their way to their buckets: each distinct string once, with all places where it occurs."""
+    """Super-k-mers on their way to their buckets: each distinct string once, with its earliest place among those gathered. At the
+    later ones all its windows are repeats whatever other tasks hold, so these leave as stretches of their documents, and no
+    string, however common, brings a bucket more than one place a pack."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, parts: int):
+        self.buckets, self.parts, self.size = buckets, parts, 0
         self.index: dict[bytes, int] = {}
         self.mark: list[np.ndarray] = []
         self.rows: list[tuple[np.ndarray, ...]] = []
@@ -201,47 +203,75 @@ class Packs:
         # strings seen for the first time, in order: their minimisers
         _, first = np.unique(which, return_index=True)
         self.mark.append(batch.minimiser[first[which[first] >= before]])
-        self.rows.append((which, doc[batch.doc], row[batch.doc], batch.place + since[batch.doc]))
+        place = batch.place + since[batch.doc]
+        self.rows.append((which, doc[batch.doc], row[batch.doc], place, place + batch.windows + WINDOW - 1))
         self.size += int(batch.ends[batch.at + batch.windows + WINDOW - 2].sum() - batch.starts[batch.at].sum()) if len(batch.at) else 0
 
     def flush(self):
-        """(bucket, packed bytes) rows."""
+        """(bucket, part, pack) rows: strings of a bucket (part -1), or stretches of the documents of a part."""
         if not self.index:
             return
         strings, mark = list(self.index), np.concatenate(self.mark)
-        which, doc, row, place = (np.concatenate(x) for x in zip(*self.rows))
+        which, doc, row, place, stop = (np.concatenate(x) for x in zip(*self.rows))
         self.index, self.mark, self.rows, self.size = {}, [], [], 0
+        order = np.lexsort((place, row, doc, which))
+        which, doc, row, place, stop = which[order], doc[order], row[order], place[order], stop[order]
+        first, later = _earliest(which, doc, row, place)
+        part, packs = _dealt(doc[later], row[later], place[later], stop[later], self.parts)
+        yield pa.RecordBatch.from_arrays([pa.array(part % self.buckets), pa.array(part), pa.array(packs, pa.binary())], names=["bucket", "part", "pack"])
+        doc, row, place = doc[first], row[first], place[first]          # one of each string, in order
         bucket = (_mix(mark * _ODD[2]) >> np.uint64(11)) % np.uint64(self.buckets)
         order = np.argsort(bucket, kind="stable")
-        new = np.empty(len(order), dtype=np.int64)
-        new[order] = np.arange(len(order))
-        which = new[which]                              # strings are now numbered bucket by bucket
-        by_string = np.argsort(which, kind="stable")
-        which, doc, row, place = which[by_string], doc[by_string], row[by_string], place[by_string]
         used, at = np.unique(bucket[order], return_index=True)
-        ends = np.append(at[1:], len(order))
-        low = np.searchsorted(which, np.append(at, len(order)))
-        pack = zstandard.ZstdCompressor(level=3).compress
-        out_bucket, out = [], []
-        for b, s, e, i, j in zip(used.tolist(), at.tolist(), ends.tolist(), low[:-1].tolist(), low[1:].tolist()):
-            body = b"\n".join([strings[k] for k in order[s:e].tolist()])
-            raw = b"".join([struct.pack("<qqq", e - s, j - i, len(body)), body, (mark[order[s:e]] >> np.uint64(32)).astype("<u4").tobytes(),
-                            (which[i:j] - s).astype("<i4").tobytes(), doc[i:j].astype("<i8").tobytes(), row[i:j].astype("<i8").tobytes(), place[i:j].astype("<i4").tobytes()])
-            out_bucket.append(b)
-            out.append(pack(raw))
-        yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "pack"])
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        packs = []
+        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+            own = order[s:e]
+            body = b"\n".join([strings[k] for k in own.tolist()])
+            packs.append(squeeze(b"".join([struct.pack("<qq", e - s, len(body)), body, (mark[own] >> np.uint64(32)).astype("<u4").tobytes(),
+                                           doc[own].astype("<i8").tobytes(), row[own].astype("<i8").tobytes(), place[own].astype("<i4").tobytes()])))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), -1, np.int32)), pa.array(packs, pa.binary())],
+                                         names=["bucket", "part", "pack"])
+
+
+def _earliest(which: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in order of string and place: (the first of each string as a mask, positions of the others). The very same place
+    again (a row read twice) is neither."""
+    first = np.append(True, which[1:] != which[:-1])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(which)), 0))
+    return first, np.flatnonzero(~first & ((doc != doc[lead]) | (row != row[lead]) | (place != place[lead])))
+
+
+def _united(doc: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches in order of (doc, row, first); of one document those that overlap or touch are one."""
+    order = np.lexsort((first, row, doc))
+    doc, row, first, stop = doc[order], row[order], first[order], stop[order]
+    if not len(doc):
+        return doc, row, first, stop
+    new = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+    # the furthest end so far in the document: counted on by document, so that earlier documents lie below
+    owner, span = np.cumsum(new) - 1, int(stop.max()) + 1
+    reach = np.maximum.accumulate(stop + owner * span) - owner * span
+    at = np.flatnonzero(new | np.append(True, first[1:] > reach[:-1]))
+    return doc[at], row[at], first[at], reach[np.append(at[1:], len(doc)) - 1]
+
+
+def _dealt(doc: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """(part, packed stretches of its documents), each part once."""
+    found = np.stack([x.astype(np.int64) for x in _united(doc, row, first, stop)])
+    part = (_mix(_mix(found[0].view(np.uint64) * _ODD[3]) + found[1].view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    found, part = found[:, order], part[order]
+    used, at = np.unique(part, return_index=True)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return used.astype(np.int32), [squeeze(np.ascontiguousarray(found[:, i:j]).tobytes()) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
 
 
 def _unpack(raw: bytes):
-    n, m, size = struct.unpack_from("<qqq", raw)
-    at = 24 + size
-    strings = raw[24:at].split(b"\n")
-    mark = np.frombuffer(raw, "<u4", n, at)
-    which = np.frombuffer(raw, "<i4", m, at + 4 * n)
-    doc = np.frombuffer(raw, "<i8", m, at + 4 * n + 4 * m)
-    row = np.frombuffer(raw, "<i8", m, at + 4 * n + 12 * m)
-    place = np.frombuffer(raw, "<i4", m, at + 4 * n + 20 * m)
-    return strings, mark, which, doc, row, place
+    n, size = struct.unpack_from("<qq", raw)
+    at = 16 + size
+    return (raw[16:at].split(b"\n"), np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "<i8", n, at + 4 * n),
+            np.frombuffer(raw, "<i8", n, at + 12 * n), np.frombuffer(raw, "<i4", n, at + 20 * n))
 
 
 def repeated_in_bucket(packs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -252,10 +282,10 @@ def repeated_in_bucket(packs: list[bytes]) -> tuple[np.ndarray, ...]:
     index: dict[bytes, int] = {}
     marks, parts = [], []
     for p in packs:
-        strings, mark, which, doc, row, place = _unpack(p)
+        strings, mark, doc, row, place = _unpack(p)
         new = np.fromiter((index.setdefault(s, len(index)) for s in strings), dtype=np.int64, count=len(strings))
         marks.append((new, mark))
-        parts.append((new[which], doc, row, place.astype(np.int64)))
+        parts.append((new, doc, row, place.astype(np.int64)))
     which, doc, row, place = (np.concatenate(x) for x in zip(*parts))
     strings = list(index)
     del index
@@ -264,11 +294,7 @@ def repeated_in_bucket(packs: list[bytes]) -> tuple[np.ndarray, ...]:
         mark[new] = m
     order = np.lexsort((place, row, doc, which))
     which, doc, row, place = which[order], doc[order], row[order], place[order]
-    first = np.ones(len(which), dtype=bool)
-    first[1:] = which[1:] != which[:-1]
-    # later occurrences: every window is a repeat, except where a string returns at the very same place (a row read twice)
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(which)), 0))
-    later = np.flatnonzero(~first & ((doc != doc[lead]) | (row != row[lead]) | (place != place[lead])))
+    first, later = _earliest(which, doc, row, place)             # every window of a later occurrence is a repeat
     n_words = np.fromiter((s.count(b" ") + 1 for s in strings), dtype=np.int64, count=len(strings))
     out = [(doc[later], row[later], place[later], place[later] + n_words[which[later]])]
     doc, row, place = doc[first], row[first], place[first]          # of the earliest occurrence of each string
@@ -340,7 +366,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", key: str = "_doc", r
     known = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated_minimisers(source, buckets)))
 
     def pack(batches):
-        packs = Packs(buckets)
+        packs = Packs(buckets, parts)
         for b, i, j, group in _batches(batches, "_text"):
             doc, rows = (b.column(c).slice(i, j - i).to_numpy() for c in (0, 1))
             for texts, which, since in _long(group):
@@ -353,44 +379,31 @@ def repeated_stretches(docs: DataFrame, text: str = "text", key: str = "_doc", r
         yield from packs.flush()
 
     def find(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        held = [unpack(p) for b in batches for p in b.column("pack").to_pylist()]
+        unpack, held = zstandard.ZstdDecompressor().decompress, []
+        for b in batches:
+            known_part = b.column("part").to_numpy() >= 0
+            if known_part.any():                                        # stretches only pass through
+                yield b.select(["part", "pack"]).filter(pa.array(known_part))
+            held += [unpack(p) for p in b.column("pack").filter(pa.array(~known_part)).to_pylist()]
         if held:
-            found = np.stack([x.astype(np.int64) for x in repeated_in_bucket(held)])
-            part = (_mix(_mix(found[0].view(np.uint64) * _ODD[3]) + found[1].view(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            found, part = found[:, order], part[order]
-            used, at = np.unique(part, return_index=True)
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            packs = [squeeze(np.ascontiguousarray(found[:, i:j]).tobytes()) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packs, pa.binary())], names=["part", "pack"])
+            part, packs = _dealt(*repeated_in_bucket(held), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(packs, pa.binary())], names=["part", "pack"])
 
     def merge(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         held = [np.frombuffer(unpack(p), np.int64).reshape(4, -1) for b in batches for p in b.column("pack").to_pylist()]
         if not held:
             return
-        doc, row_, first, stop = np.concatenate(held, axis=1)
-        order = np.lexsort((first, row_, doc))
-        doc, row_, first, stop = doc[order], row_[order], first[order], stop[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (row_[1:] != row_[:-1]))
-        owner = np.cumsum(new) - 1
-        # the furthest end so far in the document: counted on by document, so that earlier documents lie below
-        span = int(stop.max()) + 1
-        reach = np.maximum.accumulate(stop + owner * span) - owner * span
-        begin = new | np.append(True, first[1:] > reach[:-1])
-        at = np.flatnonzero(begin)
-        end = reach[np.append(at[1:], len(doc)) - 1]
-        of = owner[at]
-        lead = np.flatnonzero(new)
+        doc, row_, first, stop = _united(*np.concatenate(held, axis=1))
+        lead = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row_[1:] != row_[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        ends = np.append(lead, len(doc))
         for i in range(0, len(lead), 10_000):
             j = min(i + 10_000, len(lead))
-            lo, hi = np.searchsorted(of, [i, j])
-            offsets = np.searchsorted(of[lo:hi], np.arange(i, j + 1))
-            gone = pa.StructArray.from_arrays([pa.array(first[at[lo:hi]]), pa.array(end[lo:hi])], names=["first", "stop"])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lead[i:j]]), pa.array(row_[lead[i:j]]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), gone)], names=["_doc", "_row", "gone"])
+            gone = pa.StructArray.from_arrays([pa.array(first[ends[i]:ends[j]]), pa.array(stop[ends[i]:ends[j]])], names=["first", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lead[i:j]]), pa.array(row_[lead[i:j]]), pa.ListArray.from_arrays(pa.array(ends[i:j + 1] - ends[i], pa.int32()), gone)],
+                                             names=["_doc", "_row", "gone"])
 
-    return (source.mapInArrow(pack, "bucket int, pack binary").repartitionById(buckets, F.col("bucket")).select("pack")
+    return (source.mapInArrow(pack, "bucket int, part int, pack binary").repartitionById(buckets, F.col("bucket"))
             .mapInArrow(find, "part int, pack binary").repartitionById(parts, F.col("part")).select("pack")
             .mapInArrow(merge, "_doc long, _row long, gone array<struct<first:bigint,stop:bigint>>"))
 

@@ -94,11 +94,27 @@ def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     assert result(S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def gathered(docs):
+    """(packs of strings, stretches that left at once) of documents that one task gathers."""
+    p, unpack = S.Packs(1, 1), S.zstandard.ZstdDecompressor().decompress
+    p.add(S.Batch([t for _, t in docs]), np.array([d for d, _ in docs]), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64))
+    rows = [(part, unpack(x)) for b in p.flush() for part, x in zip(b.column("part").to_pylist(), b.column("pack").to_pylist())]
+    return [x for part, x in rows if part < 0], [np.frombuffer(x, np.int64).reshape(4, -1).T.tolist() for part, x in rows if part >= 0]
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(S.zlib, "crc32", lambda b: 1)
-    p = S.Packs(1)
-    texts = [" ".join(f"{c}{i}" for i in range(30)).encode() for c in "aba"]
-    p.add(S.Batch(texts), np.array([5, 6, 7]), np.zeros(3, np.int64), np.zeros(3, np.int64))
-    packs = [S.zstandard.ZstdDecompressor().decompress(x) for b in p.flush() for x in b.column("pack").to_pylist()]
-    d, _, s, e = S.repeated_in_bucket(packs)
-    assert set(d.tolist()) == {7} and min(s) == 0 and max(e) == 30
+    a, b = (" ".join(f"{c}{i}" for i in range(30)).encode() for c in "ab")
+    one, gone = gathered([(5, a), (6, b), (7, a)])
+    assert gone == [[[7, 0, 0, 30]]]                       # in one task a copy is one stretch, whatever the hashes
+    two, gone = gathered([(8, a)])
+    assert gone == []
+    d, _, s, e = S.repeated_in_bucket(one + two)           # and among tasks it meets the earlier one in the bucket
+    assert set(d.tolist()) == {8} and min(s) == 0 and max(e) == 30
+
+
+def test_a_common_window_brings_one_place_a_pack():
+    text = " ".join(f"w{i}" for i in range(20)).encode()
+    packs, gone = gathered([(d, text) for d in range(9999, -1, -1)])
+    assert [S._unpack(x)[2].tolist() for x in packs] == [[0]]
+    assert [g[0] for g in gone[0]] == list(range(1, 10000))
