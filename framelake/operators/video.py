@@ -2,7 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from framelake.functions.core import c, exact_sum, let, py_round
-from framelake.operators.text import token_array
+from framelake.operators.text import pauses_around, token_array
 from framelake.plans.ranges import no_overlap, overlap_join
 
 V = "video_id"
@@ -57,6 +57,16 @@ def anchor_captions(caps, shots, key=V):
     return j.withColumn("error", err).drop("_n", "_a", "_b", "_s0", "_s1")
 
 
+def captions_from_spec(caps, segments, key=V):
+    """Captions that a spec spells out, on its own worked-out timeline; source says whether seconds come from a cut or are
+    stated. A caption without both ends (one tied to a segment that is not there, too; anchor_captions names those) and the
+    captions of a video without a timeline are left out."""
+    shots = timeline_from_spec(segments, key)
+    known = caps.join(shots.select(key).distinct(), key, "left_semi")
+    return (anchor_captions(known, shots, key).filter("t0 IS NOT NULL AND t1 IS NOT NULL")
+            .withColumn("source", F.when(F.col("seg_from").isNotNull(), "cut").otherwise("spec")).drop("error"))
+
+
 def segment_subtitles(subs, segs, min_dur=0.7):
     """Subtitles of a clip in the time of the cut that shows it; slivers under 0.2 s are dropped."""
     j = segs.join(subs.select("src", "sub", F.col("t0").alias("_s0"), F.col("t1").alias("_s1"), "text"), "src")
@@ -119,6 +129,14 @@ def pair_silences(events, totals, keys=(V,), shortest=0.6, tail_s=1.0):
     return closed.unionByName(open_)
 
 
+def silence_phrases(silences, totals, keys=(V,), total="total_s", shortest=0.25):
+    """Without a transcript, phrases are what lies between silences (s0, s1), numbered, with the pauses around them."""
+    spans = complement(silences.select(*keys, F.col("s0").alias("t0"), F.col("s1").alias("t1")), totals, keys, total, shortest, 0.0)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("g0")) - 1
+    ph = spans.select(*keys, number.alias("phrase"), py_round("g0", 3).alias("start"), py_round("g1", 3).alias("end"), py_round(F.col("g1") - F.col("g0"), 3).alias("dur"))
+    return pauses_around(ph, list(keys))
+
+
 def sample_plan(clips, cuts, key=V):
     """Seconds to look at: a grid by length, the last frame, and the middle of every shot the grid misses."""
     step = F.when(F.col("dur") <= 35, 0.5).when(F.col("dur") <= 100, 1.0).otherwise(2.0)

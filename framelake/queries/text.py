@@ -118,12 +118,24 @@ def _(t):
     return Vd.read_timelines(docs)[0].select("video_id", "i", "t0", "t1", "dur", "src", "hero", F.array_join("says", "|").alias("says"))
 
 
-@query("SRC-07", ["spec_segments"], """SELECT video_id, i, round_even(t, 3) AS t0, round_even(t + d, 3) AS t1, round_even(d, 3) AS dur, string_split(src, '/')[-1] AS src, TRUE AS partial FROM (
-   SELECT *, beat0 + coalesce(sum(d) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t, bool_or(d IS NULL) OVER (PARTITION BY video_id) AS bad FROM (SELECT *, CASE WHEN beats IS NOT NULL THEN beats * (60.0::DOUBLE / bpm) ELSE dur END AS d FROM spec_segments) a) b WHERE NOT bad""")
+_SPEC = """SELECT video_id, i, round_even(t, 3) AS t0, round_even(t + d, 3) AS t1, round_even(d, 3) AS dur, string_split(src, '/')[-1] AS src, TRUE AS partial FROM (
+   SELECT *, beat0 + coalesce(sum(d) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t, bool_or(d IS NULL) OVER (PARTITION BY video_id) AS bad FROM (SELECT *, CASE WHEN beats IS NOT NULL THEN beats * (60.0::DOUBLE / bpm) ELSE dur END AS d FROM spec_segments) a) b WHERE NOT bad"""
+
+
+@query("SRC-07", ["spec_segments"], _SPEC)
 def _(t):
     return Vd.timeline_from_spec(t.spec_segments)
 
 
+@query("SRC-07-captions", ["spec_segments", "seg_captions"], f""", st AS ({_SPEC}), n AS (SELECT video_id, count(*) AS n FROM st GROUP BY 1),
+   r AS (SELECT c.*, CASE WHEN seg_from < 0 THEN seg_from + n ELSE seg_from END AS a, CASE WHEN seg_to < 0 THEN seg_to + n ELSE seg_to END AS b FROM seg_captions c JOIN n USING (video_id)),
+   j AS (SELECT r.video_id, r.i, CASE WHEN seg_from IS NULL THEN r.t0 ELSE x.t0 + coalesce(lead, 0) END AS t0, CASE WHEN seg_from IS NULL THEN r.t1 ELSE y.t1 + coalesce(tail, 0) END AS t1,
+      CASE WHEN seg_from IS NULL THEN 'spec' ELSE 'cut' END AS source FROM r LEFT JOIN st x ON x.video_id = r.video_id AND x.i = r.a LEFT JOIN st y ON y.video_id = r.video_id AND y.i = r.b)
+   SELECT video_id, i, t0, t1, source FROM j WHERE t0 IS NOT NULL AND t1 IS NOT NULL""")
+def _(t):
+    return Vd.captions_from_spec(t.seg_captions, t.spec_segments).select("video_id", "i", "t0", "t1", "source")
+
+
 @query("SRC-08", ["talk_lines"], """SELECT video_id AS script_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY i) - 1 AS INT) AS i, coalesce(start_s, 0) AS start_s, text, duration_s, TRUE AS duck FROM talk_lines""")
 def _(t):
     n = lambda k, v: F.when(F.col("i") % 3 == k, F.col(v))

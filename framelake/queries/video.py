@@ -54,6 +54,22 @@ def _(t):
     return r6(V.pair_silences(t.silence_events, t.totals), "s0", "s1")
 
 
+@query("WN-15-phrases", ["silence_events", "totals"], f""", s AS (SELECT * FROM {_SIL} z), c AS (SELECT *, coalesce(max(s1) OVER (PARTITION BY video_id ORDER BY s0, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM s),
+   g AS (SELECT video_id, c AS g0, s0 AS g1 FROM c WHERE s0 - c > 0.25::DOUBLE UNION ALL
+      SELECT t.video_id, coalesce(e, 0), total_s FROM totals t LEFT JOIN (SELECT video_id, max(s1) AS e FROM s GROUP BY 1) m USING (video_id) WHERE total_s - coalesce(e, 0) > 0.25::DOUBLE),
+   p AS (SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY g0) - 1 AS INT) AS phrase, round_even(g0, 3) AS start, round_even(g1, 3) AS "end", round_even(g1 - g0, 3) AS dur FROM g)
+   SELECT *, round_even(coalesce(start - lag("end") OVER w, start), 3) AS pause_before, round_even(coalesce(lead(start) OVER w - "end", 0), 3) AS pause_after FROM p WINDOW w AS (PARTITION BY video_id ORDER BY phrase)""")
+def _(t):
+    return V.silence_phrases(r6(V.pair_silences(t.silence_events, t.totals), "s0", "s1"), t.totals)
+
+
+@query("WN-15-band", ["ocr_words"], """, b AS (SELECT frame, greatest(0, y0) AS t0, least(1, y1) AS t1 FROM ocr_words), g AS (
+   SELECT frame, t0 - coalesce(max(t1) OVER (PARTITION BY frame ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM b UNION ALL SELECT frame, 1 - greatest(0, max(t1)) FROM b GROUP BY 1)
+   SELECT frame, round_even(max(d), 3) AS clear_band FROM g WHERE d > 0 GROUP BY 1""")
+def _(t):
+    return V.clear_band(t.ocr_words.select("frame", F.col("y0").alias("t0"), F.col("y1").alias("t1")), ["frame"])
+
+
 @query("WN-26", ["totals", "shots"], """, k AS (SELECT video_id, total_s AS dur, CASE WHEN total_s <= 35 THEN 0.5::DOUBLE WHEN total_s <= 100 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS step, greatest(0, total_s - 1 / 30.0::DOUBLE) AS last FROM totals),
    g AS (SELECT video_id, round_even(j * step, 2) AS t, step, last FROM (SELECT *, unnest(range(CAST(floor(last / step) AS BIGINT) + 1)) AS j FROM k) x), g2 AS (SELECT video_id, t FROM g UNION ALL SELECT video_id, round_even(last, 2) FROM k WHERE last - floor(last / step) * step > 0.05)
    SELECT video_id, t FROM g2 UNION SELECT s.video_id, least(round_even((t0 + t1) / 2, 2), last) FROM shots s JOIN k USING (video_id) WHERE NOT EXISTS (SELECT 1 FROM g2 WHERE g2.video_id = s.video_id AND g2.t >= s.t0 AND g2.t < s.t1)""")
@@ -93,11 +109,11 @@ def _(t):
     return r6(_grid(t)[1].select("variant_id", "i", "t0", "t1", "voice_at"), "t0", "t1", "voice_at")
 
 
-_SPLIT = f""", gr AS (SELECT g.variant_id, g.i, round_even(g.t0, 4) AS t0, round_even(g.t1, 4) AS t1, round_even(round_even(g.t1, 4) - round_even(g.t0, 4), 4) AS dur, s.line, s.start_s, s.hero, s.splittable, m.bpm, m.beat0 FROM g JOIN {_FIX} s ON s.variant_id = g.variant_id AND s.i = g.i JOIN music m ON m.variant_id = g.variant_id),
+_PIECES = f""", gr AS (SELECT g.variant_id, g.i, round_even(g.t0, 4) AS t0, round_even(g.t1, 4) AS t1, round_even(round_even(g.t1, 4) - round_even(g.t0, 4), 4) AS dur, s.line, s.start_s, s.hero, s.splittable, m.bpm, m.beat0 FROM g JOIN {_FIX} s ON s.variant_id = g.variant_id AND s.i = g.i JOIN music m ON m.variant_id = g.variant_id),
    kk AS (SELECT *, CASE WHEN dur > 2.6::DOUBLE * 1.15::DOUBLE AND splittable AND NOT hero THEN CAST(ceil(dur / 2.6::DOUBLE) AS INT) ELSE 1 END AS k FROM gr),
    bb AS (SELECT *, list_transform(range(0, k + 1), lambda j: CASE WHEN j = 0 THEN t0 WHEN j = k THEN t1 WHEN bpm > 0 THEN beat0 + round_even((t0 + dur * j / k - beat0) / (30.0::DOUBLE / bpm), 0) * (30.0::DOUBLE / bpm) ELSE t0 + dur * j / k END) AS b FROM kk),
-   cc AS (SELECT *, CASE WHEN bpm > 0 AND k > 1 AND list_bool_or(list_transform(range(1, k + 1), lambda j: b[j + 1] - b[j] < 0.5)) THEN [t0, t1] ELSE b END AS bd FROM bb), pp AS (SELECT *, unnest(range(0, len(bd) - 1)) AS piece FROM cc)
-   SELECT variant_id, CAST(row_number() OVER (PARTITION BY variant_id ORDER BY i, piece) - 1 AS INT) AS new_i, i AS old_i, CAST(piece AS INT) AS piece, round(round_even(bd[piece + 1], 4), 6) AS p0, round(round_even(bd[piece + 2], 4), 6) AS p1, CASE WHEN piece % 2 = 1 THEN 1.22::DOUBLE ELSE 1.0::DOUBLE END AS zoom, CASE WHEN piece = 0 THEN line END AS line FROM pp"""
+   cc AS (SELECT *, CASE WHEN bpm > 0 AND k > 1 AND list_bool_or(list_transform(range(1, k + 1), lambda j: b[j + 1] - b[j] < 0.5)) THEN [t0, t1] ELSE b END AS bd FROM bb), pp AS (SELECT *, unnest(range(0, len(bd) - 1)) AS piece FROM cc)"""
+_SPLIT = _PIECES + """   SELECT variant_id, CAST(row_number() OVER (PARTITION BY variant_id ORDER BY i, piece) - 1 AS INT) AS new_i, i AS old_i, CAST(piece AS INT) AS piece, round(round_even(bd[piece + 1], 4), 6) AS p0, round(round_even(bd[piece + 2], 4), 6) AS p1, CASE WHEN piece % 2 = 1 THEN 1.22::DOUBLE ELSE 1.0::DOUBLE END AS zoom, CASE WHEN piece = 0 THEN line END AS line FROM pp"""
 
 
 @query("WN-21", [], None)
@@ -107,11 +123,23 @@ def _(t):
     return r6(V.split_long(g, t.music).select("variant_id", "new_i", "old_i", "piece", "p0", "p1", "zoom", "line"), "p0", "p1")
 
 
+@query("WN-21-captions", [], None)
+def _(t):
+    shots, g = _grid(t)
+    pieces = V.split_long(g.join(shots.select("variant_id", "i", "start_s", "hero", "splittable"), ["variant_id", "i"]), t.music)
+    # one caption a shot; some point at shots that are not there and stay as they are
+    caps = t.edit_shots.select("variant_id", F.col("i").alias("caption"), F.when(F.col("i") % 4 == 3, F.col("i") + 1000).otherwise(F.col("i")).alias("seg"))
+    return V.remap_captions(caps, pieces).select("variant_id", F.col("caption").cast("long").alias("caption"), F.col("seg").cast("long").alias("seg"))
+
+
 def _register_recursive():
     from framelake.registry import ORACLES
     at = "CASE WHEN s.line IS NOT NULL THEN g.t0 + CASE WHEN g.i = 0 THEN 0.0::DOUBLE ELSE 0.14::DOUBLE END END"
     ORACLES["WN-20"] = _G2 + f" SELECT g.variant_id, g.i, round(round_even(g.t0, 4), 6) AS t0, round(round_even(g.t1, 4), 6) AS t1, round({at}, 6) AS voice_at FROM g JOIN {_FIX} s ON s.variant_id = g.variant_id AND s.i = g.i"
     ORACLES["WN-21"] = _G2 + _SPLIT
+    ORACLES["WN-21-captions"] = _G2 + _PIECES + """, ix AS (SELECT variant_id, i, piece, row_number() OVER (PARTITION BY variant_id ORDER BY i, piece) - 1 AS new_i FROM pp),
+       cp AS (SELECT variant_id, i AS caption, CASE WHEN i % 4 = 3 THEN i + 1000 ELSE i END AS seg FROM edit_shots)
+       SELECT cp.variant_id, CAST(caption AS BIGINT) AS caption, CAST(coalesce(new_i, seg) AS BIGINT) AS seg FROM cp LEFT JOIN ix ON ix.variant_id = cp.variant_id AND ix.i = cp.seg AND ix.piece = 0"""
 
 
 _register_recursive()
