@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from framelake.operators import library as L, video as V
+from framelake.plans.numbering import ROW_BITS, numbered_by_range, ranged
 from framelake.plans.ordered import mid_rank, numbered
 from framelake.plans.quantile import exact_quantile
 from framelake.plans.ranges import no_overlap, overlap_join
@@ -77,6 +78,31 @@ def test_mid_rank_and_numbers(spark):
     assert [i for i, _ in sorted(n.items(), key=lambda t: t[1])] == [i for i, _ in sorted(enumerate(vals), key=lambda t: (t[1], t[0]))]
 
 
+def test_numbers_of_a_key_whose_rows_share_one_day(spark):
+    r = random.Random(4)
+    rows = [(1 if i % 50 else None if i % 100 else 2, 86_400.0 + r.randrange(3600) / 4, i) for i in range(20_000)]
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, "g int, s double, i int").repartition(6)
+    want, at = {}, {}
+    for g, s, i in sorted(rows, key=lambda x: x[1:]):
+        want[i] = at[g] = at.get(g, 0) + 1
+    assert {a.i: a.n for a in numbered_by_range(d, ["g"], ["s", "i"]).collect()} == want
+    assert numbered_by_range(d.limit(0), ["g"], ["s", "i"]).count() == 0
+
+
+def test_a_hot_day_is_many_ranges(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")        # the test table is small enough for one task
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        d = spark.range(40_000).selectExpr("1 AS g", "86400D + pmod(hash(id), 3600) AS s", "id AS i")
+        sizes = [x["count"] for x in ranged(d, ["g"], ["s", "i"]).groupBy(F.shiftright("_at", ROW_BITS)).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+
+
 def test_overlap_join_is_whole_and_unique(spark):
     r = random.Random(2)
     iv = lambda n, w: [(0 if r.random() < .7 else 1, i, a := r.random() * 50, a + r.random() * w) for i in range(n)]
@@ -102,3 +128,10 @@ def test_merge_windows(spark, items):
         else:
             want.append([a, b])
     assert got == [tuple(round(x, 3) for x in w) for w in want]
+
+
+def test_phrases_between_silences(spark):
+    sil = spark.createDataFrame([(1, 0.2, 1.0), (1, 3.0, 3.5), (1, 3.7, 5.0), (2, 0.0, 9.0)], "video_id int, s0 double, s1 double")
+    tot = spark.createDataFrame([(1, 6.0), (2, 9.1), (3, 2.0)], "video_id int, total_s double")
+    got = sorted(tuple(r) for r in V.silence_phrases(sil, tot).select("video_id", "phrase", "start", "end", "pause_before", "pause_after").collect())
+    assert got == [(1, 0, 1.0, 3.0, 1.0, 2.0), (1, 1, 5.0, 6.0, 2.0, 0.0), (3, 0, 0.0, 2.0, 0.0, 0.0)]
