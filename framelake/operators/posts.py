@@ -91,11 +91,11 @@ def group_weights(scored, g=("platform",), axes=("format", "hook", "close", "voi
                     F.when(F.col("n") < 2, "anecdote").when(F.col("n") < 4, "low").otherwise("usable").alias("confidence"))
 
 
-def weights_to_changes(weights):
+def weights_to_changes(weights, g=("platform",)):
     """Formats with evidence become list changes: worked from 1.15 up, failed from 0.85 down."""
     leaf = F.when(F.col("weight") >= 1.15, "worked").when(F.col("weight") <= 0.85, "failed")
     return (weights.filter("axis = 'format' and confidence <> 'anecdote'").withColumn("leaf", leaf).filter("leaf is not null")
-            .select("platform", F.lit("formats").alias("section"), "leaf", F.col("name").alias("value")))
+            .select(*g, F.lit("formats").alias("section"), "leaf", F.col("name").alias("value")))
 
 
 def untried(scored, g=("platform",)):

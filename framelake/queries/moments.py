@@ -200,6 +200,16 @@ def _(t):
                                                           "human.emotion", "human.candid", "human.story_potential", "direction.yaw")
 
 
+@query("SRC-03-heads", ["batch_items"], """SELECT project_id || '-' || batch AS file, CAST(batch AS VARCHAR) AS batch, 'agent-' || project_id AS agent, count(*) || ' items' AS summary, min(id) || ',' || max(id) AS gaps
+   FROM batch_items WHERE batch % 2 = 1 GROUP BY project_id, batch""")
+def _(t):
+    # every other file is a bare list, which says nothing about itself
+    b = t.batch_items.groupBy("project_id", "batch").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.collect_list(F.struct("id", "path")).alias("items"))
+    head = F.to_json(F.struct(F.col("batch").cast("string").alias("batch"), F.concat(F.lit("agent-"), "project_id").alias("agent"), F.concat("n", F.lit(" items")).alias("summary"), F.array("lo", "hi").alias("gaps"), "items"))
+    files = b.select(F.concat("project_id", F.lit("-"), "batch").alias("file"), F.when(F.col("batch") % 2 == 1, head).otherwise(F.to_json("items")).alias("body"))
+    return R.parse_batch_heads(files).select("file", "batch", "agent", "summary", F.array_join("gaps", ",").alias("gaps"))
+
+
 @query("SNK-01", ["moments"], f"SELECT project_id, id, quality FROM moments WHERE {_USE}")
 def _(t):
     path = f"{checkpoint_dir(t.spark)}/table-{uuid.uuid4().hex}"

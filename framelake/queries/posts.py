@@ -47,6 +47,14 @@ def _(t):
     return P.group_weights(P.score_posts(t.posts))
 
 
+@query("AG-11-changes", ["posts"], f"""SELECT f, 'formats' AS section, CASE WHEN weight >= 1.15::DOUBLE THEN 'worked' ELSE 'failed' END AS leaf, name AS value FROM (
+   SELECT f, name, round_even(greatest(0.7::DOUBLE, least(1.35::DOUBLE, 1.0::DOUBLE + (raw - 1.0::DOUBLE) * CASE WHEN n < 4 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END)), 2) AS weight FROM (
+   SELECT id // 40 AS f, format AS name, count(*) AS n, median(score) AS raw FROM {_SCORED} s WHERE score IS NOT NULL AND format <> '' GROUP BY 1, 2) g WHERE n >= 2) w WHERE weight >= 1.15::DOUBLE OR weight <= 0.85::DOUBLE""")
+def _(t):
+    scored = P.score_posts(t.posts).withColumn("f", F.floor(F.col("id") / 40))
+    return P.weights_to_changes(P.group_weights(scored, ("f",)), ("f",))
+
+
 @query("AG-12", ["posts"], f"""SELECT f, b.band FROM (SELECT DISTINCT id // 40 AS f FROM {_SCORED} s WHERE score IS NOT NULL AND ({_BAND}) IS NOT NULL) p, (VALUES ('under 12s'), ('12-20s'), ('20-30s'), ('30-45s'), ('45-60s'), ('over 60s')) b(band)
    WHERE NOT EXISTS (SELECT 1 FROM {_SCORED} s WHERE s.id // 40 = p.f AND score IS NOT NULL AND ({_BAND}) = b.band)""")
 def _(t):
