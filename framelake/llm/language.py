@@ -263,8 +263,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     lang_pred is a learned language, or 'und' with score 0 where the text is null or has no letter, or nothing was learned.
     score is the second-best language's share of the cost of the best two: 0.5 for a tie, near 1 for a sure guess. Rows are
     independent: nothing is shuffled, repeated rows each return, an empty table gives none. The automata (at most SAMPLE_SYMBOLS
-    * 2 states a language) travel with the tasks, SHARD languages in a broadcast; of several, one at a time is in memory."""
-    keep = list(keep)
+    * 2 states a language) travel with the tasks, SHARD languages in a broadcast; of several, one at a time is in memory. A
+    very long text is parsed in stretches. A kept column named lang_pred or score gives way to the operator's own."""
+    keep = [k for k in keep if k not in ("lang_pred", "score")]
     source = docs.select(*keep, docs[text].alias("_text"))
     context = docs.sparkSession.sparkContext
     sent, parts = context.broadcast(model.empty()), [context.broadcast(s) for s in model.shards()]

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from framelake.llm.common import lowest_hashed
 
-#: Bounds of what is learned from: documents per label, and passages of one document (evenly spread over it).
-SAMPLE_DOCS, SAMPLE_PASSAGES = 2500, 48
+#: Bound of what is learned from: documents per label, each with all its passages.
+SAMPLE_DOCS = 2500
 #: Words of a passage.
 PASSAGE = 80
 THRESHOLD = 0.7
@@ -57,13 +57,15 @@ def encode_passages(text: str | None) -> np.ndarray:
 
 class AttentionModel:
     """Passage x -> h = tanh(x W + b); attention a = softmax over passages of (tanh(h V) * sigmoid(h U)) w; document score =
-    sigmoid((sum of a h) c + d). Trained by Adam on cross-entropy."""
+    sigmoid((sum of a h) c + d). Trained by Adam on cross-entropy. Without documents of both labels nothing is learned: every
+    score is then 0.5."""
 
     def __init__(self, hidden: int = 16, gate: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         shape = {"W": (WIDTH, hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "d": ()}
         self.p = {k: rng.normal(0, 1 / np.sqrt(max(s[0], 1)) if len(s) else 0, s) if k not in "bd" else np.zeros(s) for k, s in shape.items()}
         self.mean, self.scale = np.zeros(WIDTH), np.ones(WIDTH)
+        self.learned = False
 
     def _forward(self, x: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple:
         p = self.p
@@ -76,11 +78,13 @@ class AttentionModel:
         return h, t, s, a, z, 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -50, 50)))
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.01, seed: int = 7) -> "AttentionModel":
-        if not len(bags):
+        if len(set(np.asarray(labels).tolist())) < 2:
             return self
+        self.learned = True
         every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 0.02
-        bags = [((b - self.mean) / self.scale).clip(-5, 5) for b in bags]
+        self.mean, self.scale = every.mean(axis=0, dtype=float), every.std(axis=0, dtype=float) + 0.02
+        del every
+        bags = [((b - self.mean) / self.scale).clip(-5, 5).astype(np.float32) for b in bags]
         share = labels.mean()
         weight = np.where(labels > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
         rng, m, v, step = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
@@ -112,8 +116,8 @@ class AttentionModel:
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         """A score from 0 to 1 of each document."""
-        if not bags:
-            return np.zeros(0)
+        if not bags or not self.learned:
+            return np.full(len(bags), 0.5)
         sizes = np.array([len(b) for b in bags])
         x = ((np.concatenate(bags) - self.mean) / self.scale).clip(-5, 5)
         return self._forward(x, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(bags)), sizes))[-1]
@@ -121,8 +125,9 @@ class AttentionModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> AttentionModel:
     """Learns from a bounded sample of labelled rows: for each label 0 and 1 the SAMPLE_DOCS keys with the lowest hash, of
-    each at most SAMPLE_PASSAGES passages. Passages are encoded by Spark; only their numbers reach the driver. Rows without
-    a key or label are left out; of a key labelled twice the lower label counts."""
+    each every passage of the whole text. Passages are encoded by Spark; only their numbers reach the driver. Rows without
+    a key or label are left out; of a key labelled twice the lower label counts. If a label has no document, `learned` of
+    the result is False."""
     one = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_y"))
     chosen = lowest_hashed(one, "_y", key, SAMPLE_DOCS, 2)
     rows = docs.select(key, docs[text].alias("_text")).join(F.broadcast(chosen), key)   # at most 2 * SAMPLE_DOCS rows
@@ -131,8 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
         for b in batches:
             bags = []
             for v in b.column("_text"):
-                e = encode_passages(v.as_py())
-                bags.append(e[np.unique(np.linspace(0, len(e) - 1, SAMPLE_PASSAGES).astype(int))].astype("<f4").tobytes())
+                bags.append(encode_passages(v.as_py()).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("_y"), pa.array(bags, pa.binary())], names=[key, "_y", "bag"])
 
     schema = T.StructType([rows.schema[key], rows.schema["_y"], T.StructField("bag", T.BinaryType())])
@@ -142,8 +146,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
 
 def score_quality(docs: DataFrame, model: AttentionModel, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """The kept columns, score and predicted (1 from THRESHOLD on) of every document, from its whole text alone. Null and
-    empty texts have one empty passage and are scored as such; repeated rows each return; an empty table gives none."""
-    keep = list(keep)
+    empty texts have one empty passage and are scored as such; repeated rows each return; an empty table gives none. Very
+    long texts are encoded in blocks of passages. A kept column named score or predicted gives way to the operator's own.
+    A model that learned nothing scores 0.5."""
+    keep = [k for k in keep if k not in ("score", "predicted")]
     source = docs.select(*keep, docs[text].alias("_text"))
 
     def run(batches):

@@ -146,3 +146,30 @@ def test_op8_every_language_and_letter(spark):
     assert len(model.languages) == 70 and set(model.letters) == {c for _, _, t in rows for c in t}
     assert {r.doc_id: r.lang_pred for r in L.identify_languages(docs, model).collect()} == {d: k for d, k, _ in rows}
     assert model.classify([t for _, _, t in rows])[0] == [k for _, k, _ in rows]
+
+
+def test_op9_reads_every_passage_of_what_it_learns_from(spark):
+    """One loud passage after 150 plain ones decides the label; a fit that skips passages would seldom see it."""
+    rng = np.random.default_rng(8)
+    plain = lambda n: [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(Q.PASSAGE)) for _ in range(n)]
+    loud = " ".join(["BUY NOW!!!"] * (Q.PASSAGE // 2))
+    rows = []
+    for i in range(120):
+        passages = plain(150)
+        if i % 2:
+            passages[int(rng.integers(150))] = loud
+        rows.append((i, " ".join(passages)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in Q.score_quality(docs, Q.fit_quality(docs, labels)).collect()}
+    assert np.mean([got[i] == 1 - i % 2 for i in range(80, 120)]) > 0.95
+
+
+def test_nothing_to_learn(spark):
+    """Without both labels every score is 0.5; a kept column of an operator's own name gives way to it."""
+    docs = spark.createDataFrame([(1, "some text", 9.0), (2, None, 8.0)], "doc_id long, text string, score double")
+    model = Q.fit_quality(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"))
+    assert not model.learned
+    assert [(r.score, r.predicted) for r in Q.score_quality(docs, model, keep=["doc_id", "score"]).collect()] == [(0.5, 0)] * 2
+    found = L.identify_languages(docs, L.LanguageModel({}), keep=["doc_id", "score"])
+    assert found.columns == ["doc_id", "lang_pred", "score"] and {r.lang_pred for r in found.collect()} == {"und"}

@@ -81,3 +81,11 @@ def test_near_duplicates_by_shingles(spark, sf):
     """The stage keeps what brute-force Jaccard of five-word shingles keeps."""
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     assert {r.doc_id for r in C.near_duplicates(spark, docs, sf).collect()} == one_of_each([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_stages_that_cannot_learn_keep_everything(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i}", None, "s", 10) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.quality(spark, docs, str(tmp_path)).count() == 20
+    assert C.language(spark, docs, str(tmp_path)).count() == 20
+    assert C.quality(spark, docs.limit(0), str(tmp_path)).count() == C.language(spark, docs.limit(0), str(tmp_path)).count() == 0
