@@ -79,16 +79,21 @@ TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 
 def apply_lexicon(lines, lexicons, keys, lang="lang", text="text"):
     """Later layers win per term. Terms match on word bounds whatever their case, leftmost first, the longest of those that
-    begin at one place, in one pass. Runs of up to as many tokens as the longest term has meet the lexicon in an equi join on
-    language and run, so neither side's size matters; keys name a line."""
-    tokens = F.regexp_extract_all(c(text), F.lit(TOKENS), F.lit(0))
+    begin at one place, in one pass. A place of a line meets the terms' first tokens, and only runs as long as some term
+    that begins so meet the lexicon: a long term costs where its first token stands, not in every line. Both are equi
+    joins, so neither side's size matters; keys name a line."""
+    split = lambda x: F.regexp_extract_all(c(x), F.lit(TOKENS), F.lit(0))
+    first = lambda x: F.translate(F.lower(x), "ς", "σ")  # noqa: E731  which of the two depends on what follows
+    tokens = split(text)
     lex = (lexicons.filter("term <> ''").groupBy(F.col("lang").alias("_lang"), F.lower("term").alias("_run")).agg(F.max_by("say", "layer").alias("say")))
-    most = lex.agg(F.max(F.size(F.regexp_extract_all(F.col("_run"), F.lit(TOKENS), F.lit(0)))).alias("_most"))
+    begun = (lex.select("_lang", split("_run").alias("_t")).filter("size(_t) > 0").groupBy("_lang", first(F.col("_t")[0]).alias("_first"))
+             .agg(F.collect_set(F.size("_t")).alias("_lens")))                  # different lengths only
     wordy = lambda w: w.rlike(r"^[\p{L}\p{N}_]")
     t = lines.withColumn("_tok", tokens)
-    runs = (t.crossJoin(F.broadcast(most)).filter("_most IS NOT NULL AND size(_tok) > 0")           # one row
-            .select(*keys, F.col(lang).alias("_lang"), "_tok", "_most", F.explode(F.sequence(F.lit(0), F.size("_tok") - 1)).alias("at"))
-            .withColumn("len", F.explode(F.sequence(F.lit(1), F.least("_most", F.size("_tok") - F.col("at")))))
+    places = t.select(*keys, F.col(lang).alias("_lang"), F.posexplode("_tok").alias("at", "_w")).withColumn("_first", first("_w")).drop("_w")
+    places = places.join(begun, ["_lang", "_first"]).groupBy(*keys, "_lang").agg(F.collect_list(F.struct("at", "_lens")).alias("_p"))
+    runs = (t.join(places, list(keys)).select(*keys, "_lang", "_tok", F.inline("_p")).select(*keys, "_lang", "_tok", "at", F.explode("_lens").alias("len"))
+            .filter(F.col("at") + F.col("len") <= F.size("_tok"))
             # a run that begins or ends with another sign must not touch a word there
             .filter(wordy(F.get("_tok", F.col("at"))) | (F.col("at") == 0) | ~wordy(F.get("_tok", F.col("at") - 1)))
             .filter(wordy(F.get("_tok", F.col("at") + F.col("len") - 1)) | (F.col("at") + F.col("len") == F.size("_tok")) | ~wordy(F.get("_tok", F.col("at") + F.col("len"))))
