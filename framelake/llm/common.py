@@ -74,3 +74,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
     return (e.groupBy("u").agg(F.min("v").alias("m"))
             .unionAll(e.groupBy("v").agg(F.min("v").alias("m")))
             .groupBy(F.col("u").alias(node)).agg(F.min("m").alias(root)))
+
+
+#: Bytes of texts that reach a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most BATCH_BYTES instead of 10,000 rows of any length, so the memory of
+    an executor does not follow the length of the texts. A session that has set its own bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
