@@ -23,16 +23,17 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(load_json(path))            # a worker's tasks share what it has learned
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id", keep_pieces: bool = True) -> DataFrame:
     """(key, piece, start, length, ids_crc32): each document's ids, end_id last, cut so that only the first piece may be
-    shorter than the capacity. A null text has the end id alone."""
+    shorter than the capacity. A null text has the end id alone. keep_pieces: workers keep the word pieces they have learned
+    for later tasks, which saves time; without it a task's are freed at its end, which leaves the memory to other stages."""
     source = docs.select(key, docs[text].alias("_text"))
     schema = T.StructType([source.schema[key], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                            T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     last = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        enc = _encoder(tokenizer)
+        enc = _encoder(tokenizer) if keep_pieces else PieceEncoder(load_json(tokenizer))
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column("_text")):
@@ -146,11 +147,11 @@ def assign_bins(pieces: DataFrame, capacity: int, key: str = "doc_id", size: str
     return ranked.withColumn("_p", place(F.col(size), F.col("_r"))).select(*pieces.columns, "_p.*")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, text: str = "text", key: str = "doc_id", keep_pieces: bool = True) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens; see token_pieces, plan_bins and assign_bins.
 
     Returns key, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are one piece with the end id
     alone; texts of any length are encoded whole; a null key stays null; repeated rows are packed as often as they occur;
     an empty table gives no rows; columns other than key and text are not read. Texts are tokenised once: the pieces are
     written to the shared folder (five numbers each) before they are counted."""
-    return assign_bins(written(token_pieces(docs, tokenizer, capacity, end_id, text, key), "pieces"), capacity, key)
+    return assign_bins(written(token_pieces(docs, tokenizer, capacity, end_id, text, key, keep_pieces), "pieces"), capacity, key)
