@@ -153,5 +153,5 @@ def test_plan_is_best_fit(counts):
 def test_kept_pieces_do_not_change_ids(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    one, two = (sorted(map(tuple, P.token_pieces(docs, path, 64, 2, keep_pieces=k).collect())) for k in (True, False))
+    one, two = (sorted(map(tuple, packing.token_pieces(docs, path, 64, 2, keep_pieces=k).collect())) for k in (True, False))
     assert one == two and one
